@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import line_dedup, sentence_pieces, sharding
+from quire.llm import jaccard_join, line_dedup, sentence_pieces, sharding, suffix_dedup
+from quire.llm.store import public_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), length=100)
+    return out.select(public_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.link_components(_table(spark, sf_dir, "documents"), k=3, p=9, q=10)
+    return out.select(public_id("id").alias("doc_id"), "n_shingles", public_id("component_id").alias("component_id"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -30,6 +41,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows without a doc_id sort after all others.
 NO_ID = 9223372036854775807
+NODE_IDS = 1 << 62
 
 _own: dict[str, str] = {}
 
@@ -43,5 +44,16 @@ def row_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def node_id(name: str = "doc_id", text: str = "text") -> Column:
+    """The id, or for rows without one a number above ``NODE_IDS`` made from the text."""
+    made = F.lit(NODE_IDS) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(NODE_IDS - 1))
+    return F.coalesce(F.col(name).cast("long"), made)
+
+
+def public_id(name: str) -> Column:
+    """The doc_id of a node, null where it had none."""
+    return F.when(F.col(name) < NODE_IDS, F.col(name))
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
