@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import jaccard_join, line_dedup, sentence_pieces, sharding, suffix_dedup
-from quire.llm.store import public_id
+from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_shards, url_filter
+from quire.llm.store import fresh_path, public_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +19,63 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digests(_table(spark, sf_dir, "documents"), model)
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    shards = token_shards.write_shards(_table(spark, sf_dir, "documents"), model, fresh_path(spark, "token-shards"))
+    each = token_shards.sequences(shards)
+    return each.select("doc_id", "piece", "shard", "slot", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), length=100)
     return out.select(public_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), "common", "answered")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.link_components(_table(spark, sf_dir, "documents"), k=3, p=9, q=10)
     return out.select(public_id("id").alias("doc_id"), "n_shingles", public_id("component_id").alias("component_id"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.verdicts(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    base = [F.col("_q_" + x).alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
+    return out.select("doc_id", *base, F.round("_q_probability", 6).alias("probability"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_shards": op2_token_shards,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_text": op4_html_text,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 

@@ -89,7 +89,7 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def words(part: Slice) -> Words:
+def words(part: Slice, folded: bool = True) -> Words:
     blank = IS_BLANK[part.data]
     n = len(blank)
     before, after = np.ones(n, bool), np.ones(n, bool)
@@ -99,7 +99,7 @@ def words(part: Slice) -> Words:
         before[edges], after[edges - 1] = True, True
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
     doc = np.searchsorted(part.offsets, starts, "right") - 1
-    return Words(starts, ends, doc, span_hash(running(part.data), starts, ends))
+    return Words(starts, ends, doc, span_hash(running(part.data, folded), starts, ends))
 
 
 def shingles(found: Words, k: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
