@@ -4,9 +4,11 @@ Terms are the words of the benchmark items.  One pass over the texts leaves, for
 document, the places of its terms; all that follows works on this table:
 
 * frequencies of the terms over all blocks of ``BLOCK`` words, and from them idf weights
-  (terms in more than ``COMMON`` of the blocks count nothing);
-* a distributed randomised SVD of the TF-IDF blocks of the corpus and the items: random
-  projection, one power step, orthonormal basis, rotation to the singular vectors;
+  (terms in more than ``COMMON`` of the blocks count nothing, save the ``RARE_WORDS`` rarest
+  of each item);
+* a distributed randomised SVD of the TF-IDF blocks of the corpus and of the items, which
+  together weigh as much as the corpus: random projection, one power step, orthonormal basis,
+  rotation to the singular vectors, ``SPARE`` more than there are items;
 * passages are pairs of neighbouring blocks, so every span of ``BLOCK`` words lies in one.
   Passages whose latent cosine with an item reaches ``LEAST_COSINE``, and whose latent vector
   carries ``LEAST_SHARE`` of the item's, are candidates;
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 from quire.llm import text_hash
 from quire.llm.store import node_id, public_id, saved
 
-BLOCK, ITEMS = 32, 2000
-RANK, EXTRA, SEED = 96, 16, 11
-COMMON, LEAST_COSINE, LEAST_SHARE = 0.02, 0.3, 0.25
+BLOCK, ITEMS = 32, 256
+SPARE, EXTRA, SEED = 64, 16, 11
+COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.3, 0.25
 LEAKED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.9
 _BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,8 +108,9 @@ def _cells(doc: np.ndarray, block: np.ndarray, term: np.ndarray, n_terms: int) -
     return cell // n_terms, cell % n_terms, count
 
 
-def idf_weights(places: DataFrame, n_terms: int) -> np.ndarray:
-    """Weights of the terms by their frequency over all blocks of the corpus; common ones get 0."""
+def idf_weights(places: DataFrame, items: Items) -> tuple[np.ndarray, float]:
+    """Weights of the terms by their frequency over all blocks of the corpus, and the number of blocks."""
+    n_terms = len(items.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms + 1, np.int64)
@@ -125,8 +128,12 @@ def idf_weights(places: DataFrame, n_terms: int) -> np.ndarray:
         df[row["term"]] = row["n"]
     blocks = max(df[n_terms], 1.0)
     weights = np.log((1 + blocks) / (1 + df[:n_terms]))
-    weights[df[:n_terms] > max(COMMON * blocks, 5)] = 0.0
-    return weights
+    common = df[:n_terms] > max(COMMON * blocks, 5)
+    for words in items.words:
+        own = np.unique(words)
+        common[own[np.argsort(df[own], kind="stable")[:RARE_WORDS]]] = False
+    weights[common] = 0.0
+    return weights, blocks
 
 
 def _item_rows(items: Items, weights: np.ndarray) -> np.ndarray:
@@ -142,7 +149,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _products(places: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The sum over all blocks a of outer(a, a @ basis): one distributed pass of the SVD."""
-    shared = places.sparkSession.sparkContext.broadcast((weights, basis))  # terms x rank numbers
+    shared = places.sparkSession.sparkContext.broadcast((weights, basis.astype(np.float32)))  # terms x rank numbers
     n_terms, width = basis.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +163,7 @@ def _products(places: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.n
             row, t, count = _cells(doc[keep], block[keep], term[keep], n_terms)
             value = count * w[t]
             norm = np.sqrt(np.bincount(row, weights=value * value))
-            value = value / norm[row]
+            value = (value / norm[row]).astype(np.float32)
             for lo in range(0, row[-1] + 1, 2000):  # blocks in groups, as dense products stay small
                 a, z = np.searchsorted(row, (lo, lo + 2000))
                 y = np.add.reduceat(value[a:z, None] * b[t[a:z]], np.flatnonzero(np.diff(row[a:z], prepend=-1)))
@@ -183,16 +190,17 @@ def _products(places: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.n
     return out
 
 
-def latent_basis(places: DataFrame, items: Items, weights: np.ndarray) -> np.ndarray:
+def latent_basis(places: DataFrame, items: Items, weights: np.ndarray, blocks: float) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF blocks of corpus and items."""
-    own, n = _item_rows(items, weights), len(weights)
-    width = min(RANK + EXTRA, n)
+    own, n = _item_rows(items, weights) * np.sqrt(blocks / len(items.ids)), len(weights)
+    rank = min(len(items.ids) + SPARE, n)
+    width = min(rank + EXTRA, n)
     basis = np.random.default_rng(SEED).standard_normal((n, width))
     for _ in range(2):  # the projection and a power step
         basis, _ = np.linalg.qr(_products(places, weights, basis) + own.T @ (own @ basis))
     core = basis.T @ (_products(places, weights, basis) + own.T @ (own @ basis))
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    return basis @ vectors[:, np.argsort(-values)[:RANK]]
+    return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -225,10 +233,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _search(docs: DataFrame, items: Items, schema: str) -> DataFrame:
     n_terms = len(items.hashes)
-    places = saved(term_places(docs, items.hashes), "term-places").where(F.octet_length("places") > 0)
-    all_places = places
-    weights = idf_weights(all_places, n_terms)
-    basis = latent_basis(places, items, weights)
+    places = saved(term_places(docs, items.hashes), "term-places")
+    weights, blocks = idf_weights(places, items)
+    basis = latent_basis(places, items, weights, blocks)
     latent = (_item_rows(items, weights) @ basis).astype(np.float32)
     raw = np.zeros((len(items.ids), n_terms))
     for x, w in enumerate(items.words):
