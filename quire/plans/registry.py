@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL_BY_QUERY: dict = {}
+from quire.plans import retrieval_queries, search_queries, source_queries  # noqa: F401  they register themselves
+from quire.plans.base import ORACLE_SQL_BY_QUERY, QUERIES
+
+__all__ = ["ORACLE_SQL_BY_QUERY", "QUERIES"]
