@@ -38,7 +38,7 @@ from quire.llm.store import node_id, public_id, saved
 
 BLOCK, ITEMS = 32, 256
 SPARE, EXTRA, SEED = 64, 16, 11
-COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.3, 0.25
+COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.5, 0.4
 LEAKED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.9
 _BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
