@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from quire.llm import text_hash
 
-SAMPLE = 3000
+SAMPLE = 2000
 KINDS, BITS = 4, 14
 DIM = 1 << BITS
 SCALE, STEPS, RATE, PENALTY = 30.0, 100, 0.05, 1e-5
@@ -101,13 +101,15 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
         for kind, (index, doc) in enumerate(grams(part, text_hash.words(part, folded=False))):
             count = np.bincount(doc, minlength=part.docs)
             cell, times = np.unique(doc * DIM + index, return_counts=True)
-            rows.append(cell // DIM + base), columns.append(cell % DIM + kind * DIM)
-            values.append(SCALE * times / np.maximum(count, 1)[cell // DIM])
+            rows.append((cell // DIM + base).astype(np.int32)), columns.append((cell % DIM + kind * DIM).astype(np.int32))
+            values.append((SCALE * times / np.maximum(count, 1)[cell // DIM]).astype(np.float32))
         base += part.docs
     rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
     n, cut = len(texts), len(texts) - len(texts) // 5
-    used = rows < cut
-    r, c, v, y = rows[used], columns[used], values[used], good[:cut].astype(float)
+    order = np.argsort(rows, kind="stable")  # by document, so that the ones to fit are in front
+    rows, columns, values = rows[order], columns[order], values[order]
+    used = int(np.searchsorted(rows, cut))
+    r, c, v, y = rows[:used], columns[:used], values[:used], good[:cut].astype(float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both classes count alike
     w, b = np.zeros(KINDS * DIM), 0.0
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
