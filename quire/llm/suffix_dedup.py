@@ -8,9 +8,11 @@ is sorted by multikey quicksort on 64-bit characters (leading bytes, gram, conte
 
 An anchor stands for the windows (strings) it was chosen by, which are consecutive; their
 union is its context.  Equal contexts are neighbours after the sort: all but the first lose
-the whole context.  Where one gram has several contexts, their first occurrences are taken
-apart into windows, each of which is compared by itself.  Groups that reach a bucket's edge
-are compared across the boundary.
+the whole context.  Where one gram has several contexts, their first occurrences are compared
+by how far they agree to the left and to the right of the gram.  Groups of more than
+``PAIRED`` contexts are taken apart instead: into stretches of ``STRETCH`` windows, which are
+settled where all that share the stretch's core are equal, and else into the windows
+themselves.  Groups that reach a bucket's edge are put together across the boundary first.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; rows
 without doc_id come after all others, in an order fixed by their texts; rows that repeat a
@@ -30,11 +32,17 @@ from pyspark.sql import functions as F
 from quire.llm import text_hash
 from quire.llm.store import node_id, saved
 
-GRAM = 32
+GRAM = 24
 #: Suffixes in a bucket, about.
 BUCKET_ROWS = 1_000_000
-_KEY = ["lead", "gram", "context", "id", "start"]
-_ANCHORS = "lead long, gram long, context long, id long, start int, size int"
+#: Contexts of one gram that are compared pair by pair within a task.
+PAIRED = 512
+#: Windows that are compared together at first where there are more contexts.
+STRETCH = 8
+#: Candidate ids up to this many are broadcast (8 bytes each); beyond it they are joined.
+BROADCAST_IDS = 2_000_000
+_KEY = ["lead", "gram", "context", "id", "place"]
+_ANCHORS = "lead long, gram long, context long, id long, place long"
 _second = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -46,11 +54,15 @@ def _running_second(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
-    """document, lead, gram, context, start in the document, and size of the context of each anchor."""
+    """document, lead, gram, context and place of each anchor.
+
+    A place packs the start of the context in its document, the anchor's offset in it and its
+    size (16 bits each for the last two), so that places sort by their starts.
+    """
     data, offsets = part.data, part.offsets
     n, wide = len(data), length - GRAM + 1
     lengths = np.diff(offsets)
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32))
+    none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if n < length or not (lengths >= length).any():
         return none
     sums = text_hash.running(data, folded=False)
@@ -78,7 +90,8 @@ def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
     for j in range(8):
         lead = (lead << np.uint64(8)) | data[a + j].astype(np.uint64)
     context = text_hash.mix(text_hash.span_hash(sums, low, high) + (a - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64))
-    return doc, lead.view(np.int64), gram[a].view(np.int64), context.view(np.int64), (low - offsets[doc]).astype(np.int32), (high - low).astype(np.int32)
+    place = (low - offsets[doc]) << 32 | (a - low) << 16 | (high - low)
+    return doc, lead.view(np.int64), (gram[a] & np.uint64(0xFFFFFFFF)).view(np.int64), context.view(np.int64), place
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -99,20 +112,19 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-#: What a bucket says of a row: its context is gone; it is the first of one of several contexts of its gram; it is the first here of a context whose gram reaches the edge.
-GONE, SEVERAL, EDGE = 0, 1, 2
+#: What a bucket says of a row: its context is gone; it is the first of one of several contexts of its gram (of too many to pair); it is the first here of a context whose gram reaches the edge.
+GONE, SEVERAL, MANY, EDGE = 0, 1, 2, 3
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = list(batches)
-    names = ["lead", "gram", "context", "id", "start", "size"]
     if not got:
         return
-    columns = [np.concatenate([b.column(j).to_numpy() for b in got]) for j in range(6)]
+    columns = [np.concatenate([b.column(j).to_numpy() for b in got]) for j in range(5)]
     del got
-    order = multikey_order(columns[:5])
+    order = multikey_order(columns)
     columns = [c[order] for c in columns]
-    lead, gram, context, ids, start, _ = columns
+    lead, gram, context, ids, place = columns
     n = len(lead)
     new_gram, new_context = np.ones(n, bool), np.ones(n, bool)
     new_gram[1:] = (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])
@@ -121,22 +133,79 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new_gram) - 1
     contexts = np.bincount(group, weights=new_context)[group]
     edge = (group == 0) | (group == group[-1])
-    later = (ids != ids[first]) | (start != start[first])
+    later = (ids != ids[first]) | (place != place[first])
     kind = np.full(n, -1)
     kind[later] = GONE
-    kind[~later & (contexts > 1)] = SEVERAL
+    kind[new_context & (contexts > 1)] = SEVERAL
+    kind[new_context & (contexts > PAIRED)] = MANY
     kind[new_context & edge] = EDGE
-    kind[~new_context & ~later] = -1  # a repeated row
-    keep = np.flatnonzero(kind >= 0)
+    keep = np.flatnonzero(kind >= 0)  # a repeated row of a first one says nothing
     for lo in range(0, len(keep), 100_000):
         at = keep[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), *(pa.array(c[at]) for c in columns)], ["kind", *names])
+        blank = kind[at] == GONE  # its gram isn't needed
+        yield pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), *(pa.array(c[at], mask=blank) for c in columns[:3]), pa.array(ids[at]), pa.array(place[at])], ["kind", *_KEY])
+
+
+def _start(place):
+    return F.shiftright(place, 32).cast("int")
+
+
+def _size(place):
+    return place.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def _paired(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans that go from the first contexts of each gram; rows come sorted by gram, then by place."""
+    reach = length - GRAM
+    held: list[tuple] = []
+    key = None
+
+    def spans() -> list[tuple[int, int, int]]:
+        out = []
+        grid = np.full((len(held), reach + length), 256, np.int16)  # the anchor is in column ``reach``
+        for x, (_, place, text) in enumerate(held):
+            left = reach - (place >> 16 & 0xFFFF)
+            grid[x, left : left + len(text)] = np.frombuffer(text, np.uint8)
+        for x in range(1, len(held)):
+            ids, place, text = held[x]
+            same = (grid[:x] == grid[x]) & (grid[x] < 256)
+            left = np.where(same[:, :reach].all(axis=1), reach, np.argmin(same[:, :reach][:, ::-1], axis=1))
+            right = np.where(same[:, reach:].all(axis=1), length, np.argmin(same[:, reach:], axis=1))
+            before = place >> 16 & 0xFFFF  # bytes of the context before the anchor
+            least, most = before - (len(text) - length), before  # windows, by how much they have before the anchor
+            a, z = np.maximum(least, length - right), np.minimum(most, left)
+            start = (place >> 32) + before
+            out += [(ids, start - hi, hi - lo + length) for lo, hi in set(zip(a.tolist(), z.tolist(), strict=True)) if lo <= hi]
+        return out
+
+    for batch in batches:
+        found = []
+        for lead, gram, ids, place, text in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            if (lead, gram) != key:
+                found += spans()
+                held, key = [], (lead, gram)
+            held.append((ids, place, text))
+        if found:
+            yield _span_batch(found)
+    if found := spans():
+        yield _span_batch(found)
+
+
+def _span_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    ids, start, size = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "start", "size"])
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Documents with (or, as left_anti, without) one of ``ids``; these are broadcast only if few (checked)."""
+    n = ids.count()
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", how)
 
 
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """id, start, size of byte spans that go; they may overlap."""
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    if not GRAM + 8 <= length < 1 << 14:
+        raise ValueError(f"length must be {GRAM + 8} to {(1 << 14) - 1}")
     docs = docs.select(node_id().alias("id"), "text")
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,54 +215,79 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for part in text_hash.slices(batch.column(1)):
-                doc, *rest = anchors(part, length)
-                lead, gram, context, start, size = rest
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, gram, context, ids[part.first + doc], start, size)], ["lead", "gram", "context", "id", "start", "size"])
+                doc, lead, gram, context, place = anchors(part, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, gram, context, ids[part.first + doc], place)], _KEY)
 
     suffixes = docs.where(F.octet_length("text") >= length).mapInArrow(find, _ANCHORS)
     found = saved(suffixes.repartitionByRange(buckets, *_KEY).mapInArrow(_bucket, "kind int, " + _ANCHORS), "suffix-buckets")
 
-    gone = found.where(F.col("kind") == GONE).select("id", "start", "size")
+    gone = found.where(F.col("kind") == GONE).select("id", _start(F.col("place")).alias("start"), _size(F.col("place")).alias("size"))
     edge = found.where(F.col("kind") == EDGE)
-    firsts = edge.groupBy("lead", "gram", "context").agg(F.min(F.struct("id", "start")).alias("f"))
-    firsts = saved(firsts, "edge-contexts")
+    firsts = edge.groupBy("lead", "gram", "context").agg(F.min(F.struct("id", "place")).alias("f"))
     met = edge.join(firsts, ["lead", "gram", "context"])
-    is_first = (F.col("id") == F.col("f.id")) & (F.col("start") == F.col("f.start"))
-    across = met.where(~is_first).select("id", "start", "size")
-    many = firsts.groupBy("lead", "gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("lead", "gram")
-    several = found.where(F.col("kind") == SEVERAL).select("id", "start", "size")
-    several = several.unionAll(met.where(is_first).join(many, ["lead", "gram"], "left_semi").select("id", "start", "size"))
+    is_first = (F.col("id") == F.col("f.id")) & (F.col("place") == F.col("f.place"))
+    across = met.where(~is_first).select("id", _start(F.col("place")).alias("start"), _size(F.col("place")).alias("size"))
+    number = firsts.groupBy("lead", "gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    edge_firsts = met.where(is_first).join(number, ["lead", "gram"]).select(F.when(F.col("contexts") > PAIRED, MANY).otherwise(SEVERAL).alias("kind"), "lead", "gram", "id", "place").distinct()
+    several = saved(found.where(F.col("kind").isin(SEVERAL, MANY)).select("kind", "lead", "gram", "id", "place").unionAll(edge_firsts), "several-contexts")
+
+    per_doc = several.groupBy("id").agg(F.collect_list(F.struct("kind", "lead", "gram", "place")).alias("places"))
+    texts = _only(docs.where(F.octet_length("text") >= length), several.select("id").distinct()).join(per_doc, "id").select("id", "text", "places")
 
-    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each context that is to be paired, one for each stretch of windows of the others.
+
+        A stretch has the hash of the bytes that all its windows share (a), of all its bytes (b),
+        and of each window; windows are stretched by their distance from the anchor.
+        """
         for batch in batches:
-            ids, spans = batch.column(0).to_numpy(), batch.column(2)
-            for part in text_hash.slices(batch.column(1)):
-                one, two = text_hash.running(part.data, folded=False), _running_second(part.data)
-                p, owner = [], []
-                for x in range(part.docs):
-                    for s in spans[part.first + x].as_py():
-                        p.append(np.arange(s["start"], s["start"] + s["size"] - length + 1) + part.offsets[x])
-                        owner.append(np.full(len(p[-1]), x))
-                if not p:
-                    continue
-                p, owner = np.concatenate(p), np.concatenate(owner)
-                for lo in range(0, len(p), 200_000):
-                    q, o = p[lo : lo + 200_000], owner[lo : lo + 200_000]
-                    h1, h2 = text_hash.span_hash(one, q, q + length), text_hash.span_hash(two, q, q + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[part.first + o]), pa.array((q - part.offsets[o]).astype(np.int32))], ["h1", "h2", "id", "start"])
-
-    per_doc = several.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    windows = docs.join(per_doc, "id").select("id", "text", "spans").mapInArrow(take_apart, "h1 long, h2 long, id long, start int")
+            for x in range(batch.num_rows):
+                raw, own, doc = batch.column(1)[x].as_py().encode(), batch.column(2)[x].values, batch.column(0)[x].as_py()
+                kind, lead, gram, place = (own.field(j).to_numpy() for j in range(4))
+                start, before, size = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+                pair = np.flatnonzero(kind == SEVERAL)
+                blank = pa.nulls(len(pair), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(kind[pair]), pa.array(lead[pair]), pa.array(gram[pair]), pa.array(np.full(len(pair), doc)), pa.array(place[pair]), pa.array([raw[start[j] : start[j] + size[j]] for j in pair], pa.binary()), blank, blank], ["kind", "a", "b", "id", "place", "context", "h1", "h2"])
+                apart = np.flatnonzero(kind == MANY)
+                if len(apart):
+                    data = np.frombuffer(raw, np.uint8)
+                    one, two = text_hash.running(data, folded=False), _running_second(data)
+                    cuts = []
+                    for j in apart.tolist():
+                        anchor, most, least = start[j] + before[j], before[j], before[j] - (size[j] - length)
+                        for k in range(least // STRETCH, most // STRETCH + 1):
+                            low, high = max(least, STRETCH * k), min(most, STRETCH * k + STRETCH - 1)
+                            cuts.append((anchor - STRETCH * k, anchor - high, high - low + 1, k, low))
+                    core, p, n, k, low = np.array(cuts, np.int64).T
+                    salt = lambda v: text_hash.mix(v.astype(np.uint64) + np.uint64(1))
+                    a = text_hash.mix(text_hash.span_hash(one, core, core + length - STRETCH + 1) ^ salt(k))
+                    b = text_hash.mix(text_hash.span_hash(two, p, p + n - 1 + length) ^ salt(n << 20 | low))
+                    each = [np.arange(y, y + m) for y, m in zip(p.tolist(), n.tolist(), strict=True)]
+                    hashes = [pa.array([text_hash.span_hash(sums, w, w + length).view(np.int64) for w in each], pa.list_(pa.int64())) for sums in (one, two)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), MANY, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(p), doc)), pa.array(p << 8 | n), pa.nulls(len(p), pa.binary()), *hashes], ["kind", "a", "b", "id", "place", "context", "h1", "h2"])
+
+    rows = saved(texts.mapInArrow(contexts, "kind int, a long, b long, id long, place long, context binary, h1 array<long>, h2 array<long>"), "contexts")
+    pairs = rows.where(F.col("kind") == SEVERAL).select("a", "b", "id", "place", "context").repartition("a", "b").sortWithinPartitions("a", "b", "id", "place")
+    compared = pairs.mapInArrow(lambda batches: _paired(batches, length), "id long, start int, size int")
+
+    stretches = rows.where(F.col("kind") == MANY).select("a", "b", "id", "place", "h1", "h2")
+    unions = saved(stretches.groupBy("a", "b").agg(F.min(F.struct("id", "place")).alias("f")), "stretches")
+    is_union_first = (F.col("id") == F.col("f.id")) & (F.col("place") == F.col("f.place"))
+    of_union = stretches.join(unions, ["a", "b"])
+    first_window = F.shiftright("place", 8).cast("int")
+    whole = of_union.where(~is_union_first).select("id", first_window.alias("start"), (F.col("place").bitwiseAND(F.lit(255)) - 1 + length).cast("int").alias("size"))
+    open_cores = unions.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    unsettled = of_union.where(is_union_first).join(open_cores, "a", "left_semi").select("id", "place", "h1", "h2").distinct()
+    windows = unsettled.select("id", first_window.alias("p"), F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select("h.h1", "h.h2", "id", (F.col("p") + F.col("k")).alias("start"))
     windows = saved(windows, "windows")
     earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("f"), F.max(F.struct("id", "start")).alias("l")).where("f != l").select("h1", "h2", "f")
     again = windows.join(earliest, ["h1", "h2"]).where((F.col("id") != F.col("f.id")) | (F.col("start") != F.col("f.start")))
-    return gone.unionAll(across).unionAll(again.select("id", "start", F.lit(length).alias("size")))
+    return gone.unionAll(across).unionAll(compared).unionAll(whole).unionAll(again.select("id", "start", F.lit(length).alias("size")))
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
-    spans = saved(removed_spans(docs, length), "removed-spans")
-    per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    per_doc = saved(removed_spans(docs, length).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "removed-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,5 +311,9 @@ def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
                     kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = docs.select(node_id().alias("id"), "text").join(per_doc, "id", "left").select("id", "text", "spans")
-    return rows.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = docs.select(node_id().alias("id"), "text")
+    touched = per_doc.select("id")
+    hit = _only(rows, touched).join(per_doc, "id").select("id", "text", "spans")
+    whole = _only(rows, touched, "left_anti").withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType)).select("id", "text", "spans")
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return hit.mapInArrow(cut, schema).unionAll(whole.mapInArrow(cut, schema))
