@@ -15,6 +15,7 @@ of their own; an empty table gives no shard; other columns don't matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import text_hash
+from quire.llm.sentence_pieces import SPACE
 from quire.llm.store import fresh_path
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 1024, 20240607, 4
-_processors: dict[bytes, object] = {}
+_coders: dict = {}
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -72,33 +74,75 @@ def numbers_of(slots: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return _walk(slots, n, key, _unfeistel)
 
 
-def _processor(model: bytes):
-    if model not in _processors:
+class _Coder:
+    """The library's encoder behind a bounded cache of units (a word with the spaces before it).
+
+    Units encode independently as no piece holds a word start after another character, which is
+    checked; so a text's ids are its units' ids in a row.
+    """
+
+    CACHED, CACHED_CHARS = 700_000, 48
+
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        _processors[model] = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return _processors[model]
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if self.pieces.vocab_size() > 1 << 16:
+            raise ValueError("ids don't fit in 16 bits")
+        names = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
+        if any(SPACE in name.lstrip(SPACE) for name in names) or self.pieces.encode(" a") == self.pieces.encode("a"):
+            raise ValueError("the model doesn't encode word by word")
+        self.ends = [np.array([i], "<u2").tobytes() for i in (self.pieces.bos_id(), self.pieces.eos_id())]
+        self.begins = np.array([name.startswith(SPACE) for name in names])
+        self.alone = np.array([self.pieces.piece_to_id(SPACE)], "<u2").tobytes()
+        self.units: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b"".join(self.ends)
+        if "  " in text or SPACE in text or text[0] == " ":
+            keys = re.findall(f"{SPACE}({SPACE}*[^{SPACE}]*)", SPACE + text.replace(" ", SPACE))
+        else:
+            keys = text.split(" ")
+        got = list(map(self.units.get, keys))
+        if None in got:
+            new = {k for k, ids in zip(keys, got, strict=True) if ids is None}
+            made = {k: np.array(self.pieces.encode(k), "<u2").tobytes() if k else self.alone for k in new if not k or SPACE in k}
+            if plain := [k for k in new if k and SPACE not in k]:
+                ids = np.array(self.pieces.encode(" ".join(plain)), "<u2")
+                cuts = [*(2 * np.flatnonzero(self.begins[ids])).tolist(), 2 * len(ids)]  # where a unit begins
+                raw = ids.tobytes()
+                made.update((k, raw[x:y]) for k, x, y in zip(plain, cuts[:-1], cuts[1:], strict=True))
+            got = [made[k] if ids is None else ids for k, ids in zip(keys, got, strict=True)]
+            if len(self.units) + len(made) > self.CACHED:
+                self.units.clear()
+            self.units.update((k, v) for k, v in made.items() if len(k) <= self.CACHED_CHARS)
+        return self.ends[0] + b"".join(got) + self.ends[1]
+
+
+def _coder(model: bytes) -> _Coder:
+    key = hash(model)
+    if key not in _coders:
+        _coders[key] = _Coder(model)
+    return _coders[key]
 
 
 def encoded(docs: DataFrame, model: bytes, length: int = LENGTH) -> DataFrame:
     """part, first (number of the document's first sequence within the part), doc_id, ids (u16, padded to whole sequences), n_tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file
+    shared, stride = docs.sparkSession.sparkContext.broadcast(model), 2 * length  # the model is a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, at = _processor(shared.value), TaskContext.get().partitionId(), 0
-        if coder.vocab_size() > 1 << 16:
-            raise ValueError("ids don't fit in 16 bits")
+        coder, part, at = _coder(shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = batch.slice(lo, 200)
                 ids, first, count = [], [], []
-                for one in coder.encode([t.as_py() or "" for t in rows.column(1)], add_bos=True, add_eos=True, num_threads=1):
-                    n = -(-len(one) // length)
-                    padded = np.zeros(n * length, "<u2")
-                    padded[: len(one)] = one
-                    ids.append(padded.tobytes()), first.append(at), count.append(len(one))
+                for text in rows.column(1):
+                    one = coder.encode(text.as_py() or "")
+                    n = -(-len(one) // stride)
+                    ids.append(one.ljust(n * stride, b"\0")), first.append(at), count.append(len(one) // 2)
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([part] * rows.num_rows, pa.int32()), pa.array(first, pa.int64()), rows.column(0), pa.array(ids, pa.binary()), pa.array(count, pa.int64())], ["part", "first", "doc_id", "ids", "n_tokens"])
 
