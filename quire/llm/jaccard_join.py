@@ -11,11 +11,14 @@ representative; classes meet through keys.
 * The boundary is the largest size for which enumerating subsets costs less than scanning
   lists of the expected length.
 
-Meeting places can hold thousands of sets, so pairs are made in two rounds.  First each set
-meets only the smallest member of each of its places, and the links found are joined into
-components.  Then sets outside a place's main component meet the others of that place: pairs
-within a component can add nothing.  Two bounds that never lose a link, on sizes and on
-256-bit parities of the sets, thin the pairs; the rest are decided on the whole texts.
+Meeting places can hold thousands of sets, so pairs are made in rounds.  In the first rounds
+each set outside its places' main components meets one set of these, the one it shares most
+places with, and the links found are joined into components.  In the last round all sets
+outside a place's main component meet all others of that place that are still in another
+component: pairs within a component can add nothing.  Bounds that never lose a link thin the
+pairs: on sizes, on 256-bit parities of the sets, then on parities of a bit a member (sets
+differ in at least as many members as their parities do in bits).  The rest are decided on the
+whole texts.
 
 Defined results: texts without words (null, empty, blank) have the empty set and link with
 nothing; fewer than k words are one shingle; equal texts link whatever their length; rows
@@ -37,14 +40,16 @@ from pyspark.sql import functions as F
 
 from quire.llm import text_hash
 from quire.llm.components import components
-from quire.llm.store import node_id, saved
+from quire.llm.store import Bucketed, node_id, saved
 
 BUCKETS = 1 << 15
 #: Larger sets never enumerate, whatever lists cost.
 MOST_ENUMERATED = 30
 #: Candidate ids up to this many are broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
-_FEATURES = "id long, n long, set_a long, set_b long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+#: Rounds in which a set meets one other.
+LIGHT_ROUNDS = 3
+_FEATURES = "id long, n long, set_a long, set_b long, s0 long, s1 long, s2 long, s3 long, wide binary, keys array<long>"
 
 
 def _counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -112,6 +117,9 @@ def _features(docs: DataFrame, k: int, p: int, q: int, counts: np.ndarray, bound
                 sets = sums[:, first[1:]] - sums[:, first[:-1]]
                 bits = (np.bincount(d * 256 + ((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256 * m) & 1).astype(np.uint8)
                 parity = np.packbits(bits.reshape(m, 256), axis=1).reshape(m, 4, 8).view(np.int64).reshape(m, 4)
+                size = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+                at = np.concatenate([[0], np.cumsum(size)])
+                wide = np.packbits((np.bincount(at[d] + ((h >> np.uint64(8)).astype(np.int64) & (size[d] - 1)), minlength=at[-1]) & 1).astype(np.uint8))
                 order = np.lexsort((h, rank[(h >> np.uint64(49)).astype(np.int64)], d))
                 within = np.arange(len(h)) - first[d]
                 listed = np.where((n > bound) | (q * n >= p * (bound + 1)), n - -(-p * n // q) + 1, 0)
@@ -124,7 +132,7 @@ def _features(docs: DataFrame, k: int, p: int, q: int, counts: np.ndarray, bound
                 by = np.argsort(owner, kind="stable")
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))]).astype(np.int32), pa.array(keys[by].view(np.int64)))
                 ids = batch.column(0).slice(part.first, m)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(s.view(np.int64)) for s in sets), *(pa.array(parity[:, j].copy()) for j in range(4)), lists], ["id", "n", "set_a", "set_b", "s0", "s1", "s2", "s3", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(s.view(np.int64)) for s in sets), *(pa.array(parity[:, j].copy()) for j in range(4)), pa.array([wide[at[x] // 8 : at[x + 1] // 8].tobytes() for x in range(m)], pa.binary()), lists], ["id", "n", "set_a", "set_b", "s0", "s1", "s2", "s3", "wide", "keys"])
 
     return docs.select(node_id().alias("id"), "text").mapInArrow(run, _FEATURES)
 
@@ -136,8 +144,30 @@ def _may_link(p: int, q: int) -> Column:
     return (nx * q >= ny * p) & (ny * q >= nx * p) & (parity * (p + q) <= (nx + ny) * (q - p))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have 100 * intersection >= similarity * union."""
+def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose wide parities don't differ by more than links allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (nx, ny, x, y) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2, 6)), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) != len(y):  # the wider one folds onto half its bits
+                    if len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    else:
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                if int(np.bitwise_count(x ^ y).sum()) * (p + q) <= (nx + ny) * (q - p):
+                    keep.append(k)
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+
+    x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("wide").alias("w" + c)) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, texts: Bucketed, k: int, p: int, q: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have q * intersection >= p * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -162,15 +192,24 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFr
             keep = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    left, right = (texts.table().select(F.col("id").alias(x), F.col("text").alias("t" + x)) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One (id, text) for each of ``ids``; the ids are broadcast only if few (checked)."""
+def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows with (or, as left_anti, without) one of ``ids``; these are broadcast only if few (checked)."""
     n = ids.count()
-    rows = docs.select(node_id().alias("id"), "text")
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", how)
+
+
+_SKETCH = ["n", "s0", "s1", "s2", "s3"]
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    x = sketches.select(F.col("id").alias("a"), F.struct(*_SKETCH).alias("x"))
+    y = sketches.select(F.col("id").alias("b"), F.struct(*_SKETCH).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
 
 
 def link_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10) -> DataFrame:
@@ -179,39 +218,56 @@ def link_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10) -> Dat
     counts = _counts(docs, k)
     bound = boundary(counts, p, q)
     rows = saved(_features(docs, k, p, q, counts, bound), "features")
-    classes = rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"))
-    classes = saved(classes, "classes")
-    parities = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    sets = saved(parities, "sets")
+    classes = saved(rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
+    copied = classes.where("rep != last").select("set_a", "set_b", "n", "rep")
+    copies = saved(rows.join(copied, ["set_a", "set_b", "n"]).where("id != rep").select("id"), "copies")
+    sets = _only(rows.where("n > 0"), copies, "left_anti")  # one row a class
 
     keyed = sets.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    places = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").select("key", "pivot")
-    met = saved(keyed.join(places, "key"), "places")
-    texts = saved(_texts_of(docs, met.select("id").distinct()).dropDuplicates(["id"]), "texts")
-    slim = sets.select("id", "n", "s0", "s1", "s2", "s3")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(slim.select(F.col("id").alias("a"), F.struct("n", "s0", "s1", "s2", "s3").alias("x")), "a")
-        both = x.join(slim.select(F.col("id").alias("b"), F.struct("n", "s0", "s1", "s2", "s3").alias("y")), "b")
-        return _links(both.where(_may_link(p, q)).select("a", "b"), texts, k, p, q)
-
-    stars = met.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = saved(judged(stars), "links")
-    parts = components(links)
-
-    placed = met.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    placed = saved(placed, "placed")
-    per_part = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
-    main = per_part.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_places = placed.join(main, "key").join(slim, "id")
-    mine = F.struct("n", "s0", "s1", "s2", "s3")
-    strays = open_places.where("part != main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"), mine.alias("x"))
-    others = open_places.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main", mine.alias("y"))
-    cross = strays.join(others, "key").where((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(p, q))
-    more = saved(_links(cross.select("a", "b").distinct(), texts, k, p, q), "links")
-    joined = components(links.unionAll(more))
-
-    of_set = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
+    places = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
+    met = saved(keyed.join(places, "key").select("key", "id"), "places")
+    members = saved(met.select("id").distinct(), "members")
+    sketches = saved(_only(sets.select("id", *_SKETCH, "wide"), members), "sketches")
+    texts = Bucketed(_only(docs.select(node_id().alias("id"), "text"), members), "texts", "id")
+
+    links, parts, settled = None, None, False
+    for step in range(LIGHT_ROUNDS + 1):
+        if settled and step < LIGHT_ROUNDS:
+            continue
+        placed = met
+        if parts is None:
+            placed = placed.withColumn("part", F.col("id"))
+        else:
+            placed = placed.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        per_part = placed.groupBy("key", "part").agg(F.count("*").alias("m"), F.min("id").alias("low"))
+        main = per_part.groupBy("key").agg(F.max_by(F.struct("part", "low"), F.struct("m", -F.col("part"))).alias("main"), F.count("*").alias("parts"))
+        main = main.where("parts > 1").select("key", F.col("main.part").alias("main"), F.col("main.low").alias("low"))
+        strays = placed.join(main, "key").where("part != main")
+        if step < LIGHT_ROUNDS:
+            shared = strays.select(F.col("id").alias("a"), F.col("low").alias("b")).groupBy("a", "b").agg(F.count("*").alias("places"))
+            likely = _sketched(shared, sketches).where(_may_link(p, q)).select("a", "b", "places")
+            pairs = likely.groupBy("a").agg(F.max_by("b", F.struct("places", "b")).alias("b"))
+        else:
+            strays = saved(strays.select("key", F.col("id").alias("a"), F.col("part").alias("part_a"), "main"), "strays")
+            others = placed.join(strays.select("key").distinct(), "key").select("key", F.col("id").alias("b"), F.col("part").alias("part_b"))
+            x = strays.join(sketches.select(F.col("id").alias("a"), F.struct(*_SKETCH).alias("x")), "a")
+            y = others.join(sketches.select(F.col("id").alias("b"), F.struct(*_SKETCH).alias("y")), "b")
+            cross = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b")))
+            pairs = x.join(y, "key").where(cross & _may_link(p, q)).select("a", "b").distinct()
+        near = saved(_near(pairs, sketches, p, q), "near-pairs")
+        new = saved(_links(near, texts, k, p, q), "links")
+        settled = not new.limit(1).count()
+        if settled:
+            continue
+        links = new if links is None else links.unionAll(new)
+        parts = components(links)
+    texts.forget()
+
+    of_set = classes.select("set_a", "set_b", "n", "rep")
+    if parts is None:
+        of_set = of_set.withColumnRenamed("rep", "component")
+    else:
+        of_set = of_set.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     return rows.select("id", "n", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

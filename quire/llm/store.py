@@ -39,6 +39,23 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table written once in buckets of a column, which joins on it then read without a shuffle."""
+
+    def __init__(self, df: DataFrame, label: str, column: str):
+        self.spark, self.name = df.sparkSession, f"quire_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.repartition(n, column).write.option("path", fresh_path(self.spark, label)).option("compression", "zstd")
+        writer.bucketBy(n, column).sortBy(column).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Drop the name; nothing may still need to read the table."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
 def row_id(name: str = "doc_id") -> Column:
     """The id as a sort key that is never null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
