@@ -11,10 +11,13 @@ document, the places of its terms; all that follows works on this table:
   rotation to the singular vectors, ``SPARE`` more than there are items;
 * passages are pairs of neighbouring blocks, so every span of ``BLOCK`` words lies in one.
   Passages whose latent cosine with an item reaches ``LEAST_COSINE``, and whose latent vector
-  carries ``LEAST_SHARE`` of the item's, are candidates;
+  carries ``LEAST_SHARE`` of the item's, are candidates; for an item longer than a passage both
+  bounds fall with the part of it that a passage can hold;
 * a candidate leaks the item if the longest common subsequence of the item's words and the
   words around the passage covers ``LEAKED`` of the item, or ``PARAPHRASED`` of it with the
-  item's answer (its last sentence) found in order.
+  item's answer (its last sentence) found in order.  Overlapping candidates are first judged
+  together, by counts of words and then by the subsequence of all their words, which no single
+  one can surpass; they are judged one by one only if these suffice.
 
 Items are searched in blocks of ``ITEMS`` against all documents.  Defined results: items or
 documents without words (null, empty, blank) never match; rows without doc_id keep a null one;
@@ -38,7 +41,7 @@ from quire.llm.store import node_id, public_id, saved
 
 BLOCK, ITEMS = 32, 256
 SPARE, EXTRA, SEED = 64, 16, 11
-COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.5, 0.4
+COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.3, 0.25
 LEAKED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.9
 _BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -203,11 +206,17 @@ def latent_basis(places: DataFrame, items: Items, weights: np.ndarray, blocks: f
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def _masks(a: np.ndarray) -> dict[int, int]:
+    """The places of each term as bits."""
     at: dict[int, int] = {}
     for k, x in enumerate(a.tolist()):
         at[x] = at.get(x, 0) | 1 << k
+    return at
+
+
+def common_length(a: np.ndarray, b: np.ndarray, at: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows; ``at`` are the masks of a."""
+    at = _masks(a) if at is None else at
     full = (1 << len(a)) - 1
     row = full
     for x in b.tolist():
@@ -217,6 +226,39 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def least_bounds(items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Least latent cosine and least share of each item: lower if a passage can't hold all its words."""
+    held = np.minimum(1.0, 2 * BLOCK / np.array([len(w) for w in items.words]))
+    return LEAST_COSINE * np.sqrt(held), LEAST_SHARE * held
+
+
+class _Judge:
+    """The leak rule for one item."""
+
+    def __init__(self, words: np.ndarray, answer: np.ndarray, n_terms: int):
+        self.words, self.answer = words, answer
+        self.masks, self.answer_masks = _masks(words), _masks(answer)
+        own, self.counts = np.unique(words, return_counts=True)
+        self.number = np.full(n_terms, len(own), np.int32)
+        self.number[own] = np.arange(len(own))
+        self.answer_counts = np.bincount(self.number[answer], minlength=len(own))
+
+    def leaked(self, common: int, answer: int) -> bool:
+        share = common / len(self.words)
+        return share >= LEAKED or share >= PARAPHRASED and len(self.answer) >= 3 and answer >= ANSWERED * len(self.answer)
+
+    def __call__(self, near: np.ndarray) -> tuple[int, int] | None:
+        """Common words with the item and with its answer, if they make a leak."""
+        number = self.number[near]
+        found = np.bincount(number, minlength=len(self.counts) + 1)[:-1]
+        most = int(np.minimum(found, self.counts).sum())  # a common subsequence has no more words
+        if not self.leaked(most, int(np.minimum(found, self.answer_counts).sum())):
+            return None
+        near = near[number < len(self.counts)]
+        common, answer = common_length(self.words, near, self.masks), common_length(self.answer, near, self.answer_masks)
+        return (common, answer) if self.leaked(common, answer) else None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item's words), answered: one row for each leaked item of a document."""
     spark = docs.sparkSession
@@ -240,10 +282,12 @@ def _search(docs: DataFrame, items: Items, schema: str) -> DataFrame:
     raw = np.zeros((len(items.ids), n_terms))
     for x, w in enumerate(items.words):
         np.add.at(raw[x], w, 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((items, weights, basis.astype(np.float32), _unit(latent), np.linalg.norm((raw * weights) @ basis, axis=1)))
+    shared = docs.sparkSession.sparkContext.broadcast((items, weights, basis.astype(np.float32), _unit(latent), np.linalg.norm((raw * weights) @ basis, axis=1), *least_bounds(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, b, queries, sizes = shared.value
+        own, w, b, queries, sizes, least_cosine, least_share = shared.value
+        judges = [_Judge(words, answer, n_terms) for words, answer in zip(own.words, own.answers, strict=True)]
+        lengths = np.array([len(words) for words in own.words])
         for big in batches:
             for lo in range(0, big.num_rows, 500):
                 batch = big.slice(lo, 500)
@@ -261,20 +305,29 @@ def _search(docs: DataFrame, items: Items, schema: str) -> DataFrame:
                 passage[paired] += sums[after[paired]]
                 norm = np.linalg.norm(passage, axis=1)
                 dots = passage @ queries.T
-                x, q = np.nonzero((dots >= LEAST_COSINE * norm[:, None]) & (dots >= LEAST_SHARE * sizes[None, :]))
+                x, q = np.nonzero((dots >= least_cosine * norm[:, None]) & (dots >= least_share * sizes))
+                owner, first = blocks[x] >> 32, (blocks[x] & 0xFFFFFFFF) * BLOCK
+                place = (doc << 32) + np.concatenate([np.frombuffer(v.as_py(), "<u4") for v in batch.column(2)])
+                lo_place = (owner << 32) + np.maximum(0, first - lengths[q])
+                a, z = np.searchsorted(place, lo_place), np.searchsorted(place, (owner << 32) + first + 2 * BLOCK + lengths[q])
+                enough = np.flatnonzero(z - a >= PARAPHRASED * lengths[q])  # fewer words can't hold a leak
+                enough = enough[np.lexsort((x[enough], q[enough], owner[enough]))]
+                x, q, owner, a, z = x[enough], q[enough], owner[enough], a[enough], z[enough]
+                apart = np.ones(len(x), bool)
+                apart[1:] = (owner[1:] != owner[:-1]) | (q[1:] != q[:-1]) | (a[1:] >= z[:-1])
+                runs = [*np.flatnonzero(apart).tolist(), len(x)]
                 found = []
                 ids = batch.column(0).to_pylist()
-                for x1, q1 in zip(x.tolist(), q.tolist(), strict=True):
-                    owner, first = int(blocks[x1] >> 32), int(blocks[x1] & 0xFFFFFFFF) * BLOCK
-                    place = np.frombuffer(batch.column(2)[owner].as_py(), "<u4")
-                    reach = len(own.words[q1])
-                    a, z = np.searchsorted(place, (max(0, first - reach), first + 2 * BLOCK + reach))
-                    near = np.frombuffer(batch.column(3)[owner].as_py(), "<u4")[a:z]
-                    share = common_length(own.words[q1], near) / reach
-                    answer = own.answers[q1]
-                    answered = common_length(answer, near) >= ANSWERED * len(answer)
-                    if share >= LEAKED or share >= PARAPHRASED and answered and len(answer) >= 3:
-                        found.append((ids[owner], own.ids[q1], float(dots[x1, q1] / max(norm[x1], 1e-12)), share, answered))
+                for from_, to in zip(runs[:-1], runs[1:], strict=True):
+                    q1 = int(q[from_])
+                    judge = judges[q1]
+                    if to - from_ > 1 and judge(term[a[from_] : z[to - 1]]) is None:
+                        continue
+                    for k in range(from_, to):
+                        got = judge(term[a[k] : z[k]])
+                        if got is not None:
+                            answered = got[1] >= ANSWERED * len(judge.answer)
+                            found.append((ids[owner[k]], own.ids[q1], float(dots[x[k], q1] / max(norm[x[k]], 1e-12)), got[0] / len(judge.words), answered))
                 if found:
                     columns = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], ["id", "item_id", "cosine", "common", "answered"])

@@ -230,6 +230,37 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_long_and_reworded_items(spark):
+    rng = random.Random(14)
+    items = [(k, words(rng, (20, 45, 90, 140, 200, 300)[k % 6], 20000) + ". " + words(rng, 6, 20000) + ".") for k in range(36)]
+
+    def reworded(text):
+        own = text.split()
+        body = [w if k % 20 < 11 else words(rng, 1, 20000) for k, w in enumerate(own[:-6])]
+        if len(body) > 64:  # the changed words spread among the others
+            body = [w if k % 9 % 2 == 0 else words(rng, 1, 20000) for k, w in enumerate(own[:-6])]
+        return " ".join(body + own[-6:])
+
+    docs = [(k, words(rng, 40, 20000) + " " + text + " " + words(rng, 50, 20000)) for k, text in items]
+    docs += [(100 + k, words(rng, 37, 20000) + " " + reworded(text) + " " + words(rng, 90, 20000)) for k, text in items]
+    docs += [(200 + k, words(rng, 200, 20000)) for k in range(60)]
+
+    def brute(item, text):
+        parse = decontaminate.read_items([(0, item), (1, text)])
+        own, near, answer = parse.words[0], parse.words[1], parse.answers[0]
+        for first in range(0, len(near), decontaminate.BLOCK):
+            window = near[max(0, first - len(own)) : first + 2 * decontaminate.BLOCK + len(own)]
+            share = decontaminate.common_length(own, window) / len(own)
+            if share >= decontaminate.LEAKED or share >= decontaminate.PARAPHRASED and decontaminate.common_length(answer, window) >= decontaminate.ANSWERED * len(answer):
+                return True
+        return False
+
+    expected = {(d, i) for d, text in docs for i, item in items if brute(item, text)}
+    assert expected >= {(base + k, k) for base in (0, 100) for k in range(36)}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()} == expected
+
+
 def test_common_length():
     rng = random.Random(1)
     for _ in range(200):
