@@ -1,12 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its path of tags (with class and id) from the root.
-Nodes of one path are taken together: the length of their text and its punctuation give the
-path's ratio, the text and punctuation an average node of the path carries.  Ratios are
-smoothed over the neighbouring paths in page order and fused with what the tags and names on
-the path say (an article or main part, or a menu, footer, advert, comment and the like).
-Paths whose fused ratio reaches a share of the page's deviation are content; paths inside an
-article count in full, so that short paragraphs and headings stay.
+A page is cut into text nodes, each with its path of tags from the root; inline tags at its end
+don't count, so a paragraph is one with its emphasis and links.  Blocks of one path are taken
+together: the length of their text and its punctuation give the path's ratio, the text and
+punctuation an average block of the path carries; the text of links counts a tenth.  Ratios of
+paragraphs, headings and the like are smoothed over the neighbouring paths of their container,
+and all are weighed by what tags and names say: an article or main part more, unmarked parts
+less, and a menu, footer, advert, comment and the like not at all.  Paths whose weighed ratio
+reaches a share of the page's deviation are content, whatever they are called.  Short
+paragraphs, headings, list items and cells stay if they lie in a container of such paths, are
+marked alike and aren't mostly links.
 
 Text nodes of content paths are decoded, their white space made single, and joined by block.
 
@@ -40,7 +43,10 @@ OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "sear
 OUTSIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "foot", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "widget"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 INSIDE, INSIDE_NAMES = {"article", "main"}, {"article", "post", "entry", "story", "content", "main", "body"}
-SMOOTHING, SHARE_OF_DEVIATION, INSIDE_WEIGHT = 1, 0.5, 4.0
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that stay when short, beside content.
+TEXTUAL = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption"}
+SMOOTHING, SHARE_OF_DEVIATION, INSIDE_WEIGHT, LINK_WEIGHT = 1, 0.5, 4.0, 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -72,10 +78,14 @@ def _says(tag: str, attributes: str) -> int:
 
 
 class _Node:
-    __slots__ = ("block", "path", "said", "text")
+    __slots__ = ("block", "linked", "path", "said", "text")
 
     def __init__(self, path: str, said: int, block: int, text: str):
-        self.path, self.said, self.block, self.text = path, said, block, text
+        tags = path.split("/")
+        self.linked = "a" in tags
+        while tags[-1] in INLINE:
+            tags.pop()
+        self.path, self.said, self.block, self.text = "/".join(tags), said, block, text
 
 
 def text_nodes(page: str) -> list[_Node]:
@@ -144,28 +154,46 @@ def _in_outside(stack: list[tuple[str, str, int]]) -> bool:
 
 
 def content_paths(nodes: list[_Node]) -> set[tuple[str, int]]:
-    """(path, said) of the paths whose smoothed and fused ratio passes the page's threshold."""
+    """(path, said) of the paths whose smoothed and weighed ratio passes the page's threshold, and the short ones beside them."""
     text: dict[tuple[str, int], list[float]] = {}
+    blocks: dict[tuple[str, int], set[int]] = {}
     for node in nodes:
         if node.said >= -1:
             stat = text.setdefault((node.path, node.said), [0.0, 0.0, 0.0])
-            stat[0] += len(node.text.strip())
-            stat[1] += len(_PUNCTUATION.findall(node.text))
-            stat[2] += 1
+            size = len(node.text.strip())
+            stat[0] += size * (LINK_WEIGHT if node.linked else 1)
+            stat[1] += 0 if node.linked else len(_PUNCTUATION.findall(node.text))
+            stat[2] += size if node.linked else -size
+            blocks.setdefault((node.path, node.said), set()).add(node.block)
     if not text:
         return set()
     paths = list(text)  # in page order
-    stats = np.array([text[p] for p in paths])
-    ratio = (stats[:, 0] / stats[:, 2]) * (1 + stats[:, 1] / stats[:, 2])
-    padded = np.pad(ratio, SMOOTHING, mode="edge")
-    smooth = sum(padded[j : j + len(ratio)] for j in range(2 * SMOOTHING + 1)) / (2 * SMOOTHING + 1)
+    stats, n = np.array([text[p] for p in paths]), np.array([len(blocks[p]) for p in paths])
+    ratio = (stats[:, 0] / n) * (1 + stats[:, 1] / n)
+    fused = ratio.copy()
+    groups: dict[tuple[str, int], list[int]] = {}
+    for k, (path, said) in enumerate(paths):
+        up, _, tag = path.rpartition("/")
+        if tag in TEXTUAL and stats[k, 2] <= 0:
+            groups.setdefault((up, said), []).append(k)
+    for own in groups.values():
+        padded = np.pad(ratio[own], SMOOTHING, mode="edge")
+        fused[own] = np.maximum(ratio[own], sum(padded[j : j + len(own)] for j in range(2 * SMOOTHING + 1)) / (2 * SMOOTHING + 1))
     said = np.array([s for _, s in paths])
-    inside = (said == 1).any()
-    # with an article at hand only its paths can be content; else any path that isn't outside
-    weight = np.where(said == -1, 0.0, np.where(said == 1, INSIDE_WEIGHT, 0.0 if inside else 1.0))
-    fused = np.maximum(ratio, smooth) * weight
-    threshold = 0.0 if inside else SHARE_OF_DEVIATION * float(np.std(np.where(weight > 0, fused, 0.0)))
-    return {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= min(threshold, fused.max())}
+    fused *= np.where(said == -1, 0.0, np.where(said == 1, INSIDE_WEIGHT, 1.0))
+    threshold = SHARE_OF_DEVIATION * float(np.std(fused))
+    chosen = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= min(threshold, fused.max())}
+    return chosen | {paths[k] for own in groups.values() for k in own if fused[k] > 0 and _beside(*paths[k], chosen)}
+
+
+def _beside(path: str, said: int, chosen: set[tuple[str, int]]) -> bool:
+    """Whether a short text lies in the container of a chosen path that is marked alike, or is a heading above one in an article."""
+    up, _, tag = path.rpartition("/")
+    for other, marked in chosen:
+        home = other.rpartition("/")[0]
+        if marked == said and (up == home or said == 1 and (f"{up}/".startswith(f"{home}/") or tag in HEADINGS and home.startswith(f"{up}/"))):
+            return True
+    return False
 
 
 def main_text(page: str) -> str:

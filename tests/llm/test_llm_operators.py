@@ -129,6 +129,26 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LONG = "A long paragraph, with several clauses; it goes on for a while, as the body of a page does. It has a second sentence, too."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a small box with an article's name takes nothing from the unmarked body
+        (f"<body><div class='story'>Read more</div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></body>", f"{LONG} Short. {LONG}"),
+        (f"<body><div><h1>Title</h1><p>{LONG}</p></div><section class='entry'><p>Win now</p></section></body>", f"Title {LONG}"),
+        # unnamed adverts and link lists within the article go; headings, emphasis, links in text and short items stay
+        (f"<article><h1>Title</h1><p>{LONG}</p><div>Buy now</div><p>So <b>it</b> <a href='x'>ends</a> here.</p></article>", f"Title {LONG} So it ends here."),
+        (f"<article><p>{LONG}</p><ul><li><a href='x'>One more page</a></li><li><a href='y'>Another</a></li></ul><h2>End</h2><ol><li>first</li></ol></article>", f"{LONG} End first"),
+        # no names at all
+        (f"<body><div>Home</div><div><p>{LONG}</p></div></body>", LONG),
+    ],
+)
+def test_html_text_with_misleading_or_missing_names(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("paired", [512, 2])
 @pytest.mark.parametrize("broadcast", [2_000_000, -1])
 def test_suffix_dedup(docs, rows, empty, monkeypatch, paired, broadcast):
