@@ -115,7 +115,7 @@ def chain(found: DataFrame) -> DataFrame:
 
 
 def aligned(a: list[str], b: list[str], most_edits: int = MOST_EDITS) -> list[tuple[int, int]]:
-    """Matched places of a longest common subsequence; none if it takes more edits than allowed."""
+    """Matched places of a longest common subsequence; none if it takes more edits than allowed, the only limit."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -124,26 +124,59 @@ def aligned(a: list[str], b: list[str], most_edits: int = MOST_EDITS) -> list[tu
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
     out = [(k, k) for k in range(lo)] + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
-    if x and y and abs(len(x) - len(y)) <= most_edits and len(x) * len(y) <= 4_000_000:
+    if x and y and abs(len(x) - len(y)) <= most_edits:
         code = {w: k for k, w in enumerate(dict.fromkeys(x + y))}
         xa, ya = np.array([code[w] for w in x]), np.array([code[w] for w in y])
-        table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for k in range(len(x) - 1, -1, -1):  # a row from the one below: runs of the best to the right
-            best = np.maximum(table[k + 1, :-1], np.where(ya == xa[k], table[k + 1, 1:] + 1, 0))
-            table[k, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-        if len(x) + len(y) - 2 * int(table[0, 0]) <= most_edits:
-            i = j = 0
-            while i < len(x) and j < len(y):
-                if xa[i] == ya[j] and table[i, j] == table[i + 1, j + 1] + 1:
-                    out.append((lo + i, lo + j))
-                    i, j = i + 1, j + 1
-                elif table[i + 1, j] >= table[i, j + 1]:
-                    i += 1
-                else:
-                    j += 1
+        out += [(lo + i, lo + j) for i, j in _banded(xa, ya, most_edits)]
     return sorted(out)
 
 
+def _banded(x: np.ndarray, y: np.ndarray, most_edits: int) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence that takes at most ``most_edits`` edits, else none.
+
+    Only diagonals j - i that so many edits can reach are kept.  The band grows until the edits
+    found fit into it, so its width follows the edits.
+    """
+    n, m = len(x), len(y)
+    edits = min(64, most_edits)
+    while True:
+        # more than this off the diagonal from corner to corner takes more edits, there and back
+        spare = (edits - abs(m - n)) // 2
+        if spare >= 0:
+            low, high = max(-n, min(0, m - n) - spare), min(m, max(0, m - n) + spare)
+            width = high - low + 1
+            padded = np.full(n + width, -1, y.dtype)  # padded[i + d] is y[i + low + d]
+            first, last = max(0, low), min(m, n + high)
+            padded[first - low : last - low] = y[first:last]
+            here = np.arange(low, high + 1)
+            best = np.zeros(width + 1, np.int32)
+            table = np.zeros((n + 1, -(-width // 8)), np.uint8)  # whether leaving out x[i] costs nothing, by bits
+            for i in range(n - 1, -1, -1):  # best[d]: longest from (i, i + low + d); the cell below is one to the left
+                below = np.concatenate([[0], best[:-2]])
+                row = np.maximum(below, np.where(padded[i : i + width] == x[i], best[:-1] + 1, 0))
+                row[(here + i < 0) | (here + i > m)] = 0
+                best[:-1] = np.maximum.accumulate(row[::-1])[::-1]
+                free = best[:-1] == below
+                free[0] = False  # would leave the band
+                table[i] = np.packbits(free)
+            if n + m - 2 * int(best[-low]) <= edits:
+                break
+        if edits >= most_edits:
+            return []
+        edits = min(4 * edits, most_edits)
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        d = j - i - low
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i, d >> 3] >> (7 - (d & 7)) & 1:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def matches(paired: DataFrame, chained: DataFrame) -> DataFrame:
     """pair_id, i, j of all matched words: words between neighbouring anchors are aligned by themselves.
 

@@ -1,6 +1,7 @@
 """Golden cases on tiny tables, and SQL twins on the smallest data."""
 
 import os
+import random
 import re
 
 import pytest
@@ -115,6 +116,16 @@ def test_alignment_is_longest():
     assert compare.longest_rising([5, 1, 2, 9, 3]) == [1, 2, 4]
 
 
+def test_long_gaps_with_few_edits_are_aligned():
+    rng = random.Random(8)
+    a = [str(rng.randrange(50)) for _ in range(6000)]
+    b = ["first", *a[1:2500], "new", *a[2500:4000], *a[4300:-1], "last"]
+    got = compare.aligned(a, b)
+    assert len(got) == 5698 and all(a[i] == b[j] for i, j in got)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    assert compare.aligned(a, b, 304) == [] and compare.aligned(a, b, 305) == got  # 2 changed at the ends, 1 new, 300 gone
+
+
 def test_totals_use_the_first_unit(spark):
     marks = spark.createDataFrame([(1, 0, 1, "length", 283.4646, 0, 0), (1, 1, 2, "length", 283.4646, 0, 0), (1, 1, 3, "count", 0.0, 4, 0), (1, 1, 4, "count", 0.0, 4, 3)], "doc_id long, page_index int, mark_no long, type string, value double, group int, layer int")
     scales = spark.createDataFrame([(1, 1, takeoff.POINTS_PER_METRE / 50, "m")], "doc_id long, page_index int, per_unit double, unit string")
