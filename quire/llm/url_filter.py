@@ -4,7 +4,9 @@ A rule fits its host and all subdomains if the url's path starts with the rule's
 longest rule wins.  A host is a blocked seed if block rules fit more than half of its pages,
 else a trusted seed if an allow rule fits one; it weighs as many as these pages.  Personalised
 PageRank carries trust along links from the trusted seeds; the same on the reversed links
-carries distrust from the blocked seeds to hosts that lead to them.  A page without a rule is blocked
+carries distrust from the blocked seeds to hosts that lead to them.  Both run until a round moves less
+than ``SETTLED``; as each round moves at most ``DAMPING`` of the one before, 67 rounds suffice
+whatever the links, and ``ROUNDS`` is a safety bound above that.  A page without a rule is blocked
 if its host has more distrust than trust, both as shares of the whole, and at least
 ``LEAST_DISTRUST``.
 
@@ -31,7 +33,7 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-DAMPING, ROUNDS, SETTLED = 0.85, 12, 1e-4
+DAMPING, ROUNDS, SETTLED = 0.85, 100, 1e-4
 LEAST_DISTRUST = 1e-9
 
 
@@ -73,7 +75,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     """host, trust, distrust: personalised PageRank on the edges and on the reversed edges.
 
     ``seeds`` has host, trusted and blocked (weights).  Rank of hosts without a way on returns
-    to the seeds.  Stops early once the ranks move by less than ``SETTLED`` in sum.
+    to the seeds.  Ends once the ranks move by less than ``SETTLED`` in sum.
     """
     sums = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     share = lambda name, total: (F.col(name) / F.lit(float(total or 0) or 1.0)).alias(name)

@@ -307,6 +307,18 @@ def test_url_filter(spark):
     assert url_filter.verdicts(pages.limit(0)).count() == 0
 
 
+def test_ranks_settle_along_a_chain(spark):
+    n = 20
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1.0) for k in range(n - 1)], "src string, dst string, links double")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), (f"h{n - 1}", 0.0, 2.0)], "host string, trusted double, blocked double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds).collect()}
+    sums = sum(url_filter.DAMPING**k for k in range(n))
+    for k in range(n):  # each host has its share of the one before; the last one's rank returns to the seed
+        expected = url_filter.DAMPING**k / sums, url_filter.DAMPING ** (n - 1 - k) / sums
+        assert got[f"h{k}"] == pytest.approx(expected, abs=1e-3)
+        assert min(got[f"h{k}"]) > 0
+
+
 def slow_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, dup = set(), 0
