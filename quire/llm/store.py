@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,19 @@ from pyspark.sql import functions as F
 #: Rows without a doc_id sort after all others.
 NO_ID = 9223372036854775807
 NODE_IDS = 1 << 62
+#: Tables of a few numbers a row are broadcast up to this many rows; beyond it they are joined.
+BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
 
-
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs in one process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-quire-")
     return _own[app]
@@ -39,21 +43,9 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Bucketed:
-    """A table written once in buckets of a column, which joins on it then read without a shuffle."""
-
-    def __init__(self, df: DataFrame, label: str, column: str):
-        self.spark, self.name = df.sparkSession, f"quire_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = df.repartition(n, column).write.option("path", fresh_path(self.spark, label)).option("compression", "zstd")
-        writer.bucketBy(n, column).sortBy(column).saveAsTable(self.name)
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def forget(self) -> None:
-        """Drop the name; nothing may still need to read the table."""
-        self.spark.sql(f"DROP TABLE {self.name}")
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (of a few numbers each), marked for broadcast only if they are few: they are counted."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def row_id(name: str = "doc_id") -> Column:
@@ -74,3 +66,11 @@ def public_id(name: str) -> Column:
 
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
