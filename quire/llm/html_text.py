@@ -1,16 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its path of tags from the root; inline tags at its end
-don't count, so a paragraph is one with its emphasis and links.  Blocks of one path are taken
-together: the length of their text and its punctuation give the path's ratio, the text and
-punctuation an average block of the path carries; the text of links counts a tenth.  Ratios of
-paragraphs, headings and the like are smoothed over the neighbouring paths of their container,
-and all are weighed by what tags and names say: an article or main part more, unmarked parts
-less, and a menu, footer, advert, comment and the like not at all.  Paths whose weighed ratio
-reaches a share of the page's deviation are content, whatever they are called.  Short
+A page is cut into text nodes, each with its path of tags from the root, with their class and id
+names (digits left out); inline tags at its end don't count, so a paragraph is one with its
+emphasis and links.  Blocks of one path are taken together: the length of their text and its
+punctuation give the path's ratio, the text and punctuation an average block of the path
+carries; the text of links counts a tenth.  Ratios of paragraphs, headings and the like are
+smoothed over the neighbouring paths of their container, and all are weighed by what tags and
+names say: an article or main part ``INSIDE``, unmarked parts 1, names that may say otherwise
+``DOUBTFUL``, and a menu, footer, advert, comment and the like not at all.  Paths whose weighed
+ratio reaches a share of the page's deviation are content, whatever they are called.  Short
 paragraphs, headings, list items and cells stay if they lie in a container of such paths, are
 marked alike and aren't mostly links.
 
+A class or id names a part outside the article if all its words do, general ones (``site``,
+``list``) aside: ``comment-list`` does, ``related-work`` is doubtful.  Attributes are read as
+browsers read them, so words within other values say nothing.
+
 Text nodes of content paths are decoded, their white space made single, and joined by block.
 
 Defined results: a null or empty html has no text; broken markup is closed as a browser would
@@ -41,64 +46,82 @@ SCOPES = {"article", "aside", "body", "div", "footer", "form", "header", "html",
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
 #: Words of class and id names that say the same.
 OUTSIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "foot", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "widget"}
+#: Words beside these that change nothing.
+GENERAL_NAMES = {"", "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "policy", "post", "posts", "primary", "right", "section", "side", "site", "slot", "stories", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-INSIDE, INSIDE_NAMES = {"article", "main"}, {"article", "post", "entry", "story", "content", "main", "body"}
+INSIDE_TAGS, INSIDE_NAMES = {"article", "main"}, {"article", "post", "entry", "story", "content", "main", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that stay when short, beside content.
 TEXTUAL = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption"}
-SMOOTHING, SHARE_OF_DEVIATION, INSIDE_WEIGHT, LINK_WEIGHT = 1, 0.5, 4.0, 0.1
+#: Weights of what tags and names say; text that is never shown, and white space between texts, have none.
+INSIDE, UNMARKED, DOUBTFUL, OUTSIDE_WEIGHT, NEVER, SPACE = 2.0, 1.0, 0.5, 0.0, -1.0, -2.0
+SMOOTHING, SHARE_OF_DEVIATION, LINK_WEIGHT = 1, 0.5, 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?"""
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE + r")*+)(?:>|\Z)", re.S)
+_VALUE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?""", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？；：]")
 _BLANK = re.compile(r"\s+")
 
 
-def _says(tag: str, attributes: str) -> int:
-    """-1 outside the article, 1 inside, 0 neither; -2 never shown."""
+def _named(value: str) -> float | None:
+    """What one class or id name says."""
+    words = re.split(r"[^a-z]+", value)
+    outside = [w for w in words if w in OUTSIDE_NAMES]
+    if outside:
+        return OUTSIDE_WEIGHT if all(w in OUTSIDE_NAMES or w in GENERAL_NAMES for w in words) else DOUBTFUL
+    return INSIDE if any(w in INSIDE_NAMES for w in words) else None
+
+
+def _says(tag: str, attributes: str) -> tuple[float | None, str]:
+    """The weight that an element's tag and attributes give (None: they say nothing), and its part of the path."""
+    said, names = [], []
     if tag in HIDDEN:
-        return -2
-    if tag in OUTSIDE:
-        return -1
-    said = 1 if tag in INSIDE else 0
-    if attributes:
-        for name, a, b, c in _NAMES.findall(attributes):
-            value, name = (a or b or c).lower(), name.lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return -2
-            if name == "role" and value in OUTSIDE_ROLES:
-                return -1
-            if name in ("class", "id") and tag not in ("html", "body"):
-                words = re.split(r"[^a-z]+", value)
-                if any(w in OUTSIDE_NAMES for w in words) and tag not in INSIDE:
-                    return -1
-                if any(w in INSIDE_NAMES for w in words):
-                    said = max(said, 1)
-    return said
+        said.append(NEVER)
+    elif tag in OUTSIDE:
+        said.append(OUTSIDE_WEIGHT)
+    elif tag in INSIDE_TAGS:
+        said.append(INSIDE)
+    for name, raw in _VALUE.findall(attributes) if attributes and not attributes.isspace() else ():
+        name, value = name.lower(), raw.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            said.append(NEVER)
+        elif name == "role" and value in OUTSIDE_ROLES:
+            said.append(OUTSIDE_WEIGHT)
+        elif name in ("class", "id") and tag not in ("html", "body"):
+            for own in value.split():
+                told = _named(own)
+                if told is not None and not (told < UNMARKED and tag in INSIDE_TAGS):
+                    said.append(told)
+                names.append(("." if name == "class" else "#") + re.sub(r"[^\w-]|\d", "", own))
+    low, high = min(said, default=UNMARKED), max(said, default=UNMARKED)
+    return (low if low < UNMARKED else high if said else None), tag + "".join(sorted(set(names)))
+
+
+def _tag(step: str) -> str:
+    return re.split(r"[.#]", step, maxsplit=1)[0]
 
 
 class _Node:
-    __slots__ = ("block", "linked", "path", "said", "text")
+    __slots__ = ("block", "linked", "path", "text", "weight")
 
-    def __init__(self, path: str, said: int, block: int, text: str):
-        tags = path.split("/")
-        self.linked = "a" in tags
-        while tags[-1] in INLINE:
-            tags.pop()
-        self.path, self.said, self.block, self.text = "/".join(tags), said, block, text
+    def __init__(self, path: str, weight: float, block: int, text: str):
+        steps = path.split("/")
+        self.linked = any(_tag(step) == "a" for step in steps)
+        while _tag(steps[-1]) in INLINE:
+            steps.pop()
+        self.path, self.weight, self.block, self.text = "/".join(steps), weight, block, text
 
 
 def text_nodes(page: str) -> list[_Node]:
-    """The shown text nodes of a page in order, with path, what the path says, and block number."""
-    stack: list[tuple[str, str, int]] = []  # tag, path, what it and those above say
+    """The shown text nodes of a page in order, with path, weight and block number."""
+    stack: list[tuple[str, str, float]] = []  # tag, path, weight
     out, block, at = [], 0, 0
 
     def add(raw: str) -> None:
-        said = stack[-1][2] if stack else 0
-        if said != -2 and raw and not raw.isspace():
-            out.append(_Node(stack[-1][1] if stack else "", said, block, raw))
-        elif said != -2 and raw:
-            out.append(_Node("", -3, block, " "))
+        path, weight = stack[-1][1:] if stack else ("", UNMARKED)
+        if weight != NEVER and raw:
+            out.append(_Node("", SPACE, block, " ") if raw.isspace() else _Node(path, weight, block, raw))
 
     def close(tags: set[str], scope: set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -134,64 +157,60 @@ def text_nodes(page: str) -> list[_Node]:
             close({"head"}, set())
         if tag in VOID:
             continue
-        above = stack[-1] if stack else ("", "", 0)
-        said = _says(tag, m[3])
-        if tag == "header" and above[2] < 1:
-            said = -1
-        # what is outside stays outside, unless the article proper begins below a mislabelled wrapper
-        said = -2 if -2 in (said, above[2]) else 1 if tag in INSIDE and above[2] != -2 and not _in_outside(stack) else -1 if -1 in (said, above[2]) else max(said, above[2])
+        above = stack[-1] if stack else ("", "", UNMARKED)
+        said, step = _says(tag, m[3])
+        if tag == "header" and above[2] != INSIDE:
+            said = OUTSIDE_WEIGHT
+        weight = above[2] if said is None or above[2] <= OUTSIDE_WEIGHT else said
+        if said == NEVER:
+            weight = NEVER
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if m[3].rstrip().endswith("/") and tag in HIDDEN:
             continue
-        stack.append((tag, f"{above[1]}/{tag}" if said != -1 else f"{above[1]}/{tag}!", said))
-
-
-def _in_outside(stack: list[tuple[str, str, int]]) -> bool:
-    return any(tag in OUTSIDE for tag, _, _ in stack) or any(said == -1 for _, _, said in stack)
+        stack.append((tag, f"{above[1]}/{step}", weight))
 
 
-def content_paths(nodes: list[_Node]) -> set[tuple[str, int]]:
-    """(path, said) of the paths whose smoothed and weighed ratio passes the page's threshold, and the short ones beside them."""
-    text: dict[tuple[str, int], list[float]] = {}
-    blocks: dict[tuple[str, int], set[int]] = {}
+def content_paths(nodes: list[_Node]) -> set[tuple[str, float]]:
+    """(path, weight) of the paths whose smoothed and weighed ratio passes the page's threshold, and the short ones beside them."""
+    text: dict[tuple[str, float], list[float]] = {}
+    blocks: dict[tuple[str, float], set[int]] = {}
     for node in nodes:
-        if node.said >= -1:
-            stat = text.setdefault((node.path, node.said), [0.0, 0.0, 0.0])
+        if node.weight >= OUTSIDE_WEIGHT:
+            stat = text.setdefault((node.path, node.weight), [0.0, 0.0, 0.0])
             size = len(node.text.strip())
             stat[0] += size * (LINK_WEIGHT if node.linked else 1)
             stat[1] += 0 if node.linked else len(_PUNCTUATION.findall(node.text))
             stat[2] += size if node.linked else -size
-            blocks.setdefault((node.path, node.said), set()).add(node.block)
+            blocks.setdefault((node.path, node.weight), set()).add(node.block)
     if not text:
         return set()
     paths = list(text)  # in page order
     stats, n = np.array([text[p] for p in paths]), np.array([len(blocks[p]) for p in paths])
     ratio = (stats[:, 0] / n) * (1 + stats[:, 1] / n)
     fused = ratio.copy()
-    groups: dict[tuple[str, int], list[int]] = {}
-    for k, (path, said) in enumerate(paths):
-        up, _, tag = path.rpartition("/")
-        if tag in TEXTUAL and stats[k, 2] <= 0:
-            groups.setdefault((up, said), []).append(k)
+    groups: dict[tuple[str, float], list[int]] = {}
+    for k, (path, weight) in enumerate(paths):
+        up, _, step = path.rpartition("/")
+        if _tag(step) in TEXTUAL and stats[k, 2] <= 0:
+            groups.setdefault((up, weight), []).append(k)
     for own in groups.values():
         padded = np.pad(ratio[own], SMOOTHING, mode="edge")
         fused[own] = np.maximum(ratio[own], sum(padded[j : j + len(own)] for j in range(2 * SMOOTHING + 1)) / (2 * SMOOTHING + 1))
-    said = np.array([s for _, s in paths])
-    fused *= np.where(said == -1, 0.0, np.where(said == 1, INSIDE_WEIGHT, 1.0))
+    fused *= np.array([weight for _, weight in paths])
     threshold = SHARE_OF_DEVIATION * float(np.std(fused))
     chosen = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= min(threshold, fused.max())}
     return chosen | {paths[k] for own in groups.values() for k in own if fused[k] > 0 and _beside(*paths[k], chosen)}
 
 
-def _beside(path: str, said: int, chosen: set[tuple[str, int]]) -> bool:
+def _beside(path: str, weight: float, chosen: set[tuple[str, float]]) -> bool:
     """Whether a short text lies in the container of a chosen path that is marked alike, or is a heading above one in an article."""
-    up, _, tag = path.rpartition("/")
+    up, _, step = path.rpartition("/")
     for other, marked in chosen:
         home = other.rpartition("/")[0]
-        if marked == said and (up == home or said == 1 and (f"{up}/".startswith(f"{home}/") or tag in HEADINGS and home.startswith(f"{up}/"))):
+        if marked == weight and (up == home or weight == INSIDE and (f"{up}/".startswith(f"{home}/") or _tag(step) in HEADINGS and home.startswith(f"{up}/"))):
             return True
     return False
 
@@ -202,9 +221,9 @@ def main_text(page: str) -> str:
     chosen = content_paths(nodes)
     blocks: dict[int, list[str]] = {}
     for node in nodes:
-        if (node.path, node.said) in chosen:
+        if (node.path, node.weight) in chosen:
             blocks.setdefault(node.block, []).append(node.text)
-        elif node.said == -3 and node.block in blocks:
+        elif node.weight == SPACE and node.block in blocks:
             blocks[node.block].append(" ")
     done = (_BLANK.sub(" ", html.unescape("".join(parts))).strip() for parts in blocks.values())
     return " ".join(b for b in done if b)
