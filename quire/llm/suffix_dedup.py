@@ -2,9 +2,9 @@
 
 A string of ``length`` bytes that occurs twice is chosen by content: among its ``GRAM``-byte
 grams the one of smallest hash (leftmost of equals) is its anchor, at the same offset in both
-places.  So only suffixes that start at anchors are sorted.  Spark samples splitters and
-range-partitions them by their leading bytes and then by the rest of the sort key; a bucket
-is sorted by multikey quicksort on 64-bit characters (leading bytes, gram, context, place).
+places.  So only suffixes that start at anchors are sorted, by their first ``GRAM`` bytes, as
+words of eight bytes in byte order, then by context.  Spark samples splitters and
+range-partitions them by this key; a bucket is sorted by multikey quicksort, a word at a time.
 
 An anchor stands for the windows (strings) it was chosen by, which are consecutive; their
 union is its context.  Equal contexts are neighbours after the sort: all but the first lose
@@ -16,8 +16,9 @@ themselves.  Groups that reach a bucket's edge are put together across the bound
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; rows
 without doc_id come after all others, in an order fixed by their texts; rows that repeat a
-doc_id and text don't lose bytes to each other; an empty table gives an empty result; other
-columns don't matter.
+doc_id and text don't lose bytes to each other; different texts of one doc_id are the document's
+parts, in the order of their hashes (2 GB in all at most), and no match crosses from one into
+another; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import text_hash
-from quire.llm.store import node_id, saved
+from quire.llm.store import few, node_id, saved, whole_text
 
 GRAM = 24
 #: Suffixes in a bucket, about.
@@ -39,10 +40,11 @@ BUCKET_ROWS = 1_000_000
 PAIRED = 512
 #: Windows that are compared together at first where there are more contexts.
 STRETCH = 8
-#: Candidate ids up to this many are broadcast (8 bytes each); beyond it they are joined.
-BROADCAST_IDS = 2_000_000
-_KEY = ["lead", "gram", "context", "id", "place"]
-_ANCHORS = "lead long, gram long, context long, id long, place long"
+_GRAM = ["w0", "w1", "w2"]
+_KEY = [*_GRAM, "context", "id", "place"]
+_ANCHORS = ", ".join(f"{name} long" for name in _KEY)
+#: Runs of fewer rows are sorted at once.
+RUN = 2048
 _second = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -54,7 +56,7 @@ def _running_second(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
-    """document, lead, gram, context and place of each anchor.
+    """document, the gram's three words, context and place of each anchor.
 
     A place packs the start of the context in its document, the anchor's offset in it and its
     size (16 bits each for the last two), so that places sort by their starts.
@@ -62,7 +64,7 @@ def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
     data, offsets = part.data, part.offsets
     n, wide = len(data), length - GRAM + 1
     lengths = np.diff(offsets)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if n < length or not (lengths >= length).any():
         return none
     sums = text_hash.running(data, folded=False)
@@ -86,29 +88,36 @@ def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(p)]]) - 1
     low, high, a, doc = p[first], p[last] + length, anchor[first], owner[first]
-    lead = np.zeros(len(a), np.uint64)
-    for j in range(8):
-        lead = (lead << np.uint64(8)) | data[a + j].astype(np.uint64)
+    words = []
+    for j in range(0, GRAM, 8):
+        word = np.zeros(len(a), np.uint64)
+        for k in range(8):
+            word = (word << np.uint64(8)) | data[a + j + k].astype(np.uint64)
+        words.append((word ^ np.uint64(1 << 63)).view(np.int64))  # signed numbers in byte order
     context = text_hash.mix(text_hash.span_hash(sums, low, high) + (a - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64))
     place = (low - offsets[doc]) << 32 | (a - low) << 16 | (high - low)
-    return doc, lead.view(np.int64), (gram[a] & np.uint64(0xFFFFFFFF)).view(np.int64), context.view(np.int64), place
+    return doc, *words, context.view(np.int64), place
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
-    """Order by the columns: sort by the first character, then only runs of equals by the next."""
-    order = np.argsort(columns[0], kind="stable")
-    runs = np.zeros(len(order), np.int64)  # number of the run each place is in
-    for depth, column in enumerate(columns):
-        if depth:
-            tied = np.flatnonzero(np.bincount(runs)[runs] > 1) if len(runs) else runs
-            if not len(tied):
-                break
-            inner = np.lexsort((column[order[tied]], runs[tied]))
-            order[tied] = order[tied][inner]
-        c = column[order]
-        new = np.zeros(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (runs[1:] != runs[:-1])
-        runs = np.cumsum(new)
+    """Order by the columns, by multikey quicksort: rows are parted at a pivot of one column, equals go on with the next."""
+    order = np.arange(len(columns[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        if high - low < 2 or depth == len(columns):
+            continue
+        rows = order[low:high]
+        if high - low <= RUN:
+            order[low:high] = rows[np.lexsort([c[rows] for c in columns[depth:][::-1]])]
+            continue
+        keys = columns[depth][rows]
+        pivot = np.sort(keys[:: len(keys) // 64])[32]
+        less, more = keys < pivot, keys > pivot
+        parts = rows[less], rows[~(less | more)], rows[more]
+        order[low:high] = np.concatenate(parts)
+        first, last = low + len(parts[0]), high - len(parts[2])
+        todo += [(low, first, depth), (first, last, depth + 1), (last, high, depth)]
     return order
 
 
@@ -120,14 +129,14 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = list(batches)
     if not got:
         return
-    columns = [np.concatenate([b.column(j).to_numpy() for b in got]) for j in range(5)]
+    columns = [np.concatenate([b.column(j).to_numpy() for b in got]) for j in range(len(_KEY))]
     del got
     order = multikey_order(columns)
     columns = [c[order] for c in columns]
-    lead, gram, context, ids, place = columns
-    n = len(lead)
+    *gram, context, ids, place = columns
+    n = len(place)
     new_gram, new_context = np.ones(n, bool), np.ones(n, bool)
-    new_gram[1:] = (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])
+    new_gram[1:] = np.any([w[1:] != w[:-1] for w in gram], axis=0)
     new_context[1:] = new_gram[1:] | (context[1:] != context[:-1])
     first = np.flatnonzero(new_context)[np.cumsum(new_context) - 1]  # each row's first of the context
     group = np.cumsum(new_gram) - 1
@@ -143,7 +152,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(keep), 100_000):
         at = keep[lo : lo + 100_000]
         blank = kind[at] == GONE  # its gram isn't needed
-        yield pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), *(pa.array(c[at], mask=blank) for c in columns[:3]), pa.array(ids[at]), pa.array(place[at])], ["kind", *_KEY])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), *(pa.array(c[at], mask=blank) for c in columns[:4]), pa.array(ids[at]), pa.array(place[at])], ["kind", *_KEY])
 
 
 def _start(place):
@@ -180,10 +189,10 @@ def _paired(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
     for batch in batches:
         found = []
-        for lead, gram, ids, place, text in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
-            if (lead, gram) != key:
+        for *gram, ids, place, text in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
+            if gram != key:
                 found += spans()
-                held, key = [], (lead, gram)
+                held, key = [], gram
             held.append((ids, place, text))
         if found:
             yield _span_batch(found)
@@ -196,43 +205,51 @@ def _span_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "start", "size"])
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Documents with (or, as left_anti, without) one of ``ids``; these are broadcast only if few (checked)."""
-    n = ids.count()
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", how)
+def document_parts(docs: DataFrame) -> DataFrame:
+    """id, text and base of every row: where its text begins in the document, 0 but for an id of several texts."""
+    tag = F.xxhash64(whole_text()).alias("tag")
+    rows = docs.select(node_id().alias("id"), "text", F.lit(0).cast("long").alias("base"))
+    doubled = rows.select("id", tag).groupBy("id").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x != y")
+    doubled = saved(doubled.select("id"), "doubled-ids")
+    if not doubled.limit(1).count():
+        return rows
+    parts = rows.join(few(doubled), "id", "left_semi").select("id", tag, F.octet_length(whole_text()).alias("size")).distinct()
+    before = Window.partitionBy("id").orderBy("tag").rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(parts.select("id", "tag", F.sum("size").over(before).alias("base")), "bases")
+    return rows.select("id", "text", tag).join(few(bases), ["id", "tag"], "left").select("id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base"))
 
 
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """id, start, size of byte spans that go; they may overlap."""
+    """id, start, size of byte spans that go; they may overlap.  ``docs`` are ``document_parts``."""
     if not GRAM + 8 <= length < 1 << 14:
         raise ValueError(f"length must be {GRAM + 8} to {(1 << 14) - 1}")
-    docs = docs.select(node_id().alias("id"), "text")
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(conf, int(total * 2 / (length - GRAM + 2) / BUCKET_ROWS) + 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, base = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for part in text_hash.slices(batch.column(1)):
-                doc, lead, gram, context, place = anchors(part, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, gram, context, ids[part.first + doc], place)], _KEY)
+                doc, *key, place = anchors(part, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*key, ids[part.first + doc], place + (base[part.first + doc] << 32))], _KEY)
 
     suffixes = docs.where(F.octet_length("text") >= length).mapInArrow(find, _ANCHORS)
     found = saved(suffixes.repartitionByRange(buckets, *_KEY).mapInArrow(_bucket, "kind int, " + _ANCHORS), "suffix-buckets")
 
     gone = found.where(F.col("kind") == GONE).select("id", _start(F.col("place")).alias("start"), _size(F.col("place")).alias("size"))
     edge = found.where(F.col("kind") == EDGE)
-    firsts = edge.groupBy("lead", "gram", "context").agg(F.min(F.struct("id", "place")).alias("f"))
-    met = edge.join(firsts, ["lead", "gram", "context"])
+    firsts = saved(edge.groupBy(*_GRAM, "context").agg(F.min(F.struct("id", "place")).alias("f")), "edge-contexts")
+    met = edge.join(firsts, [*_GRAM, "context"])
     is_first = (F.col("id") == F.col("f.id")) & (F.col("place") == F.col("f.place"))
     across = met.where(~is_first).select("id", _start(F.col("place")).alias("start"), _size(F.col("place")).alias("size"))
-    number = firsts.groupBy("lead", "gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    edge_firsts = met.where(is_first).join(number, ["lead", "gram"]).select(F.when(F.col("contexts") > PAIRED, MANY).otherwise(SEVERAL).alias("kind"), "lead", "gram", "id", "place").distinct()
-    several = saved(found.where(F.col("kind").isin(SEVERAL, MANY)).select("kind", "lead", "gram", "id", "place").unionAll(edge_firsts), "several-contexts")
+    number = saved(firsts.groupBy(*_GRAM).agg(F.count("*").alias("contexts")).where("contexts > 1"), "edge-grams")
+    edge_firsts = met.where(is_first).join(few(number), _GRAM).select(F.when(F.col("contexts") > PAIRED, MANY).otherwise(SEVERAL).alias("kind"), *_GRAM, "id", "place").distinct()
+    several = saved(found.where(F.col("kind").isin(SEVERAL, MANY)).select("kind", *_GRAM, "id", "place").unionAll(edge_firsts), "several-contexts")
 
-    per_doc = several.groupBy("id").agg(F.collect_list(F.struct("kind", "lead", "gram", "place")).alias("places"))
-    texts = _only(docs.where(F.octet_length("text") >= length), several.select("id").distinct()).join(per_doc, "id").select("id", "text", "places")
+    per_doc = several.groupBy("id").agg(F.collect_list(F.struct("kind", *_GRAM, "place")).alias("places"))
+    touched = docs.where(F.octet_length("text") >= length).join(few(several.select("id").distinct()), "id", "left_semi")
+    texts = touched.join(per_doc, "id").select("id", "text", "places", "base")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each context that is to be paired, one for each stretch of windows of the others.
@@ -242,13 +259,14 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         """
         for batch in batches:
             for x in range(batch.num_rows):
-                raw, own, doc = batch.column(1)[x].as_py().encode(), batch.column(2)[x].values, batch.column(0)[x].as_py()
-                kind, lead, gram, place = (own.field(j).to_numpy() for j in range(4))
-                start, before, size = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
-                pair = np.flatnonzero(kind == SEVERAL)
+                raw, own, doc, base = batch.column(1)[x].as_py().encode(), batch.column(2)[x].values, batch.column(0)[x].as_py(), batch.column(3)[x].as_py()
+                kind, *gram, place = (own.field(j).to_numpy() for j in range(5))
+                start, before, size = (place >> 32) - base, place >> 16 & 0xFFFF, place & 0xFFFF
+                inside = (start >= 0) & (start < len(raw))  # the others are in other texts of this id
+                pair = np.flatnonzero((kind == SEVERAL) & inside)
                 blank = pa.nulls(len(pair), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(kind[pair]), pa.array(lead[pair]), pa.array(gram[pair]), pa.array(np.full(len(pair), doc)), pa.array(place[pair]), pa.array([raw[start[j] : start[j] + size[j]] for j in pair], pa.binary()), blank, blank], ["kind", "a", "b", "id", "place", "context", "h1", "h2"])
-                apart = np.flatnonzero(kind == MANY)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[pair]), *(pa.array(w[pair]) for w in gram), pa.array(np.full(len(pair), doc)), pa.array(place[pair]), pa.array([raw[start[j] : start[j] + size[j]] for j in pair], pa.binary()), blank, blank], names)
+                apart = np.flatnonzero((kind == MANY) & inside)
                 if len(apart):
                     data = np.frombuffer(raw, np.uint8)
                     one, two = text_hash.running(data, folded=False), _running_second(data)
@@ -264,10 +282,11 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                     b = text_hash.mix(text_hash.span_hash(two, p, p + n - 1 + length) ^ salt(n << 20 | low))
                     each = [np.arange(y, y + m) for y, m in zip(p.tolist(), n.tolist(), strict=True)]
                     hashes = [pa.array([text_hash.span_hash(sums, w, w + length).view(np.int64) for w in each], pa.list_(pa.int64())) for sums in (one, two)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), MANY, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(p), doc)), pa.array(p << 8 | n), pa.nulls(len(p), pa.binary()), *hashes], ["kind", "a", "b", "id", "place", "context", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), MANY, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(p), pa.int64()), pa.array(np.full(len(p), doc)), pa.array(p + base << 8 | n), pa.nulls(len(p), pa.binary()), *hashes], names)
 
-    rows = saved(texts.mapInArrow(contexts, "kind int, a long, b long, id long, place long, context binary, h1 array<long>, h2 array<long>"), "contexts")
-    pairs = rows.where(F.col("kind") == SEVERAL).select("a", "b", "id", "place", "context").repartition("a", "b").sortWithinPartitions("a", "b", "id", "place")
+    names = ["kind", "a", "b", "c", "id", "place", "context", "h1", "h2"]
+    rows = saved(texts.mapInArrow(contexts, "kind int, a long, b long, c long, id long, place long, context binary, h1 array<long>, h2 array<long>"), "contexts")
+    pairs = rows.where(F.col("kind") == SEVERAL).select("a", "b", "c", "id", "place", "context").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", "id", "place")
     compared = pairs.mapInArrow(lambda batches: _paired(batches, length), "id long, start int, size int")
 
     stretches = rows.where(F.col("kind") == MANY).select("a", "b", "id", "place", "h1", "h2")
@@ -281,39 +300,41 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     windows = unsettled.select("id", first_window.alias("p"), F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select("h.h1", "h.h2", "id", (F.col("p") + F.col("k")).alias("start"))
     windows = saved(windows, "windows")
     earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("f"), F.max(F.struct("id", "start")).alias("l")).where("f != l").select("h1", "h2", "f")
+    earliest = saved(earliest, "first-windows")  # so that a window that many texts have is split among tasks in the join
     again = windows.join(earliest, ["h1", "h2"]).where((F.col("id") != F.col("f.id")) | (F.col("start") != F.col("f.start")))
     return gone.unionAll(across).unionAll(compared).unionAll(whole).unionAll(again.select("id", "start", F.lit(length).alias("size")))
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
-    per_doc = saved(removed_spans(docs, length).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "removed-spans")
+    rows = document_parts(docs)
+    per_doc = saved(removed_spans(rows, length).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "removed-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 sizes, removed, runs, kept = [], [], [], []
-                for text, own in zip(part.column(1), part.column(2), strict=True):
+                for text, own, base in zip(part.column(1), part.column(2), part.column(3).to_pylist(), strict=True):
                     raw = (text.as_py() or "").encode()
                     sizes.append(len(raw))
                     flat = own.values
                     if flat is None or not len(flat):
                         removed.append(0), runs.append(0), kept.append(raw)
                         continue
-                    start = flat.field("start").to_numpy().astype(np.int64)
+                    start, size = flat.field("start").to_numpy().astype(np.int64) - base, flat.field("size").to_numpy()
+                    inside = (start >= 0) & (start < len(raw))  # the others are in other texts of this id
                     edge = np.zeros(len(raw) + 1, np.int32)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + flat.field("size").to_numpy(), -1)
+                    np.add.at(edge, start[inside], 1)
+                    np.add.at(edge, (start + size)[inside], -1)
                     out = np.cumsum(edge[:-1]) > 0
                     removed.append(int(out.sum()))
-                    runs.append(int(out[0]) + int((out[1:] & ~out[:-1]).sum()))
+                    runs.append(int(out[:1].sum()) + int((out[1:] & ~out[:-1]).sum()))
                     kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = docs.select(node_id().alias("id"), "text")
-    touched = per_doc.select("id")
-    hit = _only(rows, touched).join(per_doc, "id").select("id", "text", "spans")
-    whole = _only(rows, touched, "left_anti").withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType)).select("id", "text", "spans")
+    touched = few(per_doc.select("id"))
+    hit = rows.join(touched, "id", "left_semi").join(per_doc, "id").select("id", "text", "spans", "base")
+    whole = rows.join(touched, "id", "left_anti").select("id", "text", F.lit(None).cast(per_doc.schema["spans"].dataType).alias("spans"), "base")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return hit.mapInArrow(cut, schema).unionAll(whole.mapInArrow(cut, schema))
