@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_CHUNK, CHUNK, STRIDE, OVERLAP = 20, 1500, 1300, 200
 VECTOR_POOL, LEXICAL_POOL, VECTOR_WEIGHT = 24, 10, 0.7
 WHOLE_DOCUMENT_TOKENS = 20_000
-#: Fixed lists of the lexical score: words that don't count, openings that are no subject, and what follows a defined subject.
-STOP_WORDS = ["the", "and", "for", "are", "was", "were", "what", "which", "who", "how", "why", "when", "where", "does", "did", "that", "this", "with", "from", "into", "about", "has", "have", "had", "not", "but", "can", "could", "should", "would", "will", "its", "their", "them", "they", "you", "your"]
-LEAD_INS = r"^(?:what (?:is|are|does)|who (?:is|are)|define|explain|describe|tell me about)\s+(?:the |an? )?"
-CONNECTORS = [" means", " is ", " are ", " refers to", " shall mean", ": "]
+#: Questions that are scored in one pass over the passages.
+QUESTIONS = 256
+#: Fixed values of the lexical score: words that don't count, openings that are no subject, and what follows a defined subject.
+STOP_WORDS = [
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "is", "are", "was", "were",
+    "what", "how", "does", "do", "did", "this", "that", "these", "those", "with", "by", "as",
+    "at", "from", "be", "it", "its", "which", "when", "where", "who", "whom", "why", "can",
+    "could", "should", "would", "will", "shall", "about", "into", "than", "then",
+]
+LEAD_INS = [
+    "what is the", "what is a", "what is an", "what's the", "what's a", "what's an",
+    "tell me about the", "tell me about", "what are the", "define the", "explain the",
+    "describe the", "what is", "what's", "what are", "define", "explain", "describe",
+]
+CONNECTORS = [
+    "field indicates", "indicates", "is defined as", "is a unique", "is a", "refers to", "means",
+    "specifies", "denotes", "represents", "is used to", "field is",
+]
+WORD = r"[\p{L}\p{N}]{3,}"
+SPACE = " \t\n\r"
 
 
 def chunks(pages: DataFrame) -> DataFrame:
@@ -41,47 +63,141 @@ def chunks(pages: DataFrame) -> DataFrame:
 
 
 def question_words(text: Column) -> Column:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
     return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
 def subject(text: Column) -> Column:
-    """What a question is about: without its opening and end marks."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), LEAD_INS, ""), r"[?.!,;:]+$", ""), F.lit(" \t\n\r"))
+    """What a question is about, without its opening and end marks; empty if that is shorter than 3 characters."""
+    rest = F.btrim(F.regexp_replace(F.btrim(F.lower(text), F.lit(SPACE)), f"^(?:{'|'.join(LEAD_INS)})", ""), F.lit(SPACE))
+    found = F.regexp_replace(rest, r"[.?!]+$", "")
+    return F.when(F.char_length(found) >= 3, single_spaced(found)).otherwise("")
+
+
+def single_spaced(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ \t\n\r\f]+", " ")
+
+
+class _Scorer:
+    """Scores of a block of questions for passages, in a task."""
+
+    def __init__(self, asked: list):
+        self.ids = np.array([q["q_id"] for q in asked])
+        self.subjects = [q["subject"] for q in asked]
+        n_words = np.array([len(q["words"]) for q in asked])
+        patterns = sorted({w for q in asked for w in q["words"]} | {x for x in self.subjects if x})
+        place = {x: k for k, x in enumerate(patterns)}
+        self.subject_at = np.array([place.get(x, -1) for x in self.subjects])
+        self.asks = np.zeros((len(patterns), len(asked)), np.float32)
+        for k, q in enumerate(asked):
+            for w in q["words"]:
+                self.asks[place[w], k] = 1
+        self.part = np.where(n_words > 0, 1 / np.maximum(n_words, 1), 0.0)
+        self.automaton = ahocorasick.Automaton()
+        for x, k in place.items():
+            self.automaton.add_word(x, k)
+        if patterns:
+            self.automaton.make_automaton()
+        vectors = [q["vec"] for q in asked]
+        self.vectors = [None if v is None else np.array(v, np.float64) for v in vectors]
+
+    def lexical(self, texts: list[str | None]) -> np.ndarray:
+        hits = np.zeros((len(texts), len(self.asks)), np.float32)
+        for k, text in enumerate(texts):
+            if text and len(self.asks):
+                hits[k, list({x for _, x in self.automaton.iter(text)})] = 1
+        share = np.rint(hits @ self.asks) * self.part
+        phrase = np.where(self.subject_at >= 0, hits[:, self.subject_at] > 0, False) if len(self.asks) else np.zeros(share.shape, bool)
+        defined = np.zeros(share.shape, bool)
+        for k, q in zip(*np.nonzero(phrase), strict=True):
+            after = texts[k].index(self.subjects[q]) + len(self.subjects[q])
+            defined[k, q] = texts[k][after:].lstrip(" ").startswith(tuple(CONNECTORS))
+        return np.round(np.where(self.subject_at >= 0, 0.25 * share + 0.35 * phrase + 0.4 * defined, share), 9)
+
+    def similarity(self, vectors: pa.Array) -> np.ndarray:
+        """Cosines; -1 for vectors of another length or without one."""
+        out = np.full((len(vectors), len(self.ids)), -1.0)
+        sizes = np.diff(vectors.offsets.to_numpy()) * vectors.is_valid().to_numpy(zero_copy_only=False)
+        for size in {len(v) for v in self.vectors if v is not None and len(v)}:
+            rows = np.flatnonzero(sizes == size)
+            columns = [k for k, v in enumerate(self.vectors) if v is not None and len(v) == size]
+            if len(rows):
+                x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+                y = np.stack([self.vectors[k] for k in columns])
+                norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+                out[np.ix_(rows, columns)] = np.where(norms > 0, x @ y.T / np.where(norms > 0, norms, 1), -1.0)
+        return np.round(out, 9)
+
+
+def scores(questions: DataFrame, passages: DataFrame, vector_pool: int | None = None, lexical_pool: int | None = None) -> DataFrame:
+    """q_id, passage_id, similarity, lexical of every question and passage; with pools, of those that are among the best in their task.
+
+    ``questions`` (q_id, text, vec) are asked ``QUESTIONS`` at a time, each time of all ``passages``
+    (passage_id, text, vec).  Ties go to the smaller passage_id.
+    """
+    asked = questions.select("q_id", question_words(F.col("text")).alias("words"), subject(F.col("text")).alias("subject"), "vec").toLocalIterator()
+    texts = passages.select("passage_id", single_spaced(F.lower("text")).alias("text"), "vec")
+    schema, out = "q_id long, passage_id long, similarity double, lexical double", None
+    while block := list(islice(asked, QUESTIONS)):
+        own = [q.asDict() for q in block]
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            scorer, best = _Scorer(own), None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    found = np.array(part.column(0)), scorer.similarity(part.column(2)), scorer.lexical(part.column(1).to_pylist())
+                    if vector_pool is None:
+                        yield _all_pairs(scorer.ids, *found)
+                    else:
+                        best = _best(found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True)), vector_pool, lexical_pool)
+            if best is not None:
+                yield _all_pairs(scorer.ids, *best)
+
+        got = texts.mapInArrow(run, schema)
+        out = got if out is None else out.unionAll(got)
+    return passages.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _all_pairs(ids: np.ndarray, passages: np.ndarray, similarity: np.ndarray, lexical: np.ndarray) -> pa.RecordBatch:
+    columns = [np.tile(ids, len(passages)), np.repeat(passages, len(ids)), similarity.ravel(), lexical.ravel()]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q_id", "passage_id", "similarity", "lexical"])
+
+
+def _best(found: tuple[np.ndarray, np.ndarray, np.ndarray], vector_pool: int, lexical_pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages that are among the best of any question by vector or by words."""
+    ids = found[0]
+    keep = np.zeros(len(ids), bool)
+    for scored, pool in ((found[1], vector_pool), (found[2], lexical_pool)):
+        for k in range(scored.shape[1]):
+            column = scored[:, k]
+            near = np.flatnonzero(column >= np.partition(column, len(column) - pool)[len(column) - pool]) if len(column) > pool else np.arange(len(column))
+            keep[near[np.lexsort((ids[near], -column[near]))[:pool]]] = True
+    return tuple(x[keep] for x in found)
 
 
 def lexical_scores(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """V2: score of each passage with at least one word of a question; ``questions`` (q_id, text) are few and broadcast."""
-    asked = questions.select("q_id", question_words(F.col("text")).alias("words"), subject(F.col("text")).alias("subject")).where(F.size("words") > 0)
-    pairs = passages.withColumn("low", F.lower("text")).crossJoin(F.broadcast(asked))
-    share = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))) / F.size("words")
-    phrase = F.contains("low", "subject")
-    definition = phrase & F.exists(F.array(*map(F.lit, CONNECTORS)), lambda c: F.contains(F.col("low"), F.concat("subject", c)))
-    full = 0.25 * share + F.when(phrase, 0.35).otherwise(0.0) + F.when(definition, 0.4).otherwise(0.0)
-    return pairs.withColumn("lexical", F.when(F.char_length("subject") < 3, share).otherwise(full)).where("lexical > 0").select("q_id", "passage_id", "lexical")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """V3: cosine of two arrays; -1 for different lengths or an empty norm."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    size = norm(a) * norm(b)
-    return F.when((F.size(a) != F.size(b)) | (size == 0), -1.0).otherwise(dot / size)
+    """V2: score of each passage that has anything of a question."""
+    blank = F.lit(None).cast("array<float>").alias("vec")
+    return scores(questions.select("q_id", "text", blank), passages.select("passage_id", "text", blank)).where("lexical > 0").select("q_id", "passage_id", "lexical")
 
 
 def vector_scores(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """V3: similarity of every passage vector to the few, broadcast question vectors."""
-    pairs = passages.select("passage_id", "vec").crossJoin(F.broadcast(questions.select("q_id", F.col("vec").alias("qvec"))))
-    return pairs.select("q_id", "passage_id", cosine(F.col("vec"), F.col("qvec")).alias("similarity"))
+    """V3: cosine of every passage's vector with each question's."""
+    blank = F.lit("").alias("text")
+    return scores(questions.select("q_id", blank, "vec"), passages.select("passage_id", blank, "vec")).select("q_id", "passage_id", "similarity")
+
 
+def hybrid(questions: DataFrame, passages: DataFrame, vector_pool: int = VECTOR_POOL, lexical_pool: int = LEXICAL_POOL) -> DataFrame:
+    """V4: the best by vector and the best by words, in one order; ties by passage.
 
-def hybrid(vector: DataFrame, lexical: DataFrame, vector_pool: int = VECTOR_POOL, lexical_pool: int = LEXICAL_POOL) -> DataFrame:
-    """V4: the best by vector and the best by words, in one order; ties by passage."""
-    both = vector.join(lexical, ["q_id", "passage_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    Tasks keep their own best, so the windows see a bounded number of rows from each.
+    """
+    found = scores(questions, passages, vector_pool, lexical_pool)
     by = lambda c: F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(c), "passage_id"))
-    best = both.withColumns({"by_vector": by("similarity"), "by_words": by("lexical")})
-    best = best.where((F.col("by_vector") <= vector_pool) | (F.col("by_words") <= lexical_pool) & (F.col("lexical") > 0))
-    scored = best.withColumn("score", F.round(VECTOR_WEIGHT * F.col("similarity") + (1 - VECTOR_WEIGHT) * F.col("lexical"), 4))
+    by_vector = found.withColumn("place", by("similarity")).where(F.col("place") <= vector_pool).drop("place")
+    by_words = found.where("lexical > 0").withColumn("place", by("lexical")).where(F.col("place") <= lexical_pool).drop("place")
+    scored = by_vector.unionAll(by_words).distinct().withColumn("score", F.round(VECTOR_WEIGHT * F.col("similarity") + (1 - VECTOR_WEIGHT) * F.col("lexical"), 4))
     return scored.withColumn("rank", by("score")).select("q_id", "passage_id", "score", "rank")
 
 
@@ -106,18 +222,17 @@ def whole_documents(passages: DataFrame, most: int = WHOLE_DOCUMENT_TOKENS) -> D
     return per_page.withColumn("chars", size).where(F.col("chars") / 4 <= most)
 
 
-#: Fixed words of follow-up questions.
-PRONOUNS = ["it", "its", "they", "them", "their", "this", "that", "these", "those", "he", "she", "his", "her"]
-CONTINUATIONS = ["and", "also", "else", "more", "why", "how", "again"]
+#: Words of follow-up questions.
+PRONOUNS = ["it", "its", "this", "these", "those", "they", "them", "their", "he", "she", "him", "her"]
+CONTINUATIONS = ["more", "elaborate", "again", "else"]
 
 
 def folded_questions(turns: DataFrame) -> DataFrame:
     """V7: user turns with the question to retrieve by: follow-ups carry the question before them."""
     users = turns.where("role = 'user'")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    n = F.size(F.split(F.btrim("text", F.lit(" \t\n\r")), r"\s+"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     has = lambda some: F.arrays_overlap("words", F.array(*map(F.lit, some)))
-    follows = (n <= 2) | has(PRONOUNS) | ((n <= 6) & has(CONTINUATIONS))
+    follows = (F.size("words") <= 2) | has(PRONOUNS) | ((F.size("words") <= 6) & has(CONTINUATIONS))
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     asked = users.withColumn("words", words).withColumns({"before": before, "is_follow_up": F.coalesce(follows, F.lit(False))})
     return asked.select("conv_id", "turn", "is_follow_up", F.when(F.col("is_follow_up") & F.col("before").isNotNull(), F.concat_ws(" ", "before", "text")).otherwise(F.col("text")).alias("retrieval_query"))

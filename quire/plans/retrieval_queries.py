@@ -25,16 +25,20 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSAGES_SQL = f"{PAGE_TEXT_SQL}, passages AS (SELECT doc_id * 1000 + page_index AS passage_id, doc_id, page_index, text FROM page_text)"
-_STOP = "['" + "', '".join(R.STOP_WORDS) + "']"
-_CONNECT = "['" + "', '".join(R.CONNECTORS) + "']"
+_list = lambda words: "['" + "', '".join(w.replace("'", "''") for w in words) + "']"
+_SINGLE = "regexp_replace({}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 LEXICAL_SQL = f"""
-    asked AS (SELECT item_id AS q_id, list_filter(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')), lambda w: NOT list_contains({_STOP}, w)) AS words,
-                     trim(regexp_replace(regexp_replace(lower(text), '{R.LEAD_INS}', ''), '[?.!,;:]+$', ''), ' ' || chr(9) || chr(10) || chr(13)) AS subject FROM benchmark),
-    pairs AS (SELECT q_id, passage_id, subject, len(list_filter(words, lambda w: contains(lower(text), w))) / len(words) AS share, contains(lower(text), subject) AS phrase,
-                     len(list_filter({_CONNECT}, lambda c: contains(lower(text), subject || c))) > 0 AS definition FROM passages, asked WHERE len(words) > 0),
-    lexical AS (SELECT q_id, passage_id, CASE WHEN length(subject) < 3 THEN share ELSE 0.25 * share + CASE WHEN phrase THEN 0.35 ELSE 0 END + CASE WHEN definition THEN 0.4 ELSE 0 END END AS lexical FROM pairs)"""
+    opened AS (SELECT item_id AS q_id, list_filter(list_distinct(regexp_extract_all(lower(text), '{R.WORD}')), lambda w: NOT list_contains({_list(R.STOP_WORDS)}, w)) AS words,
+                      regexp_replace(trim(regexp_replace(trim(lower(text), {_BLANK}), '^(?:{"|".join(R.LEAD_INS).replace("'", "''")})', ''), {_BLANK}), '[.?!]+$', '') AS rest FROM benchmark),
+    asked AS (SELECT q_id, words, CASE WHEN length(rest) >= 3 THEN {_SINGLE.format("rest")} ELSE '' END AS subject FROM opened),
+    low AS (SELECT passage_id, {_SINGLE.format("lower(text)")} AS t FROM passages),
+    pairs AS (SELECT q_id, passage_id, subject, CASE WHEN len(words) = 0 THEN 0 ELSE len(list_filter(words, lambda w: contains(t, w))) / len(words) END AS share,
+                     subject <> '' AND contains(t, subject) AS phrase, ltrim(substr(t, instr(t, subject) + length(subject)), ' ') AS behind FROM low, asked),
+    lexical AS (SELECT q_id, passage_id, round(CASE WHEN subject = '' THEN share ELSE 0.25 * share + CASE WHEN phrase THEN 0.35 ELSE 0 END
+                       + CASE WHEN phrase AND len(list_filter({_list(R.CONNECTORS)}, lambda c: starts_with(behind, c))) > 0 THEN 0.4 ELSE 0 END END, 9) AS lexical FROM pairs)"""
 VECTOR_SQL = """
-    vectors AS (SELECT q.item_id AS q_id, passage_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])) AS similarity
+    vectors AS (SELECT q.item_id AS q_id, passage_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])), 9) AS similarity
                 FROM passages JOIN embeddings e ON e.vec_id = doc_id, benchmark q JOIN embeddings qe ON qe.vec_id = q.item_id)"""
 
 
@@ -61,7 +65,7 @@ def v3_vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, passage_id) AS rank FROM best""")
 def v4_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, passages = _questions(spark, sf_dir), _with_vectors(spark, sf_dir)
-    return R.hybrid(R.vector_scores(asked, passages), R.lexical_scores(asked.select("q_id", "text"), passages))
+    return R.hybrid(asked, passages)
 
 
 @query()
@@ -76,11 +80,9 @@ def v6_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.whole_documents(_passages(spark, sf_dir), most=1000)
 
 
-
 @query(f"""
-    WITH users AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z]+') AS words, len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) AS n,
-                          lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user'),
-    asked AS (SELECT *, coalesce(n <= 2 OR len(list_intersect(words, ['{"', '".join(R.PRONOUNS)}'])) > 0 OR (n <= 6 AND len(list_intersect(words, ['{"', '".join(R.CONTINUATIONS)}'])) > 0), false) AS is_follow_up FROM users)
+    WITH users AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS words, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user'),
+    asked AS (SELECT *, coalesce(len(words) <= 2 OR len(list_intersect(words, {_list(R.PRONOUNS)})) > 0 OR (len(words) <= 6 AND len(list_intersect(words, {_list(R.CONTINUATIONS)})) > 0), false) AS is_follow_up FROM users)
     SELECT conv_id, turn, is_follow_up, CASE WHEN is_follow_up AND before IS NOT NULL THEN before || ' ' || text ELSE text END AS retrieval_query FROM asked""")
 def v7_follow_up_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.folded_questions(table(spark, sf_dir, "conversations"))
