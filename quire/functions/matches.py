@@ -60,12 +60,18 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(zipped, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
 
 
-def matches_sql(table: str, keys: str, text: str, pattern: str, name: str) -> str:
-    """The same as DuckDB SQL: a CTE ``name`` with keys, start, len, matched."""
+def matches_sql(table: str, keys: str, text: str, pattern: str, name: str, not_after: str = "") -> str:
+    """The same as DuckDB SQL: a CTE ``name`` with keys, start, len, matched.
+
+    RE2 can't look behind, so matches that may not follow some characters are marked first.
+    """
     p = pattern.replace("'", "''")
+    source, first = text, 1
+    if not_after:
+        source, p, first = f"regexp_replace({text}, '(^|[^{not_after}])({p.removeprefix('(?i)')})', '\\1' || chr(1) || '\\2', 'g')", f"\x01{p.removeprefix('(?i)')}", 2
     return f"""
     {name} AS (
-        SELECT {keys}, CAST(coalesce(list_sum(list_transform(parts[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS INT) AS start,
-               CAST(length(found[k]) AS INT) AS len, found[k] AS matched, {text}
+        SELECT {keys}, CAST(coalesce(list_sum(list_transform(parts[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x) - {first - 1})), 0) AS INT) AS start,
+               CAST(length(found[k]) - {first - 1} AS INT) AS len, substr(found[k], {first}) AS matched, {text}
         FROM (SELECT {keys}, {text}, found, parts, unnest(range(1, len(found) + 1)) AS k
-              FROM (SELECT {keys}, {text}, regexp_extract_all({text}, '{p}') AS found, string_split_regex({text}, '{p}') AS parts FROM {table})))"""
+              FROM (SELECT {keys}, {text}, regexp_extract_all(marked, '{p}') AS found, string_split_regex(marked, '{p}') AS parts FROM (SELECT *, {source} AS marked FROM {table}))))"""

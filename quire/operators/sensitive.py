@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, search_pattern
 
-#: Presets by name; letters match in any case and matches needn't be whole words.
+#: The formats that are found, in any case; matches needn't be whole words.
 PRESETS = {
-    "ssn": r"\b[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}\b",
-    "card": r"\b[0-9](?:[- ]?[0-9]){12,18}\b",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"(?:\+[0-9]{1,3}[-. ]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[-. ]?[0-9]{3}[-. ]?[0-9]{4}\b",
-    "date": r"\b(?:[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}|[0-9]{1,2}[ -](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ -][0-9]{2,4})\b",
+    "ssn": r"\b\d{3}[- ]?\d{2}[- ]?\d{4}\b",
+    "card": r"\b\d(?:[- ]?\d){12,18}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "phone": r"(?:\+\d{1,3}[-.\s]?)?(?:\(?\d{1,4}\)?[-.\s]?)?\d{3,4}[-.\s]?\d{3,4}\b",
+    "date": r"\b(?:\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4}|\d{4}[-/\.]\d{1,2}[-/\.]\d{1,2}|\d{1,2}[-\s](?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)[-\s]\d{2,4})\b",
 }
+#: Characters that a preset's match can't follow.
+NOT_AFTER = {"phone": r"\w+"}
 MASK = "█"
 
 
@@ -34,6 +36,8 @@ def scan(pages: DataFrame, presets: dict[str, str] | None = None) -> DataFrame:
     """doc_id, page_index, preset, start, len, matched.  One scan serves all presets."""
     each = []
     for name, pattern in (presets or PRESETS).items():
+        if name in NOT_AFTER:
+            pattern = f"(?<![{NOT_AFTER[name]}]){pattern}"
         each.append(F.transform(matches(F.col("text"), "(?i)" + pattern), _named(name)))
     return pages.select("doc_id", "page_index", F.explode(F.concat(*each)).alias("f")).select("doc_id", "page_index", "f.*")
 
@@ -82,14 +86,27 @@ def remaining(findings: DataFrame, applied: DataFrame) -> DataFrame:
 
 
 def redact_titles(findings: DataFrame, titles: DataFrame, placeholder: str = "[Redacted]") -> DataFrame:
-    """Titles with every word of a redacted span of the same document replaced."""
+    """Titles with every word of a redacted span of the same document replaced.
+
+    Words are what stands between white space, without punctuation at its ends; a span that
+    covers a part of a word takes the whole one, which findings give as ``words`` (see ``whole_words``).
+    """
     edge = r"^[\p{Punct}]+|[\p{Punct}]+$"
-    words = findings.select("doc_id", F.explode(F.split(F.lower("matched"), r"\s+")).alias("w")).select("doc_id", F.regexp_replace("w", edge, "").alias("w")).where("w != ''")
+    words = findings.select("doc_id", F.explode(F.split(F.lower("words"), r"\s+")).alias("w")).select("doc_id", F.regexp_replace("w", edge, "").alias("w")).where("w != ''")
     per_doc = words.groupBy("doc_id").agg(F.collect_set("w").alias("gone"))
-    tokens = F.transform(F.split("title", " "), lambda t: F.when(F.array_contains("gone", F.regexp_replace(F.lower(t), edge, "")), F.lit(placeholder)).otherwise(t))
+    front, back = (lambda t: F.regexp_extract(t, r"^[\p{Punct}]*", 0)), (lambda t: F.regexp_extract(t, r"[\p{Punct}]*$", 0))
+    tokens = F.transform(F.split("title", " "), lambda t: F.when(F.array_contains("gone", F.regexp_replace(F.lower(t), edge, "")), F.concat(front(t), F.lit(placeholder), back(t))).otherwise(t))
     return titles.join(per_doc, "doc_id", "left").withColumn("title", F.when(F.col("gone").isNull(), F.col("title")).otherwise(F.array_join(tokens, " "))).drop("gone")
 
 
+def whole_words(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Findings with words: the text of the words that they touch."""
+    joined = findings.join(pages.select("doc_id", "page_index", "text"), ["doc_id", "page_index"])
+    before = F.regexp_extract(F.expr("substring(text, 1, start)"), r"\S*$", 0)
+    after = F.regexp_extract(F.expr("substring(text, start + len + 1)"), r"^\S*", 0)
+    return joined.withColumn("words", F.concat(before, "matched", after)).drop("text")
+
+
 def scrub(rows: DataFrame, redacted_docs: DataFrame, blank: list[str]) -> DataFrame:
     """Named columns nulled in the rows of documents that were redacted."""
     hit = rows.join(redacted_docs.select("doc_id", F.lit(True).alias("_hit")).distinct(), "doc_id", "left")

@@ -125,7 +125,7 @@ def q12_scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings_sql() -> str:
-    parts = [matches_sql("page_text", "doc_id, page_index", "text", "(?i)" + p, f"f_{n}") for n, p in sensitive.PRESETS.items()]
+    parts = [matches_sql("page_text", "doc_id, page_index", "text", "(?i)" + p, f"f_{n}", sensitive.NOT_AFTER.get(n, "")) for n, p in sensitive.PRESETS.items()]
     union = " UNION ALL ".join(f"SELECT doc_id, CAST(page_index AS INT) AS page_index, '{n}' AS preset, start, len, matched FROM f_{n}" for n in sensitive.PRESETS)
     return f"{PAGE_TEXT_SQL}, {', '.join(parts)}, findings AS ({union})"
 
@@ -163,15 +163,18 @@ def r3_remaining_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FINDINGS_SQL},
-    gone AS (SELECT DISTINCT doc_id, regexp_replace(unnest(string_split_regex(lower(matched), '\\s+')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS w FROM findings),
-    titles AS (SELECT doc_id, substr(regexp_extract(coalesce(text, ''), '^[^\\n]*'), 1, 80) AS title FROM documents),
-    tokens AS (SELECT doc_id, unnest(string_split(title, ' ')) AS t, unnest(range(0, len(string_split(title, ' ')))) AS k FROM titles)
-    SELECT doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = tokens.doc_id AND g.w <> '' AND g.w = regexp_replace(lower(t), '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) THEN '[Redacted]' ELSE t END, ' ' ORDER BY k) AS title
-    FROM tokens GROUP BY doc_id""")
+    whole AS (SELECT f.doc_id, regexp_extract(substr(text, 1, start), '\\S*$') || matched || regexp_extract(substr(text, start + len + 1), '^\\S*') AS words FROM findings f JOIN page_text p ON p.doc_id = f.doc_id AND p.page_index = f.page_index),
+    gone AS (SELECT DISTINCT doc_id, regexp_replace(unnest(string_split_regex(lower(words), '\\s+')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS w FROM whole),
+    titles AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '^[^\\n]*') AS title FROM documents),
+    tokens AS (SELECT doc_id, unnest(string_split(title, ' ')) AS t, unnest(range(0, len(string_split(title, ' ')))) AS k FROM titles),
+    judged AS (SELECT tokens.*, g.w IS NOT NULL AS hit FROM tokens LEFT JOIN (SELECT * FROM gone WHERE w <> '') g ON g.doc_id = tokens.doc_id AND g.w = regexp_replace(lower(t), '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))
+    SELECT doc_id, string_agg(CASE WHEN hit THEN regexp_extract(t, '^[[:punct:]]*') || '[Redacted]' || regexp_extract(t, '[[:punct:]]*$') ELSE t END, ' ' ORDER BY k) AS title
+    FROM judged GROUP BY doc_id""")
 def r4_title_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    titles = docs.select("doc_id", F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0), 1, 80).alias("title"))
-    return sensitive.redact_titles(sensitive.scan(_pages(spark, sf_dir)), titles)
+    """First lines are the titles."""
+    docs, pages = table(spark, sf_dir, "documents"), _pages(spark, sf_dir)
+    titles = docs.select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0).alias("title"))
+    return sensitive.redact_titles(sensitive.whole_words(sensitive.scan(pages), pages), titles)
 
 
 @query(f"""WITH {FINDINGS_SQL}
