@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import saved
+
 GRAM, NEAR, MOST_EDITS, REPORT_WORDS, HOLD_GAP = 3, 2, 1000, 30, 60.0
 SIDE = ["pair_id", "side"]
 
@@ -30,7 +32,7 @@ def words(lines: DataFrame) -> DataFrame:
 
 
 def word_keys(words: DataFrame, ignore_case: bool = False, ignore_punctuation: bool = False) -> DataFrame:
-    """Words with the key they are compared by, worked out once for each distinct word.
+    """Words with the key they are compared by, worked out once for each distinct word of a batch.
 
     Keys are compatibility-normalised with typographic quotes and dashes made plain; an empty
     key isn't compared.
@@ -38,32 +40,49 @@ def word_keys(words: DataFrame, ignore_case: bool = False, ignore_punctuation: b
 
     @F.pandas_udf("string")
     def normalised(w: pd.Series) -> pd.Series:
-        return w.str.normalize("NFKC")
+        codes, distinct = pd.factorize(w, use_na_sentinel=True)
+        plain = np.append(pd.Series(distinct, dtype=object).str.normalize("NFKC").to_numpy(dtype=object), None)
+        return pd.Series(plain[codes], dtype=object)
 
     key = F.translate(normalised("word"), "‘’‚“”„‐‑‒–—−", "'''\"\"\"------")
     if ignore_case:
         key = F.lower(key)
     if ignore_punctuation:
         key = F.regexp_replace(key, r"[^\p{L}\p{N}]", "")
-    vocabulary = words.select("word").distinct().select("word", key.alias("key"))
-    return words.join(vocabulary, "word")
-
+    return words.withColumn("key", key)
 
-def revision_pairs(words: DataFrame, least: float = 0.5, most_docs: int = 20) -> DataFrame:
-    """A, b, shared, similarity of documents that share rare 3-word runs.
 
-    Runs in more than ``most_docs`` documents are no sign of a revision: they don't count, on
-    either side, so the lists that are joined stay short.
-    """
+def run_sets(words: DataFrame) -> DataFrame:
+    """doc_id, runs (the distinct three-word runs, rarest among the documents first), class_id (the first document with the same runs)."""
     order = Window.partitionBy("doc_id").orderBy("pos")
     grams = words.withColumns({"w2": F.lead("key", 1).over(order), "w3": F.lead("key", 2).over(order)}).where("w3 IS NOT NULL")
-    grams = grams.select("doc_id", F.xxhash64("key", "w2", "w3").alias("g")).distinct()
-    rare = grams.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_docs)).select("g")
-    listed = grams.join(rare, "g")
-    sizes = listed.groupBy("doc_id").agg(F.count("*").alias("size"))
-    both = listed.select("g", F.col("doc_id").alias("a")).join(listed.select("g", F.col("doc_id").alias("b")), "g").where("a < b")
-    shared = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = shared.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "b")
+    grams = saved(grams.select("doc_id", F.xxhash64("key", "w2", "w3").alias("g")).distinct(), "runs")
+    counts = saved(grams.groupBy("g").agg(F.count("*").alias("n")), "run-counts")
+    listed = grams.join(counts, "g").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("r"))
+    sets = saved(listed.select("doc_id", F.transform("r", lambda x: x["g"]).alias("runs")), "run-sets")
+    key = [F.size("runs").alias("size"), F.xxhash64("runs").alias("h1"), F.hash("runs").alias("h2")]
+    named = sets.select("doc_id", "runs", *key)
+    classes = named.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
+    return named.join(classes, ["size", "h1", "h2"]).select("doc_id", "class_id", "runs")
+
+
+def revision_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
+    """A, b, shared, similarity of classes of documents (see ``run_sets``) whose runs are alike.
+
+    Sets of at least that similarity share a run among their rarest, so only so many of each are
+    joined; the pairs are then decided on the whole sets.  Copies of one class are its members.
+    """
+    own = saved(sets.where("doc_id = class_id").select("doc_id", "runs", F.size("runs").alias("size")), "run-classes")
+    rarest = F.expr(f"slice(runs, 1, size - cast(ceil({least} * size) as int) + 1)")
+    listed = own.select("doc_id", "size", F.posexplode(rarest).alias("at", "g"))
+    x, y = (listed.select("g", F.col("doc_id").alias(c), F.col("size").alias("size_" + c), F.col("at").alias("at_" + c)) for c in ("a", "b"))
+    # of the first shared run, what can follow bounds the intersection
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    both = x.join(y, "g").where("a < b").where((F.col("size_a") >= least * F.col("size_b")) & (F.col("size_b") >= least * F.col("size_a")))
+    met = both.groupBy("a", "b").agg(F.min_by(F.struct(most.alias("most"), "size_a", "size_b"), "at_a").alias("f")).where(F.col("f.most") * (1 + least) >= least * (F.col("f.size_a") + F.col("f.size_b")))
+    found = saved(met.select("a", "b"), "likely-pairs")
+    texts = lambda c: own.select(F.col("doc_id").alias(c), F.col("runs").alias("runs_" + c), F.col("size").alias("size_" + c))
+    sized = found.join(texts("a"), "a").join(texts("b"), "b").withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b")).cast("long"))
     similarity = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     return sized.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
 

@@ -35,10 +35,23 @@ def gutters(lines: DataFrame, page_width: float, step: int = 2) -> DataFrame:
     Every ``step`` points of the page's middle are tested; runs of passing places give one
     gutter where fewest lines cross, in the middle of equals.
     """
-    tested = lines.withColumn("x", F.explode(F.sequence(F.lit(int(page_width * 0.15)), F.lit(int(page_width * 0.85)), F.lit(step))))
-    left, right = F.col("x1") <= F.col("x"), F.col("x0") >= F.col("x")
-    side = lambda cond, f, c: f(F.when(cond, F.col(c)))
-    per_x = tested.groupBy(*PAGE, "x").agg(F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.count_if(~left & ~right).alias("crossing"), F.count("*").alias("n"), side(left, F.min, "y0").alias("ly0"), side(left, F.max, "y1").alias("ly1"), side(right, F.min, "y0").alias("ry0"), side(right, F.max, "y1").alias("ry1"))
+    low, high = int(page_width * 0.15), int(page_width * 0.85)
+    last = (high - low) // step
+    # a line is left of the tested places from ``k`` on, or right of those up to ``k``
+    after = F.greatest(F.ceil((F.col("x1") - low) / step), F.lit(0)).cast("int")
+    until = F.least(F.floor((F.col("x0") - low) / step), F.lit(last)).cast("int")
+    edges = lines.select(*PAGE, F.explode(F.array(F.struct(after.alias("k"), F.lit(0).alias("side")), F.struct(until.alias("k"), F.lit(1).alias("side")))).alias("e"), "y0", "y1")
+    edges = edges.select(*PAGE, "e.k", "e.side", "y0", "y1")
+    side = lambda n, f, c: f(F.when(F.col("side") == n, F.col(c)))
+    counted = edges.groupBy(*PAGE, "k").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"), side(0, F.min, "y0").alias("ly0"), side(0, F.max, "y1").alias("ly1"), side(1, F.min, "y0").alias("ry0"), side(1, F.max, "y1").alias("ry1"))
+    pages = lines.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n >= 10")
+    places = pages.select(*PAGE, "n", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k"))
+    up = Window.partitionBy(*PAGE).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*PAGE).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    # edges beyond the tested places count at all of them or none
+    met = counted.join(pages, PAGE, "left_semi").join(places, [*PAGE, "k"], "full")
+    per_x = met.select(*PAGE, "k", "n", F.coalesce(F.sum("l").over(up), F.lit(0)).alias("l"), F.coalesce(F.sum("r").over(down), F.lit(0)).alias("r"), F.min("ly0").over(up).alias("ly0"), F.max("ly1").over(up).alias("ly1"), F.min("ry0").over(down).alias("ry0"), F.max("ry1").over(down).alias("ry1"))
+    per_x = per_x.where("n IS NOT NULL").withColumns({"x": F.col("k") * step + low, "crossing": F.col("n") - F.col("l") - F.col("r")})
     overlap = F.least("ly1", "ry1") - F.greatest("ly0", "ry0")
     shorter = F.least(F.col("ly1") - F.col("ly0"), F.col("ry1") - F.col("ry0"))
     passing = per_x.where((F.col("l") >= 5) & (F.col("r") >= 5) & (F.col("crossing") <= F.greatest(F.lit(2.0), F.col("n") / 8)) & (overlap >= shorter / 2))
@@ -157,24 +170,33 @@ def stitched_tables(tables: DataFrame) -> DataFrame:
     return marked.withColumn("chain", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+LINE = [*PAGE, "line_no"]
+
+
 def style_runs(chars: DataFrame) -> DataFrame:
-    """Maximal runs of one style, with spaces where the gap is wide: doc_id, line_no, run_no, text, size, bold."""
-    order = Window.partitionBy("doc_id", "line_no").orderBy("char_no")
+    """Maximal runs of one style on a line, with spaces where the gap is wide: run_no, text, size, bold by line."""
+    order = Window.partitionBy(*LINE).orderBy("char_no")
     gap = F.col("x0") - F.lag("x1").over(order)
     shown = F.concat(F.when(gap > 0.22 * F.col("size"), " ").otherwise(""), "ch")
     fresh = F.coalesce((F.abs(F.col("size") - F.lag("size").over(order)) > 0.2) | (F.col("bold") != F.lag("bold").over(order)), F.lit(True)).cast("int")
     runs = chars.withColumns({"shown": shown, "fresh": fresh}).withColumn("run_no", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("char_no", "shown"))), lambda x: x["shown"]), "")
-    return runs.groupBy("doc_id", "line_no", "run_no").agg(text.alias("text"), F.min("size").alias("size"), F.min("bold").alias("bold"))
+    return runs.groupBy(*LINE, "run_no").agg(text.alias("text"), F.min("size").alias("size"), F.min("bold").alias("bold"))
 
 
 def stroked_chars(chars: DataFrame, strokes: DataFrame, bucket: float = 16.0) -> DataFrame:
-    """Characters with underline and strike flags from thin strokes near their baseline or middle."""
+    """Characters with underline and strike flags from thin strokes near their baseline or middle.
+
+    Strokes first meet the baselines of lines, then the characters of these lines.
+    """
     thin = strokes.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("sy") - 16) / bucket), F.floor((F.col("sy") + 16) / bucket))))
-    placed = chars.withColumn("bucket", F.floor(F.col("baseline") / bucket))
-    met = placed.join(thin.select("doc_id", "bucket", "sx0", "sx1", "sy", "thickness"), ["doc_id", "bucket"]).where("thickness <= greatest(2.5, 0.15 * size) AND x0 >= sx0 - 1 AND x1 <= sx1 + 1")
-    under = F.col("sy").between(F.col("baseline") - 1, F.col("baseline") + 0.3 * F.col("size"))
-    through = F.col("sy").between(F.col("baseline") - 0.45 * F.col("size"), F.col("baseline") - 0.15 * F.col("size"))
-    flags = met.groupBy("doc_id", "char_no").agg(F.bool_or(under).alias("underline"), F.bool_or(through).alias("strike"))
-    out = chars.join(flags, ["doc_id", "char_no"], "left")
-    return out.withColumns({"underline": F.coalesce("underline", F.lit(False)), "strike": F.coalesce("strike", F.lit(False))})
+    lines = chars.groupBy(*LINE, "baseline").agg(F.max("size").alias("tallest"))
+    near = lines.withColumn("bucket", F.floor(F.col("baseline") / bucket)).join(thin.select(*PAGE, "bucket", "sx0", "sx1", "sy", "thickness"), [*PAGE, "bucket"])
+    near = near.where(F.abs(F.col("sy") - F.col("baseline")) <= F.greatest(F.lit(1.0), 0.45 * F.col("tallest"))).select(*LINE, "baseline", "sx0", "sx1", "sy", "thickness")
+    per_line = near.groupBy(*LINE, "baseline").agg(F.collect_set(F.struct("sx0", "sx1", "sy", "thickness")).alias("strokes"))
+    out = chars.join(per_line, [*LINE, "baseline"], "left")
+    size, base = F.col("size"), F.col("baseline")
+    meets = lambda s: (s["thickness"] <= F.greatest(F.lit(2.5), 0.15 * size)) & (F.col("x0") >= s["sx0"] - 1) & (F.col("x1") <= s["sx1"] + 1)
+    under = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 1, base + 0.3 * size))
+    through = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 0.45 * size, base - 0.15 * size))
+    return out.withColumns({"underline": F.coalesce(under, F.lit(False)), "strike": F.coalesce(through, F.lit(False))}).drop("strokes")

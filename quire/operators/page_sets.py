@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import saved
+
 SIGNS = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
 
 
@@ -18,17 +20,20 @@ def sequential_numbers(docs: DataFrame, start: int = 1, digits: int = 6, prefix:
     """doc_id, page_index, number, mark of the chosen pages, numbered through all files.
 
     ``docs`` has doc_id, name, page_count, failed.  Failed files take no numbers.  The prefix
-    sums are two-level: sums of the names that share a beginning, then sums within these.
+    sums are two-level: files are range-partitioned by name, the partitions' sums (as many as there
+    are shuffle partitions) are added up, then each partition's own.
     """
     chosen = docs.where("NOT failed").withColumn("key", natural_key(F.col("name")))
     first = 0 if parity is None else parity
     n = F.col("page_count") if parity is None else F.expr(f"(page_count - {parity} + 1) div 2")
     counted = chosen.withColumn("n", n)
-    placed = counted.withColumn("bucket", F.substring("key", 1, 16))
-    sums = placed.groupBy("bucket").agg(F.sum("n").alias("total"))
-    before = sums.select("bucket", (F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
-    inner = F.sum("n").over(Window.partitionBy("bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    based = placed.join(before, "bucket").withColumn("base", F.col("before") + inner)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.select("doc_id", "page_count", "key", "n").repartitionByRange(parts, "key", "doc_id")
+    placed = saved(ranged.withColumn("part", F.spark_partition_id()), "numbered-files")
+    sums = placed.groupBy("part").agg(F.sum("n").alias("total"))
+    before = sums.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    based = placed.join(before, "part").withColumn("base", F.col("before") + inner)
     step = 1 if parity is None else 2
     pages = based.where("n > 0").select("doc_id", "page_count", "base", F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at", "k"))
     number = (F.col("base") + F.col("k") + start).cast("long")

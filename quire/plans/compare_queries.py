@@ -20,9 +20,9 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs that differ a little, and their words."""
+    """Pairs that differ a little, each of one document for all with its runs, and their words."""
     own = saved(keyed(spark, sf_dir), "words")
-    pairs = saved(C.revision_pairs(own).where("similarity < 0.9999"), "pairs")
+    pairs = saved(C.revision_pairs(C.run_sets(own)), "pairs")
     return pairs, saved(C.paired_words(pairs, own), "paired-words")
 
 
@@ -37,19 +37,20 @@ WORDS_SQL = f"""{LINES_SQL},
     flagged AS (SELECT *, coalesce(regexp_matches(word, '\\p{{L}}-$') AND regexp_matches(next, '^\\p{{Ll}}') AND next_k = 0, false) AS starts, coalesce(regexp_matches(before, '\\p{{L}}-$') AND regexp_matches(word, '^\\p{{Ll}}') AND k = 0, false) AS ends FROM near),
     words AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, line_no, k) - 1 AS INT) AS pos, CASE WHEN starts THEN word[:-2] || next ELSE word END AS word, page_index, line_no FROM flagged WHERE NOT ends)"""
 KEYED_SQL = f"{WORDS_SQL}, keyed AS (SELECT *, regexp_replace(lower(nfc_normalize(word)), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key FROM words)"
-PAIRS_SQL = f"""{KEYED_SQL},
+PAIRS_SQL = f"""{KEYED_SQL.replace("keyed AS (", "keyed AS MATERIALIZED (")},
     w3 AS (SELECT doc_id, key AS a, lead(key, 1) OVER o AS b, lead(key, 2) OVER o AS c FROM keyed WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
     grams AS (SELECT DISTINCT doc_id, a || chr(0) || b || chr(0) || c AS g FROM w3 WHERE c IS NOT NULL),
-    listed AS (SELECT doc_id, g FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM grams) WHERE n BETWEEN 2 AND 20),
-    sizes AS (SELECT doc_id, count(*) AS size FROM listed GROUP BY 1),
-    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM listed x JOIN listed y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-    pairs AS (SELECT a, b, shared, shared / (sa.size + sb.size - shared) AS similarity FROM shared JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b WHERE shared / (sa.size + sb.size - shared) >= 0.5)"""
+    sets AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, chr(1) ORDER BY g)) AS whole FROM grams GROUP BY 1),
+    classed AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM sets),
+    listed AS (SELECT g, grams.doc_id FROM grams JOIN classed c ON c.doc_id = grams.doc_id AND c.class_id = c.doc_id),
+    shared AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM listed x JOIN listed y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    pairs AS (SELECT a, b, shared, shared / (sa.size + sb.size - shared) AS similarity FROM shared JOIN classed sa ON sa.doc_id = a JOIN classed sb ON sb.doc_id = b WHERE shared / (sa.size + sb.size - shared) >= 0.5)"""
 ANCHORS_SQL = f"""{PAIRS_SQL},
-    revised AS (SELECT a, b FROM pairs WHERE similarity < 0.9999),
+    revised AS MATERIALIZED (SELECT a, b FROM pairs),
     sided AS (SELECT a, b, 0 AS side, a AS doc_id FROM revised UNION ALL SELECT a, b, 1, b FROM revised),
     paired AS (SELECT s.a, s.b, side, row_number() OVER (PARTITION BY s.a, s.b, side ORDER BY pos) - 1 AS i, key FROM sided s JOIN keyed k ON k.doc_id = s.doc_id WHERE key <> ''),
     p3 AS (SELECT a, b, side, i, key || chr(0) || lead(key, 1) OVER o || chr(0) || lead(key, 2) OVER o AS g FROM paired WINDOW o AS (PARTITION BY a, b, side ORDER BY i)),
-    once AS (SELECT a, b, side, g, min(i) AS i FROM p3 WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) = 1)"""
+    once AS MATERIALIZED (SELECT a, b, side, g, min(i) AS i FROM p3 WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) = 1)"""
 
 
 @query(f"WITH {WORDS_SQL} SELECT * FROM words")
@@ -112,4 +113,10 @@ def c12_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT a, b, shared, round(similarity, 6) AS similarity FROM pairs")
 def c13_pair_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.revision_pairs(keyed(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return C.revision_pairs(C.run_sets(keyed(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, class_id FROM classed")
+def c13_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document with a run: those with equal runs."""
+    return C.run_sets(keyed(spark, sf_dir)).select("doc_id", "class_id")

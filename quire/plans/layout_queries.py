@@ -117,29 +117,29 @@ def l7_stitched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def styled_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 characters of each document, six points wide; every 20 a change of style, every 7th a wide gap."""
-    docs = table(spark, sf_dir, "documents")
-    each = docs.select("doc_id", F.posexplode(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 60), "")).alias("char_no", "ch")).where("ch != ''")
-    x0 = (F.col("char_no") * 6 + F.floor(F.col("char_no") / 7) * 4).cast("double")
-    return each.select("doc_id", F.lit(0).alias("line_no"), "char_no", "ch", x0.alias("x0"), (x0 + 6).alias("x1"), F.when(F.floor(F.col("char_no") / 20) == 1, 12.0).otherwise(10.0).alias("size"), (F.floor(F.col("char_no") / 20) == 2).alias("bold"), (100 + F.col("doc_id") % 5).cast("double").alias("baseline"))
+    """Every character of every line, six points wide; every 20 a change of style, every 7th a wide gap."""
+    lines = positioned_lines(table(spark, sf_dir, "documents"))
+    each = lines.select("doc_id", "page_index", "line_no", (F.col("y1") - 2).alias("baseline"), F.posexplode(F.split("text", "")).alias("char_no", "ch")).where("ch != ''")
+    x0, k = (F.col("char_no") * 6 + F.floor(F.col("char_no") / 7) * 4).cast("double"), F.floor(F.col("char_no") / 20) % 3
+    return each.select("doc_id", "page_index", "line_no", "char_no", "ch", x0.alias("x0"), (x0 + 6).alias("x1"), F.when(k == 1, 12.0).otherwise(10.0).alias("size"), (k == 2).alias("bold"), "baseline")
 
 
-CHARS_SQL = """
-    c AS (SELECT doc_id, unnest(range(0, least(length(coalesce(text, '')), 60))) AS char_no, substr(coalesce(text, ''), 1, 60) AS t FROM documents),
-    chars AS (SELECT doc_id, char_no, substr(t, char_no + 1, 1) AS ch, char_no // 20 AS k, char_no * 6 + char_no // 7 * 4 AS x0, 100 + doc_id % 5 AS baseline FROM c)"""
+CHARS_SQL = f"""{LINES_SQL},
+    c AS (SELECT doc_id, page_index, line_no, text AS t, unnest(range(0, length(text))) AS char_no FROM lines),
+    chars AS (SELECT doc_id, page_index, line_no, char_no, substr(t, char_no + 1, 1) AS ch, char_no // 20 AS k, char_no * 6 + char_no // 7 * 4 AS x0 FROM c)"""
 
 
 @query(f"""WITH {CHARS_SQL}
-    SELECT doc_id, 0 AS line_no, CAST(k + 1 AS BIGINT) AS run_no, string_agg(CASE WHEN char_no > 0 AND char_no % 7 = 0 THEN ' ' ELSE '' END || ch, '' ORDER BY char_no) AS text, CASE k WHEN 1 THEN 12.0 ELSE 10.0 END::DOUBLE AS size, k = 2 AS bold FROM chars GROUP BY doc_id, k""")
+    SELECT doc_id, page_index, line_no, CAST(k + 1 AS BIGINT) AS run_no, string_agg(CASE WHEN char_no > 0 AND char_no % 7 = 0 THEN ' ' ELSE '' END || ch, '' ORDER BY char_no) AS text, CASE k % 3 WHEN 1 THEN 12.0 ELSE 10.0 END::DOUBLE AS size, k % 3 = 2 AS bold FROM chars GROUP BY doc_id, page_index, line_no, k""")
 def l9_style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.style_runs(styled_chars(spark, sf_dir))
 
 
 @query(f"""WITH {CHARS_SQL}
-    SELECT doc_id, CAST(char_no AS INT) AS char_no, x0 >= 29 AND x0 + 6 <= 201 AND doc_id % 3 = 0 AS underline, x0 >= 29 AND x0 + 6 <= 201 AND doc_id % 3 = 1 AS strike FROM chars""")
+    SELECT doc_id, page_index, line_no, CAST(char_no AS INT) AS char_no, x0 >= 29 AND x0 + 6 <= 201 AND doc_id % 3 = 0 AS underline, x0 >= 29 AND x0 + 6 <= 201 AND doc_id % 3 = 1 AS strike FROM chars""")
 def l10_underline_strike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stroke a document: under its line, through it, or too thick to count."""
+    """One stroke a line: under it, through it, or too thick to count."""
     key = F.col("doc_id")
-    sy = 100 + key % 5 + F.when(key % 3 == 0, 1.5).when(key % 3 == 1, -3.0).otherwise(1.5)
-    strokes = table(spark, sf_dir, "documents").select("doc_id", F.lit(30.0).alias("sx0"), F.lit(200.0).alias("sx1"), sy.cast("double").alias("sy"), F.when(key % 3 == 2, 5.0).otherwise(1.0).alias("thickness"))
-    return L.stroked_chars(styled_chars(spark, sf_dir), strokes).select("doc_id", "char_no", "underline", "strike")
+    sy = F.col("y1") - 2 + F.when(key % 3 == 0, 1.5).when(key % 3 == 1, -3.0).otherwise(1.5)
+    strokes = positioned_lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", F.lit(30.0).alias("sx0"), F.lit(200.0).alias("sx1"), sy.alias("sy"), F.when(key % 3 == 2, 5.0).otherwise(1.0).alias("thickness"))
+    return L.stroked_chars(styled_chars(spark, sf_dir), strokes).select("doc_id", "page_index", "line_no", "char_no", "underline", "strike")

@@ -44,10 +44,10 @@ def o2_heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.heading_levels(rows)
 
 
-@query(f"""WITH {HEADINGS_SQL}, places AS (SELECT l_orderkey % 140 AS doc_id, l_orderkey * 10 + l_linenumber AS place_no, CAST(l_partkey % 7 AS INT) AS page_index, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y FROM lineitem WHERE l_quantity > 40)
+@query(f"""WITH {HEADINGS_SQL}, places AS (SELECT l_orderkey % 140 AS doc_id, l_orderkey * 10 + l_linenumber AS place_no, CAST(l_partkey % 7 AS INT) AS page_index, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y FROM lineitem)
     SELECT doc_id, place_no, (SELECT max(seq) FROM headings h WHERE h.doc_id = p.doc_id AND (h.page_index < p.page_index OR (h.page_index = p.page_index AND h.y <= p.y + 6))) AS section FROM places p""")
 def o3_section_of_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select((F.col("l_orderkey") % 140).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place_no"), (F.col("l_partkey") % 7).cast("int").alias("page_index"), (F.col("l_suppkey") * 7 % 700).cast("double").alias("y"))
+    places = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 140).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place_no"), (F.col("l_partkey") % 7).cast("int").alias("page_index"), (F.col("l_suppkey") * 7 % 700).cast("double").alias("y"))
     return O.sections_of(places, headings(spark, sf_dir).withColumnRenamed("seq", "node_no"))
 
 

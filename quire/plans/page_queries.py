@@ -86,19 +86,22 @@ def d6_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')[1:40]) AS word, unnest(range(0, len(string_split(coalesce(text, ''), ' ')[1:40]))) AS pos FROM documents),
-    words AS (SELECT doc_id, pos, word, 72 + pos % 8 * 50 AS x0, 100 + pos // 8 * 14 AS y0 FROM w),
-    links AS (SELECT doc_id, 70 + doc_id % 3 * 50 AS x0, 98 + doc_id % 4 * 14 AS y0, 70 + doc_id % 3 * 50 + 110 AS x1, 98 + doc_id % 4 * 14 + 15 AS y1, CASE WHEN doc_id % 2 = 0 THEN 'mailto:a' || doc_id || '@example.org' ELSE 'section.' || doc_id END AS target FROM documents)
-    SELECT l.doc_id, 0 AS page_index, 0 AS link_no, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS text, CASE WHEN l.doc_id % 2 = 0 THEN 'external' ELSE 'internal' END AS kind, replace(target, 'mailto:', '') AS target
-    FROM links l LEFT JOIN words w ON w.doc_id = l.doc_id AND w.x0 + 24 BETWEEN l.x0 AND l.x1 AND w.y0 + 5.5 BETWEEN l.y0 AND l.y1 GROUP BY l.doc_id, target""")
+    WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS word, unnest(range(0, len(string_split(coalesce(text, ''), ' ')))) AS pos FROM documents),
+    words AS (SELECT doc_id, CAST(pos // 320 AS INT) AS page_index, pos, word, 72 + pos % 8 * 50 AS x0, 100 + pos % 320 // 8 * 14 AS y0 FROM w),
+    links AS (SELECT doc_id, CAST(unnest(range(0, (len(string_split(coalesce(text, ''), ' ')) - 1) // 320 + 1)) AS INT) AS page_index FROM documents),
+    boxes AS (SELECT *, 70 + doc_id % 3 * 50 AS x0, 98 + (doc_id + page_index) % 4 * 14 AS y0, 70 + doc_id % 3 * 50 + 110 AS x1, 98 + (doc_id + page_index) % 4 * 14 + 15 AS y1, CASE WHEN doc_id % 2 = 0 THEN 'mailto:a' || doc_id || '@example.org' ELSE 'section.' || doc_id END AS target FROM links)
+    SELECT l.doc_id, l.page_index, 0 AS link_no, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS text, CASE WHEN l.doc_id % 2 = 0 THEN 'external' ELSE 'internal' END AS kind, replace(target, 'mailto:', '') AS target
+    FROM boxes l LEFT JOIN words w ON w.doc_id = l.doc_id AND w.page_index = l.page_index AND w.x0 + 24 BETWEEN l.x0 AND l.x1 AND w.y0 + 5.5 BETWEEN l.y0 AND l.y1 GROUP BY l.doc_id, l.page_index, target""")
 def d7_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    each = docs.select("doc_id", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 40)).alias("pos", "word"))
-    x, y = 72 + F.col("pos") % 8 * 50, 100 + F.floor(F.col("pos") / 8) * 14
-    words = each.select("doc_id", F.lit(0).alias("page_index"), "pos", "word", x.alias("wx0"), (x + 48).alias("wx1"), y.alias("wy0"), (y + 11).alias("wy1"))
-    lx, ly = 70 + F.col("doc_id") % 3 * 50, 98 + F.col("doc_id") % 4 * 14
+    """All words of each text, 8 to a row and 40 rows to a page, and a link on every page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
+    each = docs.select("doc_id", F.posexplode("w").alias("pos", "word"))
+    x, y = 72 + F.col("pos") % 8 * 50, 100 + F.floor(F.col("pos") % 320 / 8) * 14
+    words = each.select("doc_id", F.expr("cast(pos div 320 as int)").alias("page_index"), "pos", "word", x.alias("wx0"), (x + 48).alias("wx1"), y.alias("wy0"), (y + 11).alias("wy1"))
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast((size(w) - 1) div 320 as int)"))).alias("page_index"))
+    lx, ly = 70 + F.col("doc_id") % 3 * 50, 98 + (F.col("doc_id") + F.col("page_index")) % 4 * 14
     target = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("mailto:a"), F.col("doc_id").cast("string"), F.lit("@example.org"))).otherwise(F.concat(F.lit("section."), F.col("doc_id").cast("string")))
-    links = docs.select("doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("link_no"), lx.alias("x0"), ly.alias("y0"), (lx + 110).alias("x1"), (ly + 15).alias("y1"), target.alias("target"))
+    links = pages.select("doc_id", "page_index", F.lit(0).alias("link_no"), lx.alias("x0"), ly.alias("y0"), (lx + 110).alias("x1"), (ly + 15).alias("y1"), target.alias("target"))
     return D.link_rows(links, words)
 
 
