@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quire.sources.shared import saved
 
 GRAM, NEAR, MOST_EDITS, REPORT_WORDS, HOLD_GAP = 3, 2, 1000, 30, 60.0
+#: Words that are the same in both in a row make a move from ``MOVED_RUN`` on; matches in runs below ``STRAY_RUN`` may give way to one.
+MOVED_RUN, STRAY_RUN = 10, 5
+#: Rarest words of a gap occur so often at most, and changes slide so many words at most.
+RAREST, SLIDE = 8, 40
 SIDE = ["pair_id", "side"]
 
 
@@ -88,14 +92,20 @@ def revision_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def paired_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pair_id, side (0 original, 1 revised), i (place among compared words), pos, key, word."""
+    """pair_id, side (0 original, 1 revised), i (place among compared words), pos, key, word, starts (whether a line starts there)."""
     numbered = pairs.select(F.struct("a", "b").alias("pair_id"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("doc_id")))).alias("s"))
     placed = numbered.select("pair_id", "s.side", "s.doc_id").join(words.where("key != ''"), "doc_id")
-    return placed.withColumn("i", F.row_number().over(Window.partitionBy(*SIDE).orderBy("pos")) - 1).select("pair_id", "side", "i", "pos", "key", "word")
+    order = Window.partitionBy(*SIDE).orderBy("pos")
+    line = F.struct("page_index", "line_no")
+    starts = F.coalesce(F.lag(line).over(order) != line, F.lit(True))
+    return placed.withColumns({"i": F.row_number().over(order) - 1, "starts": starts}).select("pair_id", "side", "i", "pos", "key", "word", "starts")
 
 
 def anchors(paired: DataFrame) -> DataFrame:
-    """pair_id, i, j where a run of three words occurs once on each side."""
+    """pair_id, i, j where a run of three words occurs once on each side.
+
+    Gaps between these have anchors of their own (``gap_anchors``), and so have pairs without any.
+    """
     order = Window.partitionBy(*SIDE).orderBy("i")
     grams = paired.withColumns({"w2": F.lead("key", 1).over(order), "w3": F.lead("key", 2).over(order)}).where("w3 IS NOT NULL").select("pair_id", "side", "i", F.xxhash64("key", "w2", "w3").alias("g"))
     once = grams.groupBy("pair_id", "side", "g").agg(F.count("*").alias("n"), F.min("i").alias("i")).where("n = 1")
@@ -196,11 +206,64 @@ def _banded(x: np.ndarray, y: np.ndarray, most_edits: int) -> list[tuple[int, in
     return out
 
 
+def gap_anchors(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Places in two rows of word numbers below ``size`` that stand for each other, rising on both sides.
+
+    Runs of three words that are once in each; if there are none, words that are equally often
+    in each, the rarest such, the n-th with the n-th.
+    """
+    for length, rarest in ((GRAM, 1), (1, RAREST)):
+        if min(len(a), len(b)) < length:
+            continue
+        sides = []
+        for row in (a, b):
+            key = row[: len(row) - length + 1].astype(np.int64)
+            for k in range(1, length):
+                key = key * size + row[k : len(row) - length + 1 + k]
+            order = np.argsort(key, kind="stable")
+            found, first, count = np.unique(key[order], return_index=True, return_counts=True)
+            sides.append((found, first, count, order))
+        (ka, fa, ca, oa), (kb, fb, cb, ob) = sides
+        _, at_a, at_b = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        same = (ca[at_a] == cb[at_b]) & (ca[at_a] <= rarest)
+        at_a, at_b = at_a[same], at_b[same]
+        if len(at_a):
+            least = ca[at_a].min()
+            chosen = ca[at_a] == least
+            pairs = sorted((int(oa[fa[x] + k]), int(ob[fb[y] + k])) for x, y in zip(at_a[chosen], at_b[chosen], strict=True) for k in range(least))
+            return [pairs[k] for k in longest_rising([j for _, j in pairs])]
+    return []
+
+
+def gap_matches(a: list[str], b: list[str], most_edits: int = MOST_EDITS) -> list[tuple[int, int]]:
+    """Matched places of a gap: it is parted at anchors as long as there are any; what has none is aligned."""
+    code = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    x, y = np.array([code[w] for w in a], np.int64), np.array([code[w] for w in b], np.int64)
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        la, ha, lb, hb = todo.pop()
+        while la < ha and lb < hb and x[la] == y[lb]:
+            out.append((la, lb))
+            la, lb = la + 1, lb + 1
+        while la < ha and lb < hb and x[ha - 1] == y[hb - 1]:
+            ha, hb = ha - 1, hb - 1
+            out.append((ha, hb))
+        if la == ha or lb == hb:
+            continue
+        found = [(la + i, lb + j) for i, j in gap_anchors(x[la:ha], y[lb:hb], len(code))]
+        if not found:
+            out += [(la + i, lb + j) for i, j in aligned(a[la:ha], b[lb:hb], most_edits)]
+        out += found
+        for (i, j), (k, m) in zip([(la - 1, lb - 1), *found], [*found, (ha, hb)], strict=True) if found else ():
+            todo.append((i + 1, k, j + 1, m))
+    return sorted(out)
+
+
 def matches(paired: DataFrame, chained: DataFrame) -> DataFrame:
     """pair_id, i, j of all matched words: words between neighbouring anchors are aligned by themselves.
 
     A gap runs from one anchor to the next; gaps of one pair are separate groups, and only
-    those with words on both sides are looked into.
+    those with words on both sides are looked into (``gap_matches``).
     """
     starts = chained.select("pair_id", F.lit(0).alias("side"), "i", F.col("i").alias("at")).unionAll(chained.select("pair_id", F.lit(1).alias("side"), F.col("j").alias("i"), F.col("i").alias("at")))
     order = Window.partitionBy(*SIDE).orderBy("i")
@@ -211,7 +274,7 @@ def matches(paired: DataFrame, chained: DataFrame) -> DataFrame:
     def align(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
         x, y = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        got = aligned(x["key"].tolist(), y["key"].tolist())
+        got = gap_matches(x["key"].tolist(), y["key"].tolist())
         i, j = x["i"].to_numpy(), y["i"].to_numpy()
         return pd.DataFrame({"a": rows["a"].iloc[0], "b": rows["b"].iloc[0], "i": [i[p] for p, _ in got], "j": [j[q] for _, q in got]}).astype("int64")
 
@@ -220,6 +283,112 @@ def matches(paired: DataFrame, chained: DataFrame) -> DataFrame:
     return chained.select("pair_id", "i", "j").unionByName(found.select(F.struct("a", "b").alias("pair_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")))
 
 
+def _in_rows(matched: DataFrame) -> DataFrame:
+    """Matches with run (number of the run of neighbours on both sides) and n (its length)."""
+    order = Window.partitionBy("pair_id").orderBy("i")
+    goes_on = (F.col("i") - F.lag("i").over(order) == 1) & (F.col("j") - F.lag("j").over(order) == 1)
+    numbered = matched.withColumn("run", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.withColumn("n", F.count("*").over(Window.partitionBy("pair_id", "run")))
+
+
+def _both_sides(matched: DataFrame) -> DataFrame:
+    return matched.select("pair_id", F.lit(0).alias("side"), "i").unionAll(matched.select("pair_id", F.lit(1).alias("side"), F.col("j").alias("i")))
+
+
+def moves(paired: DataFrame, matched: DataFrame, moved_run: int = MOVED_RUN, stray_run: int = STRAY_RUN) -> DataFrame:
+    """pair_id, i, j, run of words that are unchanged but in another place.
+
+    What the matches leave, and the matches in short runs, is compared again by itself; runs of
+    at least ``moved_run`` words in a row on both sides moved, unless all were matched there.
+    """
+    runs = _in_rows(matched)
+    strays = runs.where(F.col("n") < stray_run).select("pair_id", "i", "j")
+    rest = paired.join(_both_sides(runs.where(F.col("n") >= stray_run)), ["pair_id", "side", "i"], "left_anti")
+    rest = saved(rest.withColumnRenamed("i", "at").withColumn("i", F.row_number().over(Window.partitionBy(*SIDE).orderBy("at")) - 1), "unmatched")
+    again = matches(rest.drop("at"), chain(anchors(rest)))
+    place = lambda side, name, at: rest.where(F.col("side") == side).select("pair_id", F.col("i").alias(name), F.col("at").alias(at))
+    placed = again.join(place(0, "i", "oi"), ["pair_id", "i"]).join(place(1, "j", "oj"), ["pair_id", "j"]).select("pair_id", F.col("oi").alias("i"), F.col("oj").alias("j"))
+    long = _in_rows(placed).where(F.col("n") >= moved_run)
+    known = long.join(strays.withColumn("known", F.lit(1)), ["pair_id", "i", "j"], "left")
+    return known.withColumn("in_place", F.count("known").over(Window.partitionBy("pair_id", "run"))).where("in_place < n").select("pair_id", "i", "j", "run")
+
+
+def move_ranges(moved: DataFrame) -> DataFrame:
+    """pair_id, move_no, o_lo, o_hi, r_lo, r_hi (half-open) of the moves, in the order of the revision."""
+    spans = moved.groupBy("pair_id", "run").agg(F.min("i").alias("o_lo"), (F.max("i") + 1).alias("o_hi"), F.min("j").alias("r_lo"), (F.max("j") + 1).alias("r_hi")).drop("run")
+    return spans.withColumn("move_no", F.row_number().over(Window.partitionBy("pair_id").orderBy("r_lo", "o_lo")))
+
+
+def changes_but_moves(paired: DataFrame, matched: DataFrame, moved: DataFrame) -> DataFrame:
+    """The changes of what didn't move, in places of ``paired``."""
+    gone = _both_sides(moved)
+    stay = paired.join(gone, ["pair_id", "side", "i"], "left_anti").select("pair_id", "side", F.col("i").alias("at"))
+    stay = saved(stay.withColumn("i", F.row_number().over(Window.partitionBy(*SIDE).orderBy("at")) - 1), "unmoved")
+    number = lambda side, name, new: stay.where(F.col("side") == side).select("pair_id", F.col("at").alias(name), F.col("i").alias(new))
+    kept = matched.join(number(0, "i", "ni"), ["pair_id", "i"]).join(number(1, "j", "nj"), ["pair_id", "j"]).select("pair_id", F.col("ni").alias("i"), F.col("nj").alias("j"))
+    found = changes(stay, kept)
+    for side, lo, hi in ((0, "o_lo", "o_hi"), (1, "r_lo", "r_hi")):
+        # a range begins at its first word, an empty one after the word before it
+        first = stay.where(F.col("side") == side).select("pair_id", F.col("i").cast("long").alias(lo), F.col("at").alias("first"))
+        last = stay.where(F.col("side") == side).select("pair_id", (F.col("i") + 1).cast("long").alias(hi), (F.col("at") + 1).alias("last"))
+        met = found.join(first, ["pair_id", lo], "left").join(last, ["pair_id", hi], "left")
+        end = F.coalesce("last", F.lit(0)).cast("long")
+        found = met.withColumns({lo: F.when(F.col(lo) == F.col(hi), end).otherwise(F.col("first").cast("long")), hi: end}).drop("first", "last")
+    return found.select("pair_id", "change_no", "o_lo", "o_hi", "r_lo", "r_hi")
+
+
+def slid_to_lines(found: DataFrame, paired: DataFrame) -> DataFrame:
+    """Changes on one side only, moved to start at a line's start where the words around allow it.
+
+    A run of added words that ends as the text before it does can as well begin earlier, and one
+    that begins as the text after it does can begin later; by ``SLIDE`` words at most, back first.
+    ``found`` may have room_before and room_after: words it may slide over.
+    """
+    one = found.withColumn("side", F.when(F.col("o_lo") == F.col("o_hi"), 1).when(F.col("r_lo") == F.col("r_hi"), 0))
+    lo, hi = F.when(F.col("side") == 0, F.col("o_lo")).otherwise(F.col("r_lo")), F.when(F.col("side") == 0, F.col("o_hi")).otherwise(F.col("r_hi"))
+    room = lambda name: (F.coalesce(name, F.lit(0)) if name in found.columns else F.lit(SLIDE)).alias(name)
+    some = one.where("side IS NOT NULL").select("pair_id", "change_no", "side", lo.alias("lo"), hi.alias("hi"), room("room_before"), room("room_after"))
+    steps = some.withColumn("s", F.explode(F.sequence(F.lit(-SLIDE), F.lit(SLIDE)))).where("abs(s) <= hi - lo AND s >= -room_before AND s <= room_after")
+    at = lambda name, *more: paired.select("pair_id", "side", F.col("i").cast("long").alias(name), *more)
+    near = steps.withColumns({"x": F.col("lo") + F.col("s"), "y": F.col("hi") + F.col("s")})
+    near = near.join(at("x", F.col("key").alias("kx"), "starts"), ["pair_id", "side", "x"], "left").join(at("y", F.col("key").alias("ky")), ["pair_id", "side", "y"], "left")
+    differ = ~F.coalesce(F.col("kx") == F.col("ky"), F.lit(False))
+    key = Window.partitionBy("pair_id", "change_no")
+    judged = near.withColumns({"back_end": F.max(F.when((F.col("s") < 0) & differ, F.col("s"))).over(key), "ahead_end": F.min(F.when((F.col("s") >= 0) & differ, F.col("s"))).over(key)})
+    begins = F.coalesce("starts", F.lit(False))
+    back = F.max(F.when((F.col("s") < 0) & begins & (F.col("s") > F.coalesce("back_end", F.lit(-SLIDE - 1))), F.col("s")))
+    ahead = F.min(F.when((F.col("s") > 0) & begins & (F.col("s") <= F.coalesce("ahead_end", F.lit(SLIDE))), F.col("s")))
+    now = F.max(F.when(F.col("s") == 0, begins))
+    shift = judged.groupBy("pair_id", "change_no").agg(F.when(now, 0).otherwise(F.coalesce(back, ahead, F.lit(0))).alias("shift"))
+    moved = found.join(shift, ["pair_id", "change_no"], "left").withColumn("shift", F.coalesce("shift", F.lit(0)).cast("long"))
+    return moved.select("pair_id", "change_no", *((F.col(c) + F.col("shift")).alias(c) for c in ("o_lo", "o_hi", "r_lo", "r_hi")), "shift")
+
+
+def slid_matches(paired: DataFrame, matched: DataFrame) -> DataFrame:
+    """Matches with every gap on one side only moved to start at a line's start, so that text that moved is cut alike on both sides.
+
+    The words that a gap slides over are matched at its other end instead; gaps that would slide
+    over the same words stay.
+    """
+    gaps = saved(changes(paired, matched, near=0), "gaps")
+    runs = _in_rows(matched).groupBy("pair_id", "run", "n").agg(F.max("i").alias("i"), F.min("i").alias("first"))
+    before = runs.select("pair_id", (F.col("i") + 1).cast("long").alias("o_lo"), F.col("n").alias("room_before"))
+    after = runs.select("pair_id", F.col("first").cast("long").alias("o_hi"), F.col("n").alias("room_after"))
+    slid = slid_to_lines(gaps.join(before, ["pair_id", "o_lo"], "left").join(after, ["pair_id", "o_hi"], "left"), paired)
+    moved = slid.where("shift != 0").join(gaps.withColumnsRenamed({c: c + "0" for c in ("o_lo", "o_hi", "r_lo", "r_hi")}), ["pair_id", "change_no"])
+    side = F.when(F.col("o_lo0") == F.col("o_hi0"), 1).otherwise(0)
+    lo, hi = F.when(side == 0, F.col("o_lo0")).otherwise(F.col("r_lo0")), F.when(side == 0, F.col("o_hi0")).otherwise(F.col("r_hi0"))
+    over = moved.select("pair_id", "change_no", side.alias("side"), "shift", (hi - lo).alias("size"), F.when(F.col("shift") < 0, lo + F.col("shift")).otherwise(hi).alias("first"))
+    words = over.select("pair_id", "change_no", "side", F.when(F.col("shift") < 0, F.col("size")).otherwise(-F.col("size")).alias("by"), F.explode(F.expr("sequence(first, first + abs(shift) - 1)")).alias("at"))
+    hit = [matched.select("pair_id", F.col("i").alias("oi"), F.col(c).cast("long").alias("at"), F.lit(n).alias("side")) for n, c in ((0, "i"), (1, "j"))]
+    claims = words.join(hit[0].unionAll(hit[1]), ["pair_id", "side", "at"])
+    claims = claims.withColumn("claimed", F.count("*").over(Window.partitionBy("pair_id", "oi")))
+    claims = claims.withColumn("clash", F.max("claimed").over(Window.partitionBy("pair_id", "change_no"))).where("clash = 1")
+    shifts = claims.select("pair_id", F.col("oi").alias("i"), F.when(F.col("side") == 0, F.col("by")).otherwise(0).alias("di"), F.when(F.col("side") == 1, F.col("by")).otherwise(0).alias("dj"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    return matched.join(shifts, ["pair_id", "i"], "left").select("pair_id", (F.col("i") + zero("di")).alias("i"), (F.col("j") + zero("dj")).alias("j"))
+
+
 def changes(paired: DataFrame, matched: DataFrame, near: int = NEAR) -> DataFrame:
     """pair_id, change_no, o_lo, o_hi, r_lo, r_hi (half-open); changes ``near`` matched words apart are one."""
     ends = paired.groupBy("pair_id").agg(F.count_if(F.col("side") == 0).cast("long").alias("i"), F.count_if(F.col("side") == 1).cast("long").alias("j"))
@@ -275,3 +444,27 @@ def change_report(found: DataFrame, paired: DataFrame, most: int = REPORT_WORDS)
     out = found.join(side_text(0, "o_lo", "o_hi", "removed"), key, "left").join(side_text(1, "r_lo", "r_hi", "added"), key, "left")
     kind = F.when(F.col("o_hi") == F.col("o_lo"), "added").when(F.col("r_hi") == F.col("r_lo"), "removed").otherwise("changed")
     return out.select(*key, kind.alias("kind"), F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("added", F.lit("")).alias("added"))
+
+
+def change_boxes(found: DataFrame, paired: DataFrame, boxes: DataFrame) -> DataFrame:
+    """pair_id, change_no, side, page_index, line_no, kind, x0, y0, x1, y1: a box for each line of a change's words, or a thin one where they are missing.
+
+    ``boxes`` has doc_id, pos, page_index, line_no, x0, y0, x1, y1 of words.  Missing words are
+    marked after the lowest and furthest right of the 30 words before, on the page of the last,
+    or before the first word.
+    """
+    placed = paired.select("pair_id", "side", F.col("i").cast("long").alias("i"), "pos", F.when(F.col("side") == 0, F.col("pair_id.a")).otherwise(F.col("pair_id.b")).alias("doc_id"))
+    own = saved(placed.join(boxes, ["doc_id", "pos"]).select("pair_id", "side", "i", "page_index", "line_no", "x0", "y0", "x1", "y1"), "word-boxes")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("o_lo").alias("lo"), F.col("o_hi").alias("hi")), F.struct(F.lit(1).alias("side"), F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"))))
+    spans = found.select("pair_id", "change_no", sides.alias("s")).select("pair_id", "change_no", "s.*")
+    key = ["pair_id", "change_no", "side"]
+    union = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    text = spans.where("hi > lo").withColumn("i", F.explode(F.expr("sequence(lo, hi - 1)"))).join(own, ["pair_id", "side", "i"])
+    text = text.groupBy(*key, "page_index", "line_no").agg(*union).withColumn("kind", F.lit("text"))
+    around = spans.where("hi = lo").withColumn("i", F.explode(F.expr("sequence(greatest(lo - 30, 0), if(lo = 0, 0, lo - 1))"))).join(own, ["pair_id", "side", "i"])
+    page = F.max_by("page_index", "i").over(Window.partitionBy(*key))
+    near = around.withColumn("page", page).where("page_index = page")
+    lowest = near.groupBy(*key, "lo").agg(F.max_by(F.struct("page_index", "line_no", "x0", "y0", "x1", "y1"), F.struct("y1", "x1")).alias("w"))
+    left = F.when(F.col("lo") > 0, F.col("w.x1") + 1).otherwise(F.col("w.x0") - 3)
+    gap = lowest.select(*key, "w.page_index", "w.line_no", left.alias("x0"), "w.y0", (left + 2).alias("x1"), "w.y1", F.lit("gap").alias("kind"))
+    return text.unionByName(gap)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import compare as C
 from quire.plans.base import query
-from quire.sources.corpus import LINES_SQL, positioned_lines, table
+from quire.sources.corpus import HEIGHT, LEFT, LINES_SQL, PITCH, TOP, positioned_lines, table
 from quire.sources.shared import saved
 
 
@@ -111,6 +111,43 @@ def c12_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.change_report(C.changes(paired, matched(paired)), paired).select("pair_id.a", "pair_id.b", "change_no", "kind", "removed", "added")
 
 
+@query()
+def c7_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, paired = revisions(spark, sf_dir)
+    same = saved(C.slid_matches(paired, matched(paired)), "slid-matches")
+    return C.move_ranges(C.moves(paired, same)).select("pair_id.a", "pair_id.b", "move_no", "o_lo", "o_hi", "r_lo", "r_hi")
+
+
+@query()
+def c7_changes_but_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, paired = revisions(spark, sf_dir)
+    same = saved(C.slid_matches(paired, matched(paired)), "slid-matches")
+    return C.changes_but_moves(paired, same, saved(C.moves(paired, same), "moves")).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi")
+
+
+@query()
+def c8_line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, paired = revisions(spark, sf_dir)
+    found = saved(C.changes(paired, matched(paired)), "changes")
+    return C.slid_to_lines(found, paired).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi", "shift")
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words six points a letter, a letter apart, from the left edge of their line."""
+    order = Window.partitionBy("doc_id", "page_index", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = LEFT + 6 * (F.sum(F.char_length("word") + 1).over(order) - 1)
+    y = TOP + F.col("line_no") * PITCH
+    own = words(spark, sf_dir).withColumn("x1", end.cast("double"))
+    return own.select("doc_id", "pos", "page_index", "line_no", (F.col("x1") - 6 * F.char_length("word")).alias("x0"), y.cast("double").alias("y0"), "x1", (y + HEIGHT).cast("double").alias("y1"))
+
+
+@query()
+def c12_change_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, paired = revisions(spark, sf_dir)
+    found = saved(C.changes(paired, matched(paired)), "changes")
+    return C.change_boxes(found, paired, word_boxes(spark, sf_dir)).select("pair_id.a", "pair_id.b", "change_no", "side", "page_index", "line_no", "kind", "x0", "y0", "x1", "y1")
+
+
 @query(f"WITH {PAIRS_SQL} SELECT a, b, shared, round(similarity, 6) AS similarity FROM pairs")
 def c13_pair_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.revision_pairs(C.run_sets(keyed(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))

@@ -60,8 +60,44 @@ def test_redaction_leaves_no_finding(spark):
     masked = sensitive.redact(texts, sensitive.scan(texts))
     assert {r["doc_id"]: r["text"] for r in masked.collect()}[0] == "mail ██████ or ██████ now"
     assert {r["found"] for r in sensitive.leak_audit(masked).collect()} == {0}
-    titles = spark.createDataFrame([(0, "About A@B.CO today")], "doc_id long, title string")
-    assert sensitive.redact_titles(sensitive.scan(texts), titles).first()["title"] == "About [Redacted] today"
+    titles = spark.createDataFrame([(0, "About A@B.CO today"), (1, "a@b.co")], "doc_id long, title string")
+    found = sensitive.whole_words(sensitive.scan(texts), texts)
+    assert {r["title"] for r in sensitive.redact_titles(found, titles).collect()} == {"About [Redacted] today", "a@b.co"}
+
+
+def test_titles_lose_whole_words(spark):
+    pages = page(spark, "John Smithson, 123-45-6789")
+    found = spark.createDataFrame([(0, 0, 0, 10, "John Smith"), (0, 0, 15, 11, "123-45-6789")], "doc_id long, page_index int, start int, len int, matched string")
+    titles = spark.createDataFrame([(0, "Smithson, JOHN"), (0, "SSN 123-45-6789 on file"), (0, "Smith and Johnson")], "doc_id long, title string")
+    assert {r["title"] for r in sensitive.redact_titles(sensitive.whole_words(found, pages), titles).collect()} == {"[Redacted], [Redacted]", "SSN [Redacted] on file", "Smith and Johnson"}
+
+
+@pytest.mark.parametrize("preset", ["phone", "date"])
+def test_formats_of_phones_and_dates(spark, preset):
+    texts = {
+        "phone": ["+1 (555) 123-4567", "555-123-4567", "+44 20 7946 0958", "020 7946 0958", "+49 30 123456", "03-1234-5678"],
+        "date": ["12/31/2026", "31/12/2026", "31-12-2026", "2026-12-31", "25 Dec 2026", "25-December-2026", "01.02.2024", "15 Jan 24"],
+    }[preset]
+    assert {r["doc_id"] for r in sensitive.scan(page(spark, *texts)).where(f"preset = '{preset}'").collect()} == set(range(len(texts)))
+    assert sensitive.scan(page(spark, "25 marvel 2026", "word5551234567")).where("preset = 'date'").count() == 0
+
+
+def test_follow_up_questions(spark):
+    asked = ["What about its price?", "Why?", "Tell me more", "Does the manual say that the frame is red here", "Where is the third table of values", "What does the manual say about frames"]
+    turns = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(asked)], "conv_id long, turn long, role string, text string")
+    assert [r["is_follow_up"] for r in retrieval.folded_questions(turns).orderBy("turn").collect()] == [True, True, True, False, False, False]
+
+
+def test_definitions_score_above_mentions(spark):
+    questions = spark.createDataFrame([(1, "What is the control field?", [1.0, 0.0]), (2, "of", [0.0, 0.0])], "q_id long, text string, vec array<float>")
+    texts = ["The control  field\nindicates the kind.", "A control field, which", "controlling fields of", "none"]
+    passages = spark.createDataFrame([(k, t, [1.0, float(k)]) for k, t in enumerate(texts)] + [(9, None, [1.0])], "passage_id long, text string, vec array<float>")
+    got = {(r["q_id"], r["passage_id"]): r["lexical"] for r in retrieval.lexical_scores(questions, passages).collect()}
+    assert got == {(1, 0): 1.0, (1, 1): 0.6, (1, 2): 0.25}
+    near = {(r["q_id"], r["passage_id"]): round(r["similarity"], 3) for r in retrieval.vector_scores(questions, passages).collect()}
+    assert near[(1, 0)] == 1 and near[(1, 1)] == 0.707 and near[(1, 9)] == near[(2, 0)] == -1
+    best = [(r["passage_id"], r["rank"]) for r in retrieval.hybrid(questions, passages, 2, 1).where("q_id = 1").orderBy("rank").collect()]
+    assert best == [(0, 1), (1, 2)]
 
 
 def test_chunks(spark):
@@ -91,13 +127,81 @@ def test_running_lines_and_joins(spark):
 
 
 def revision(spark, a, b):
-    rows = [(d, k, w, w, 0, 0) for d, text in ((1, a), (2, b)) for k, w in enumerate(text.split())]
+    """Two texts; line ends count as white space and as line starts."""
+    rows = [(d, k, w, re.sub(r"[^\w]", "", w.lower()), 0, n) for d, text in ((1, a), (2, b)) for k, (n, w) in enumerate((n, w) for n, line in enumerate(text.split("\n")) for w in line.split())]
     words = spark.createDataFrame(rows, "doc_id long, pos int, word string, key string, page_index int, line_no int")
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     paired = compare.paired_words(pairs, words)
     return paired, compare.matches(paired, compare.chain(compare.anchors(paired)))
 
 
+def spoken(paired, side, lo, hi):
+    return " ".join(r["word"] for r in paired.where(f"side = {side} AND i >= {lo} AND i < {hi}").orderBy("i").collect())
+
+
+HEADING = "9.6.11.7 Antenna Selection Indices Feedback frame format\nThe frame is an Action frame of category HT, as defined below."
+TABLE = "Table 9-599 Noncompressed Beamforming frame Action field format\nOrder Information 1 Category 2 HT Action 3 MIMO Control"
+AFTER = "The Category field is defined in the Action field clause."
+
+
+def test_moved_text_is_no_change(spark):
+    paired, same = revision(spark, "\n".join([HEADING, TABLE, AFTER]), "\n".join([TABLE, HEADING, AFTER.replace("Category", "Kind")]))
+    moved = compare.moves(paired, same)
+    (move,) = compare.move_ranges(moved).collect()
+    text = spoken(paired, 0, move["o_lo"], move["o_hi"])
+    assert text in {HEADING.replace("\n", " "), TABLE.replace("\n", " ")} and spoken(paired, 1, move["r_lo"], move["r_hi"]) == text
+    (change,) = compare.changes_but_moves(paired, same, moved).collect()
+    assert (spoken(paired, 0, change["o_lo"], change["o_hi"]), spoken(paired, 1, change["r_lo"], change["r_hi"])) == ("Category", "Kind")
+
+
+def test_text_moved_far(spark):
+    clauses = [f"Clause {k}: the party number {k * 7} shall deliver item {k * 13} to the site named {k * 3} at once" for k in range(60)]
+    other = clauses[:40] + clauses[41:]
+    other.insert(5, clauses[40])
+    paired, same = revision(spark, "\n".join(clauses), "\n".join(other))
+    same = compare.slid_matches(paired, same)
+    assert same.join(paired.where("side = 0").select("i", F.col("key").alias("x")), "i").join(paired.where("side = 1").select(F.col("i").alias("j"), F.col("key").alias("y")), "j").where("x != y").count() == 0
+    moved = compare.moves(paired, same)
+    (move,) = compare.move_ranges(moved).collect()
+    assert spoken(paired, 1, move["r_lo"], move["r_hi"]) == clauses[40]
+    assert compare.changes_but_moves(paired, same, moved).count() == 0
+
+
+def test_a_few_words_in_common_are_no_move(spark):
+    head, tail = "alpha beta gamma delta epsilon one two three four five six seven", "zeta eta theta iota kappa"
+    paired, same = revision(spark, f"{head}\nthe clause of the contractor shall supply goods was here\n{tail}", f"a new clause of the contractor shall supply services\n{head}\n{tail}")
+    assert compare.moves(paired, same).count() == 0
+    assert [spoken(paired, 0, r["o_lo"], r["o_hi"]) for r in compare.changes(paired, same).orderBy("o_lo").collect()] == ["", "the clause of the contractor shall supply goods was here"]
+
+
+def test_added_text_begins_at_a_line(spark):
+    before, clause, after = "Clause 249: goods go to the site.", "Clause 250: tools go to the site.", "Clause 251: staff go home."
+    paired, same = revision(spark, f"{before}\n{after}", f"{before}\n{clause}\n{after}")
+    found = compare.changes(paired, same)
+    slid = compare.slid_to_lines(found, paired).collect()
+    assert [spoken(paired, 1, r["r_lo"], r["r_hi"]) for r in slid] == [clause]
+    late = found.selectExpr("pair_id", "change_no", "o_lo - 4 AS o_lo", "o_hi - 4 AS o_hi", "r_lo - 4 AS r_lo", "r_hi - 4 AS r_hi") if slid[0]["shift"] == 0 else found
+    assert [spoken(paired, 1, r["r_lo"], r["r_hi"]) for r in compare.slid_to_lines(late, paired).collect()] == [clause]
+
+
+def test_boxes_of_changes(spark):
+    paired, same = revision(spark, "one two three four five six seven\neight nine", "one two THIRD FOURTH FIFTH six seven\nnine")
+    boxes = spark.createDataFrame([(d, k, 0, int(k > 6), 10.0 * k, 20.0 * (k > 6), 10.0 * k + 8, 20.0 * (k > 6) + 11) for d in (1, 2) for k in range(9)], "doc_id long, pos int, page_index int, line_no int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["change_no"], r["side"]): (r["kind"], r["line_no"], r["x0"], r["x1"]) for r in compare.change_boxes(compare.changes(paired, same, near=0), paired, boxes).collect()}
+    assert got == {(1, 0): ("text", 0, 20.0, 48.0), (1, 1): ("text", 0, 20.0, 48.0), (2, 0): ("text", 1, 70.0, 78.0), (2, 1): ("gap", 0, 69.0, 71.0)}
+
+
+def test_gaps_have_anchors_of_their_own():
+    # no run of three is there twice: single words, then the rarest ones
+    assert compare.gap_matches("a x b y c".split(), "p a q b r c".split()) == [(0, 1), (2, 3), (4, 5)]
+    assert compare.gap_matches("k k u v k".split(), "k w k k".split()) == [(0, 0), (1, 2), (4, 3)]
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(25))] for _ in range(2))
+        got = compare.gap_matches(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
 def test_revisions(spark):
     text = " ".join(f"w{k} is here" for k in range(60))
     paired, same = revision(spark, text, text)
