@@ -22,7 +22,7 @@ document, the places of its terms; all that follows works on this table:
 Items are searched in blocks of ``ITEMS`` against all documents.  Defined results: items or
 documents without words (null, empty, blank) never match; rows without doc_id keep a null one;
 repeated rows are judged alike; an empty table gives an empty result; columns beside doc_id
-and text pass through ``drop_leaks``.
+and text pass through ``drop_leaks``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import text_hash
-from quire.llm.store import node_id, public_id, saved
+from quire.llm.store import few, node_id, public_id, saved, unused
 
 BLOCK, ITEMS = 32, 256
 SPARE, EXTRA, SEED = 64, 16, 11
@@ -337,5 +337,6 @@ def _search(docs: DataFrame, items: Items, schema: str) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    bad = leaks(docs, benchmark).select(F.col("id").alias("_dc_id")).distinct()
-    return docs.withColumn("_dc_id", node_id()).join(bad, "_dc_id", "left_anti").drop("_dc_id")
+    own = unused("node", docs)
+    bad = saved(leaks(docs, benchmark).select(F.col("id").alias(own)).distinct(), "leaking-documents")
+    return docs.withColumn(own, node_id()).join(few(bad), own, "left_anti").select(*docs.columns)

@@ -115,13 +115,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """``docs`` with text replaced by the lines that stay, plus _ld_lines and _ld_dropped (counts)."""
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, n_lines: str = "_ld_lines", n_dropped: str = "_ld_dropped") -> DataFrame:
+    """``docs`` with text replaced by the lines that stay, plus two counts, whose names must be free."""
     drops = dropped_lines(docs, min_chars, batches, fanout)
     per_doc = drops.groupBy("_ld_id", "_ld_tag").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_gone"))
     lines = F.split(whole_text(), "\n")
     joined = (
-        docs.withColumns({"_ld_id": row_id(), "_ld_tag": F.xxhash64(whole_text())})
+        docs.select(F.struct("*").alias("row"), "text", row_id().alias("_ld_id"), F.xxhash64(whole_text()).alias("_ld_tag"))
         .join(per_doc, ["_ld_id", "_ld_tag"], "left")
         .withColumn("_ld_gone", F.coalesce("_ld_gone", F.array().cast("array<int>")))
         .withColumns({"_ld_lines": F.size(lines).cast("long"), "_ld_dropped": F.size("_ld_gone").cast("long")})
@@ -132,4 +132,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
         lambda i: F.slice(lines, F.element_at("_ld_cuts", i) + 2, F.element_at("_ld_cuts", i + 1) - F.element_at("_ld_cuts", i) - 1),
     )
     kept = F.when(F.col("_ld_dropped") == 0, whole_text()).otherwise(F.array_join(F.flatten(between), "\n"))
-    return joined.withColumn("text", kept).drop("_ld_id", "_ld_tag", "_ld_gone", "_ld_cuts")
+    own = [kept.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*own, F.col("_ld_lines").alias(n_lines), F.col("_ld_dropped").alias(n_dropped))

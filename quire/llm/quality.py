@@ -10,7 +10,7 @@ keeps every text.
 Defined results: a null or blank text has no words and fails the base rules; labels without
 quality or document are left out; of a document's several labels the mean counts, from one
 half upward as good; repeated rows are judged alike; an empty table gives an empty result;
-columns beside doc_id and text pass through ``keep_good``.
+columns beside doc_id and text pass through ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -186,10 +186,11 @@ def base_counts(part: text_hash.Slice, found: text_hash.Words) -> dict[str, np.n
     return out
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the base counts, base_failed, probability and kept as columns ``_q_*``."""
+def judge(docs: DataFrame, model: Model, prefix: str = "_q_") -> DataFrame:
+    """``docs`` with the base counts, base_failed, probability and kept as more columns, whose names begin with ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KINDS * DIM weights
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    columns = [*names, "base_failed", "probability", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,15 +202,18 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
                 p = shared.value.probability(scores(shared.value, part, found))
                 new = [*(pa.array(counts[x].astype(np.int64)) for x in names), pa.array(failed), pa.array(p), pa.array(~failed & (p >= LEAST_PROBABILITY))]
                 rows = batch.slice(part.first, part.docs)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*batch.schema.names, *("_q_" + x for x in names), "_q_base_failed", "_q_probability", "_q_kept"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*batch.schema.names, *(prefix + x for x in columns)])
 
     schema = StructType(list(docs.schema.fields))
     for x in names:
-        schema = schema.add("_q_" + x, "long")
-    schema = schema.add("_q_base_failed", "boolean").add("_q_probability", "double").add("_q_kept", "boolean")
+        schema = schema.add(prefix + x, "long")
+    schema = schema.add(prefix + "base_failed", "boolean").add(prefix + "probability", "double").add(prefix + "kept", "boolean")
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the base rules and the model keep."""
-    return judge(docs, train(docs, labels)).where("_q_kept").select(*docs.columns)
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return judge(docs, train(docs, labels), prefix).where(F.col(prefix + "kept")).select(*docs.columns)

@@ -110,6 +110,10 @@ def test_line_dedup(docs, rows, empty):
         assert {"lang", "_x"} <= set(out.columns)
         assert Counter((r["doc_id"], r["_ld_lines"], r["_ld_dropped"], r["text"]) for r in out.collect()) == want
     assert line_dedup.dedup_lines(empty).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "lang AS _ld_id", "_x AS _LD_gone", "1 AS row")
+    out = line_dedup.dedup_lines(clashing, n_dropped="gone")
+    assert out.columns == [*clashing.columns, "_ld_lines", "gone"]
+    assert Counter((r["doc_id"], r["_ld_lines"], r["gone"], r["text"]) for r in out.collect()) == want
 
 
 PAGES = [
@@ -292,7 +296,10 @@ def test_decontamination(spark, empty):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect()}
     assert got == {(k, k) for k in range(30)} | {(500, 29), (None, 3)}
-    kept = {r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()}
+    named = docs.selectExpr("doc_id", "text", "1 AS _dc_id", "2 AS node", "3 AS ID")
+    out = decontaminate.drop_leaks(named, benchmark)
+    assert out.columns == named.columns
+    kept = {r["doc_id"] for r in out.collect()}
     assert kept == {d for d, _ in clean} | {501, 502}
     assert decontaminate.leaks(empty, benchmark).count() == 0
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
@@ -426,7 +433,9 @@ def test_quality(spark, docs, rows, empty):
     got = Counter((r["doc_id"], *(r["_q_" + x] for x in names)) for r in out.collect())
     assert got == Counter((d, *slow_counts(t or "")) for d, t, *_ in rows)
     assert all(not r["_q_kept"] for r in out.where("_q_base_failed").collect())
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    clashing = docs.withColumnsRenamed({"lang": "_q_kept", "_x": "_Q_n_words"})
+    assert quality.keep_good(clashing, labels).columns == clashing.columns
+    assert quality.keep_good(clashing, labels).count() == quality.keep_good(docs, labels).count()
     assert quality.judge(empty, model).count() == 0
     unlabelled = quality.train(extra, labels.limit(0))
     assert quality.judge(extra, unlabelled).where("NOT _q_kept AND NOT _q_base_failed").count() == 0
@@ -456,18 +465,36 @@ def test_word_hashes_follow_the_words():
     assert seen[0] == seen[2] and len(seen[0]) == 3 and seen[1] == seen[4] == [] and len(seen[3]) == 1 and seen[5][1] == seen[0][0]
 
 
-def test_pipeline_on_small_tables(spark, tmp_path, rows):
+def run_stages(spark, folder):
+    """The pipeline's last table; every stage but the last must keep the columns of the documents."""
     import corpus_pipeline
 
-    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t, *_ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(0, rows[12][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    columns = spark.read.parquet(f"{tmp_path}/documents.parquet").columns
-    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = frame.columns
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, frame, str(tmp_path))
+        out = stage(spark, frame, str(folder))
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == columns
-        out.write.parquet(f"{tmp_path}/stage{k}")
-        frame = spark.read.parquet(f"{tmp_path}/stage{k}")
+        out.write.parquet(f"{folder}/stage{k}")
+        frame = spark.read.parquet(f"{folder}/stage{k}")
+    return frame
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_on_small_tables(spark, tmp_path, rows):
+    spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 2) for d, t, *_ in rows], DOCUMENTS + ", n_dropped int, _q_kept int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, rows[12][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = run_stages(spark, tmp_path)
     assert hashlib.sha256(b"").hexdigest() not in {r["decoded_sha256"] for r in frame.collect()}
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", "too short"]])
+def test_pipeline_without_rows(spark, tmp_path, texts):
+    """Empty tables, and stages that keep nothing."""
+    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert run_stages(spark, tmp_path).count() == 0
