@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard_join, line_dedup, quality, sentence_pieces
-from quire.llm.store import saved
+from quire.llm.store import saved, unused
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that an earlier document has go; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
-    out = kept.where((F.col("_ld_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # a document with nothing left goes
+    n_lines, n_dropped = unused("n_lines", docs), unused("n_dropped", docs)
+    kept = line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped)
+    out = kept.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # a document with nothing left goes
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_ld_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
