@@ -42,8 +42,8 @@ RULES = [
 ]
 DAMPING, ROUNDS, SETTLED = 0.85, 100, 1e-4
 LEAST_DISTRUST = 0.5
-#: Rows of the link table for each partition of a round, and rounds between tables; every other table is looked at for how far the ranks moved.
-ROUND_ROWS, AT_ONCE = 500_000, 3
+#: Rows of the link table for each partition of a round, and rounds between looks at how far the ranks moved.
+ROUND_ROWS, LOOK = 500_000, 6
 
 
 def host_of(url: Column) -> Column:
@@ -90,8 +90,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     """host, trust, distrust: personalised PageRank on the edges and on the reversed edges.
 
     ``seeds`` has host, trusted and blocked (weights).  Hosts of the edges are all there, with 0
-    if nothing reaches them.  Ends once the ranks move by less than ``SETTLED`` in sum from one
-    table to the next.
+    if nothing reaches them.  Ends once the ranks move by less than ``SETTLED`` in sum.
     """
     sums = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     share = lambda name, total: (F.sum(name) / F.lit(float(total or 0) or 1.0)).alias(name)
@@ -103,20 +102,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     silent = ways.select(F.col("dst").alias("host"), none.alias("trusted"), none.alias("blocked"))
     start = saved(seeds.select("host", "trusted", "blocked").unionAll(silent).groupBy("host").agg(share("trusted", sums["t"]), share("blocked", sums["b"])), "seeds")
 
-    rank = last = start.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
+    rank = start.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     carried = lambda back, name: F.when(F.col("back") == back, F.col(name) * F.col("part")).otherwise(none).alias(name)
     for step in range(1, rounds + 1):
         sent = rank.join(ways, rank["host"] == ways["src"]).select(F.col("dst").alias("host"), carried(0, "trust"), carried(1, "distrust"))
-        rank = sent.unionAll(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).coalesce(parts)
-        if step % AT_ONCE and step < rounds:
-            continue
-        rank = saved(rank, "ranks")
-        if step % (2 * AT_ONCE) == 0:
+        new = sent.unionAll(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        last, rank = rank, saved(new.coalesce(parts), "ranks")
+        if step % LOOK == 0:
             old = last.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
             moved = rank.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("m")).first()["m"]
             if (moved or 0.0) < SETTLED:
                 break
-        last = rank
     sums = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     part = lambda name, total: (F.col(name) / F.lit(total or 1.0)).alias(name)
     return rank.select("host", part("trust", sums["t"]), part("distrust", sums["d"]))
