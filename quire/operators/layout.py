@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.groups import linked_groups
+from quire.sources.shared import saved
+
 EDGE_BAND, CLUSTER_GAP, LEAST_PAGES, LEAST_SHARE = 0.15, 1.8, 3, 0.4
 PAGE = ["doc_id", "page_index"]
 
@@ -200,3 +204,100 @@ def stroked_chars(chars: DataFrame, strokes: DataFrame, bucket: float = 16.0) ->
     under = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 1, base + 0.3 * size))
     through = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 0.45 * size, base - 0.15 * size))
     return out.withColumns({"underline": F.coalesce(under, F.lit(False)), "strike": F.coalesce(through, F.lit(False))}).drop("strokes")
+
+
+#: Ruled tables: strokes are this thin and long, touch within TOUCH, edges closer than EDGE are one; drawings have more columns or cells.
+THIN, LONG, BOX, TOUCH, SQUARE, EDGE = 3.5, 12.0, 15.0, 3.5, 32.0, 2.5
+MOST_COLUMNS, MOST_CELLS = 40, 4000
+
+
+def strokes_of(shapes: DataFrame) -> DataFrame:
+    """Strokes (doc_id, page_index, stroke, level, x0, y0, x1, y1) of shapes: thin ones themselves, the four sides of stroked boxes.
+
+    ``shapes`` has doc_id, page_index, shape_no, x0, y0, x1, y1, stroked.
+    """
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    side = lambda level, a, b, c, d: F.struct(F.lit(level).alias("level"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+    mid_x, mid_y = (x0 + x1) / 2, (y0 + y1) / 2
+    flat = F.when((height <= THIN) & (width >= LONG), F.array(side(True, x0, mid_y, x1, mid_y)))
+    sides = flat.when((width <= THIN) & (height >= LONG), F.array(side(False, mid_x, y0, mid_x, y1)))
+    sides = sides.when(F.col("stroked") & (width >= BOX) & (height >= BOX), F.array(side(True, x0, y0, x1, y0), side(True, x0, y1, x1, y1), side(False, x0, y0, x0, y1), side(False, x1, y0, x1, y1)))
+    each = shapes.where((width > 0) & (height > 0)).select(*PAGE, "shape_no", F.posexplode(sides).alias("k", "s"))
+    return each.select(*PAGE, F.xxhash64(*PAGE, "shape_no", "k").alias("stroke"), "s.*")
+
+
+def ruled_tables(shapes: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, page_index, table_no, row, col, text of tables drawn with lines.
+
+    Strokes that touch meet in squares of the page; groups of them with two levels and two
+    uprights at least make a grid.  Lines of text lie in the cell of their centre; a grid needs
+    two of them, and rows without text are left out.
+    """
+    strokes = saved(strokes_of(shapes), "strokes")
+    spread = lambda lo, hi, by: F.explode(F.sequence(F.floor((F.col(lo) - by) / SQUARE), F.floor((F.col(hi) + by) / SQUARE)))
+    wide = strokes.withColumn("bx", spread("x0", "x1", TOUCH)).withColumn("by", spread("y0", "y1", TOUCH))
+    exact = strokes.withColumn("bx", spread("x0", "x1", 0.0)).withColumn("by", spread("y0", "y1", 0.0))
+    a, b = wide.select(*PAGE, "bx", "by", F.col("stroke").alias("a"), F.struct("x0", "y0", "x1", "y1").alias("p")), exact.select(*PAGE, "bx", "by", F.col("stroke").alias("b"), F.struct("x0", "y0", "x1", "y1").alias("q"))
+    touch = (F.col("p.x0") - TOUCH <= F.col("q.x1")) & (F.col("p.x1") + TOUCH >= F.col("q.x0")) & (F.col("p.y0") - TOUCH <= F.col("q.y1")) & (F.col("p.y1") + TOUCH >= F.col("q.y0"))
+    pairs = a.join(b, [*PAGE, "bx", "by"]).where((F.col("a") != F.col("b")) & touch).select("a", "b").distinct()
+    grouped = strokes.join(linked_groups(pairs).withColumnsRenamed({"node": "stroke", "group": "grid"}), "stroke")
+
+    grid = [*PAGE, "grid"]
+    at = F.when(F.col("level"), F.col("y0")).otherwise(F.col("x0"))
+    placed = grouped.withColumn("at", at)
+    order = Window.partitionBy(*grid, "level").orderBy("at")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(order) > EDGE, F.lit(True)).cast("int")
+    edges = placed.withColumn("fresh", fresh).withColumn("edge", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).groupBy(*grid, "level", "edge").agg(F.avg("at").alias("at"), F.count("*").alias("n"))
+    sides = edges.groupBy(*grid).agg(F.sort_array(F.collect_list(F.when(F.col("level"), F.col("at")))).alias("ys"), F.sort_array(F.collect_list(F.when(~F.col("level"), F.col("at")))).alias("xs"), F.sum(F.when(F.col("level"), F.col("n"))).alias("levels"), F.sum(F.when(~F.col("level"), F.col("n"))).alias("uprights"))
+    rows, cols = F.size("ys") - 1, F.size("xs") - 1
+    grids = sides.where((F.col("levels") >= 2) & (F.col("uprights") >= 2) & (rows >= 1) & (cols >= 1) & (cols <= MOST_COLUMNS) & (rows * cols <= MOST_CELLS))
+    centre_x, centre_y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    cell = lambda edges, c: F.size(F.filter(edges, lambda e: e <= c)) - 1
+    inside = lines.join(grids, PAGE).withColumns({"row": cell(F.col("ys"), centre_y), "col": cell(F.col("xs"), centre_x)}).where((F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols))
+    counted = inside.withColumn("texts", F.count("*").over(Window.partitionBy(*grid))).where("texts >= 2")
+    cells = counted.groupBy(*grid, "row", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.min(F.struct("ys", "xs")).alias("top"))
+    first = Window.partitionBy(*grid)
+    named = cells.withColumn("corner", F.min(F.struct(F.col("top.ys")[0], F.col("top.xs")[0])).over(first))
+    return named.select(*PAGE, F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("corner", "grid")).alias("table_no"), F.dense_rank().over(Window.partitionBy(*grid).orderBy("row")).alias("row"), F.col("col").cast("int").alias("col"), "text")
+
+
+def upright_lines(lines: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Recognised lines turned about the page's centre by the slant of its middle line: x0, y0, x1, y1, angle.
+
+    ``lines`` has the corners ulx, uly, urx, ury, llx, lly, lrx, lry.  Lines of four characters
+    or more say how the page is turned, if there are any; below 0.0005 it is straight.
+    """
+    slant = F.atan2(F.col("ury") - F.col("uly"), F.col("urx") - F.col("ulx"))
+    long = F.char_length("text") >= 4
+    angles = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(long, slant))).alias("long"), F.sort_array(F.collect_list(slant)).alias("every"))
+    some = F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("every"))
+    middle = F.element_at(some, (F.floor(F.size(some) / 2) + 1).cast("int"))
+    turned = lines.join(angles.select(*PAGE, F.when(F.abs(middle) > 0.0005, middle).otherwise(0.0).alias("angle")), PAGE)
+    cx, cy, cos, sin = page_width / 2, page_height / 2, F.cos("angle"), F.sin("angle")
+    xs = [cos * (F.col(c + "x") - cx) + sin * (F.col(c + "y") - cy) + cx for c in ("ul", "ur", "ll", "lr")]
+    ys = [cos * (F.col(c + "y") - cy) - sin * (F.col(c + "x") - cx) + cy for c in ("ul", "ur", "ll", "lr")]
+    return turned.select(*PAGE, "line_no", "text", F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"), "angle")
+
+
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """Upright lines with block_no: a line goes on a block whose last line is close, half under it and about as wide."""
+
+    def grouped(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0", "line_no"], kind="stable")
+        last: list[tuple[float, float, float]] = []  # x0, x1, y1 of the last line of each block
+        number = []
+        for x0, y0, x1, y1 in zip(page["x0"], page["y0"], page["x1"], page["y1"], strict=True):
+            for k in range(len(last) - 1, -1, -1):
+                a, b, bottom = last[k]
+                narrow, wide = sorted((x1 - x0, b - a))
+                if abs(y0 - bottom) <= y1 - y0 and min(x1, b) - max(x0, a) >= 0.5 * narrow and narrow >= 0.6 * wide:
+                    last[k] = (x0, x1, y1)
+                    break
+            else:
+                k = len(last)
+                last.append((x0, x1, y1))
+            number.append(k)
+        return page.assign(block_no=number)
+
+    return lines.groupBy(*PAGE).applyInPandas(grouped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", block_no long")

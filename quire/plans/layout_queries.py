@@ -143,3 +143,37 @@ def l10_underline_strike(spark: SparkSession, sf_dir: str) -> DataFrame:
     sy = F.col("y1") - 2 + F.when(key % 3 == 0, 1.5).when(key % 3 == 1, -3.0).otherwise(1.5)
     strokes = positioned_lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", F.lit(30.0).alias("sx0"), F.lit(200.0).alias("sx1"), sy.alias("sy"), F.when(key % 3 == 2, 5.0).otherwise(1.0).alias("thickness"))
     return L.stroked_chars(styled_chars(spark, sf_dir), strokes).select("doc_id", "page_index", "line_no", "char_no", "underline", "strike")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS r, min(l_returnflag) AS a, min(l_linestatus) AS b FROM lineitem GROUP BY ALL),
+    n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY r) AS row FROM l)
+    SELECT doc_id, 0 AS page_index, 1 AS table_no, CAST(row AS INT) AS row, col, CASE col WHEN 0 THEN a ELSE b END AS text FROM n, (SELECT unnest([0, 1]) AS col)""")
+def l5_ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's page has a grid of eight rows and two columns; its lines' flags are in the cells of their rows."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("r")).agg(F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"))
+    y = (100 + F.col("r") * 20).cast("double")
+    each = rows.select("doc_id", F.lit(0).alias("page_index"), F.col("r").cast("int").alias("line_no"), F.explode(F.array(F.struct(F.lit(70.0).alias("x0"), F.col("a").alias("text")), F.struct(F.lit(170.0).alias("x0"), F.col("b").alias("text")))).alias("c"), (y + 4).alias("y0"), (y + 15).alias("y1"))
+    lines = each.select("doc_id", "page_index", "line_no", "c.x0", (F.col("c.x0") + 8).alias("x1"), "y0", "y1", "c.text")
+    docs = rows.select("doc_id").distinct()
+    levels = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select("doc_id", F.col("k").alias("shape_no"), F.lit(60.0).alias("x0"), (F.col("k") * 20 + 100).cast("double").alias("y0"), F.lit(260.0).alias("x1"), (F.col("k") * 20 + 101).cast("double").alias("y1"))
+    uprights = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("doc_id", (F.col("k") + 100).alias("shape_no"), (F.col("k") * 100 + 60).cast("double").alias("x0"), F.lit(100.0).alias("y0"), (F.col("k") * 100 + 61).cast("double").alias("x1"), F.lit(261.0).alias("y1"))
+    shapes = levels.unionByName(uprights).select("doc_id", F.lit(0).alias("page_index"), "shape_no", "x0", "y0", "x1", "y1", F.lit(False).alias("stroked"))
+    return L.ruled_tables(shapes, lines)
+
+
+def turned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as recognised on pages turned by up to two hundredths."""
+    lines = positioned_lines(table(spark, sf_dir, "documents"))
+    angle = (F.col("doc_id") % 5 - 2) / 100.0
+    corner = lambda x, y: (F.cos(angle) * (F.col(x) - 306) - F.sin(angle) * (F.col(y) - 396) + 306, F.sin(angle) * (F.col(x) - 306) + F.cos(angle) * (F.col(y) - 396) + 396)
+    corners = {}
+    for name, x, y in (("ul", "x0", "y0"), ("ur", "x1", "y0"), ("ll", "x0", "y1"), ("lr", "x1", "y1")):
+        corners[name + "x"], corners[name + "y"] = corner(x, y)
+    return lines.select("doc_id", "page_index", "line_no", "text", *(c.alias(n) for n, c in corners.items()))
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, page_index, line_no, 0 AS block_no, round(x0, 3) AS x0, round(y0, 3) AS y0, round((doc_id % 5 - 2) / 100.0, 6)::DOUBLE AS angle FROM lines""")
+def l8_upright_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upright = L.upright_lines(turned_lines(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+    return L.line_blocks(upright).select("doc_id", "page_index", "line_no", "block_no", F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), F.round("angle", 6).alias("angle"))
