@@ -402,6 +402,69 @@ def changes(paired: DataFrame, matched: DataFrame, near: int = NEAR) -> DataFram
     return numbered.groupBy("pair_id", "change_no").agg(F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi"), F.min("r_lo").alias("r_lo"), F.max("r_hi").alias("r_hi"))
 
 
+#: Words after a destination that vote for its counterpart, and votes that it takes.
+VOTING, VOTES = 8, 2
+
+
+def renumbered(paired: DataFrame, matched: DataFrame, links: DataFrame) -> DataFrame:
+    """``paired`` with links that go to the same place as one word each, and the numbers where they go as in the original.
+
+    ``links`` has pair_id, side, link_no, lo, hi (its words), target (a word) and name.  Two
+    links go to the same place if their destinations share a name, unless the words there say
+    otherwise and the links don't read alike, or if most of the words behind one destination, at
+    least ``VOTES``, are matched to words behind the other (``matched`` is the plain
+    comparison).  Numbers that differ between the texts of such links are made the original's on
+    the row they go to.  Adds place (in ``paired``).
+    """
+    links = saved(links, "links")
+    target = lambda side, name: links.where(f"side = {side} AND target IS NOT NULL").select("pair_id", F.col("target").cast("int").alias(name)).distinct()
+    behind = target(0, "ta").withColumn("i", F.explode(F.expr(f"sequence(ta, ta + {VOTING - 1})"))).join(matched.select("pair_id", F.col("i").cast("int").alias("i"), "j"), ["pair_id", "i"])
+    voted = behind.withColumn("tb", F.explode(F.expr(f"sequence(cast(j as int) - {VOTING - 1}, cast(j as int))"))).join(target(1, "tb"), ["pair_id", "tb"])
+    votes = saved(voted.groupBy("pair_id", "ta", "tb").agg(F.count("*").alias("n")), "votes")
+    best = votes.groupBy("pair_id", "ta").agg(F.max_by(F.struct("tb", "n"), F.struct("n", -F.col("tb"))).alias("b")).where(F.col("b.n") >= VOTES).select("pair_id", "ta", F.col("b.tb").alias("tb"), F.col("b.n").alias("n"))
+
+    inside = links.join(paired.select("pair_id", "side", "i", "key", "word"), ["pair_id", "side"]).where("i >= lo AND i < hi")
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda x: x[c])
+    read = saved(inside.groupBy("pair_id", "side", "link_no", "lo", "hi", "target", "name").agg(in_order("key").alias("keys"), F.array_join(in_order("word"), " ").alias("said")), "link-texts")
+
+    named = read.where("name IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("pair_id", "side", "name").orderBy("link_no")))
+    sides = [named.where(f"side = {k}").select("pair_id", "name", "n", F.col("keys").alias(f"keys{k}"), F.col("target").cast("int").alias(f"t{k}")) for k in (0, 1)]
+    both = sides[0].join(sides[1], ["pair_id", "name", "n"], "full")
+    alike = F.coalesce(F.col("keys0") == F.col("keys1"), F.lit(False))
+    per_name = both.groupBy("pair_id", "name").agg(F.bool_and(alike).alias("alike"), F.max("t0").alias("ta"), F.max("t1").alias("tb"), F.count("keys0").alias("n0"), F.count("keys1").alias("n1")).where("n0 > 0 AND n1 > 0")
+    own_votes = votes.select("pair_id", "ta", "tb", F.col("n").alias("own"))
+    judged = per_name.join(best.select("pair_id", "ta", F.col("tb").alias("other"), F.col("n").alias("most")), ["pair_id", "ta"], "left").join(own_votes, ["pair_id", "ta", "tb"], "left")
+    denied = F.coalesce((F.col("other") != F.col("tb")) & (F.col("most") > F.coalesce("own", F.lit(0))), F.lit(False)) & ~F.col("alike")
+    shared = judged.where(~denied).select("pair_id", "name", F.lit(True).alias("shared"))
+
+    first = best.groupBy("pair_id", "tb").agg(F.min("ta").alias("ta"))  # one counterpart on either side
+    of_target = first.select("pair_id", F.lit(0).alias("side"), F.col("ta").alias("target"), F.col("ta").alias("place")).unionAll(first.select("pair_id", F.lit(1).alias("side"), F.col("tb").alias("target"), F.col("ta").alias("place")))
+    keyed = read.join(shared, ["pair_id", "name"], "left").join(of_target, ["pair_id", "side", "target"], "left")
+    keyed = keyed.withColumn("link", F.when(F.col("shared"), F.concat(F.lit("\x01n:"), "name")).otherwise(F.concat(F.lit("\x01t:"), F.col("place").cast("string")))).where("link IS NOT NULL")
+    keyed = saved(keyed.select("pair_id", "side", "link_no", "lo", "hi", "target", "keys", "said", "link"), "link-keys")
+
+    # words that differ between links to one place, paired in order
+    listed = keyed.withColumn("n", F.row_number().over(Window.partitionBy("pair_id", "side", "link").orderBy("link_no")))
+    x, y = (listed.where(f"side = {k}").select("pair_id", "link", "n", F.col("keys").alias(f"k{k}"), F.col("target").cast("int").alias(f"t{k}")) for k in (0, 1))
+    met = x.join(y, ["pair_id", "link", "n"]).where("size(k0) = size(k1)")
+    swaps = met.select("pair_id", "link", F.explode(F.filter(F.arrays_zip("k0", "k1"), lambda z: z["k0"] != z["k1"])).alias("z")).select("pair_id", "link", F.col("z.k0").alias("ours"), F.col("z.k1").alias("theirs")).distinct()
+    went = met.where("n = 1 AND t0 IS NOT NULL AND t1 IS NOT NULL").select("pair_id", "link", "t0", "t1")
+    row = F.sum(F.col("starts").cast("int")).over(Window.partitionBy(*SIDE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rowed = paired.withColumn("row", row)
+    at = lambda side, i, *names: rowed.where(f"side = {side}").select("pair_id", F.col("i").cast("int").alias(i), F.col("key").alias(names[0]), F.col("row").alias(names[1]))
+    steps = went.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(VOTING - 1)))).withColumns({"i": F.col("t0") + F.col("s"), "j": F.col("t1") + F.col("s")})
+    steps = steps.join(at(0, "i", "ours", "row0"), ["pair_id", "i"]).join(at(1, "j", "theirs", "row1"), ["pair_id", "j"])
+    steps = steps.join(at(0, "t0", "_", "first0").drop("_"), ["pair_id", "t0"]).join(at(1, "t1", "_", "first1").drop("_"), ["pair_id", "t1"]).where("row0 = first0 AND row1 = first1")
+    renamed = steps.join(swaps, ["pair_id", "link", "ours", "theirs"]).groupBy("pair_id", "j").agg(F.min("ours").alias("new")).select("pair_id", F.lit(1).alias("side"), F.col("j").alias("i"), "new")
+
+    covered = keyed.select("pair_id", "side", F.explode(F.expr("sequence(cast(lo as int), cast(hi as int) - 1)")).alias("i")).distinct()
+    plain = paired.join(covered, ["pair_id", "side", "i"], "left_anti").join(renamed, ["pair_id", "side", "i"], "left").withColumn("key", F.coalesce("new", "key")).drop("new")
+    starts = paired.select("pair_id", "side", "i", "pos", "starts")
+    collapsed = keyed.select("pair_id", "side", F.col("lo").cast("int").alias("i"), F.col("link").alias("key"), F.col("said").alias("word")).join(starts, ["pair_id", "side", "i"])
+    out = plain.select("pair_id", "side", "i", "pos", "key", "word", "starts").unionByName(collapsed)
+    return out.withColumnRenamed("i", "place").withColumn("i", F.row_number().over(Window.partitionBy(*SIDE).orderBy("place")) - 1)
+
+
 def similarity(paired: DataFrame, matched: DataFrame) -> DataFrame:
     """Matched words as a share of the longer side; 1 if both are empty."""
     sizes = paired.groupBy("pair_id").agg(F.greatest(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).alias("longer"))

@@ -132,6 +132,18 @@ def c8_line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.slid_to_lines(found, paired).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi", "shift")
 
 
+@query()
+def c9_renumbered_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every fourth row are a link to the row after it; every second such has a name."""
+    _, paired = revisions(spark, sf_dir)
+    row = F.sum(F.col("starts").cast("int")).over(Window.partitionBy(*C.SIDE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = paired.withColumn("row", row).groupBy(*C.SIDE, "row").agg(F.min("i").alias("lo"), F.count("*").alias("n"))
+    after = F.lead("lo").over(Window.partitionBy(*C.SIDE).orderBy("row"))
+    links = rows.withColumn("target", after).where("row % 4 = 1 AND n >= 2").select(*C.SIDE, F.col("row").alias("link_no"), "lo", (F.col("lo") + 2).alias("hi"), "target", F.when(F.col("row") % 8 == 1, F.concat(F.lit("s"), F.col("row").cast("string"))).alias("name"))
+    own = saved(C.renumbered(paired, matched(paired), links), "renumbered")
+    return C.changes(own, matched(own)).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi")
+
+
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words six points a letter, a letter apart, from the left edge of their line."""
     order = Window.partitionBy("doc_id", "page_index", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
