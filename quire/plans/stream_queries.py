@@ -50,11 +50,13 @@ def t4_change_debouncing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS started, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1""")
+    SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS started, count(*) AS n
+    FROM (SELECT ts, unnest(regexp_extract_all('an ' || event_type || '-page by user ' || user_id || ', ' || event_type || ' page', '(?i)error[- ]+page')) AS m FROM events) GROUP BY 1""")
 def t5_monitor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events as matches, by the day."""
-    found = _events(spark, sf_dir).where("event_type = 'error'").select("ts")
-    return T.match_counts(found, "1 day", "1 day").select(F.unix_seconds("started").alias("started"), "n")
+    """Matches of a standing search in the pages that events bring, by the day."""
+    text = F.concat(F.lit("an "), F.col("event_type"), F.lit("-page by user "), F.col("user_id").cast("string"), F.lit(", "), F.col("event_type"), F.lit(" page"))
+    pages = _events(spark, sf_dir).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page_index"), "ts", text.alias("text"))
+    return T.match_counts(T.standing_search(pages, "error page"), "1 day", "1 day").select(F.unix_seconds("started").alias("started"), "n")
 
 
 @query()

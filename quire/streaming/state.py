@@ -6,12 +6,17 @@ result that the stream ends with.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators import search
+from quire.functions.matches import matches, search_pattern
+from quire.operators import sensitive
 
 KEPT_SEARCHES, STATE_LIMIT, STATE_KEPT, BURST = 10, 500, 300, "400 milliseconds"
+#: Parts of a kept table; a batch writes those that it touches.
+BUCKETS = 32
+CHUNKS = "doc_id long, page_index int, chunk_no int, text string, mtime int"
 
 
 def latest_states(updates: DataFrame) -> DataFrame:
@@ -19,20 +24,60 @@ def latest_states(updates: DataFrame) -> DataFrame:
     return updates.groupBy("key").agg(F.max_by("last_page", F.struct("updated_at", "last_page")).alias("last_page"), F.max("updated_at").alias("updated_at"))
 
 
-def merge_states(path: str):
-    """A foreachBatch function that merges a batch of updates into versions of a state table under ``path``."""
+def current(spark: SparkSession, path: str, key: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows of a table that ``merged`` keeps under ``path``: of each bucket its newest version (below ``before``)."""
+    kept = f"{schema}, bucket int, v int"
+    try:
+        rows = spark.read.schema(kept).parquet(path)
+    except AnalysisException:  # no batch has been written
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.where(F.col("v") < before)
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(newest), ["bucket", "v"]).where(F.col(key).isNotNull()).drop("bucket", "v")  # at most BUCKETS rows
+
+
+def merged(path: str, key: str, schema: str, combine, buckets: int = BUCKETS):
+    """A foreachBatch function that keeps a table under ``path``: ``combine(old rows, batch)`` gives the new rows.
+
+    Keys lie in buckets; a batch writes new versions of those that it touches and leaves the
+    others.  A batch that runs again reads the versions before it and replaces its own.  A row
+    without a key marks a bucket's version, so that it may be empty; such rows of a batch are left out.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        before, now = f"{path}/v{number - 1}", f"{path}/v{number}"
-        both = batch.select("key", "last_page", "updated_at")
         spark = batch.sparkSession
-        if number > 0:
-            both = both.unionByName(spark.read.schema(both.schema).parquet(before))
-        latest_states(both).write.mode("overwrite").parquet(now)
+        rows = batch.where(F.col(key).isNotNull()).persist()
+        touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS numbers
+        old = current(spark, path, key, schema, number).where(bucket.isin(touched))
+        new = combine(old, rows).withColumn("bucket", bucket)
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        new.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        rows.unpersist()
 
     return merge
 
 
+STATES = "key long, last_page long, updated_at timestamp"
+SEARCHES = "key long, query string, ts timestamp"
+
+
+def merge_states(path: str):
+    """A foreachBatch function that keeps the latest state of every key under ``path``."""
+    return merged(path, "key", STATES, lambda old, batch: latest_states(old.unionByName(batch.select(old.columns))))
+
+
+def merge_searches(path: str, kept: int = KEPT_SEARCHES):
+    """A foreachBatch function that keeps each key's newest searches under ``path``."""
+    return merged(path, "key", SEARCHES, lambda old, batch: recent_searches(old.unionByName(batch.select(old.columns)), kept).select(old.columns))
+
+
+def merge_and_prune(path: str, limit: int = STATE_LIMIT, kept: int = STATE_KEPT):
+    """As ``merge_states``, for a table that is pruned after every batch: it holds ``limit`` rows at most, so it is one bucket."""
+    return merged(path, "key", STATES, lambda old, batch: pruned_states(latest_states(old.unionByName(batch.select(old.columns))), limit, kept), buckets=1)
+
+
 def recent_searches(searches: DataFrame, kept: int = KEPT_SEARCHES) -> DataFrame:
     """T2, batch twin: the newest searches of each key, one for each spelling whatever its case, blanks left out."""
     asked = searches.where(F.btrim("query", F.lit(" \t\n")) != "")
@@ -57,30 +102,34 @@ def notifications(events: DataFrame, burst: str = BURST, late: str | None = None
 
 
 def standing_search(pages: DataFrame, query: str) -> DataFrame:
-    """T5: matches of arriving pages; stateless, so it serves streams and tables alike."""
-    return search.search(pages, query)
+    """T5: matches (doc_id, page_index, ts, start, len, matched) of arriving pages; stateless, so it serves streams and tables alike."""
+    pattern = search_pattern(query)
+    hit = pages.where(F.col("text").rlike(pattern)).select("doc_id", "page_index", "ts", F.explode(matches(F.col("text"), pattern)).alias("m"))
+    return hit.select("doc_id", "page_index", "ts", "m.*")
 
 
-def match_counts(matches: DataFrame, width: str, slide: str, late: str | None = None) -> DataFrame:
+def standing_findings(pages: DataFrame) -> DataFrame:
+    """T5: sensitive data in arriving pages, by all presets; stateless."""
+    return sensitive.scan(pages)
+
+
+def match_counts(found: DataFrame, width: str, slide: str, late: str | None = None) -> DataFrame:
     """T5: matches (with ts) by sliding windows."""
-    rows = matches.withWatermark("ts", late) if late else matches
+    rows = found.withWatermark("ts", late) if late else found
     return rows.groupBy(F.window("ts", width, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "n")
 
 
 def refresh_index(path: str, chunk):
-    """A foreachBatch function that replaces the chunks of documents whose mtime moved on."""
+    """A foreachBatch function that replaces the chunks of documents whose mtime moved on, under ``path``."""
 
-    def refresh(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def combine(old: DataFrame, batch: DataFrame) -> DataFrame:
         newest = batch.groupBy("doc_id").agg(F.max_by("text", "mtime").alias("text"), F.max("mtime").alias("mtime"))
-        made = chunk(newest).join(newest.select("doc_id", "mtime"), "doc_id")
-        if number > 0:
-            before = spark.read.schema(made.schema).parquet(f"{path}/v{number - 1}")
-            stale = newest.join(before.groupBy("doc_id").agg(F.max("mtime").alias("had")), "doc_id", "left").where("had IS NULL OR had < mtime").select("doc_id")
-            made = before.join(stale, "doc_id", "left_anti").unionByName(made.join(stale, "doc_id", "left_semi"))
-        made.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return refresh
+        had = old.groupBy("doc_id").agg(F.max("mtime").alias("had"))
+        stale = newest.join(had, "doc_id", "left").where("had IS NULL OR had < mtime").select("doc_id", "text", "mtime").persist()
+        made = chunk(stale.drop("mtime")).join(stale.select("doc_id", "mtime"), "doc_id")
+        return old.join(stale.select("doc_id"), "doc_id", "left_anti").unionByName(made.select(old.columns))
+
+    return merged(path, "doc_id", CHUNKS, combine)
 
 
 def index_after(batches: DataFrame, chunk) -> DataFrame:

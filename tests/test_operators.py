@@ -265,19 +265,161 @@ def test_references(spark):
     assert not any(d == 1 and i == "1.0.2" for d, i, *_ in got)
 
 
-def test_streams_end_as_their_batch_twins(spark, tmp_path):
-    schema = "key long, last_page long, updated_at timestamp"
-    source = f"{tmp_path}/in"
-    rows = [(k % 3, k, f"2024-01-01 00:00:{k:02d}") for k in range(12)]
-    for n in range(3):
-        spark.createDataFrame(rows[n * 4 : n * 4 + 4], "key long, last_page long, t string").selectExpr("key", "last_page", "cast(t AS timestamp) AS updated_at").write.parquet(f"{source}/b{n}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{source}/*")
-    query = stream.writeStream.foreachBatch(state.merge_states(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/ck").start()
+def test_headings_against_mentions(spark):
+    cases = [("", True, " Payment Terms", False), ("", False, " Payment Terms", True), ("see ", True, " of the Agreement", False), ("", False, "5 Other", False), ("", False, ".1 Invoices", False), ("", False, " percent of the fee", False), ("", False, " Payment Terms ........ 12", False), ("(3) ", True, "", False)]
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, before string, labelled boolean, after string, bold boolean")
+    got = frame.select("k", references.heading_hit_score(F.col("before"), F.col("labelled"), F.col("after"), F.col("bold"), F.lit(False)).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in got] == [80, 75, None, None, None, 30, 35, 65]
+    bare = frame.limit(2).select(references.heading_hit_score(F.col("before"), F.lit(False), F.col("after"), F.lit(False), F.lit(True)).alias("s"))
+    assert {r["s"] for r in bare.collect()} == {None}
+
+
+def test_full_text_fallback(spark):
+    refs = references.extract(page(spark, "see Section 4.2 of the Master Agreement", "as in Section 4.2 of the Lost Deed", "Section 9.9 stands"))
+    texts = ["Section 4.2 Payment Terms", "as said in Section 4.2 before", "Section 4.25 Other", "4.2 Payment ..... 12"]
+    lines = spark.createDataFrame([(10, 0, k, 10.0 * k, t, False) for k, t in enumerate(texts)], "doc_id long, page_index int, line_no int, y0 double, text string, emphasised boolean")
+    names = spark.createDataFrame([(0, "Home", 1), (1, "Other", 1), (2, "Third", 1), (10, "The Master Agreement", 1)], "doc_id long, name string, group_id long")
+    got = references.heading_hits(refs, lines, names).collect()
+    assert [(r["doc_id"], r["node_no"], r["score"]) for r in got if r["score"] >= references.LEAST_SCORE] == [(0, 0, 100), (0, 3, 55)]
+    best = references.ranked(references.heading_hits(refs, lines, names)).where("rank = 1").collect()
+    assert [(r["doc_id"], r["node_no"], r["confident"]) for r in best] == [(0, 0, True)]
+
+
+def test_target_lines(spark):
+    texts = [("y = a * x + b", 292.0), ("(27-19)", 293.0), ("where y is the output, see (27-19).", 332.0), ("Table 1: the settings", 420.0), ("goes on here", 433.0), ("Setting Table 10", 300.0), ("[2] Author, a title", 600.0), ("[12] Other, a title", 620.0), ("Figure 2 shows it", 642.0), ("in Figure 2 it is", 470.0), ("2.4 Safety of pumps", 700.0)]
+    lines = spark.createDataFrame([(1, 0, k, y, y + 11, t) for k, (t, y) in enumerate(texts)], "doc_id long, page_index int, line_no int, y0 double, y1 double, text string")
+    asked = [("Equation (27-19)", None, 292.0), ("Table 1", None, 290.0), ("Figure 2", None, 480.0), ("[2]", None, 10.0), ("the text", "#ref012", 10.0), ("Safety", None, 650.0), ("no such", None, 20.0)]
+    links = spark.createDataFrame([(1, k, 0, y, label, uri) for k, (label, uri, y) in enumerate(asked)], "doc_id long, link_no int, page_index int, y double, label string, uri string")
+    got = {r["link_no"]: (r["line_no"], r["context"]) for r in references.target_lines(links, lines).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {0: 1, 1: 3, 2: 8, 3: 6, 4: 7, 5: 10}
+    assert got[1][1] == "Table 1: the settings goes on here"
+
+
+def test_tables_drawn_with_lines(spark):
+    shapes = [(100.0, y, 300.0, y + 1, False) for y in (200.0, 240.0, 280.0)] + [(x, 200.0, x + 1, 280.0, False) for x in (100.0, 200.0, 300.0)] + [(400.0, 500.0, 500.0, 560.0, True)]
+    frame = spark.createDataFrame([(1, 0, k, *s) for k, s in enumerate(shapes)], "doc_id long, page_index int, shape_no int, x0 double, y0 double, x1 double, y1 double, stroked boolean")
+    texts = [("Item A", 110.0, 210.0), ("$100", 210.0, 210.0), ("Item B", 110.0, 250.0), ("$200", 210.0, 250.0), ("alone", 420.0, 520.0), ("outside", 20.0, 20.0)]
+    lines = spark.createDataFrame([(1, 0, k, x, y, x + 40, y + 12, t) for k, (t, x, y) in enumerate(texts)], "doc_id long, page_index int, line_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert rows_of(layout.ruled_tables(frame, lines).select("table_no", "row", "col", "text")) == [(1, 1, 0, "Item A"), (1, 1, 1, "$100"), (1, 2, 0, "Item B"), (1, 2, 1, "$200")]
+
+
+def test_turned_pages_and_blocks(spark):
+    import math
+
+    upright = [("a heading", 50.0, 50.0, 560.0), ("left one", 50.0, 80.0, 290.0), ("right one", 320.0, 80.0, 560.0), ("left two", 50.0, 95.0, 290.0), ("right two", 320.0, 95.0, 560.0), ("far below", 50.0, 300.0, 290.0)]
+    turn = lambda x, y, a=0.03: (math.cos(a) * (x - 306) - math.sin(a) * (y - 396) + 306, math.sin(a) * (x - 306) + math.cos(a) * (y - 396) + 396)
+    rows = [(1, 0, k, t, *turn(x0, y), *turn(x1, y), *turn(x0, y + 12), *turn(x1, y + 12)) for k, (t, x0, y, x1) in enumerate(upright)]
+    rows += [(1, 0, 6, "up", 10.0, 400.0, 10.0, 300.0, 20.0, 400.0, 20.0, 300.0)]  # a short sideways label doesn't count
+    lines = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string, ulx double, uly double, urx double, ury double, llx double, lly double, lrx double, lry double")
+    got = {r["line_no"]: r for r in layout.line_blocks(layout.upright_lines(lines, 612, 792)).collect()}
+    assert all(abs(got[k]["x0"] - x0) < 1e-6 and abs(got[k]["y0"] - y) < 1e-6 for k, (_, x0, y, _) in enumerate(upright))
+    blocks = [got[k]["block_no"] for k in range(6)]
+    assert blocks[1] == blocks[3] != blocks[2] == blocks[4] and len({blocks[0], blocks[1], blocks[2], blocks[5]}) == 4
+
+
+ORIGINAL = ["Contents", "1 Scope 1", "2 Widgets 2", "Figure 2-1 Round widget 2", "1 Scope", "This standard covers the making of widgets for", "use in the field; see 2 for their shape.", "2 Widgets", "Widgets are round when made to this standard.", "Figure 2-1 Round widget"]
+REVISED = ["Contents", "1 Scope 1", "2 Gadgets 2", "3 Widgets 3", "Figure 3-1 Round widget 3", "1 Scope", "This standard covers the making of widgets for", "use in the field; see 3 for their shape.", "2 Gadgets", "Gadgets are square in every case we know of.", "3 Widgets", "Widgets are round when made to this standard.", "Figure 3-1 Round widget"]
+
+
+@pytest.mark.parametrize("names", [None, "kept", "numbers"])
+def test_renumbered_links_are_no_change(spark, names):
+    paired, plain = revision(spark, "\n".join(ORIGINAL), "\n".join(REVISED))
+    first = lambda lines, n: sum(len(x.split()) for x in lines[:n])
+    links = []
+
+    def link(side, lines, line, to, kept, number, words=None):
+        lo = first(lines, line) + (words or 0)
+        name = {None: None, "kept": kept, "numbers": number}[names]
+        links.append((side, len(links), lo, lo + (1 if words else len(lines[line].split())), first(lines, to), name))
+
+    for side, lines, k, w in ((0, ORIGINAL, 2, 7), (1, REVISED, 3, 10)):
+        link(side, lines, 1, w - 3 if side == 0 else w - 5, "H.scope", "section.1")
+        link(side, lines, k, w, "H.widgets", f"section.{k}")
+        link(side, lines, k + 1, w + 2, "F.round", f"figure.{k}")
+        link(side, lines, 6 if side == 0 else 7, w, "H.widgets", f"section.{k}", words=5)
+    link(1, REVISED, 2, 8, "H.gadgets", "section.2")
+    frame = spark.createDataFrame([(1, 2, *x) for x in links], "a long, b long, side int, link_no int, lo int, hi int, target int, name string").withColumn("pair_id", F.struct("a", "b"))
+    own = compare.renumbered(paired, plain, frame)
+    same = compare.matches(own, compare.chain(compare.anchors(own)))
+    found = compare.changes(own, same).orderBy("r_lo").collect()
+    assert [(spoken(own, 0, r["o_lo"], r["o_hi"]), spoken(own, 1, r["r_lo"], r["r_hi"])) for r in found] == [("", "2 Gadgets 2"), ("", "2 Gadgets Gadgets are square in every case we know of.")]
+
+
+def streamed(spark, folder, schema, rows, batch=4):
+    """A stream of ``rows`` that brings a file of ``batch`` rows at a time, and the same rows as a table."""
+    for n in range(0, len(rows), batch):
+        frame = spark.createDataFrame(rows[n : n + batch], schema.replace("timestamp", "string"))
+        for name in [f.split()[0] for f in schema.split(", ") if f.endswith("timestamp")]:
+            frame = frame.withColumn(name, F.to_timestamp(name))
+        frame.coalesce(1).write.parquet(f"{folder}/in/b{n:03d}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*"), spark.read.schema(schema).parquet(f"{folder}/in/*")
+
+
+def finish(stream, folder, sink):
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/ck")
+    query = (writer.foreachBatch(sink) if callable(sink) else writer.format("memory").queryName(sink).outputMode("append")).start()
     query.processAllAvailable()
     query.stop()
-    last = max(int(v[1:]) for v in os.listdir(f"{tmp_path}/out"))
-    want = state.latest_states(spark.read.schema(schema).parquet(f"{source}/*"))
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v{last}").collect())) == sorted(map(tuple, want.collect()))
+
+
+def rows_of(frame):
+    return sorted(map(tuple, frame.collect()))
+
+
+def at(k):
+    return f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}"
+
+
+def test_states_and_searches_end_as_their_batch_twins(spark, tmp_path):
+    stream, all_rows = streamed(spark, f"{tmp_path}/a", state.STATES, [(k % 5 or None, k, at(k)) for k in range(14)])
+    finish(stream, f"{tmp_path}/a", state.merge_states(f"{tmp_path}/a/out"))
+    got = state.current(spark, f"{tmp_path}/a/out", "key", state.STATES)
+    want = state.latest_states(all_rows.where("key IS NOT NULL"))
+    assert rows_of(got) == rows_of(want) and got.count() == 4
+    stream, all_rows = streamed(spark, f"{tmp_path}/p", state.STATES, [(k, k, at((7 * k) % 20)) for k in range(20)])
+    finish(stream, f"{tmp_path}/p", state.merge_and_prune(f"{tmp_path}/p/out", limit=6, kept=3))
+    left = rows_of(state.current(spark, f"{tmp_path}/p/out", "key", state.STATES))
+    assert 3 <= len(left) <= 6 and max(all_rows.collect(), key=lambda r: r["updated_at"])["key"] in [r[0] for r in left]
+    searches = [(k % 2, ("Pump", "pump", "valve", "  ", f"q{k}")[k % 5], at(k)) for k in range(40)]
+    stream, all_rows = streamed(spark, f"{tmp_path}/s", state.SEARCHES, searches, batch=9)
+    finish(stream, f"{tmp_path}/s", state.merge_searches(f"{tmp_path}/s/out", kept=4))
+    want = state.recent_searches(all_rows, kept=4)
+    assert rows_of(state.current(spark, f"{tmp_path}/s/out", "key", state.SEARCHES)) == rows_of(want.select("key", "query", "ts")) and want.where("key = 0").count() == 4
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    merge = state.merge_states(f"{tmp_path}/out")
+    batches = [spark.createDataFrame(rows, "key long, last_page long, t string").selectExpr("key", "last_page", "cast(t AS timestamp) AS updated_at") for rows in ([(1, 5, at(1)), (2, 6, at(1))], [(1, 7, at(2))])]
+    for number, frame in ((0, batches[0]), (1, batches[1]), (1, batches[1])):
+        merge(frame, number)
+    assert [r[:2] for r in rows_of(state.current(spark, f"{tmp_path}/out", "key", state.STATES))] == [(1, 7), (2, 6)]
+
+
+def test_bursts_and_standing_searches_as_streams(spark, tmp_path):
+    schema = "path long, ts timestamp, stamp long"
+    events = [(k % 3, at(5 * (k // 6) * 60 + k % 6), k) for k in range(30)]
+    stream, all_rows = streamed(spark, f"{tmp_path}/n", schema, [*events, (9, at(3000), 1), (9, at(3500), 2)], batch=6)
+    finish(state.notifications(stream, burst="30 seconds", late="1 second"), f"{tmp_path}/n", "bursts")
+    want = state.notifications(all_rows, burst="30 seconds").where("path != 9")
+    assert rows_of(spark.table("bursts").where("path != 9")) == rows_of(want) and want.count() == 15
+    pages = [(k, 0, at(k), "an error-page and an Error page" if k % 3 == 0 else "mail a@b.co" if k % 3 == 1 else None) for k in range(9)]
+    stream, all_rows = streamed(spark, f"{tmp_path}/f", "doc_id long, page_index int, ts timestamp, text string", pages)
+    finish(state.standing_search(stream, "error page"), f"{tmp_path}/f", "matches_found")
+    assert rows_of(spark.table("matches_found")) == rows_of(state.standing_search(all_rows, "error page")) and spark.table("matches_found").count() == 6
+    finish(state.standing_findings(stream), f"{tmp_path}/g", "findings")
+    assert rows_of(spark.table("findings")) == rows_of(state.standing_findings(all_rows)) and spark.table("findings").count() == 3
+
+
+def test_index_refresh_as_a_stream(spark, tmp_path):
+    from quire.sources.corpus import page_text
+
+    chunk = lambda d: retrieval.chunks(page_text(d))
+    text = lambda k, version: f"document {k} in version {version} has a line of text"
+    rows = [(k, text(k, 1), 1) for k in range(6)] + [(1, text(1, 2), 2), (2, "gone", 2), (3, text(3, 0), 0), (4, text(4, 1), 1)]
+    stream, all_rows = streamed(spark, str(tmp_path), "doc_id long, text string, mtime int", rows, batch=6)
+    finish(stream, str(tmp_path), state.refresh_index(f"{tmp_path}/out", chunk))
+    got = state.current(spark, f"{tmp_path}/out", "doc_id", state.CHUNKS)
+    assert rows_of(got) == rows_of(state.index_after(all_rows, chunk).select(got.columns)) and {r["doc_id"] for r in got.collect()} == {0, 1, 3, 4, 5}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
