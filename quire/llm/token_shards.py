@@ -28,6 +28,8 @@ from quire.llm.sentence_pieces import SPACE
 from quire.llm.store import fresh_path
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 1024, 20240607, 4
+#: Shards in a file.
+PER_FILE = 32
 _coders: dict = {}
 
 
@@ -149,8 +151,8 @@ def encoded(docs: DataFrame, model: bytes, length: int = LENGTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, first long, doc_id long, ids binary, n_tokens long")
 
 
-def write_shards(docs: DataFrame, model: bytes, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """Write the shards to ``path`` as Parquet, one row and one file each; returns them as a table.
+def write_shards(docs: DataFrame, model: bytes, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, per_file: int = PER_FILE) -> DataFrame:
+    """Write the shards to ``path`` as Parquet, a row each and ``per_file`` in a row in each file; returns them as a table.
 
     Columns: shard, first_slot, stride (bytes), payload, doc_ids, pieces (number of the
     sequence in its document), lengths (ids that are no padding).
@@ -203,7 +205,7 @@ def write_shards(docs: DataFrame, model: bytes, path: str, length: int = LENGTH,
             yield done()
 
     dealt = table.mapInArrow(deal, "shard int, slot long, doc_id long, piece int, tokens int, ids binary")
-    ranges = dealt.repartitionById(shards, "shard").sortWithinPartitions("slot")
+    ranges = dealt.repartitionById(-(-shards // per_file), F.expr(f"cast(shard div {per_file} as int)")).sortWithinPartitions("slot")
     ranges.mapInArrow(fill, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
