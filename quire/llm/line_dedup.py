@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import fresh_path, row_id, saved, whole_text
+from quire.llm.store import few, fresh_path, row_id, saved, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "\t\n\x0b\x0c\r "
@@ -104,7 +104,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
         keys = own.groupBy("_ld_key").agg(F.min("_ld_id").alias("_ld_first"), F.max("_ld_id").alias("_ld_last"))
         met = saved(runs.known(keys), "met-keys")
         repeated = met.where(F.col("_ld_old") | (F.col("_ld_first") < F.col("_ld_last")))
-        gone = own.join(repeated, "_ld_key").where(F.col("_ld_old") | (F.col("_ld_id") > F.col("_ld_first")))
+        gone = own.join(few(repeated.select("_ld_key", "_ld_old", "_ld_first")), "_ld_key").where(F.col("_ld_old") | (F.col("_ld_id") > F.col("_ld_first")))
         drops.append(saved(gone.select("_ld_id", "_ld_tag", "_ld_pos"), "dropped-lines"))
         if k < len(cuts):
             runs.add(met.where(~F.col("_ld_old")))
