@@ -19,7 +19,8 @@ document, the places of its terms; all that follows works on this table:
   together, by counts of words and then by the subsequence of all their words, which no single
   one can surpass; they are judged one by one only if these suffice.
 
-Items are searched in blocks of ``ITEMS`` against all documents.  Defined results: items or
+Items are searched in blocks of ``ITEMS`` against all documents; the texts are scanned once for
+``SEARCHES`` such blocks.  Defined results: items or
 documents without words (null, empty, blank) never match; rows without doc_id keep a null one;
 repeated rows are judged alike; an empty table gives an empty result; columns beside doc_id
 and text pass through ``drop_leaks``, whatever their names.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from quire.llm import text_hash
 from quire.llm.store import few, node_id, public_id, saved, unused
 
-BLOCK, ITEMS = 32, 256
+#: Words of a block, items that are searched at once, and such searches for one scan of the texts.
+BLOCK, ITEMS, SEARCHES = 32, 256, 64
 SPARE, EXTRA, SEED = 64, 16, 11
 COMMON, RARE_WORDS, LEAST_COSINE, LEAST_SHARE = 0.001, 8, 0.3, 0.25
 LEAKED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.9
@@ -71,7 +74,7 @@ def read_items(rows: list[tuple[int, str]]) -> Items:
 
 def term_places(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """id, n_words, places and terms (arrays of u32) of every document that has a term, else with empty arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # words of at most ITEMS items
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # words of at most ITEMS * SEARCHES items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -259,30 +262,52 @@ class _Judge:
         return (common, answer) if self.leaked(common, answer) else None
 
 
+def _of_items(places: DataFrame, terms: np.ndarray, items: Items) -> DataFrame:
+    """``term_places`` of many items' terms as those of these items' terms."""
+    if len(terms) == len(items.hashes):
+        return places
+    number = np.full(len(terms), -1, np.int64)
+    number[np.searchsorted(terms, items.hashes)] = np.arange(len(items.hashes))
+    shared = places.sparkSession.sparkContext.broadcast(number)  # words of at most ITEMS * SEARCHES items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for at, which in zip(batch.column(2), batch.column(3), strict=True):
+                new = shared.value[np.frombuffer(which.as_py(), "<u4")]
+                own = new >= 0
+                kept.append((np.frombuffer(at.as_py(), "<u4")[own].tobytes(), new[own].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[j] for k in kept], pa.binary()) for j in range(2))], batch.schema.names)
+
+    return saved(places.mapInArrow(run, places.schema), "item-places")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item's words), answered: one row for each leaked item of a document."""
     spark = docs.sparkSession
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
+    rows = ((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
     schema = "id long, item_id long, cosine double, common double, answered boolean"
     out = spark.createDataFrame([], schema)
-    for at in range(0, len(rows), ITEMS):
-        items = read_items(rows[at : at + ITEMS])
-        if items.ids:
-            out = out.unionAll(_search(docs, items, schema))
+    while some := list(islice(rows, ITEMS * SEARCHES)):
+        blocks = [items for at in range(0, len(some), ITEMS) if (items := read_items(some[at : at + ITEMS])).ids]
+        if blocks:
+            terms = np.unique(np.concatenate([items.hashes for items in blocks]))
+            places = saved(term_places(docs, terms), "term-places")
+            for items in blocks:
+                out = out.unionAll(_search(_of_items(places, terms, items), items, schema))
     best = out.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.bool_or("answered").alias("answered"))
     return best.select("id", public_id("id").alias("doc_id"), "item_id", "cosine", "common", "answered")
 
 
-def _search(docs: DataFrame, items: Items, schema: str) -> DataFrame:
+def _search(places: DataFrame, items: Items, schema: str) -> DataFrame:
     n_terms = len(items.hashes)
-    places = saved(term_places(docs, items.hashes), "term-places")
     weights, blocks = idf_weights(places, items)
     basis = latent_basis(places, items, weights, blocks)
     latent = (_item_rows(items, weights) @ basis).astype(np.float32)
     raw = np.zeros((len(items.ids), n_terms))
     for x, w in enumerate(items.words):
         np.add.at(raw[x], w, 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((items, weights, basis.astype(np.float32), _unit(latent), np.linalg.norm((raw * weights) @ basis, axis=1), *least_bounds(items)))
+    shared = places.sparkSession.sparkContext.broadcast((items, weights, basis.astype(np.float32), _unit(latent), np.linalg.norm((raw * weights) @ basis, axis=1), *least_bounds(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w, b, queries, sizes, least_cosine, least_share = shared.value
