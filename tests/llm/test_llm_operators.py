@@ -77,7 +77,7 @@ def test_slots_are_a_permutation(n):
 
 
 def test_token_shards_round_trip(spark, docs, rows, empty, tmp_path):
-    shards = token_shards.write_shards(docs, MODEL, str(tmp_path / "s"), length=64, per_shard=16)
+    shards = token_shards.write_shards(docs, MODEL, str(tmp_path / "s"), length=64, per_shard=16, per_file=3)
     each = token_shards.sequences(shards).collect()
     assert sorted(r["slot"] for r in each) == list(range(len(each)))
     assert all(r["slot"] // 16 == r["shard"] for r in each)
@@ -85,10 +85,11 @@ def test_token_shards_round_trip(spark, docs, rows, empty, tmp_path):
     library, got = sentencepiece.SentencePieceProcessor(model_proto=MODEL), defaultdict(list)
     for r in each:
         got[r["doc_id"]].append((r["piece"], bytes(r["ids"])))
-    for doc, text, *_ in rows[:30]:
-        if doc is not None and doc != 10:
-            ids = b"".join(x for _, x in sorted(got[doc]))
-            assert np.frombuffer(ids, "<u2").tolist() == library.encode(text or "", add_bos=True, add_eos=True)
+    want = Counter((doc, len(ids := library.encode(text or "", add_bos=True, add_eos=True)), tuple(ids)) for doc, text, *_ in rows)
+    for (doc, n, ids), times in want.items():  # each row's pieces, as often as it comes
+        cut = [np.array(ids[k : k + 64], "<u2").tobytes() for k in range(0, n, 64)]
+        assert all(sum((k, x) == piece for piece in got[doc]) >= times for k, x in enumerate(cut))
+    assert sum(map(len, got.values())) == sum(-(-n // 64) * times for (_, n, _), times in want.items())
     assert {r["slot"] for r in token_shards.read_from(shards, 37, 16).collect()} == set(range(37, len(each)))
     assert token_shards.write_shards(empty, MODEL, str(tmp_path / "e")).count() == 0
 
@@ -305,7 +306,7 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_decontamination_finds_long_and_reworded_items(spark):
+def test_decontamination_finds_long_and_reworded_items(spark, monkeypatch):
     rng = random.Random(14)
     items = [(k, words(rng, (20, 45, 90, 140, 200, 300)[k % 6], 20000) + ". " + words(rng, 6, 20000) + ".") for k in range(36)]
 
@@ -334,6 +335,9 @@ def test_decontamination_finds_long_and_reworded_items(spark):
     assert expected >= {(base + k, k) for base in (0, 100) for k in range(36)}
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()} == expected
+    monkeypatch.setattr(decontaminate, "ITEMS", 14)
+    monkeypatch.setattr(decontaminate, "SEARCHES", 2)  # three blocks in two scans
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()} == expected
 
 
 def test_common_length():
@@ -453,6 +457,9 @@ def test_sharding(spark, docs, rows, empty):
     before = {r["doc_id"]: r["shard"] for r in sharding.place(spark.range(3000).selectExpr("id AS doc_id", "'x' AS text"), 10).collect()}
     after = {r["doc_id"]: r["shard"] for r in sharding.place(spark.range(3000).selectExpr("id AS doc_id", "'x' AS text"), 11).collect()}
     assert sum(before[d] != after[d] for d in before) < 0.6 * len(before)
+    many = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.place(many, n).collect()} for n in (40, 41))
+    assert sum(before[d] != after[d] for d in before) < 0.1 * len(before)  # an even share is 1 / 41
 
 
 def test_word_hashes_follow_the_words():
