@@ -16,7 +16,19 @@ def natural_key(name: Column) -> Column:
     return F.regexp_replace(padded, r"0*(\d{12})(?!\d)", "$1")
 
 
-def sequential_numbers(docs: DataFrame, start: int = 1, digits: int = 6, prefix: str = "", parity: int | None = None) -> DataFrame:
+#: What tokens of a mark's template stand for.
+TOKENS = {"<<page>>": "page", "<<pages>>": "pages", "<<bates>>": "bates", "<<date>>": "date", "<<file>>": "file"}
+
+
+def expanded(template: str, values: dict[str, Column]) -> Column:
+    """The template with its tokens replaced by the values of these names."""
+    out = F.lit(template)
+    for token, name in TOKENS.items():
+        out = F.replace(out, F.lit(token), values[name].cast("string"))
+    return out
+
+
+def sequential_numbers(docs: DataFrame, start: int = 1, digits: int = 6, prefix: str = "", parity: int | None = None, template: str = "<<bates>> of <<pages>>", date: str = "", first_page: int = 1) -> DataFrame:
     """doc_id, page_index, number, mark of the chosen pages, numbered through all files.
 
     ``docs`` has doc_id, name, page_count, failed.  Failed files take no numbers.  The prefix
@@ -28,16 +40,18 @@ def sequential_numbers(docs: DataFrame, start: int = 1, digits: int = 6, prefix:
     n = F.col("page_count") if parity is None else F.expr(f"(page_count - {parity} + 1) div 2")
     counted = chosen.withColumn("n", n)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.select("doc_id", "page_count", "key", "n").repartitionByRange(parts, "key", "doc_id")
+    ranged = counted.select("doc_id", "name", "page_count", "key", "n").repartitionByRange(parts, "key", "doc_id")
     placed = saved(ranged.withColumn("part", F.spark_partition_id()), "numbered-files")
     sums = placed.groupBy("part").agg(F.sum("n").alias("total"))
     before = sums.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
     inner = F.sum("n").over(Window.partitionBy("part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     based = placed.join(before, "part").withColumn("base", F.col("before") + inner)
     step = 1 if parity is None else 2
-    pages = based.where("n > 0").select("doc_id", "page_count", "base", F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at", "k"))
+    pages = based.where("n > 0").select("doc_id", "name", "page_count", "base", F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at", "k"))
     number = (F.col("base") + F.col("k") + start).cast("long")
-    return pages.select("doc_id", (F.col("k") * step + first).alias("page_index"), number.alias("number"), F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"), F.lit(" of "), F.col("page_count").cast("string")).alias("mark"))
+    values = {"page": F.col("k") + first_page, "pages": F.col("page_count"), "bates": F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0")), "date": F.lit(date), "file": F.col("name")}
+    mark = expanded(template, values)
+    return pages.select("doc_id", (F.col("k") * step + first).alias("page_index"), number.alias("number"), mark.alias("mark"))
 
 
 def page_ranges(requests: DataFrame) -> DataFrame:
@@ -56,6 +70,22 @@ def page_ranges(requests: DataFrame) -> DataFrame:
     return pages.select("doc_id", at.alias("at"), (F.col("page") - 1).alias("page_index"))
 
 
+def custom_splits(requests: DataFrame) -> DataFrame:
+    """D3: doc_id, split_no, first, last, name for lists such as ``1-3, 7``: parts beyond the file are cut to it, others left out.
+
+    ``requests`` has doc_id, name, page_count, spec.
+    """
+    parts = requests.where("page_count > 0").select("doc_id", "name", "page_count", F.posexplode(F.split("spec", ",")).alias("part", "raw"))
+    low, high = F.regexp_extract("raw", r"^\s*([0-9]+)\s*(?:-\s*[0-9]+\s*)?$", 1).try_cast("int"), F.regexp_extract("raw", r"^\s*[0-9]+\s*-\s*([0-9]+)\s*$", 1).try_cast("int")
+    ranged = parts.withColumns({"a": low, "b": high}).where("a > 0 AND (b >= a OR b IS NULL AND a <= page_count)")
+    first, last = F.least("a", F.col("page_count").cast("int")), F.least(F.coalesce("b", "a"), F.col("page_count").cast("int"))
+    cut = ranged.select("doc_id", "name", "part", (first - 1).alias("first"), (last - 1).alias("last"))
+    one = F.concat("name", F.lit("_Page_"), (F.col("first") + 1).cast("string"))
+    several = F.concat("name", F.lit("_Pages_"), (F.col("first") + 1).cast("string"), F.lit("-"), (F.col("last") + 1).cast("string"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1
+    return cut.select("doc_id", number.alias("split_no"), "first", "last", F.when(F.col("first") == F.col("last"), one).otherwise(several).alias("name"))
+
+
 def splits(docs: DataFrame, every: int) -> DataFrame:
     """D3: doc_id, split_no, first, last, name of pieces of ``every`` pages."""
     each = docs.where("page_count > 0").select("doc_id", "name", "page_count", F.explode(F.sequence(F.lit(0), F.expr(f"(page_count - 1) div {every}").cast("int"))).alias("split_no"))

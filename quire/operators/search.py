@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, search_pattern
 
-SNIPPET_REACH, PAGE_REACH, FIRST_HITS = 35, 50, 100
+SNIPPET_REACH, LINE_REACH, PAGE_REACH, FIRST_HITS = 35, 30, 50, 100
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -20,6 +20,14 @@ def snippet(text: Column, start: Column, length: Column, reach: int = SNIPPET_RE
     return F.concat(F.lit("..."), F.replace(F.substring(text, begin + 1, end - begin), F.lit("\n"), F.lit(" ")), F.lit("..."))
 
 
+def line_snippet(text: Column, start: Column, length: Column, reach: int = LINE_REACH) -> Column:
+    """Q6: the match with its surroundings on a recognised line, dots only where it is cut."""
+    begin = F.greatest(start - reach, F.lit(0))
+    end = F.least(start + length + reach, F.char_length(text))
+    dots = lambda cut: F.when(cut, "...").otherwise("")
+    return F.concat(dots(begin > 0), F.substring(text, begin + 1, end - begin), dots(end < F.char_length(text)))
+
+
 def is_whole_word(text: Column, start: Column, length: Column) -> Column:
     """No word character touches the match on either side."""
     before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")

@@ -22,6 +22,21 @@ NUMBERED_SQL = f"""{FILES_SQL},
     pages AS (SELECT doc_id, page_count, base, unnest(range(0, page_count)) AS k FROM based)"""
 
 
+@query(f"""WITH {NUMBERED_SQL}
+    SELECT doc_id, CAST(k AS INT) AS page_index, (SELECT name FROM files f WHERE f.doc_id = pages.doc_id) || ' (2024-02-03) p. ' || k + 5 || '/' || page_count || ' B' || lpad(CAST(CAST(base + k + 1 AS BIGINT) AS VARCHAR), 6, '0') AS mark FROM pages""")
+def d2_mark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = D.sequential_numbers(files(spark, sf_dir), prefix="B", template="<<file>> (<<date>>) p. <<page>>/<<pages>> <<bates>>", date="2024-02-03", first_page=5)
+    return marked.select("doc_id", "page_index", "mark")
+
+
+@query(f"""WITH {FILES_SQL},
+    r AS (SELECT doc_id, name, page_count, unnest([0, 1, 2]) AS part, unnest([1, 2, 4]) AS a, unnest([2, 2, 9]) AS b FROM files),
+    c AS (SELECT *, least(a, page_count) AS s, least(b, page_count) AS e FROM r WHERE part <> 1 OR a <= page_count)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INT) AS split_no, CAST(s - 1 AS INT) AS first, CAST(e - 1 AS INT) AS last, CASE WHEN s = e THEN name || '_Page_' || s ELSE name || '_Pages_' || s || '-' || e END AS name FROM c""")
+def d3_custom_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.custom_splits(files(spark, sf_dir).withColumn("spec", F.lit("1-2, 2, x, 4 - 9, 5-3")))
+
+
 @query(f"WITH {NUMBERED_SQL} SELECT doc_id, CAST(k AS INT) AS page_index, CAST(base + k + 1 AS BIGINT) AS number, 'Q' || lpad(CAST(CAST(base + k + 1 AS BIGINT) AS VARCHAR), 6, '0') || ' of ' || page_count AS mark FROM pages")
 def d1_sequential_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sequential_numbers(files(spark, sf_dir), prefix="Q")

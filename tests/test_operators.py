@@ -258,6 +258,12 @@ def test_page_ranges_and_labels(spark):
     assert [r["r"] for r in numbers.collect()] == ["I", "IV", "IX", "MCMXCIV"]
 
 
+def test_line_snippets(spark):
+    frame = spark.createDataFrame([("a short line", 2, 5), ("x" * 40 + "match" + "y" * 40, 40, 5)], "text string, start int, len int")
+    got = [r["s"] for r in frame.select(search.line_snippet(F.col("text"), F.col("start"), F.col("len")).alias("s")).collect()]
+    assert got == ["a short line", "..." + "x" * 30 + "match" + "y" * 30 + "..."]
+
+
 def test_references(spark):
     texts = page(spark, "see Section 3.2(b) of the Master Agreement", "version 1.0.2 or 10.1.2.3", "as in 4.5.6 now")
     got = {(r["doc_id"], r["identifier"], r["base_id"], r["hint"]) for r in references.extract(texts).collect()}
@@ -423,7 +429,7 @@ def test_index_refresh_as_a_stream(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "m4_totals", "d4_page_labels", "t4_change_debouncing"])
+@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk"])
 def test_sql_twins(spark, name):
     import duckdb
 
