@@ -96,18 +96,19 @@ def calibrate(held: np.ndarray, good: np.ndarray, ridge: float = 0.05, steps: in
 def fit(texts: list[str], good: np.ndarray) -> Model:
     """A calibrated model of labelled texts; the last fifth calibrates."""
     columns, rows, values = [], [], []
-    base = 0
+    base, width = 0, KINDS * DIM
     for part in text_hash.slices(pa.array(texts, pa.string())):
+        cells, shares = [], []
         for kind, (index, doc) in enumerate(grams(part, text_hash.words(part, folded=False))):
             count = np.bincount(doc, minlength=part.docs)
-            cell, times = np.unique(doc * DIM + index, return_counts=True)
-            rows.append((cell // DIM + base).astype(np.int32)), columns.append((cell % DIM + kind * DIM).astype(np.int32))
-            values.append((SCALE * times / np.maximum(count, 1)[cell // DIM]).astype(np.float32))
+            cell, times = np.unique(doc * width + kind * DIM + index, return_counts=True)
+            cells.append(cell), shares.append((SCALE * times / np.maximum(count, 1)[cell // width]).astype(np.float32))
+        cells, shares = np.concatenate(cells), np.concatenate(shares)
+        order = np.argsort(cells, kind="stable")  # by document, so that the ones to fit are in front
+        rows.append((cells[order] // width + base).astype(np.int32)), columns.append((cells[order] % width).astype(np.int32)), values.append(shares[order])
         base += part.docs
     rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
     n, cut = len(texts), len(texts) - len(texts) // 5
-    order = np.argsort(rows, kind="stable")  # by document, so that the ones to fit are in front
-    rows, columns, values = rows[order], columns[order], values[order]
     used = int(np.searchsorted(rows, cut))
     r, c, v, y = rows[:used], columns[:used], values[:used], good[:cut].astype(float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both classes count alike
