@@ -121,7 +121,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     per_doc = drops.groupBy("_ld_id", "_ld_tag").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_gone"))
     lines = F.split(whole_text(), "\n")
     joined = (
-        docs.select(F.struct("*").alias("row"), "text", row_id().alias("_ld_id"), F.xxhash64(whole_text()).alias("_ld_tag"))
+        docs.select(F.struct(*(c for c in docs.columns if c.lower() != "text")).alias("row"), "text", row_id().alias("_ld_id"), F.xxhash64(whole_text()).alias("_ld_tag"))
         .join(per_doc, ["_ld_id", "_ld_tag"], "left")
         .withColumn("_ld_gone", F.coalesce("_ld_gone", F.array().cast("array<int>")))
         .withColumns({"_ld_lines": F.size(lines).cast("long"), "_ld_dropped": F.size("_ld_gone").cast("long")})
