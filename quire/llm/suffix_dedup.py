@@ -45,14 +45,17 @@ _KEY = [*_GRAM, "context", "id", "place"]
 _ANCHORS = ", ".join(f"{name} long" for name in _KEY)
 #: Runs of fewer rows are sorted at once.
 RUN = 2048
-_second = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+_letters = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _running_second(data: np.ndarray) -> np.ndarray:
-    up, _ = text_hash.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_second[data] * up[:-1], out=sums[1:])
-    return sums
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place on: a polynomial modulo 2^64, which is safe for spans as short as these."""
+    base = 0x9E3779B97F4A7C15
+    spans = {1: _letters[data]}
+    for n in (1, 2, 4, 8):
+        h = spans[n]
+        spans[2 * n] = h[:-n] * np.uint64(pow(base, n, 1 << 64)) + h[n:]
+    return text_hash.mix(spans[16][: len(data) - GRAM + 1] * np.uint64(pow(base, 8, 1 << 64)) + spans[8][16:])
 
 
 def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
@@ -69,8 +72,7 @@ def anchors(part: text_hash.Slice, length: int) -> tuple[np.ndarray, ...]:
         return none
     sums = text_hash.running(data, folded=False)
     at = np.arange(n - GRAM + 1)
-    gram = text_hash.span_hash(sums, at, at + GRAM)
-    key = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    key = (gram_hashes(data) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     least, span = key, 1
     while span * 2 <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -269,7 +271,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 apart = np.flatnonzero((kind == MANY) & inside)
                 if len(apart):
                     data = np.frombuffer(raw, np.uint8)
-                    one, two = text_hash.running(data, folded=False), _running_second(data)
+                    one, two = text_hash.running(data, folded=False), text_hash.running(data, folded=False, other=True)
                     cuts = []
                     for j in apart.tolist():
                         anchor, most, least = start[j] + before[j], before[j], before[j] - (size[j] - length)

@@ -1,8 +1,10 @@
 """Word hashes of Arrow text columns, computed over whole slices of documents at once.
 
 Words are runs of bytes other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  A word's hash
-is a polynomial over its bytes in 64-bit arithmetic, taken from one running sum per slice,
-then mixed.  Slices hold about ``SLICE_BYTES``; a longer document is a slice of its own.
+is made of two polynomials over its bytes modulo 2^31 - 1, with bases and letters drawn apart,
+taken from running sums of the slice, then mixed: 62 bits in all.  (Arithmetic modulo 2^64
+won't do: Thue-Morse words of 1,024 letters collide there whatever base and letters are.)
+Slices hold about ``SLICE_BYTES``; a longer document is a slice of its own.
 """
 
 from __future__ import annotations
@@ -14,17 +16,20 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
+_PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(_PRIME), np.uint64(31)
+#: Bytes whose sums are taken at once.
+_BLOCK = 1 << 16
 
 _rng = np.random.default_rng(20240607)
-_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASES = [int(x) for x in _rng.integers(1 << 20, _PRIME - 1, 2)]
+#: Letters of the exact bytes, of another hash of these, and of bytes with A-Z lower-cased; a row for each polynomial.
+_EXACT, _OTHER = _rng.integers(1, _PRIME, (2, 2, 256), dtype=np.uint64)
 _FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
+_FOLDED[:, 65:91] = _EXACT[:, 97:123]
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[32, 9, 10, 11, 12, 13]] = True
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers = {(j, down): np.ones(1, np.uint32) for j in (0, 1) for down in (False, True)}
 
 
 class Slice(NamedTuple):
@@ -57,16 +62,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         at = to
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    for name, base in (("up", _BASE), ("down", _INVERSE)):
-        have = _powers[name]
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        if len(have) > 1 << 22 and n <= 1 << 22:
-            have = have[: 1 << 22].copy()  # a very long document's powers aren't kept
-        _powers[name] = have
-    return _powers["up"][:n], _powers["down"][:n]
+def _powers_of(j: int, n: int, down: bool = False) -> np.ndarray:
+    """The first n powers of base j, or of its inverse."""
+    have = _powers[j, down]
+    base = pow(_BASES[j], -1, _PRIME) if down else _BASES[j]
+    while len(have) < n:
+        have = np.concatenate([have, (have * np.uint64(pow(base, len(have), _PRIME)) % _P).astype(np.uint32)])
+    _powers[j, down] = have[: 1 << 22].copy() if len(have) > 1 << 22 else have  # a very long document's powers aren't kept
+    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,18 +78,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def running(data: np.ndarray, folded: bool = True) -> np.ndarray:
-    """sums[i]: the polynomial of the first i bytes."""
-    up, _ = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if folded else _EXACT)[data] * up[:-1], out=sums[1:])
-    return sums
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 modulo the prime."""
+    x = (x & _P) + (x >> _BITS)
+    x = (x & _P) + (x >> _BITS)
+    return np.where(x >= _P, x - _P, x)
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def running(data: np.ndarray, folded: bool = True, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """sums[i] of each polynomial: its value for the first i bytes; ``other`` gives a hash that is independent of the usual one."""
+    letters = _FOLDED if folded else _OTHER if other else _EXACT
+    out = []
+    for j in (0, 1):
+        up, sums, carry = _powers_of(j, len(data)), np.zeros(len(data) + 1, np.uint32), np.uint64(0)
+        for at in range(0, len(data), _BLOCK):
+            part = letters[j][data[at : at + _BLOCK]] * up[at : at + _BLOCK]
+            part = (part & _P) + (part >> _BITS)  # below 2^32, so that a block's sum stays below 2^63
+            part[0] += carry
+            block = _reduced(np.cumsum(part))
+            sums[at + 1 : at + 1 + len(block)] = block
+            carry = block[-1]
+        out.append(sums)
+    return out[0], out[1]
+
+
+def span_hash(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte spans, from ``running``."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    both = []
+    for j in (0, 1):
+        differ = sums[j][ends].astype(np.uint64) + (_P - sums[j][starts])
+        both.append(_reduced(_reduced(differ) * _powers_of(j, len(sums[j]), True)[starts]))
+    return mix(both[0] << np.uint64(32) | both[1])
 
 
 def words(part: Slice, folded: bool = True) -> Words:

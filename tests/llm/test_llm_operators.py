@@ -472,6 +472,26 @@ def test_word_hashes_follow_the_words():
     assert seen[0] == seen[2] and len(seen[0]) == 3 and seen[1] == seen[4] == [] and len(seen[3]) == 1 and seen[5][1] == seen[0][0]
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_thue_morse_words_have_hashes_of_their_own(spark, n):
+    x, y = thue_morse(n), thue_morse(n, "ba")
+    (part,) = text_hash.slices(pa.array([f"{x} {y} {x.upper()}"], pa.string()))
+    first, second, third = text_hash.words(part).hash.tolist()
+    assert first == third != second
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x + " one two"), (4, y + " one two"), (5, x + "\n" + y), (6, x + "\n" + x)], "doc_id long, text string")
+    parts = {r["id"]: r["component_id"] for r in jaccard_join.link_components(docs).collect()}
+    assert parts == {k: k for k in range(1, 7)}
+    judged = {r["doc_id"]: r for r in quality.judge(docs, quality.Model(np.zeros((quality.KINDS, quality.DIM)), 20.0, 1.0, 0.0)).collect()}
+    assert [judged[k]["_q_n_dup_lines"] for k in range(1, 7)] == [0, 0, 0, 0, 0, 1]
+    assert removed_by(docs) == substrings_removed([(r["doc_id"], r["text"]) for r in docs.collect()])
+    leaks = decontaminate.leaks(docs.where("doc_id < 3"), spark.createDataFrame([(7, x)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} <= {(1, 7)}
+
+
 def run_stages(spark, folder):
     """The pipeline's last table; every stage but the last must keep the columns of the documents."""
     import corpus_pipeline
