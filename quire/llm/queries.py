@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_shards, url_filter
+from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_shards, url_filter, vector_codes
 from quire.llm.store import fresh_path, public_id
 
 
@@ -66,6 +66,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, trained = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(trained.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_shards": op2_token_shards,
@@ -77,8 +82,40 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round as two tables: the nearest entry of each part, and the entries that follow from it."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        near{k} AS (
+            SELECT r, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS d
+            FROM (SELECT c.r, c.part, b.entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d
+                  FROM cells c JOIN book{k} b USING (part, pos) GROUP BY c.r, c.part, b.entry) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""
+        book{k + 1} AS (
+            SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+                SELECT c.part, n.entry, c.pos, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+                FROM cells c JOIN near{k} n USING (r, part) GROUP BY c.part, n.entry, c.pos) m USING (part, entry, pos))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS (
+            SELECT r, (i - 1) // (n // {parts}) AS part, (i - 1) % (n // {parts}) AS pos, CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) AS x
+            FROM (SELECT r, len(embedding) AS n, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+        book0 AS (SELECT part, r AS entry, pos, x FROM cells WHERE r < {entries}),{",".join(steps)},
+        coded AS (
+            SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+        SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept k JOIN coded c USING (r)"""
+
+
 ORACLE_SQL_BY_QUERY = {
     "op3_line_dedup": r"""
         WITH lines AS (
@@ -93,4 +130,5 @@ ORACLE_SQL_BY_QUERY = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op11_vector_codes": _vector_codes_sql(),
 }

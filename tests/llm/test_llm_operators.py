@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_shards, url_filter
+from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_shards, url_filter, vector_codes
 from quire.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, _x int"
@@ -525,3 +525,66 @@ def test_pipeline_without_rows(spark, tmp_path, texts):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert run_stages(spark, tmp_path).count() == 0
+
+
+def brute_codes(vectors, parts=4, entries=256, rounds=4):
+    """Codebooks, codes and errors of integer vectors by plain Python."""
+    size = len(vectors[0]) // parts
+    cut = [[v[k * size : (k + 1) * size] for v in vectors] for k in range(parts)]
+    books = [own[:entries] for own in cut]
+
+    def near(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e, strict=True)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for k in range(parts):
+            found = [near(p, books[k])[1] for p in cut[k]]
+            new = list(books[k])
+            for e in set(found):
+                own = [p for p, f in zip(cut[k], found, strict=True) if f == e]
+                new[e] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+            books[k] = new
+    got = [[near(cut[k][r], books[k]) for k in range(parts)] for r in range(len(vectors))]
+    return books, ["".join(f"{e:02x}" for _, e in g) for g in got], [sum(d for d, _ in g) for g in got]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, -1])
+def test_vector_codes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vector_codes, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(3)
+    table = [(k, [rng.gauss(0, 1) for _ in range(8)], rng.choice([1, 2, None]), "a") for k in range(300)]
+    table += [(300 + k, [1.0] * 8, 1, "b") for k in range(200)] + [table[3], table[3]]  # a common vector, repeated rows
+    table += [(900, None, 1, "c"), (901, [1.0, None] + [0.0] * 6, 1, "c"), (902, [float("nan")] + [0.0] * 7, 1, "c"), (903, [float("inf")] * 8, 2, "c")]
+    table += [(904, [1e30] * 8, 1, "c"), (905, [1.0] * 4, 1, "c"), (None, [-5e4, 2.0] * 4, 2, "c")]
+    docs = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int, _label string").repartition(3)
+    kept = sorted((r for r in table if r[1] and len(r[1]) == 8 and all(x is not None and abs(x) < 1e6 for x in r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    books, codes, errors = brute_codes([[int(np.floor(x * 1024)) for x in r[1]] for r in kept], entries=64)
+    out, trained = vector_codes.encode(docs, entries=64)
+    assert [b.tolist() for b in trained.books] == books
+    total = Counter()
+    for r, e in zip(kept, errors, strict=True):
+        total[r[2]] += e
+    assert Counter((r["id"], r["label"], r["code"], r["error"], r["label_error"]) for r in out.collect()) == Counter((r[0], r[2], c, e, total[r[2]]) for r, c, e in zip(kept, codes, errors, strict=True))
+    back = {r["id"]: r["vector"] for r in vector_codes.decode(out, trained).collect()}
+    assert back[5] == [x / 1024 for b, e in zip(books, bytes.fromhex(codes[[r[0] for r in kept].index(5)]), strict=True) for x in b[e]]
+
+
+def test_vector_codes_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, label string"
+    none, trained = vector_codes.encode(spark.createDataFrame([], schema))
+    assert none.count() == 0 and trained.books[0].size == 0
+    blank, _ = vector_codes.encode(spark.createDataFrame([(1, [], "x"), (2, [], None)], schema))
+    assert sorted((r["code"], r["error"]) for r in blank.collect()) == [("00000000", 0)] * 2
+    with pytest.raises(ValueError):
+        vector_codes.encode(spark.createDataFrame([(1, [1.0] * 6, "x")], schema))
+
+
+@pytest.mark.parametrize("scale", [1, 3, 1000, 1 << 27])
+def test_tree_finds_what_a_scan_finds(scale):
+    rng = np.random.default_rng(scale)
+    points = rng.integers(-scale, scale + 1, (256, 4)) * rng.integers(0, 2, (256, 1))
+    queries = np.concatenate([rng.integers(-scale, scale + 1, (2000, 4)), points])
+    index, distance = vector_codes.nearest(points, vector_codes.gnat(points), queries)
+    every = ((queries[:, None].astype(object) - points.astype(object)) ** 2).sum(axis=2).astype(np.int64)
+    assert (distance == every.min(axis=1)).all() and (index == every.argmin(axis=1)).all()
