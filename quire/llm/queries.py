@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_shards, url_filter, vector_codes
+from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_alignment, token_shards, url_filter, vector_codes
 from quire.llm.store import fresh_path, public_id
 
 
@@ -71,6 +71,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(trained.sha256()).alias("codebooks_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_alignment.read_vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = token_alignment.score(_table(spark, sf_dir, "documents"), files)
+    return out.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_shards": op2_token_shards,
@@ -83,6 +89,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 

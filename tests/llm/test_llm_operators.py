@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_shards, url_filter, vector_codes
+from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_alignment, token_shards, url_filter, vector_codes
 from quire.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, _x int"
@@ -588,3 +588,66 @@ def test_tree_finds_what_a_scan_finds(scale):
     index, distance = vector_codes.nearest(points, vector_codes.gnat(points), queries)
     every = ((queries[:, None].astype(object) - points.astype(object)) ** 2).sum(axis=2).astype(np.int64)
     assert (distance == every.min(axis=1)).all() and (index == every.argmin(axis=1)).all()
+
+
+FILES = token_alignment.read_vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def brute_alignment(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, from the libraries' whole encodings."""
+    from tokenizers import Tokenizer
+
+    first, second = Tokenizer.from_str(FILES.a), sentencepiece.SentencePieceProcessor(model_proto=FILES.b)
+    first.encode_special_tokens = True
+    letters = token_alignment.byte_alphabet()
+    groups = []
+    for text in texts:
+        raw = (" " + (text or "")).encode()
+        a = [(i, bytes(letters[c] for c in first.id_to_token(i))) for i in first.encode(raw.decode(), add_special_tokens=False).ids]
+        pieces = [(i, second.id_to_piece(i)) for i in second.encode(text or "")]
+        b = [(i, bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode()) for i, p in pieces]
+        if not text or b"".join(x for _, x in a) != raw or b"".join(x for _, x in b) != raw:
+            groups.append([])
+            continue
+        ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (a, b)]
+        cuts, out, at = sorted(set(ends[0]) & set(ends[1])), [], [0, 0]
+        for cut in cuts:
+            upto = [e.index(cut) + 1 for e in ends]
+            out.append(tuple([i for i, _ in side[x:y]] for side, x, y in zip((a, b), at, upto, strict=True)))
+            at = upto
+        groups.append(out)
+    links = [Counter((x, y) for a, b in g for x in a for y in b) for g in groups]
+    held = Counter(pair for own in links for pair in own)
+    most = defaultdict(int)
+    for (a, _), n in held.items():
+        most[a] = max(most[a], n)
+    return [
+        (sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(own.values()), sum(n for p, n in own.items() if held[p] == most[p[0]]), sum(n * held[p] for p, n in own.items()),
+         hashlib.sha256(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g).encode()).hexdigest() if g else "")
+        for g, own in zip(groups, links, strict=True)
+    ]
+
+
+def odd_texts(n):
+    rng = random.Random(8)
+    pool = ["a", "b", "the", " ", "  ", "\n", "\t", " \n ", "é", "漢字", "😀", "▁", "'s", "123", "...", "\x00", "\x1c", "\u180e", "\xa0", "<|endoftext|>", "<s>", "<0x41>", "\u2028", "ab" * 30, "\x85"]
+    return ["".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot_pairs", [1_000_000, 40, 0])
+def test_token_alignment(spark, rows, hot_pairs):
+    texts = [r[1] for r in rows] + odd_texts(400) + ["a" * 5000, "=" * 3000 + "-" * 777, "漢" * 2000]
+    table = spark.createDataFrame([(k % 300, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_a string").repartition(3)
+    got = Counter(tuple(r) for r in token_alignment.score(table, FILES, hot_pairs=hot_pairs).collect())
+    assert got == Counter((k % 300, *x) for k, x in enumerate(brute_alignment(texts)))
+
+
+def test_token_alignment_of_no_documents(spark, empty):
+    assert token_alignment.score(empty, FILES).count() == 0 == token_alignment.align(empty, FILES).count()
+
+
+def test_token_groups(spark):
+    (r,) = token_alignment.align(spark.createDataFrame([(1, "internationalization of naïve tokens")], "doc_id long, text string"), FILES).collect()
+    coder = token_alignment.Encoders(FILES)
+    ends = [[b"".join(names[i] for i in ids[:k]) for k in upto] for names, ids, upto in ((coder.a_bytes, r["a_ids"], r["a_upto"]), (coder.b_bytes, r["b_ids"], r["b_upto"]))]
+    assert ends[0] == ends[1] and ends[0][-1] == " internationalization of naïve tokens".encode() and len(ends[0]) > 2
