@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_alignment, token_shards, url_filter, vector_codes
+from quire.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, sentence_pieces, sharding, suffix_dedup, token_alignment, token_shards, url_filter, vector_codes
 from quire.llm.store import fresh_path, public_id
 
 
@@ -77,6 +77,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()))
+    out = language_id.identify(docs, model)
+    return out.select(F.col("id").alias("doc_id"), language_id.held_out("id").alias("held_out"), F.col("lang").alias("lang_pred"), F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_shards": op2_token_shards,
@@ -90,6 +97,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
+    "op13_language_id": op13_language_id,
 }
 
 

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from quire.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_alignment, token_shards, url_filter, vector_codes
+from quire.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, sentence_pieces, sharding, store, suffix_dedup, text_hash, token_alignment, token_shards, url_filter, vector_codes
 from quire.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, _x int"
@@ -651,3 +651,59 @@ def test_token_groups(spark):
     coder = token_alignment.Encoders(FILES)
     ends = [[b"".join(names[i] for i in ids[:k]) for k in upto] for names, ids, upto in ((coder.a_bytes, r["a_ids"], r["a_upto"]), (coder.b_bytes, r["b_ids"], r["b_upto"]))]
     assert ends[0] == ends[1] and ends[0][-1] == " internationalization of naïve tokens".encode() and len(ends[0]) > 2
+
+
+def one_pass(score, penalty):
+    """Viterbi word by word: the greatest total, and what a labelling adds up to."""
+    best = list(score[0])
+    for row in score[1:]:
+        top = max(best) - penalty
+        best = [max(b, top) + x for b, x in zip(best, row, strict=True)]
+    return max(best)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 256])
+def test_labels_are_the_best_ones(segment):
+    rng = np.random.default_rng(segment)
+    for langs in (1, 2, 5):
+        cuts = np.cumsum([0, 0, 1, 40, 7, 0, 21, 300, 0])
+        score = rng.normal(0, 2, (cuts[-1], langs)) + np.repeat(rng.normal(0, 1, (cuts[-1] // 9 + 1, langs)), 9, axis=0)[: cuts[-1]]
+        label = language_id.best_labels(score, cuts, 3.0, segment)
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high > low:
+                own = score[low:high][np.arange(high - low), label[low:high]].sum() - 3.0 * (label[low + 1 : high] != label[low : high - 1]).sum()
+                assert own == pytest.approx(one_pass(score[low:high].tolist(), 3.0))
+
+
+SAMPLES = {
+    "en": "the house is on the hill and the people of the town think that it was there before they came",
+    "de": "das haus steht auf dem berg und die leute der stadt denken dass es schon da war bevor sie kamen",
+    "ru": "дом стоит на холме и люди города думают что он был там до того как они пришли",
+    "el": "το σπίτι είναι στον λόφο και οι άνθρωποι της πόλης πιστεύουν ότι ήταν εκεί",
+}
+
+
+def test_language_id(spark, empty):
+    train = [(k, t, lang) for k, (lang, t) in enumerate(SAMPLES.items())] + [(None, "x", None), (9, None, "en")]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.names == sorted(SAMPLES)
+    mixed = "the people of the town think that Die Leute der Stadt denken dass 12 люди города думают!"
+    texts = [None, "", "12 - \n", "THE TOWN", "der Berg", "город", "漢字", mixed, " ".join([SAMPLES["de"]] * 3000), "e\u0301a the house", "the" * 400_000]
+    table = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)] + [(3, "THE TOWN", 2.0)], "doc_id long, text string, score double").repartition(2)
+    got = {r["id"]: r for r in language_id.identify(table, model).collect()}
+    assert [(got[k]["lang"], got[k]["score"]) for k in (0, 1, 2)] == [("und", 0.0)] * 3 and got[0]["spans"] == []
+    assert [got[k]["lang"] for k in (3, 4, 5, 8, 9, 10)] == ["en", "de", "ru", "de", "en", "en"] and got[6]["lang"] in SAMPLES
+    assert got[8]["spans"] == [(0, len(texts[8]), "de")] and got[10]["spans"] == [(0, 1_200_000, "en")]
+    assert [(mixed[s["start"] : s["end"]], s["lang"]) for s in got[7]["spans"]] == [("the people of the town think that", "en"), ("Die Leute der Stadt denken dass", "de"), ("люди города думают", "ru")]
+    assert got[7]["score"] == pytest.approx(27 / (27 + 26 + 16)) and got[7]["lang"] == "en"
+    assert language_id.identify(empty, model).count() == 0
+    nothing = language_id.train(empty)
+    assert {(r["lang"], r["score"], len(r["spans"])) for r in language_id.identify(table, nothing).collect()} == {("und", 0.0, 0)}
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    truth = {r["doc_id"]: r["lang"] for r in docs.where(language_id.held_out()).collect() if r["lang"] and r["text"] and len(r["text"]) > 20}
+    got = {r["id"]: r["lang"] for r in language_id.identify(docs.where(language_id.held_out()), model).collect()}
+    assert np.mean([got[k] == v for k, v in truth.items()]) > 0.95
