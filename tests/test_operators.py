@@ -271,6 +271,71 @@ def test_references(spark):
     assert not any(d == 1 and i == "1.0.2" for d, i, *_ in got)
 
 
+def found_in(spark, *texts):
+    """Of each text: (kind, label, identifier, title, hint) of its references."""
+    out = [[] for _ in texts]
+    for r in references.extract(page(spark, *texts)).orderBy("doc_id", "start").collect():
+        out[r["doc_id"]].append((r["kind"], r["label"], r["identifier"], r["title"], r["hint"]))
+    return out
+
+
+def test_reference_forms(spark):
+    cases = {
+        "as provided in Section 4.2(b) of the Master Services Agreement.": [("section", "Section", "4.2(b)", None, "Master Services Agreement")],
+        "set out in Appendix C and Schedule 2, subject to Article II and § 12.3": [("appendix", "Appendix", "C", None, None), ("schedule", "Schedule", "2", None, None), ("article", "Article", "II", None, None), ("section", "§", "12.3", None, None)],
+        "See the Table of Contents, part a of it, and the Partnership 2 clause": [],
+        "Connect to 192.168.1.1, then retry with 1.0.2 or 2.03.1.": [],
+        "as described in 35.5.2.3.1 and 9.4.2.170": [("section", None, "35.5.2.3.1", None, None), ("section", None, "9.4.2.170", None, None)],
+        "per Section 3 in January.": [("section", "Section", "3", None, None)],
+        "deliver under Section 3 to Buyer": [("section", "Section", "3", None, None)],
+        "Section 3 of the Supply Agreement": [("section", "Section", "3", None, "Supply Agreement")],
+        "Section 12 of Clean Air Act": [("section", "Section", "12", None, None)],
+        "Section 5.6 of NIST SP 800-56A": [("section", "Section", "5.6", None, "NIST SP 800-56A")],
+        "Section 4 of Schedule 2 applies": [("section", "Section", "4", None, None), ("schedule", "Schedule", "2", None, None)],
+        "under the heading “Payment Terms” in the Supply Agreement": [("quoted title", None, "", "Payment Terms", "Supply Agreement")],
+        "so-called “synergies” here": [],
+        "shall follow the rules defined in 35.5.2.3.1 (General), where": [("section", None, "35.5.2.3.1", "General", None)],
+        "see C.3 (MIB detail)": [("section", None, "C.3", "MIB detail", None)],
+        "see 4.2 (Payment terms)": [("section", None, "4.2", "Payment terms", None)],
+        "operates in the 2.4 GHz band per IEEE 802.11 and draft D3.0, about 1.5 times faster": [],
+        "IEEE Std 802.11ax-2021 and 802.11be": [],
+        "see Clause 35.5.2 (EHT UL MU operation)": [("clause", "Clause", "35.5.2", None, None)],
+        "the rule in \"Section 4 of it\" stands": [("section", "Section", "4", None, None)],
+        "see §§ 3": [("section", "§§", "3", None, None)],
+        "sec. 3.1, Sections 4.2, clauses 7": [("section", "sec.", "3.1", None, None), ("section", "Sections", "4.2", None, None), ("clause", "clauses", "7", None, None)],
+        "cl. 5, sch. 2, app. B": [("clause", "cl.", "5", None, None), ("schedule", "sch.", "2", None, None), ("appendix", "app.", "B", None, None)],
+        "annexure C, 1.2 (Scope of work)": [("annex", "annexure", "C", None, None), ("section", None, "1.2", "Scope of work", None)],
+        "": [],
+    }
+    assert dict(zip(cases, found_in(spark, *cases), strict=True)) == cases
+    assert references.extract(spark.createDataFrame([(1, 0, None)], "doc_id long, page_index int, text string")).count() == 0
+
+
+def test_outline_scores(spark):
+    cases = [
+        ("Section 4.2", "Section 4.2 – Payment", 100), ("Section 4.2", "4.2 Payment Terms", 85), ("Section 4.2", "4.2. Payment Terms", 85), ("Section 4.2", "Article 4.2 Payment", 80),
+        ("Section 4.2", "4.25 Other", None), ("Section 4.2", "4.2.1 Invoices", None), ("Section 4.2", "Table 4.2", None), ("Section 4.2", "4.2(b) Late", None),
+        ("Section 4.2(b)", "4.2 Payment Terms", 60), ("Section 4.2(b)", "4.2(b) Late Payment", 85), ("Section 4.2(b)", "4.2(b)(iv) Later", 85), ("Section 4.2(b)", "Section 4.2 x", 70),
+        ("Appendix C", "Appendix C – Pricing", 100), ("Appendix C", "Schedule C", 80), ("Appendix C", "C. Pricing", None), ("Appendix C", "Appendix CD", None), ("Article II", "Article III", None),
+        ("in 35.5.2.3.1 (General), where", "35.5.2.3.1 General", 95), ("in 35.5.2.3.1 (General), where", "35.5.2.3.1 Overview", 85), ("in 35.5.2.3.1 (General), where", "35.5.2.3.10 Other", None), ("in 35.5.2.3.1 (General), where", "35.5.2.3.1 General rules", 90),
+        ("“Payment Terms”", "4.2 Payment Terms", 90), ("“Payment Terms”", "Payment", None), ("“Payment Terms”", "Section 4: Payment Terms and more", 60), ("“Terms”", "Terms of it", None), ("“Terms”", "TERMS", 90),
+    ]
+    refs = references.extract(page(spark, *(text for text, _, _ in cases)))
+    outline = spark.createDataFrame([(100 + k, 0, 0, 10.0, title) for k, (_, title, _) in enumerate(cases)], "doc_id long, node_no long, page_index int, y double, title string")
+    names = spark.createDataFrame([(d, "x", k) for k in range(len(cases)) for d in (k, 100 + k)], "doc_id long, name string, group_id long")
+    got = {r["doc_id"]: r["score"] for r in references.candidates(refs, outline, names).collect()}
+    assert [got.get(k) for k in range(len(cases))] == [score for *_, score in cases]
+
+
+def test_hints(spark):
+    cases = [
+        ("Master Services Agreement.pdf", "Master Services Agreement", 20), ("MSA - Master Agreement v3.pdf", "Master Services Agreement", 20), ("Supply - Master Agreement v3.pdf", "Master Services Agreement", 8),
+        ("MSA_final.pdf", "Master Services Agreement", 20), ("Schedule 2.pdf", "Master Agreement", -10), ("Anything.pdf", None, 0),
+    ]
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, target_name string, hint string, want int")
+    assert [r["got"] for r in frame.withColumn("got", references.hint_adjustment()).orderBy("k").collect()] == [c[2] for c in cases]
+
+
 def test_headings_against_mentions(spark):
     cases = [("", True, " Payment Terms", False), ("", False, " Payment Terms", True), ("see ", True, " of the Agreement", False), ("", False, "5 Other", False), ("", False, ".1 Invoices", False), ("", False, " percent of the fee", False), ("", False, " Payment Terms ........ 12", False), ("(3) ", True, "", False)]
     frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, before string, labelled boolean, after string, bold boolean")
