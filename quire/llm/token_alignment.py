@@ -7,14 +7,11 @@ those beside it, each looked up among the B ends by bisection; at the first shar
 halves go on.  An interval without a shared end inside is a leaf group.  The intervals of many
 documents are probed together.
 
-Tokens of one group are linked, each of A with each of B.  How many documents hold a pair of
-ids linked is counted over the corpus; the documents are then read again and meet the counts:
-pairs that many documents hold (``HOT_PAIRS`` at most) go to every task, the others are few
-in any document and are joined by shuffle.  No pair that is joined so is a hot key, since every
-pair that many documents hold is among the others.
-
-Single spaces between other characters always end tokens of both vocabularies, so texts fall
-into units that encode independently; the ids of short ones are kept in a bounded cache.
+Tokens of one group are linked, each of A with each of B.  Every document's distinct pairs of
+ids are kept in a scratch table; from it, how many documents hold a pair is counted, and the
+documents then meet the counts: pairs that many documents hold (``HOT_PAIRS`` at most) go to
+every task, the others are few in any document and are joined by shuffle.  No pair that is
+joined so is a hot key, since every pair that many documents hold is among the others.
 
 Defined results: a null or empty text, and one whose A or B tokens don't join to its bytes
 (with the space in front), has no tokens and only zeros; strings of special tokens are plain
@@ -25,8 +22,6 @@ empty table gives an empty result; columns beside the id and the text are left a
 from __future__ import annotations
 
 import json
-import os
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,7 +33,8 @@ from pyspark.sql import functions as F
 from quire.llm.store import saved
 
 SPACE = "▁"
-CACHED_UNITS, CACHED_UNIT_CHARS = 300_000, 48
+#: Fixed value: how byte-level vocabularies of this kind cut a text before they merge.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Text bytes that are aligned together; a longer document is alone.
 SLICE_BYTES = 1 << 19
 #: Pairs that are sent to every task.
@@ -47,7 +43,7 @@ HOT_PAIRS = 1_000_000
 HELD_PAIRS = 2_000_000
 #: Groups of more links are counted by their distinct ids.
 WIDE_GROUP = 64
-_UNIT_ENDS = re.compile(r"(?<=\S) (?=\S)")
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,55 +69,40 @@ class Encoders:
     """Encoders of a worker, with the bytes of every token."""
 
     def __init__(self, files: Vocabularies):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel parts
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(files.a)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_proto=files.b)
-        known, letters = self.a.get_vocab(), byte_alphabet()
-        added = {x["id"]: x["content"] for x in json.loads(files.a).get("added_tokens") or []}
-        self.a_bytes = [b""] * (max(known.values()) + 1)
+        from tiktoken import Encoding
+
+        own, letters = json.loads(files.a), byte_alphabet()
+        cutter = own["pre_tokenizer"] or {}
+        if own["model"]["type"] != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or own["normalizer"]:
+            raise ValueError("A has to be a byte-level BPE vocabulary without a normalizer")
+        known, merges = own["model"]["vocab"], [x if isinstance(x, str) else " ".join(x) for x in own["model"]["merges"]]
+        if any(known[x.replace(" ", "")] != len(letters) + k for k, x in enumerate(merges)):
+            raise ValueError("the ids of A have to follow its merges")
+        self.a_bytes = [b""] * len(known)
         for token, i in known.items():
-            self.a_bytes[i] = token.encode() if i in added else bytes([letters[c] for c in token])
+            self.a_bytes[i] = bytes([letters[c] for c in token])
+        self.a = Encoding("a", pat_str=PIECES, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes)}, special_tokens={})
+        self.b = SentencePieceProcessor(model_proto=files.b)
         self.b_bytes = [b""] * self.b.get_piece_size()
         for i in range(len(self.b_bytes)):
             piece = self.b.id_to_piece(i)
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
-        self.units: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both kinds (unsigned 32-bit) of each unit behind a space; None if they don't join to its bytes."""
-        a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        b = self.b.encode(units, num_threads=1)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of " " + text in A and of text in B; none for a text whose tokens don't join to its bytes."""
+        none = np.zeros(0, np.uint32)
         out = []
-        for unit, x, y in zip(units, a, b, strict=True):
-            raw = b" " + unit.encode()
-            whole = b"".join([self.a_bytes[i] for i in x.ids]) == raw == b"".join([self.b_bytes[i] for i in y])
-            out.append((np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if whole else None)
+        for text, pieces in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            raw = (" " + text).encode()
+            if not text or b"".join(map(self.b_bytes.__getitem__, pieces)) != raw:
+                out.append((none, none))
+                continue
+            ids = self.a.encode_to_numpy(raw.decode(), disallowed_special=())
+            out.append((ids, np.array(pieces, np.uint32)) if self.a_lengths[ids].sum() == len(raw) else (none, none))
         return out
 
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of " " + text in A and of text in B; None for a text without tokens."""
-        if not text:
-            return None
-        units = text.split(" ")
-        if list(map(str.strip, units)) != units or "" in units:
-            units = _UNIT_ENDS.split(text)
-        got = list(map(self.units.get, units))
-        if None in got:
-            missing = list({u for u, ids in zip(units, got, strict=True) if ids is None})
-            new = dict(zip(missing, self._encode(missing), strict=True))
-            if None in new.values():
-                return None
-            if len(self.units) + len(new) > CACHED_UNITS:
-                self.units.clear()
-            self.units.update((u, ids) for u, ids in new.items() if len(u) <= CACHED_UNIT_CHARS and len(self.units) < CACHED_UNITS)
-            got = [new[u] if ids is None else ids for u, ids in zip(units, got, strict=True)]
-        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
-
 
 _encoders: dict[int, Encoders] = {}
 
@@ -224,11 +205,11 @@ class Aligned(NamedTuple):
         return [raw[x : max(x, y - 1)] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def aligned(coder: Encoders, encoded: list[tuple[bytes, bytes] | None]) -> Aligned:
-    """The alignment of documents from their ids."""
-    empty = (b"", b"")
-    a, b = (np.frombuffer(b"".join([(x or empty)[k] for x in encoded]), "<u4").astype(np.int64) for k in (0, 1))
-    a_cuts, b_cuts = (np.cumsum([0, *(len((x or empty)[k]) // 4 for x in encoded)]) for k in (0, 1))
+def aligned(coder: Encoders, texts: list[str]) -> Aligned:
+    """The alignment of documents."""
+    sides = list(zip(*coder.encode(texts), strict=True))
+    a, b = (np.concatenate(x).astype(np.int64) for x in sides)
+    a_cuts, b_cuts = (np.cumsum([0, *map(len, x)]) for x in sides)
     last_a, last_b = shared_ends(np.cumsum(coder.a_lengths[a]), np.cumsum(coder.b_lengths[b]), a_cuts, b_cuts)
     a_starts, b_starts = np.concatenate([[0], last_a + 1]), np.concatenate([[0], last_b + 1])
     return Aligned(a, b, a_cuts, b_cuts, a_starts, b_starts, np.searchsorted(a_cuts, last_a, "right") - 1)
@@ -237,52 +218,81 @@ def aligned(coder: Encoders, encoded: list[tuple[bytes, bytes] | None]) -> Align
 def _slices(batches: Iterator[pa.RecordBatch], coder: Encoders) -> Iterator[tuple[pa.Array, Aligned]]:
     """(ids, alignment) of the rows (id, text) in slices."""
     for batch in batches:
-        at, size, done = 0, 0, []
+        at, size, texts = 0, 0, []
         for k in range(batch.num_rows):
-            text = batch.column(1)[k].as_py() or ""
-            done.append(coder.encode(text))
-            size += len(text)
+            texts.append(batch.column(1)[k].as_py() or "")
+            size += len(texts[-1])
             if size >= SLICE_BYTES or k + 1 == batch.num_rows:
-                yield batch.column(0).slice(at, len(done)), aligned(coder, done)
-                at, size, done = k + 1, 0, []
+                yield batch.column(0).slice(at, len(texts)), aligned(coder, texts)
+                at, size, texts = k + 1, 0, []
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _cuts(doc: np.ndarray, docs: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
 
 
 def align(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, a_ids, b_ids, and of each group how many A and B tokens there are up to its end (a_upto, b_upto)."""
     shared = docs.sparkSession.sparkContext.broadcast(files)  # vocabulary files
 
-    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, got in _slices(batches, encoders(shared.value)):
-            groups = np.concatenate([[0], np.cumsum(np.bincount(got.doc, minlength=got.docs))])
-            upto = [lists(starts[1:] - cuts[got.doc], groups) for starts, cuts in ((got.a_starts, got.a_cuts), (got.b_starts, got.b_cuts))]
-            yield pa.RecordBatch.from_arrays([ids, lists(got.a, got.a_cuts), lists(got.b, got.b_cuts), *upto], ["id", "a_ids", "b_ids", "a_upto", "b_upto"])
+            groups = _cuts(got.doc, got.docs)
+            upto = [_lists(starts[1:] - cuts[got.doc], groups) for starts, cuts in ((got.a_starts, got.a_cuts), (got.b_starts, got.b_cuts))]
+            yield pa.RecordBatch.from_arrays([ids, _lists(got.a, got.a_cuts), _lists(got.b, got.b_cuts), *upto], ["id", "a_ids", "b_ids", "a_upto", "b_upto"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, a_upto array<int>, b_upto array<int>")
 
 
-def pair_counts(docs: DataFrame, files: Vocabularies, text_col: str = "text") -> DataFrame:
-    """a, b, n (how many documents hold the pair linked) and best (no pair of this A id is held by more), as a table."""
+def linked_pairs(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_a, n_b, n_groups, n_links, groups (decimal ids, as bytes), and the distinct linked pairs as lists a, b, times, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(files)  # vocabulary files
+    names = ["id", *_NUMBERS, "groups", "a", "b", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, got in _slices(batches, encoders(shared.value)):
+            na, nb = got.sizes()
+            first = _cuts(got.doc, got.docs)
+            n_links = np.diff(np.concatenate([[0], np.cumsum(na * nb)])[first])
+            doc, a, b, times = got.links()
+            cuts = _cuts(doc, got.docs)
+            numbers = [np.diff(got.a_cuts), np.diff(got.b_cuts), np.diff(first), n_links]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(got.texts(), pa.binary()), _lists(a, cuts), _lists(b, cuts), _lists(times, cuts)], names)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    numbers = ", ".join(f"{x} long" for x in _NUMBERS)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {numbers}, groups binary, a array<int>, b array<int>, times array<int>")
+
+
+def _keys(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of list columns ``at`` and ``at + 1`` as numbers, and the row of each."""
+    a, b = (batch.column(at + k).flatten().to_numpy().astype(np.int64) for k in (0, 1))
+    return a << 32 | b, np.repeat(np.arange(batch.num_rows), batch.column(at).value_lengths().to_numpy())
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """a, b, n (how many rows of ``pairs(a, b)`` hold the pair) and best (no pair of this A id is held by more), as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, loose, n_loose = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate([held, *loose]), return_inverse=True)
-            weights = np.concatenate([counts, np.ones(len(times) - len(counts), np.int64)])
-            return new, np.bincount(times, weights=weights, minlength=len(new)).astype(np.int64)
+            new, place = np.unique(np.concatenate([held, *loose]), return_inverse=True)
+            weights = np.concatenate([counts, np.ones(len(place) - len(counts), np.int64)])
+            return new, np.bincount(place, weights=weights, minlength=len(new)).astype(np.int64)
 
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held >> 32), pa.array(held & 0xFFFFFFFF), pa.array(counts)], ["a", "b", "n"])
 
-        for _, got in _slices(batches, encoders(shared.value)):
-            _, a, b, _ = got.links()
-            loose.append(a << 32 | b)
-            n_loose += len(a)
+        for batch in batches:
+            key, _ = _keys(batch, 0)
+            loose.append(key)
+            n_loose += len(key)
             if n_loose >= HELD_PAIRS:
                 held, counts = merged()
                 loose, n_loose = [], 0
@@ -292,7 +302,7 @@ def pair_counts(docs: DataFrame, files: Vocabularies, text_col: str = "text") ->
         held, counts = merged()
         yield sent()
 
-    parts = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "a long, b long, n long")
+    parts = pairs.select("a", "b").mapInArrow(run, "a long, b long, n long")
     counts = saved(parts.groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
     top = counts.groupBy("a").agg(F.max("n").alias("most"))  # one row for each id of the vocabulary
     return saved(counts.join(F.broadcast(top), "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "pair-counts")
@@ -311,45 +321,44 @@ def least_hot(counts: DataFrame, limit: int) -> int:
 
 
 def score(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 (of the groups in decimal; '' without tokens) of every row."""
-    spark = docs.sparkSession
-    counts = pair_counts(docs, files, text_col)
+    """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 ('' without tokens) of every row."""
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    linked = saved(linked_pairs(docs, files, id_col, text_col).select("id", *_NUMBERS, digest, "a", "b", "times"), "linked-pairs")
+    counts = pair_counts(linked)
     least = least_hot(counts, hot_pairs)
     hot = counts.where(F.col("n") >= least).toArrow()  # ``hot_pairs`` rows at most
     key = hot.column("a").to_numpy() << 32 | hot.column("b").to_numpy()
     order = np.argsort(key)
-    known = spark.sparkContext.broadcast((files, key[order], hot.column("n").to_numpy()[order], hot.column("best").to_numpy()[order]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "cold"]
+    known = docs.sparkSession.sparkContext.broadcast((key[order], hot.column("n").to_numpy()[order], hot.column("best").to_numpy()[order]))
+    carried, new = ["id", *_NUMBERS, "groups_sha256"], ["n_best", "count_sum", "cold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hot_key, hot_n, hot_best = known.value
-        for ids, got in _slices(batches, encoders(own)):
-            doc, a, b, times = got.links()
-            pair = a << 32 | b
+        hot_key, hot_n, hot_best = known.value
+        for batch in batches:
+            pair, row = _keys(batch, len(carried))
+            times = batch.column(len(carried) + 2).flatten().to_numpy().astype(np.int64)
             at = np.minimum(np.searchsorted(hot_key, pair), max(0, len(hot_key) - 1))
             here = hot_key[at] == pair if len(hot_key) else np.zeros(len(pair), bool)
-            n_best, count_sum = np.zeros(got.docs, np.int64), np.zeros(got.docs, np.int64)
-            np.add.at(n_best, doc[here], times[here] * hot_best[at[here]])
-            np.add.at(count_sum, doc[here], times[here] * hot_n[at[here]])
+            ends = np.concatenate([[0], np.cumsum(batch.column(len(carried)).value_lengths().to_numpy())])
+
+            def per_row(values: np.ndarray, ends=ends) -> pa.Array:
+                return pa.array(np.diff(np.concatenate([[0], np.cumsum(values)])[ends]))
+
+            held = np.where(here, times, 0)
+            n, best = (hot_n[at], hot_best[at]) if len(hot_key) else (held, held)
             cold = ~here
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[cold], minlength=got.docs))]).astype(np.int32)
-            others = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(a[cold]), pa.array(b[cold]), pa.array(times[cold])], ["a", "b", "times"]))
-            na, nb = got.sizes()
-            n_links = np.zeros(got.docs, np.int64)
-            np.add.at(n_links, got.doc, na * nb)
-            numbers = [np.diff(got.a_cuts), np.diff(got.b_cuts), np.bincount(got.doc, minlength=got.docs), n_links, n_best, count_sum]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(got.texts(), pa.binary()), others], names)
-
-    kind = rows.schema["id"].dataType.simpleString()
-    numbers = ", ".join(f"{x} long" for x in names[1:7])
-    scored = rows.mapInArrow(run, f"id {kind}, {numbers}, groups binary, cold array<struct<a:long,b:long,times:long>>")
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
-    out = saved(scored.select(*names[:7], digest, "cold", F.monotonically_increasing_id().alias("row")), "scored")
+            cuts = pa.array(_cuts(row[cold], batch.num_rows).astype(np.int32))
+            fields = [pa.array(pair[cold] >> 32), pa.array(pair[cold] & 0xFFFFFFFF), pa.array(times[cold])]
+            others = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(fields, ["a", "b", "times"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carried))), per_row(held * best), per_row(held * n), others], [*carried, *new])
+
+    kinds = ", ".join(f"{x} {linked.schema[x].dataType.simpleString()}" for x in carried)
+    scored = linked.select(*carried, "a", "b", "times").mapInArrow(run, f"{kinds}, n_best long, count_sum long, cold array<struct<a:long,b:long,times:long>>")
     if least > 0:  # some pairs didn't go to the tasks
+        out = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         rare = counts.where(F.col("n") < least)
         met = out.select("row", F.inline("cold")).join(rare, ["a", "b"])
         more = met.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"))
-        out = out.join(more, "row", "left")
-        out = out.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0)))
-    return out.select(*names[:7], "groups_sha256")
+        scored = out.join(more, "row", "left")
+        scored = scored.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0)))
+    return scored.select("id", *_NUMBERS, "n_best", "count_sum", "groups_sha256")

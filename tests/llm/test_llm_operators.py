@@ -611,8 +611,9 @@ def brute_alignment(texts):
             continue
         ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (a, b)]
         cuts, out, at = sorted(set(ends[0]) & set(ends[1])), [], [0, 0]
+        places = [{e: k + 1 for k, e in enumerate(side)} for side in ends]
         for cut in cuts:
-            upto = [e.index(cut) + 1 for e in ends]
+            upto = [p[cut] for p in places]
             out.append(tuple([i for i, _ in side[x:y]] for side, x, y in zip((a, b), at, upto, strict=True)))
             at = upto
         groups.append(out)
@@ -636,7 +637,7 @@ def odd_texts(n):
 
 @pytest.mark.parametrize("hot_pairs", [1_000_000, 40, 0])
 def test_token_alignment(spark, rows, hot_pairs):
-    texts = [r[1] for r in rows] + odd_texts(400) + ["a" * 5000, "=" * 3000 + "-" * 777, "漢" * 2000]
+    texts = [r[1] for r in rows] + odd_texts(400) + ["a" * 5000, "=" * 3000 + "-" * 777, "漢" * 2000, " " * 30_000, "x" + "\n" * 20_000 + " y"]
     table = spark.createDataFrame([(k % 300, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_a string").repartition(3)
     got = Counter(tuple(r) for r in token_alignment.score(table, FILES, hot_pairs=hot_pairs).collect())
     assert got == Counter((k % 300, *x) for k, x in enumerate(brute_alignment(texts)))
