@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import saved
+
 MOST_LINES, MOST_CHARS, LEVELS = 3, 160, 6
 SECTION_REACH = 6.0
 CAPTION = r"(?i)^(?:figure|fig\.|table|equation)\s*[0-9]"
@@ -86,12 +88,26 @@ def sections_of(places: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def outline_paths(outline: DataFrame) -> DataFrame:
-    """Nodes with depth and path (titles from the root) and path_nos; ``outline`` has node_no, parent_no, title."""
-    cur = outline.select("doc_id", "node_no", "title", F.col("parent_no").alias("above"), F.array("title").alias("path"), F.array("node_no").alias("path_nos"))
-    parents = outline.select("doc_id", F.col("node_no").alias("above"), F.col("title").alias("t"), F.col("parent_no").alias("next"))
-    for _ in range(LEVELS - 1):  # a nesting has at most LEVELS levels
-        cur = cur.join(parents, ["doc_id", "above"], "left").select("doc_id", "node_no", "title", F.col("next").alias("above"), F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat(F.array("t"), "path")).alias("path"), F.when(F.col("t").isNull(), F.col("path_nos")).otherwise(F.concat(F.array("above"), "path_nos")).alias("path_nos"))
-    return cur.select("doc_id", "node_no", "title", F.size("path").alias("depth"), "path", "path_nos")
+    """Nodes with depth and path (titles from the root) and path_nos; ``outline`` has node_no, parent_no, title.
+
+    Any depth: every round joins each open path with the path that ends at the node above it, so
+    paths double and log2(depth) rounds are enough.  A parent that is no node makes a root.  A path
+    longer than its document has nodes runs in a cycle; such nodes, and those below them, stand
+    alone.
+    """
+    sizes = outline.groupBy("doc_id").agg(F.count("*").alias("n"))
+    state = outline.join(sizes, "doc_id").select("doc_id", "node_no", "title", F.col("parent_no").alias("above"), F.array("title").alias("path"), F.array("node_no").alias("path_nos"), F.lit(False).alias("cyclic"), "n")
+    state = saved(state, "outline-paths")
+    while state.where("above IS NOT NULL").limit(1).count():
+        upper = state.select("doc_id", F.col("node_no").alias("above"), F.col("above").alias("next"), F.col("path").alias("up"), F.col("path_nos").alias("up_nos"), F.col("cyclic").alias("up_cyclic"))
+        met = state.join(upper, ["doc_id", "above"], "left")
+        cyclic = F.col("cyclic") | F.coalesce("up_cyclic", F.lit(False)) | (F.size("path") + F.coalesce(F.size("up"), F.lit(0)) > F.col("n"))
+        found = F.col("up").isNotNull()
+        longer = lambda up, own: F.when(found & ~cyclic, F.concat(up, own)).otherwise(F.col(own)).alias(own)
+        state = saved(met.select("doc_id", "node_no", "title", F.when(found & ~cyclic, F.col("next")).alias("above"), longer("up", "path"), longer("up_nos", "path_nos"), cyclic.alias("cyclic"), "n"), "outline-paths")
+    alone = F.col("cyclic")
+    path, path_nos = F.when(alone, F.array("title")).otherwise(F.col("path")), F.when(alone, F.array("node_no")).otherwise(F.col("path_nos"))
+    return state.select("doc_id", "node_no", "title", F.size(path).alias("depth"), path.alias("path"), path_nos.alias("path_nos"))
 
 
 def subtree_counts(paths: DataFrame, hits: DataFrame) -> DataFrame:

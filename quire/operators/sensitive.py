@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, search_pattern
+from quire.operators.review import MOST_JUMPS
+from quire.sources.shared import saved
 
 #: The formats that are found, in any case; matches needn't be whole words.
 PRESETS = {
@@ -113,6 +115,63 @@ def scrub(rows: DataFrame, redacted_docs: DataFrame, blank: list[str]) -> DataFr
     return hit.withColumns({c: F.when(F.col("_hit").isNull(), F.col(c)) for c in blank}).drop("_hit")
 
 
+#: Points a tile is wide and high.
+TILE = 128
+#: Kinds of marks that a region leaves alone, and kinds without replies.
+UNTOUCHED, FIELDS = ("popup", "link", "redact"), ("widget",)
+
+
+def _tiles(boxes: DataFrame) -> DataFrame:
+    """Boxes, with their corners in order, once for each tile that they reach into."""
+    x0, x1, y0, y1 = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
+    placed = boxes.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}).where("x0 < x1 AND y0 < y1")
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / TILE), F.floor(F.col(high) / TILE)))
+    return placed.withColumn("tile_x", span("x0", "x1")).withColumn("tile_y", span("y0", "y1"))
+
+
+def touched(boxes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of boxes (doc_id, page_index, x0, y0, x1, y1) that share some area with a region of their page.
+
+    Boxes and regions meet in tiles; the tile of the shared area's first corner owns the pair, so
+    each pair comes once.  Corners may come in any order; boxes without area touch nothing.
+    """
+    areas = _tiles(regions.select("doc_id", "page_index", "x0", "y0", "x1", "y1")).select("doc_id", "page_index", "tile_x", "tile_y", *(F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")))
+    met = _tiles(boxes).join(areas, ["doc_id", "page_index", "tile_x", "tile_y"]).where("x0 < rx1 AND rx0 < x1 AND y0 < ry1 AND ry0 < y1")
+    owned = (F.col("tile_x") == F.floor(F.greatest("x0", "rx0") / TILE)) & (F.col("tile_y") == F.floor(F.greatest("y0", "ry0") / TILE))
+    return met.where(owned).select(*keys).distinct()
+
+
+def with_replies(marks: DataFrame, hit: DataFrame) -> DataFrame:
+    """doc_id, page_index, obj of the marks in ``hit`` and of all replies to them on their page, at any depth.
+
+    Marks look at the mark they answer; each round every mark takes over the verdict and the
+    pointer of the one it looks at, which doubles its reach.  Replies in a circle share a verdict;
+    fields answer nothing and take nothing along.
+    """
+    keys = ["doc_id", "page_index", "obj"]
+    field = F.coalesce(F.col("kind").isin(*FIELDS), F.lit(False))
+    looks = marks.select(*keys, F.when(~field, F.col("parent_obj")).alias("up"), field.alias("field"))
+    state = saved(looks.join(hit.select(*keys).distinct().withColumn("hit", F.lit(True)), keys, "left").select(*keys, "up", "field", F.coalesce("hit", F.lit(False)).alias("hit")), "replies")
+    for _ in range(MOST_JUMPS):
+        above = state.select("doc_id", "page_index", F.col("obj").alias("up"), F.col("up").alias("next"), (F.col("hit") & ~F.col("field")).alias("above_hit"))
+        state = saved(state.join(above, ["doc_id", "page_index", "up"], "left").select(*keys, F.col("next").alias("up"), "field", (F.col("hit") | F.coalesce("above_hit", F.lit(False))).alias("hit")), "replies")
+        if not state.where("up IS NOT NULL AND NOT hit").limit(1).count():
+            break
+    return state.where("hit").select(*keys)
+
+
+def scrub_regions(marks: DataFrame, regions: DataFrame) -> DataFrame:
+    """The comments and fields that stay when regions are redacted.
+
+    ``marks`` has doc_id, page_index, obj, parent_obj, kind and a box.  Those that touch a region
+    go, comments with all their replies on the page; popups, links and redaction marks are neither
+    judged nor spared: they go only as replies.
+    """
+    keys = ["doc_id", "page_index", "obj"]
+    hit = touched(marks.where(~F.coalesce("kind", F.lit("")).isin(*UNTOUCHED)), regions, keys)
+    return marks.join(with_replies(marks, hit), keys, "left_anti")
+
+
 def invalidate(derived: DataFrame, redacted_pages: DataFrame) -> DataFrame:
     """Derived rows (chunks, recognised text) of pages that weren't redacted."""
     return derived.join(redacted_pages, ["doc_id", "page_index"], "left_anti")

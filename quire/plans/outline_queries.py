@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import outline as O
@@ -70,6 +70,26 @@ def o5_outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.outline_paths(outline_nodes(spark, sf_dir)).select("doc_id", "node_no", "title", "depth", F.array_join("path", " > ").alias("path"))
 
 
+@query("""
+    WITH RECURSIVE nodes AS (
+        SELECT o_custkey AS doc_id, o_orderkey AS node_no, o_orderpriority || ' ' || o_orderkey AS title, CASE
+                   WHEN o_orderkey % 31 = 0 THEN -1
+                   WHEN o_custkey % 50 = 7 THEN coalesce(lag(o_orderkey) OVER w, max(o_orderkey) OVER (PARTITION BY o_custkey))
+                   ELSE lag(o_orderkey) OVER w END AS parent_no
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    paths AS (
+        SELECT *, [title] AS path FROM nodes n WHERE parent_no IS NULL OR parent_no = -1
+        UNION ALL SELECT n.*, list_append(p.path, n.title) FROM nodes n JOIN paths p ON n.doc_id = p.doc_id AND n.parent_no = p.node_no)
+    SELECT doc_id, node_no, CAST(coalesce(len(p.path), 1) AS INT) AS depth, array_to_string(coalesce(p.path, [n.title]), ' > ') AS path FROM nodes n LEFT JOIN paths p USING (doc_id, node_no)""")
+def o5_deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order of a customer stands below the one before it; some have a parent that is missing, and some customers' orders run in a circle."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before, last = F.lag("o_orderkey").over(order), F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
+    parent = F.when(F.col("o_orderkey") % 31 == 0, -1).when(F.col("o_custkey") % 50 == 7, F.coalesce(before, last)).otherwise(before)
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("node_no"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("title"), parent.alias("parent_no"))
+    return O.outline_paths(nodes).select("doc_id", "node_no", "depth", F.array_join("path", " > ").alias("path"))
+
+
 @query(f"""WITH {PATHS_SQL}, hits AS (SELECT event_id AS node_no, 1 + event_id % 3 AS n FROM events WHERE event_type = 'click'),
     rolled AS (SELECT above AS node_no, sum(n) AS n FROM (SELECT unnest(path_nos) AS above, n FROM paths JOIN hits USING (node_no)) GROUP BY 1)
     SELECT doc_id, node_no, CAST(len(path) AS INT) AS depth, CAST(coalesce(n, 0) AS BIGINT) AS n FROM paths LEFT JOIN rolled USING (node_no)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.matches import matches_sql, search_pattern
@@ -184,6 +184,29 @@ def r5_document_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitive.scrub(docs, sensitive.scan(_pages(spark, sf_dir)), ["lang", "source"])
 
 
+@query("""
+    WITH RECURSIVE marks AS (
+        SELECT o_custkey AS doc_id, CAST(o_orderkey % 2 AS INT) AS page_index, o_orderkey AS obj, CASE WHEN o_orderkey % 3 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) END AS parent_obj,
+               CASE o_orderkey % 7 WHEN 0 THEN 'popup' WHEN 1 THEN 'link' WHEN 2 THEN 'widget' ELSE 'note' END AS kind,
+               o_orderkey * 37 % 500 AS x0, o_orderkey * 37 % 500 + 15 + o_orderkey % 90 AS x1, o_orderkey * 53 % 700 - 8 - o_orderkey % 60 AS y0, o_orderkey * 53 % 700 AS y1 FROM orders),
+    regions AS (SELECT o_custkey AS doc_id, o_orderkey % 2 AS page_index, o_orderkey * 71 % 480 AS x0, o_orderkey * 71 % 480 + 120 AS x1, o_orderkey * 29 % 690 AS y0, o_orderkey * 29 % 690 + 50 AS y1 FROM orders WHERE o_orderstatus = 'P'),
+    gone AS (
+        SELECT m.doc_id, m.page_index, m.obj, m.kind FROM marks m JOIN regions r ON m.doc_id = r.doc_id AND m.page_index = r.page_index AND m.x0 < r.x1 AND r.x0 < m.x1 AND m.y0 < r.y1 AND r.y0 < m.y1 WHERE m.kind NOT IN ('popup', 'link')
+        UNION SELECT m.doc_id, m.page_index, m.obj, m.kind FROM marks m JOIN gone g ON m.doc_id = g.doc_id AND m.page_index = g.page_index AND m.parent_obj = g.obj WHERE m.kind <> 'widget' AND g.kind <> 'widget')
+    SELECT doc_id, page_index, obj, kind FROM marks ANTI JOIN gone USING (doc_id, page_index, obj)""")
+def r5_region_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mark for each order, some replies to the one before; the regions are few, as redactions are: those of orders of one status."""
+    k, order = F.col("o_orderkey"), Window.partitionBy("o_custkey", F.col("o_orderkey") % 2).orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    place = [F.col("o_custkey").alias("doc_id"), (k % 2).cast("int").alias("page_index")]
+    kind = F.when(k % 7 == 0, "popup").when(k % 7 == 1, "link").when(k % 7 == 2, "widget").otherwise("note")
+    x, y = k * 37 % 500, k * 53 % 700
+    marks = orders.select(*place, k.alias("obj"), F.when(k % 3 == 0, F.lag(k).over(order)).alias("parent_obj"), kind.alias("kind"), x.alias("x0"), y.alias("y0"), (x + 15 + k % 90).alias("x1"), (y - 8 - k % 60).alias("y1"))
+    x, y = k * 71 % 480, k * 29 % 690
+    regions = orders.where("o_orderstatus = 'P'").select(*place, x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 50).alias("y1"))
+    return sensitive.scrub_regions(marks, regions).select("doc_id", "page_index", "obj", "kind")
+
+
 @query(f"""WITH {FINDINGS_SQL} SELECT doc_id, CAST(page_index AS INT) AS page_index, length(text) AS n FROM page_text p
     WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.doc_id = p.doc_id AND f.page_index = p.page_index)""")
 def r6_derived_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:

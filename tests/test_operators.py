@@ -271,6 +271,30 @@ def test_references(spark):
     assert not any(d == 1 and i == "1.0.2" for d, i, *_ in got)
 
 
+def test_regions_take_replies_along(spark):
+    marks = [
+        (1, 0, 1, None, "note", 10, 10, 50, 30), (1, 0, 2, 1, "note", 400, 400, 410, 410), (1, 0, 3, 2, "popup", 0, 600, 9, 610), (1, 0, 4, None, "note", 50, 10, 90, 30), (1, 1, 5, 1, "note", 10, 10, 50, 30),
+        (1, 0, 6, None, "link", 10, 10, 50, 30), (1, 0, 7, 6, "note", 300, 300, 320, 320), (1, 0, 8, None, "widget", 300, 90, 0, 20), (1, 0, 9, 8, "note", 500, 500, 510, 510), (1, 0, 10, 11, "note", 700, 700, 710, 710), (1, 0, 11, 10, "note", 20, 20, 25, 25),
+        (1, 0, 12, 99, "widget", 700, 100, 710, 110), (1, 0, 13, 1, "widget", 700, 100, 710, 110), (2, 0, 1, None, "note", 10, 10, 50, 30), (1, 0, 14, None, None, 25, 25, 25, 40),
+    ]
+    frame = spark.createDataFrame([(*m[:5], *map(float, m[5:])) for m in marks], "doc_id long, page_index int, obj long, parent_obj long, kind string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    regions = spark.createDataFrame([(1, 0, 50.0, 30.0, 5.0, 5.0), (1, 0, 0.0, 0.0, 50.0, 300.0)], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    kept = {(r["doc_id"], r["page_index"], r["obj"]) for r in sensitive.scrub_regions(frame, regions).collect()}
+    # 1 goes with 2 and 3; 8 is a field and goes without 9; 10 and 11 answer each other; 4 only touches the edge; 13 is a field and no reply; 14 has no area
+    assert kept == {(1, 0, 4), (1, 1, 5), (1, 0, 6), (1, 0, 7), (1, 0, 9), (1, 0, 12), (1, 0, 13), (2, 0, 1), (1, 0, 14)}
+
+
+def test_outlines_of_any_depth(spark):
+    chain = [(1, k, k - 1 if k else None, f"t{k}") for k in range(40)]
+    odd = [(2, 0, 99, "lost"), (2, 1, 0, "child"), (3, 0, 1, "a"), (3, 1, 0, "b"), (3, 2, 1, "c"), (3, 3, 3, "self"), (3, 4, 2, "below"), (4, 0, None, None)]
+    nodes = spark.createDataFrame(chain + odd, "doc_id long, node_no long, parent_no long, title string").repartition(4)
+    got = {(r["doc_id"], r["node_no"]): (r["depth"], r["path"], r["path_nos"]) for r in outline.outline_paths(nodes).collect()}
+    assert all(got[1, k] == (k + 1, [f"t{j}" for j in range(k + 1)], list(range(k + 1))) for k in range(40))
+    assert got[2, 1] == (2, ["lost", "child"], [0, 1]) and got[4, 0] == (1, [None], [0])
+    assert all(got[3, k] == (1, [t], [k]) for k, t in enumerate(["a", "b", "c", "self", "below"]))
+    assert outline.outline_paths(nodes.limit(0)).count() == 0
+
+
 def found_in(spark, *texts):
     """Of each text: (kind, label, identifier, title, hint) of its references."""
     out = [[] for _ in texts]
