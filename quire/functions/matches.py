@@ -33,6 +33,32 @@ def smart_pattern(query: str) -> str:
     return "".join(out)
 
 
+_TEXT_RUN = re.compile(DASH_OR_SPACE)
+_FOLDED = {ord(c): "'" for c in SINGLE_QUOTES} | {ord(c): '"' for c in DOUBLE_QUOTES} | {c: c + 32 for c in range(65, 91)}
+
+
+def fold(text: str) -> str:
+    """The text as smart search sees it: runs of dashes and white space are one space, quotes plain, A-Z small."""
+    return _TEXT_RUN.sub(" ", text).translate(_FOLDED)
+
+
+def folded_query(query: str) -> str:
+    """A smart query in the same form, without quotes around it."""
+    if len(query) > 1 and query[0] in SINGLE_QUOTES + DOUBLE_QUOTES and query[-1] in SINGLE_QUOTES + DOUBLE_QUOTES:
+        query = query[1:-1]
+    return fold(query)
+
+
+def unfolded(text: str) -> list[int]:
+    """Where each letter of ``fold(text)``, and its end, is in the text."""
+    places, at = [], 0
+    for run in _TEXT_RUN.finditer(text):
+        places.extend(range(at, run.start() + 1))
+        at = run.end()
+    places.extend(range(at, len(text) + 1))
+    return places
+
+
 def space_pattern(query: str) -> str:
     """White-space runs match any white-space run, the rest itself."""
     return "[ \\t\\n\\r\\f]+".join(literal(w) for w in re.split(r"\s+", query))

@@ -452,7 +452,7 @@ def streamed(spark, folder, schema, rows, batch=4):
 
 def finish(stream, folder, sink):
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/ck")
-    query = (writer.foreachBatch(sink) if callable(sink) else writer.format("memory").queryName(sink).outputMode("append")).start()
+    query = (writer.foreachBatch(sink).outputMode("update") if callable(sink) else writer.format("memory").queryName(sink).outputMode("append")).start()
     query.processAllAvailable()
     query.stop()
 
@@ -466,28 +466,73 @@ def at(k):
 
 
 def test_states_and_searches_end_as_their_batch_twins(spark, tmp_path):
-    stream, all_rows = streamed(spark, f"{tmp_path}/a", state.STATES, [(k % 5 or None, k, at(k)) for k in range(14)])
-    finish(stream, f"{tmp_path}/a", state.merge_states(f"{tmp_path}/a/out"))
-    got = state.current(spark, f"{tmp_path}/a/out", "key", state.STATES)
-    want = state.latest_states(all_rows.where("key IS NOT NULL"))
-    assert rows_of(got) == rows_of(want) and got.count() == 4
-    stream, all_rows = streamed(spark, f"{tmp_path}/p", state.STATES, [(k, k, at((7 * k) % 20)) for k in range(20)])
+    stream, all_rows = streamed(spark, f"{tmp_path}/a", state.STATES, [(str(k % 5) if k % 5 else None, k % 7, at((5 * k) % 14)) for k in range(14)])
+    out = f"{tmp_path}/a/out"
+    finish(state.reading_states(stream), f"{tmp_path}/a", state.change_log(out))
+    log = spark.read.parquet(out)
+    assert rows_of(state.newest(log.select("key", "last_page", "updated_at"), "key", "updated_at", "last_page")) == rows_of(state.latest_states(all_rows.where("key IS NOT NULL")))
+    # after a restart the state goes on: a later update counts, an older one changes nothing, and only the keys of the batch are written
+    more = spark.createDataFrame([("1", 99, at(50)), ("2", 98, "2000-01-01")], "key string, last_page long, t string").selectExpr("key", "last_page", "to_timestamp(t) AS updated_at")
+    more.coalesce(1).write.parquet(f"{tmp_path}/a/in/b900")
+    finish(state.reading_states(stream), f"{tmp_path}/a", state.change_log(out))
+    log = spark.read.parquet(out)
+    assert [r[:2] for r in rows_of(log.where(F.col("v") == log.agg(F.max("v")).first()[0]).select("key", "last_page"))] == [("1", 99)]
+    assert rows_of(state.newest(log.select("key", "last_page", "updated_at"), "key", "updated_at", "last_page")) == rows_of(state.latest_states(spark.read.schema(state.STATES).parquet(f"{tmp_path}/a/in/*").where("key IS NOT NULL")))
+    stream, all_rows = streamed(spark, f"{tmp_path}/p", state.STATES, [(str(k), k, at((7 * k) % 20)) for k in range(20)])
     finish(stream, f"{tmp_path}/p", state.merge_and_prune(f"{tmp_path}/p/out", limit=6, kept=3))
-    left = rows_of(state.current(spark, f"{tmp_path}/p/out", "key", state.STATES))
+    left = rows_of(state.pruned_version(spark, f"{tmp_path}/p/out", 4))
     assert 3 <= len(left) <= 6 and max(all_rows.collect(), key=lambda r: r["updated_at"])["key"] in [r[0] for r in left]
-    searches = [(k % 2, ("Pump", "pump", "valve", "  ", f"q{k}")[k % 5], at(k)) for k in range(40)]
+    searches = [(k % 2, ("Pump", "pump", "valve", "  ", f"q{k}")[k % 5], at(k)) for k in range(40)] + [(None, "x", at(1)), (1, None, at(1))]
     stream, all_rows = streamed(spark, f"{tmp_path}/s", state.SEARCHES, searches, batch=9)
-    finish(stream, f"{tmp_path}/s", state.merge_searches(f"{tmp_path}/s/out", kept=4))
-    want = state.recent_searches(all_rows, kept=4)
-    assert rows_of(state.current(spark, f"{tmp_path}/s/out", "key", state.SEARCHES)) == rows_of(want.select("key", "query", "ts")) and want.where("key = 0").count() == 4
+    finish(state.search_lists(stream, kept=4), f"{tmp_path}/s", state.change_log(f"{tmp_path}/s/out"))
+    want = state.recent_searches(all_rows.where("key IS NOT NULL"), kept=4)
+    assert rows_of(state.listed_searches(spark.read.parquet(f"{tmp_path}/s/out"))) == rows_of(want) and want.where("key = 0").count() == 4
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
-    merge = state.merge_states(f"{tmp_path}/out")
-    batches = [spark.createDataFrame(rows, "key long, last_page long, t string").selectExpr("key", "last_page", "cast(t AS timestamp) AS updated_at") for rows in ([(1, 5, at(1)), (2, 6, at(1))], [(1, 7, at(2))])]
-    for number, frame in ((0, batches[0]), (1, batches[1]), (1, batches[1])):
-        merge(frame, number)
-    assert [r[:2] for r in rows_of(state.current(spark, f"{tmp_path}/out", "key", state.STATES))] == [(1, 7), (2, 6)]
+    keep, frames = state.merge_and_prune(f"{tmp_path}/out"), [[("1", 5, at(1)), ("2", 6, at(1))], [("1", 7, at(2))]]
+    batches = [spark.createDataFrame(rows, "key string, last_page long, t string").selectExpr("key", "last_page", "cast(t AS timestamp) AS updated_at") for rows in frames]
+    for number in (0, 1, 1):
+        keep(batches[number], number)
+    assert [r[:2] for r in rows_of(state.pruned_version(spark, f"{tmp_path}/out", 1))] == [("1", 7), ("2", 6)]
+    log = state.change_log(f"{tmp_path}/log")
+    for number in (0, 1, 1):
+        log(batches[number], number)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 3
+
+
+def test_keys_are_the_same_on_every_machine(spark):
+    cases = [
+        ("/Users/a/Library/Mobile Documents/com~apple~CloudDocs/x/y.pdf", False, "icloud:com~apple~CloudDocs/x/y.pdf"), ("/Users/b/Library/Mobile Documents/Other/z.pdf", None, "icloud:Other/z.pdf"), ("/home/c/Library/CloudStorage/Box//d/./z.pdf", False, "cloudstorage:Box/d/z.pdf"),
+        ("/Volumes/GoogleDrive/z.pdf", False, "cloudstorage:GoogleDrive/z.pdf"), ("/Users/a/Documents/z.pdf", True, "icloud:Documents/z.pdf"), ("/Users/a/Documents/z.pdf", False, "/Users/a/Documents/z.pdf"), ("/Users/a/Desktop/z.pdf", True, "icloud:Desktop/z.pdf"), ("/opt/z/", True, "/opt/z"), ("/", None, "/"), (None, None, None),
+    ]
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, path string, synced boolean, want string")
+    assert [r["got"] for r in frame.withColumn("got", state.canonical_key(F.col("path"), F.col("synced"))).orderBy("k").collect()] == [c[2] for c in cases]
+
+
+def test_many_patterns_find_what_each_finds(spark):
+    texts = ["an  error–page, Error - Page and “error page”", None, "", "x'y ‘x’ X’Y", "--a--b  --", "aaaa", "Ünï page Ünï", "error page" * 40]
+    pages = spark.createDataFrame([(k, k, at(k), t) for k, t in enumerate(texts)], "doc_id long, page_index int, t string, text string").selectExpr("doc_id", "page_index", "to_timestamp(t) AS ts", "text").repartition(3)
+    queries = ["error page", '"error page"', "x'y", "aa", "a b", "- a", "page ü", "no such", "Ünï", "error-page", ""]
+    patterns = spark.createDataFrame(list(enumerate(queries)), "pattern_id long, query string")
+    for block in (50_000, 4):
+        got = sorted((r["pattern_id"], r["doc_id"], r["start"], r["len"], r["matched"]) for r in state.search_all(pages, patterns, block).collect())
+        assert got == sorted((k, r["doc_id"], r["start"], r["len"], r["matched"]) for k, q in enumerate(queries) if q for r in state.standing_search(pages, q).collect()) and len(got) > 120
+    assert state.search_all(pages, patterns.limit(0)).count() == 0
+
+
+def test_patterns_may_change_while_the_stream_runs(spark, tmp_path):
+    schema = "doc_id long, page_index int, ts timestamp, text string"
+    table = f"{tmp_path}/patterns"
+    versions = lambda *rows: spark.createDataFrame(rows, "pattern_id long, query string, active boolean, version int").write.mode("append").parquet(table)
+    versions((1, "pump", True, 1), (2, "valve", True, 1))
+    stream, _ = streamed(spark, str(tmp_path), schema, [(k, 0, at(k), "a pump, a valve and a filter") for k in range(3)])
+    finish(stream, str(tmp_path), state.monitor(f"{tmp_path}/out", lambda: spark.read.parquet(table)))
+    versions((3, "filter", True, 1), (2, "valve", False, 2), (1, "a pump", True, 2))
+    spark.createDataFrame([(9, 0, "a pump, a valve and a filter")], "doc_id long, page_index int, text string").withColumn("ts", F.to_timestamp(F.lit(at(9)))).select("doc_id", "page_index", "ts", "text").coalesce(1).write.parquet(f"{tmp_path}/in/b900")
+    finish(stream, str(tmp_path), state.monitor(f"{tmp_path}/out", lambda: spark.read.parquet(table)))
+    got = sorted((r["doc_id"], r["pattern_id"], r["matched"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(k, p, w) for k in range(3) for p, w in ((1, "pump"), (2, "valve"))] + [(9, 1, "a pump"), (9, 3, "filter")]
 
 
 def test_bursts_and_standing_searches_as_streams(spark, tmp_path):
@@ -512,8 +557,10 @@ def test_index_refresh_as_a_stream(spark, tmp_path):
     text = lambda k, version: f"document {k} in version {version} has a line of text"
     rows = [(k, text(k, 1), 1) for k in range(6)] + [(1, text(1, 2), 2), (2, "gone", 2), (3, text(3, 0), 0), (4, text(4, 1), 1)]
     stream, all_rows = streamed(spark, str(tmp_path), "doc_id long, text string, mtime int", rows, batch=6)
-    finish(stream, str(tmp_path), state.refresh_index(f"{tmp_path}/out", chunk))
-    got = state.current(spark, f"{tmp_path}/out", "doc_id", state.CHUNKS)
+    finish(state.changed_documents(stream), str(tmp_path), state.refresh_index(f"{tmp_path}/out", chunk))
+    log = spark.read.parquet(f"{tmp_path}/out")
+    got = state.index_now(log)
+    assert log.where("chunk_no IS NULL").count() == 8  # six documents and two later versions; older and equal ones change nothing
     assert rows_of(got) == rows_of(state.index_after(all_rows, chunk).select(got.columns)) and {r["doc_id"] for r in got.collect()} == {0, 1, 3, 4, 5}
 
 
