@@ -9,7 +9,8 @@ keeps every text.
 
 Defined results: a null or blank text has no words and fails the base rules; labels without
 quality or document are left out; of a document's several labels the mean counts, from one
-half upward as good; repeated rows are judged alike; an empty table gives an empty result;
+half upward as good; of several texts of one document the one of smallest hash trains;
+repeated rows are judged alike; an empty table gives an empty result;
 columns beside doc_id and text pass through ``keep_good``, whatever their names.
 """
 
@@ -93,22 +94,28 @@ def calibrate(held: np.ndarray, good: np.ndarray, ridge: float = 0.05, steps: in
     return (slope / spread, shift) if slope > 0 else (1.0, 0.0)
 
 
-def fit(texts: list[str], good: np.ndarray) -> Model:
-    """A calibrated model of labelled texts; the last fifth calibrates."""
-    columns, rows, values = [], [], []
-    base, width = 0, KINDS * DIM
-    for part in text_hash.slices(pa.array(texts, pa.string())):
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cells in order, shares) of each text: SCALE times the part of its grams of a kind that fall into a cell."""
+    width, out = KINDS * DIM, []
+    for part in text_hash.slices(texts):
         cells, shares = [], []
         for kind, (index, doc) in enumerate(grams(part, text_hash.words(part, folded=False))):
             count = np.bincount(doc, minlength=part.docs)
             cell, times = np.unique(doc * width + kind * DIM + index, return_counts=True)
             cells.append(cell), shares.append((SCALE * times / np.maximum(count, 1)[cell // width]).astype(np.float32))
         cells, shares = np.concatenate(cells), np.concatenate(shares)
-        order = np.argsort(cells, kind="stable")  # by document, so that the ones to fit are in front
-        rows.append((cells[order] // width + base).astype(np.int32)), columns.append((cells[order] % width).astype(np.int32)), values.append(shares[order])
-        base += part.docs
-    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-    n, cut = len(texts), len(texts) - len(texts) // 5
+        order = np.argsort(cells, kind="stable")
+        cells, shares = cells[order], shares[order]
+        cuts = np.searchsorted(cells, np.arange(part.docs + 1) * width)
+        out += [((cells[x:y] % width).astype(np.int32), shares[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def fit(found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> Model:
+    """A calibrated model of labelled texts, given by their features; the last fifth calibrates."""
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(c) for c, _ in found])
+    columns, values = np.concatenate([c for c, _ in found]), np.concatenate([v for _, v in found])
+    n, cut = len(found), len(found) - len(found) // 5
     used = int(np.searchsorted(rows, cut))
     r, c, v, y = rows[:used], columns[:used], values[:used], good[:cut].astype(float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both classes count alike
@@ -127,21 +134,35 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
     return Model(w.reshape(KINDS, DIM), float(b), float(slope), float(shift))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``limit`` labelled documents, in the order of their id hashes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of at most ``limit`` labelled documents, in the order of their id hashes.
+
+    Tasks make the features, so the driver sees no texts.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])  # at most ``limit`` rows
-    got = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "good").collect()
-    got.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return [r["text"] for r in got], np.array([r["good"] for r in got], bool)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id")  # at most ``limit`` rows
+    one = rows.groupBy("doc_id", "good").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = features(batch.column(3))
+            cells, shares = (pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), cells, shares], ["h", "doc_id", "good", "cells", "shares"])
+
+    keyed = one.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "good", "text")
+    got = keyed.mapInArrow(run, "h long, doc_id long, good boolean, cells array<int>, shares array<float>").toArrow()
+    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("h").to_numpy()))
+    cells, shares = got.column("cells").combine_chunks(), got.column("shares").combine_chunks()
+    return [(cells[k].values.to_numpy(), shares[k].values.to_numpy()) for k in order.tolist()], np.array(got.column("good").to_pylist(), bool)[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    texts, good = labelled_sample(docs, labels, limit)
+    found, good = labelled_sample(docs, labels, limit)
     if not 0 < good.sum() < len(good):
         return Model(np.zeros((KINDS, DIM)), 20.0, 1.0, 0.0)
-    return fit(texts, good)
+    return fit(found, good)
 
 
 def base_counts(part: text_hash.Slice, found: text_hash.Words) -> dict[str, np.ndarray]:
