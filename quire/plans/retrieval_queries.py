@@ -16,7 +16,8 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passages(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id")
+    """All passages; those of documents without a vector have null."""
+    return _passages(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +39,8 @@ LEXICAL_SQL = f"""
     lexical AS (SELECT q_id, passage_id, round(CASE WHEN subject = '' THEN share ELSE 0.25 * share + CASE WHEN phrase THEN 0.35 ELSE 0 END
                        + CASE WHEN phrase AND len(list_filter({_list(R.CONNECTORS)}, lambda c: starts_with(behind, c))) > 0 THEN 0.4 ELSE 0 END END, 9) AS lexical FROM pairs)"""
 VECTOR_SQL = """
-    vectors AS (SELECT q.item_id AS q_id, passage_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])), 9) AS similarity
-                FROM passages JOIN embeddings e ON e.vec_id = doc_id, benchmark q JOIN embeddings qe ON qe.vec_id = q.item_id)"""
+    vectors AS (SELECT q.item_id AS q_id, passage_id, coalesce(round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])), 9), -1) AS similarity
+                FROM passages LEFT JOIN embeddings e ON e.vec_id = doc_id, benchmark q JOIN embeddings qe ON qe.vec_id = q.item_id)"""
 
 
 @query()
