@@ -6,11 +6,11 @@ emphasis and links.  Blocks of one path are taken together: the length of their
 punctuation give the path's ratio, the text and punctuation an average block of the path
 carries; the text of links counts a tenth.  Ratios of paragraphs, headings and the like are
 smoothed over the neighbouring paths of their container, and all are weighed by what tags and
-names say: an article or main part ``INSIDE``, unmarked parts 1, names that may say otherwise
+names say: parts of an article and unmarked ones alike, names that may say otherwise
 ``DOUBTFUL``, and a menu, footer, advert, comment and the like not at all.  Paths whose weighed
 ratio reaches a share of the page's deviation are content, whatever they are called.  Short
-paragraphs, headings, list items and cells stay if they lie in a container of such paths, are
-marked alike and aren't mostly links.
+paragraphs, headings, list items, cells and sentences stay if they lie in the container that
+such paths share and aren't mostly links; so does the page's title before them.
 
 A class or id names a part outside the article if all its words do, general ones (``site``,
 ``list``) aside: ``comment-list`` does, ``related-work`` is doubtful.  Attributes are read as
@@ -48,11 +48,14 @@ OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "sear
 OUTSIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "foot", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "widget"}
 #: Words beside these that change nothing.
 GENERAL_NAMES = {"", "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "policy", "post", "posts", "primary", "right", "section", "side", "site", "slot", "stories", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
+#: Of these, words that an article's own parts have too: its headings, and texts about such matters.
+HEADER_NAMES = {"header", "foot"}
+WEAK_NAMES = HEADER_NAMES | {"privacy", "disclaimer", "banner"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 INSIDE_TAGS, INSIDE_NAMES = {"article", "main"}, {"article", "post", "entry", "story", "content", "main", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that stay when short, beside content.
-TEXTUAL = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption"}
+TEXTUAL = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "address"}
 #: Weights of what tags and names say; text that is never shown, and white space between texts, have none.
 INSIDE, UNMARKED, DOUBTFUL, OUTSIDE_WEIGHT, NEVER, SPACE = 2.0, 1.0, 0.5, 0.0, -1.0, -2.0
 SMOOTHING, SHARE_OF_DEVIATION, LINK_WEIGHT = 1, 0.5, 0.1
@@ -62,18 +65,21 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _VALUE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?""", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？；：]")
 _BLANK = re.compile(r"\s+")
+_SENTENCE = re.compile(r"""[.!?:;…。！？：；][)\]"'”’»]*\s*\Z""")
 
 
-def _named(value: str) -> float | None:
-    """What one class or id name says."""
+def _named(value: str, inside: bool) -> float | None:
+    """What one class or id name says; ``inside`` an article, some words say less."""
     words = re.split(r"[^a-z]+", value)
     outside = [w for w in words if w in OUTSIDE_NAMES]
+    if inside and outside and set(outside) <= WEAK_NAMES:
+        return None if set(outside) <= HEADER_NAMES else DOUBTFUL
     if outside:
         return OUTSIDE_WEIGHT if all(w in OUTSIDE_NAMES or w in GENERAL_NAMES for w in words) else DOUBTFUL
     return INSIDE if any(w in INSIDE_NAMES for w in words) else None
 
 
-def _says(tag: str, attributes: str) -> tuple[float | None, str]:
+def _says(tag: str, attributes: str, inside: bool) -> tuple[float | None, str]:
     """The weight that an element's tag and attributes give (None: they say nothing), and its part of the path."""
     said, names = [], []
     if tag in HIDDEN:
@@ -90,7 +96,7 @@ def _says(tag: str, attributes: str) -> tuple[float | None, str]:
             said.append(OUTSIDE_WEIGHT)
         elif name in ("class", "id") and tag not in ("html", "body"):
             for own in value.split():
-                told = _named(own)
+                told = _named(own, inside)
                 if told is not None and not (told < UNMARKED and tag in INSIDE_TAGS):
                     said.append(told)
                 names.append(("." if name == "class" else "#") + re.sub(r"[^\w-]|\d", "", own))
@@ -158,7 +164,7 @@ def text_nodes(page: str) -> list[_Node]:
         if tag in VOID:
             continue
         above = stack[-1] if stack else ("", "", UNMARKED)
-        said, step = _says(tag, m[3])
+        said, step = _says(tag, m[3], above[2] == INSIDE)
         if tag == "header" and above[2] != INSIDE:
             said = OUTSIDE_WEIGHT
         weight = above[2] if said is None or above[2] <= OUTSIDE_WEIGHT else said
@@ -199,7 +205,7 @@ def content_paths(nodes: list[_Node]) -> set[tuple[str, float]]:
     for own in groups.values():
         padded = np.pad(ratio[own], SMOOTHING, mode="edge")
         fused[own] = np.maximum(ratio[own], sum(padded[j : j + len(own)] for j in range(2 * SMOOTHING + 1)) / (2 * SMOOTHING + 1))
-    fused *= np.array([weight for _, weight in paths])
+    fused *= np.minimum(UNMARKED, [weight for _, weight in paths])
     threshold = SHARE_OF_DEVIATION * float(np.std(fused))
     chosen = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= min(threshold, fused.max())}
     return chosen | {paths[k] for own in groups.values() for k in own if fused[k] > 0 and _beside(*paths[k], chosen)}
@@ -215,13 +221,54 @@ def _beside(path: str, weight: float, chosen: set[tuple[str, float]]) -> bool:
     return False
 
 
+def _between(nodes: list[_Node], chosen: set[tuple[str, float]]) -> set[int]:
+    """Blocks that stay though their paths are short: those of the container that the chosen ones share.
+
+    In that container, paragraphs, headings and the like stay, and other blocks that end as a
+    sentence does, if they aren't mostly links; outside an article or main part only between the
+    first and last chosen block.  The h1 nearest before the chosen blocks stays if these hold none
+    and it stands in a container of theirs.
+    """
+    own = [n for n in nodes if (n.path, n.weight) in chosen]
+    if not own:
+        return set()
+    steps = [n.path.split("/")[:-1] for n in own]
+    shared = steps[0]
+    for other in steps[1:]:
+        same = next((k for k, (x, y) in enumerate(zip(shared, other, strict=False)) if x != y), min(len(shared), len(other)))
+        shared = shared[:same]
+    article = max((k for k, x in enumerate(shared) if _tag(x) in INSIDE_TAGS), default=None)
+    home = "/".join(shared if article is None else shared[: article + 1])  # all of an article, or the container
+    first, last = own[0].block, own[-1].block
+    blocks: dict[int, list[_Node]] = {}
+    for node in nodes:
+        if node.weight > OUTSIDE_WEIGHT and (node.path, node.weight) not in chosen:
+            blocks.setdefault(node.block, []).append(node)
+    out, titles = set(), []
+    for block, parts in blocks.items():
+        linked = sum(len(n.text) for n in parts if n.linked)
+        if linked * 2 > sum(len(n.text) for n in parts):
+            continue
+        up, _, step = parts[0].path.rpartition("/")
+        inside = f"{parts[0].path}/".startswith(f"{home}/") and (article is not None or first < block < last)
+        plain = parts[0].weight != DOUBTFUL and all(n.weight != DOUBTFUL for n in parts)
+        if inside and plain and (_tag(step) in TEXTUAL or _SENTENCE.search("".join(n.text for n in parts))):
+            out.add(block)
+        elif _tag(step) == "h1" and block < first and f"{home}/".startswith(f"{up}/"):
+            titles.append(block)
+    if titles and not any(_tag(n.path.rpartition("/")[2]) == "h1" for n in own):
+        out.add(titles[-1])
+    return out
+
+
 def main_text(page: str) -> str:
-    """The text of the page's content paths: blocks in order, joined by one space."""
+    """The text of the page's content paths and of the short blocks among them: blocks in order, joined by one space."""
     nodes = text_nodes(page)
     chosen = content_paths(nodes)
+    short = _between(nodes, chosen)
     blocks: dict[int, list[str]] = {}
     for node in nodes:
-        if (node.path, node.weight) in chosen:
+        if (node.path, node.weight) in chosen or node.block in short and node.weight > OUTSIDE_WEIGHT:
             blocks.setdefault(node.block, []).append(node.text)
         elif node.weight == SPACE and node.block in blocks:
             blocks[node.block].append(" ")

@@ -162,6 +162,15 @@ LONG = "A long paragraph, with several clauses; it goes on for a while, as the b
         (f'<body><div class="content"><p>{LONG}</p></div><div><p>{LONG} {LONG}</p></div><div>Home</div></body>', f"{LONG} {LONG} {LONG}"),
         # broken nesting
         (f"<article><p>{LONG}<div><p>{LONG}<ul><li>one<li>two</ul></b></i><p>end", f"{LONG} {LONG} one two end"),
+        # short parts of an article stay: leads, captions, sentences, quotes, sections, addresses, headings with a header's name, the title before
+        (f"<article><div class=lead>In short, this.</div><p>{LONG}</p><div class='caption'>A picture.</div></article>", f"In short, this. {LONG} A picture."),
+        (f"<article><div>One.</div><p>{LONG}</p><div>Two.</div></article>", f"One. {LONG} Two."),
+        (f"<article><div><p>{LONG}</p></div><div><blockquote>So it is said</blockquote></div></article>", f"{LONG} So it is said"),
+        (f"<article><section><h2>A</h2><p>{LONG}</p></section><section class=faq><h2>B</h2><p>Yes.</p></section></article>", f"A {LONG} B Yes."),
+        (f"<article><p>{LONG}</p><address>Some Street 1</address></article>", f"{LONG} Some Street 1"),
+        (f"<article><h2 class='section-header'>Part</h2><p>{LONG}</p></article>", f"Part {LONG}"),
+        (f"<article><p>{LONG}</p><div class='privacy'><p>{LONG} {LONG}</p></div></article>", f"{LONG} {LONG} {LONG}"),
+        (f"<body><h1>Title</h1><div class=content><p>{LONG}</p></div><div>Home.</div></body>", f"Title {LONG}"),
         # no names at all
         (f"<body><div>Home</div><div><p>{LONG}</p></div></body>", LONG),
     ],
