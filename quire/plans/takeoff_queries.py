@@ -33,7 +33,9 @@ MARKS_SQL = f"""
                       CASE type WHEN 'length' THEN value / coalesce(per_unit, {_per!r}) WHEN 'area' THEN value / (coalesce(per_unit, {_per!r}) * coalesce(per_unit, {_per!r})) ELSE value END AS real
                FROM marks m LEFT JOIN {PRESETS_SQL} ON doc_id % 3 <> 0 AND p.preset = (doc_id + page_index) % {len(M.PRESETS)}),
     shown AS (SELECT * FROM valued WHERE layer <> 3),
-    schedule AS (SELECT doc_id, page_index, mark_no, type, "group", layer, 1::BIGINT AS n, real, unit, printf('%.2f %s%s', floor(real * 100 + 0.5) / 100, unit, CASE type WHEN 'area' THEN '²' ELSE '' END) AS shown FROM shown WHERE type <> 'count'
+    schedule AS (SELECT doc_id, page_index, mark_no, type, "group", layer, 1::BIGINT AS n, real, unit, CASE WHEN type = 'area' AND unit = 'm' THEN printf('%.2f m²', floor(real * 100 + 0.5) / 100) WHEN type = 'area' THEN printf('%.1f sq ft', floor(real * 10 + 0.5) / 10) WHEN unit = 'm' THEN printf('%.2f m', floor(real * 100 + 0.5) / 100)
+                             ELSE (k // 192) || '''-' || CASE WHEN k % 16 = 0 THEN '' || k // 16 % 12 ELSE CASE WHEN k // 16 % 12 = 0 THEN '' ELSE k // 16 % 12 || ' ' END || k % 16 // gcd(k % 16, 16) || '/' || 16 // gcd(k % 16, 16) END || '"' END AS shown
+                 FROM (SELECT *, CAST(floor(real * 192 + 0.5) AS BIGINT) AS k FROM shown) WHERE type <> 'count'
                  UNION ALL SELECT doc_id, page_index, min(mark_no), 'count', "group", min(layer), count(*), NULL, NULL, CAST(count(*) AS VARCHAR) FROM shown WHERE type = 'count' GROUP BY doc_id, page_index, "group")"""
 METRES_SQL = "CASE unit " + " ".join(f"WHEN '{u}' THEN {m!r}" for u, m in M.UNITS.items()) + " END"
 
@@ -49,6 +51,22 @@ def m1_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.select("doc_id", F.round(M.polyline_length(F.col("path")), 4).alias("length"), F.round(M.polygon_area(F.col("ring")), 4).alias("area"))
 
 
+@query("""
+    SELECT doc_id, kind, round(CASE kind WHEN 'rectangle' THEN w * h WHEN 'circle' THEN pi() * (w * w + h * h) WHEN 'arc' THEN w * t ELSE sqrt(w * w + h * h) END, 3) AS value, CAST(CASE kind WHEN 'rectangle' THEN 4 WHEN 'circle' THEN 180 WHEN 'arc' THEN greatest(2, ceil(degrees(t) / 2 - 1e-9)) + 1 ELSE 2 END AS INT) AS drawn
+    FROM (SELECT o_orderkey AS doc_id, ['rectangle', 'circle', 'arc', 'line'][o_orderkey % 4 + 1] AS kind, o_orderkey % 300 + 5 AS w, o_custkey % 400 + 5 AS h, (o_custkey % 170 + 5) * 2 * pi() / 181 AS t FROM orders)""")
+def m1_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles, circles, arcs that turn either way by up to nearly all round, and arcs whose points are on a line."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    w, h, t = (k % 300 + 5).cast("double"), (c % 400 + 5).cast("double"), (c % 170 + 5) * 2 * F.pi() / 181
+    x, y, way = (c % 50).cast("double"), (k % 70).cast("double"), F.when(c % 2 == 0, 1).otherwise(-1)
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    on = lambda part: at(x + w * F.cos(k + way * t * part), y + w * F.sin(k + way * t * part))
+    points = F.when(k % 4 < 2, F.array(at(x, y), at(x - w, y + h))).when(k % 4 == 2, F.array(on(0.0), on(0.4), on(1.0))).otherwise(F.array(at(x, y), at(x + w / 2, y + h / 2), at(x + w, y + h)))
+    kind = F.get(F.array(*map(F.lit, ("rectangle", "circle", "arc", "line"))), (k % 4).cast("int"))
+    shapes = table(spark, sf_dir, "orders").select(k.alias("doc_id"), kind.alias("kind"), F.when(k % 4 == 3, "arc").otherwise(kind).alias("drawn_as"), points.alias("points"))
+    return shapes.select("doc_id", "kind", F.round(M.shape_value(F.col("drawn_as"), F.col("points")), 3).alias("value"), F.size(M.traced(F.col("drawn_as"), F.col("points"))).alias("drawn"))
+
+
 @query(f"""WITH {MARKS_SQL} SELECT doc_id, page_index, mark_no, type, ratio, unit, from_default, floor(real * 100 + 0.5) / 100 AS real FROM valued""")
 def m2_scale_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued(spark, sf_dir).select("doc_id", "page_index", "mark_no", "type", "ratio", "unit", "from_default", (F.floor(F.col("real") * 100 + 0.5) / 100).alias("real"))
@@ -62,10 +80,11 @@ def m3_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MARKS_SQL},
     sums AS (SELECT doc_id, sum(CASE WHEN type = 'length' THEN real * {METRES_SQL} END) AS m, sum(CASE WHEN type = 'area' THEN real * {METRES_SQL} * {METRES_SQL} END) AS m2,
                     arg_min(unit, (page_index, mark_no)) AS unit FROM schedule WHERE type IN ('length', 'area') GROUP BY doc_id)
-    SELECT doc_id, unit, round(CASE WHEN m <> 0 THEN m / {METRES_SQL} END, 3) AS length, round(CASE WHEN m2 <> 0 THEN m2 / ({METRES_SQL} * {METRES_SQL}) END, 3) AS area FROM sums""")
+    SELECT doc_id, unit, floor(round(CASE WHEN m <> 0 THEN m / {METRES_SQL} END, 6) * 1000 + 0.5) / 1000 AS length, floor(round(CASE WHEN m2 <> 0 THEN m2 / ({METRES_SQL} * {METRES_SQL}) END, 6) * 1000 + 0.5) / 1000 AS area FROM sums""")
 def m4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = M.totals(M.schedule(valued(spark, sf_dir), [3]))
-    return out.select("doc_id", "unit", F.round("length", 3).alias("length"), F.round("area", 3).alias("area"))
+    rounded = lambda c: (F.floor(F.round(c, 6) * 1000 + 0.5) / 1000).alias(c)
+    return out.select("doc_id", "unit", rounded("length"), rounded("area"))
 
 
 @query(f"""WITH {MARKS_SQL} SELECT layer, type, CAST(grouping(layer) * 2 + grouping(type) AS INT) AS level, count(*) AS entries, CAST(sum(n) AS BIGINT) AS marks FROM schedule GROUP BY ROLLUP (layer, type)""")

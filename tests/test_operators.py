@@ -1,5 +1,6 @@
 """Golden cases on tiny tables, and SQL twins on the smallest data."""
 
+import math
 import os
 import random
 import re
@@ -271,6 +272,30 @@ def test_references(spark):
     assert not any(d == 1 and i == "1.0.2" for d, i, *_ in got)
 
 
+def test_lengths_as_drawings_write_them(spark):
+    cases = [
+        (72 / 18, "ft-in", "4'-0\""), (261.75 / 18, "ft-in", "14'-6 1/2\""), (184.875 / 18, "ft-in", "10'-3 1/4\""), (90.75 / 18, "ft-in", "5'-1/2\""), (46.5 / 18, "ft-in", "2'-7\""), (0.0, "ft-in", "0'-0\""), (-3.0, "ft-in", "0'-0\""),
+        (2.5, "m", "2.50 m"), (3.14159, "cm", "3.1 cm"), (7.6, "mm", "8 mm"), (1.005, "ft", "1.00 ft"), (0.3125, "in", "5/16\""), (3.0, "in", "3\""), (11.99, "in", "12\""), (2.75, "in", "2 3/4\""),
+    ]
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, real double, unit string, want string")
+    assert [r["got"] for r in frame.withColumn("got", takeoff.length_text(F.col("real"), F.col("unit"))).orderBy("k").collect()] == [c[2] for c in cases]
+    areas = spark.createDataFrame([(1, 10.04, "ft-in"), (2, 10.4, "in"), (3, 2.0, "m"), (4, 20_000.0, "cm")], "k int, real double, unit string")
+    assert [r["got"] for r in areas.withColumn("got", takeoff.area_text(F.col("real"), F.col("unit"))).orderBy("k").collect()] == ["10.0 sq ft", "10 sq in", "2.00 m²", "2.00 m²"]
+
+
+def test_shapes(spark):
+    cases = [
+        ("rectangle", [(10, 10), (4, 2)], 48.0, 4), ("circle", [(0, 0), (3, 4)], 25 * math.pi, 180), ("arc", [(1, 0), (0, 1), (-1, 0)], math.pi, 91), ("arc", [(1, 0), (0, -1), (0, 1)], 1.5 * math.pi, 136),
+        ("arc", [(0, 0), (1, 1), (2, 2)], 8**0.5, 2), ("arc", [(0, 0), (50, 1e-4), (100, 0)], 100.0, 2), ("arc", [(0, 0), (1, 1)], None, None), ("circle", [(0, 0)], None, None), ("rectangle", None, None, None), ("star", [(0, 0), (1, 1)], None, None),
+    ]
+    rows = [(k, kind, points and [(float(x), float(y)) for x, y in points]) for k, (kind, points, *_) in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "k int, kind string, points array<struct<x:double,y:double>>")
+    got = frame.select("k", takeoff.shape_value(F.col("kind"), F.col("points")).alias("v"), takeoff.traced(F.col("kind"), F.col("points")).alias("t")).orderBy("k").collect()
+    for r, (_, _, value, drawn) in zip(got, cases, strict=True):
+        assert (r["v"] is None) == (value is None) and (value is None or r["v"] == pytest.approx(value)) and (drawn is None or len(r["t"]) == drawn)
+    assert got[3]["t"][45]["y"] == pytest.approx(-1) and got[3]["t"][-1]["y"] == pytest.approx(1)
+
+
 def test_regions_take_replies_along(spark):
     marks = [
         (1, 0, 1, None, "note", 10, 10, 50, 30), (1, 0, 2, 1, "note", 400, 400, 410, 410), (1, 0, 3, 2, "popup", 0, 600, 9, 610), (1, 0, 4, None, "note", 50, 10, 90, 30), (1, 1, 5, 1, "note", 10, 10, 50, 30),
