@@ -118,6 +118,22 @@ def c7_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.move_ranges(C.moves(paired, same)).select("pair_id.a", "pair_id.b", "move_no", "o_lo", "o_hi", "r_lo", "r_hi")
 
 
+@query(f"""WITH {WORDS_SQL}, sized AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)
+    SELECT doc_id AS a, 1::BIGINT AS move_no, 0::BIGINT AS o_lo, n // 5 AS o_hi, n // 2 - n // 5 AS r_lo, n // 2 AS r_hi FROM sized WHERE n // 5 >= 10""")
+def c7_moved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against itself with its first fifth moved behind its middle; words carry their places, so no two are alike."""
+    own = words(spark, sf_dir)
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    own = own.withColumns({"key": F.concat_ws("#", "word", F.col("pos").cast("string")), "n": n})
+    pos, first, middle = F.col("pos"), F.expr("n div 5"), F.expr("n div 2")
+    moved = F.when(pos < first, pos + middle - first).when(pos < middle, pos - first).otherwise(pos).cast("int")
+    columns = [F.struct(F.col("doc_id").alias("a"), (-F.col("doc_id") - 1).alias("b")).alias("pair_id"), "side", "i", F.col("i").alias("pos"), "key", "word", F.lit(False).alias("starts")]
+    paired = own.withColumns({"side": F.lit(0), "i": pos}).unionByName(own.withColumns({"side": F.lit(1), "i": moved})).select(*columns)
+    paired = saved(paired, "paired-words")
+    same = saved(C.slid_matches(paired, matched(paired)), "slid-matches")
+    return C.move_ranges(C.moves(paired, same)).select("pair_id.a", *(F.col(c).cast("long").alias(c) for c in ("move_no", "o_lo", "o_hi", "r_lo", "r_hi")))
+
+
 @query()
 def c7_changes_but_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, paired = revisions(spark, sf_dir)

@@ -45,11 +45,16 @@ def _styled(tag: str, size: float, bold: bool):
     return lambda text, n: F.struct(F.lit(tag).alias("tag"), n.alias("n"), text.alias("text"), F.lit(size).alias("size"), F.lit(bold).alias("bold"))
 
 
+def _tagged(tag: str) -> str:
+    """Texts right behind a start of the tag, with attributes or not."""
+    return rf"<{tag}(?:\s[^>]*)?>([^<]+)"
+
+
 def styled_lines(pages: DataFrame) -> DataFrame:
     """S3: page_id, tag, n (of the tag on the page), text, size, bold of the tagged texts of web pages."""
     found = []
     for tag, size, bold in STYLES:
-        texts = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(f"<{tag}>([^<]+)"), F.lit(1))
+        texts = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_tagged(tag)), F.lit(1))
         found.append(F.transform(texts, _styled(tag, size, bold)))
     return pages.select("page_id", F.explode(F.concat(*found)).alias("x")).select("page_id", "x.*")
 
@@ -69,6 +74,6 @@ LINES_SQL = f"""
                      unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents))"""
 
 STYLED_SQL = "styled AS (" + " UNION ALL ".join(
-    f"SELECT page_id, '{tag}' AS tag, unnest(range(0, len(regexp_extract_all(html, '<{tag}>([^<]+)', 1)))) AS n, unnest(regexp_extract_all(html, '<{tag}>([^<]+)', 1)) AS text, {size} AS size, {str(bold).lower()} AS bold FROM pages"
+    f"SELECT page_id, '{tag}' AS tag, unnest(range(0, len(regexp_extract_all(html, '<{tag}(?:\\s[^>]*)?>([^<]+)', 1)))) AS n, unnest(regexp_extract_all(html, '<{tag}(?:\\s[^>]*)?>([^<]+)', 1)) AS text, {size} AS size, {str(bold).lower()} AS bold FROM pages"
     for tag, size, bold in STYLES
 ) + ")"

@@ -376,6 +376,21 @@ def test_outline_scores(spark):
     assert [got.get(k) for k in range(len(cases))] == [score for *_, score in cases]
 
 
+def test_links_into_numbered_documents(spark):
+    docs = [(1, "rfc9110.pdf", None), (2, "RFC 9110 HTTP Semantics.pdf", None), (3, "notes.pdf", "\n RFC 9111\nHTTP Caching"), (4, None, "Group\nRequest for Comments: 9112\nmore"), (5, "x.pdf", "cites RFC 9113 only"), (6, "rfc9111-old.pdf", ""), (7, "myrfc77.pdf", "x" * 2000 + "Request for Comments: 88")]
+    numbers = references.document_numbers(spark.createDataFrame(docs, "doc_id long, name string, text string"))
+    assert {(r["number"], r["target_doc"]) for r in numbers.collect()} == {(9110, 1), (9111, 6), (9112, 4)}
+    urls = [
+        "https://www.rfc-editor.org/rfc/rfc9110#section-5.6.1", "http://datatracker.ietf.org/doc/html/rfc9110/", "https://ietf.org/rfc/RFC9112.txt", "https://notietf.org/rfc/rfc9110", "https://www.rfc-editor.org/info/rfc09110#top", "https://ietf.org/rfc/rfc9110#section-7",
+        "https://ietf.org/rfc/rfc9110#appendix-B", "https://ietf.org/rfc/rfc9110#page-2", "https://ietf.org/rfc/std66", "", None, "https://ietf.org/rfc/rfc9999", "https://ietf.org/rfc/rfc9110#section-8",
+    ]
+    links = spark.createDataFrame([(50, k, u) for k, u in enumerate(urls)], "doc_id long, link_no long, url string")
+    places = spark.createDataFrame([(1, "section-5.6.1", 3, 70.0), (1, "section-5.6.1", 9, 1.0), (4, "top", 1, 1.0)], "doc_id long, name string, page_index int, y double")
+    outline = spark.createDataFrame([(1, 0, 4, 10.0, "7. Routing"), (1, 1, 5, 20.0, "Appendix B. Changes"), (1, 2, 6, 1.0, "8 One"), (1, 3, 7, 1.0, "8. Two")], "doc_id long, node_no long, page_index int, y double, title string")
+    got = {r["link_no"]: (r["target_doc"], r["way"], r["target_page"]) for r in references.web_links(links, numbers, places, outline).collect()}
+    assert got == {0: (1, "destination", 3), 1: (1, "document", 0), 2: (4, "document", 0), 5: (1, "outline", 4), 6: (1, "outline", 5)}
+
+
 def test_hints(spark):
     cases = [
         ("Master Services Agreement.pdf", "Master Services Agreement", 20), ("MSA - Master Agreement v3.pdf", "Master Services Agreement", 20), ("Supply - Master Agreement v3.pdf", "Master Services Agreement", 8),
