@@ -481,6 +481,15 @@ def test_word_hashes_follow_the_words():
     assert seen[0] == seen[2] and len(seen[0]) == 3 and seen[1] == seen[4] == [] and len(seen[3]) == 1 and seen[5][1] == seen[0][0]
 
 
+def test_quality_of_documents_with_several_texts(spark):
+    rng = random.Random(9)
+    rows = [(k, words(rng, 30, 60) if k % 2 else "zz " * 20 + words(rng, 9, 20)) for k in range(60)]
+    rows += [(k, words(rng, 25)) for k in range(10)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    found = [quality.train(spark.createDataFrame(order, "doc_id long, text string").repartition(n), labels) for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert (found[0].weights == found[1].weights).all() and found[0].bias == found[1].bias
+
+
 def thue_morse(n, letters="ab"):
     return "".join(letters[bin(k).count("1") & 1] for k in range(n))
 
