@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import passage_index as P
 from quire.operators import retrieval as R
 from quire.plans.base import query
 from quire.sources.corpus import PAGE_TEXT_SQL, page_text, table
@@ -59,14 +60,29 @@ def v3_vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_scores(_questions(spark, sf_dir), _with_vectors(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH {PASSAGES_SQL}, {LEXICAL_SQL}, placed AS (SELECT q_id, passage_id, lexical, row_number() OVER (PARTITION BY q_id ORDER BY lexical DESC, passage_id) AS rank FROM lexical WHERE lexical > 0)
+    SELECT q_id, passage_id, round(lexical, 6) AS lexical, rank FROM placed WHERE rank <= {R.LEXICAL_POOL}""")
+def v2_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten passages of each question by words, from the index."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+    return P.lexical_topk(asked, _passages(spark, sf_dir), R.LEXICAL_POOL).withColumn("lexical", F.round("lexical", 6))
+
+
+@query(f"""WITH {PASSAGES_SQL}, {VECTOR_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, passage_id) AS rank FROM vectors)
+    SELECT q_id, passage_id, round(similarity, 6) AS similarity, rank FROM placed WHERE rank <= {R.VECTOR_POOL}""")
+def v3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.vector_topk(_questions(spark, sf_dir), _with_vectors(spark, sf_dir), R.VECTOR_POOL).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"""WITH {PASSAGES_SQL}, {LEXICAL_SQL}, {VECTOR_SQL},
     scored AS (SELECT v.q_id, v.passage_id, similarity, coalesce(lexical, 0) AS lexical FROM vectors v LEFT JOIN lexical l ON l.q_id = v.q_id AND l.passage_id = v.passage_id),
     placed AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, passage_id) AS a, row_number() OVER (PARTITION BY q_id ORDER BY lexical DESC, passage_id) AS b FROM scored),
     best AS (SELECT q_id, passage_id, round(0.7 * similarity + 0.3 * lexical, 4) AS score FROM placed WHERE a <= 24 OR (b <= 10 AND lexical > 0))
     SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, passage_id) AS rank FROM best""")
 def v4_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan scores the few questions of a block; more of them go by the index."""
     asked, passages = _questions(spark, sf_dir), _with_vectors(spark, sf_dir)
-    return R.hybrid(asked, passages)
+    return (P if asked.count() > R.QUESTIONS else R).hybrid(asked, passages)
 
 
 @query()

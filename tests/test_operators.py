@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, smart_pattern
-from quire.operators import compare, layout, outline, page_sets, references, retrieval, review, search, sensitive, takeoff
+from quire.operators import compare, layout, outline, page_sets, passage_index, references, retrieval, review, search, sensitive, takeoff
 from quire.streaming import state
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,6 +89,26 @@ def test_follow_up_questions(spark):
     assert [r["is_follow_up"] for r in retrieval.folded_questions(turns).orderBy("turn").collect()] == [True, True, True, False, False, False]
 
 
+def test_indexed_search_is_the_whole_search(spark):
+    rng = random.Random(5)
+    stems = ["harbor", "har", "bor", "cliff", "cliffs", "of", "is a", "means", "ox", "crane", "lantern", "tide", "x9"]
+    texts = [(k, " ".join(rng.choice(stems) + rng.choice(["", "", "s", ", "]) for _ in range(rng.randrange(12)))) for k in range(150)] + [(150, None), (151, "see $%& here"), (152, "")]
+    vec = lambda: [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]
+    passages = spark.createDataFrame([(k, t, vec() if k % 5 else None) for k, t in texts], "passage_id long, text string, vec array<float>")
+    asks = ["What is a harbor cliff?", "har", "Define cliffs of", "lantern tide crane harbor ox x9", "$%&", "", None, "zebra", "zebra tide", "what is the bor is a"]
+    questions = spark.createDataFrame([(k, t, vec()) for k, t in enumerate(asks)], "q_id long, text string, vec array<float>")
+    every = retrieval.lexical_scores(questions.where("text IS NOT NULL"), passages)
+    for k in (1, 3, 10):
+        best = {}
+        for r in every.collect():
+            best.setdefault(r["q_id"], []).append((-r["lexical"], r["passage_id"]))
+        right = {(q, p, -s) for q, found in best.items() for s, p in sorted(found)[:k]}
+        got = {(r["q_id"], r["passage_id"], r["lexical"]) for r in passage_index.lexical_topk(questions, passages, k).collect()}
+        assert got == right and {q for q, _, _ in right} == {0, 1, 2, 3, 4, 8, 9}
+    known = questions.where("text IS NOT NULL")
+    assert rows_of(passage_index.hybrid(known, passages, 4, 3)) == rows_of(retrieval.hybrid(known, passages, 4, 3))
+
+
 def test_definitions_score_above_mentions(spark):
     questions = spark.createDataFrame([(1, "What is the control field?", [1.0, 0.0]), (2, "of", [0.0, 0.0])], "q_id long, text string, vec array<float>")
     texts = ["The control  field\nindicates the kind.", "A control field, which", "controlling fields of", "none"]
@@ -605,7 +625,7 @@ def test_index_refresh_as_a_stream(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk"])
+@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk", "v2_lexical_topk", "v3_vector_topk"])
 def test_sql_twins(spark, name):
     import duckdb
 
