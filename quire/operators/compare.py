@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import chains
 from quire.sources.shared import saved
 
 GRAM, NEAR, MOST_EDITS, REPORT_WORDS, HOLD_GAP = 3, 2, 1000, 30, 60.0
@@ -91,6 +92,44 @@ def revision_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
     return sized.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
 
 
+def families(sets: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, family_id, similarity: every class of documents (see ``run_sets``) with the head of its family.
+
+    In the order of the ids' MD5, a class is a head if it isn't alike (``least``) to a head before it; the
+    others belong to the most similar head, ties to the smaller id.  A family is so many rows as it
+    has members, where ``revision_pairs`` has all its pairs.  Rounds: a class that comes first in all
+    its rare runs is a head, so a run has one head a round, which meets the others of the run.
+    """
+    own = saved(sets.where("doc_id = class_id").select("doc_id", "runs", F.size("runs").alias("size")), "run-classes")
+    rarest = F.expr(f"slice(runs, 1, size - cast(ceil({least} * size) as int) + 1)")
+    each = saved(own.select(F.struct(F.md5(F.col("doc_id").cast("string")).alias("h"), "doc_id").alias("m"), "size", F.posexplode(rarest).alias("at", "g")), "rare-runs")
+    shared = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    listed = saved(each.join(shared, "g"), "shared-runs")
+    open_, stars = listed.select("m").distinct(), None
+    open_ = saved(open_, "undecided")
+    while open_.limit(1).count():
+        left = listed.join(open_, "m", "left_semi")
+        firsts = left.groupBy("g").agg(F.min("m").alias("first"))
+        heads = saved(left.join(firsts, "g").groupBy("m").agg(F.every(F.col("m") == F.col("first")).alias("is_head")).where("is_head").select("m"), "heads")
+        tops = listed.join(heads, "m", "left_semi").select("g", F.col("m").alias("head"), F.col("size").alias("size_h"), F.col("at").alias("at_h"))
+        met = listed.join(tops, "g").where("m != head").where((F.col("size") >= least * F.col("size_h")) & (F.col("size_h") >= least * F.col("size")))
+        most = F.least(F.col("size") - F.col("at"), F.col("size_h") - F.col("at_h"))
+        likely = met.groupBy("m", "head").agg(F.min_by(F.struct(most.alias("most"), "size", "size_h"), "at").alias("f")).where(F.col("f.most") * (1 + least) >= least * (F.col("f.size") + F.col("f.size_h")))
+        ids = saved(likely.select(F.col("m.doc_id").alias("doc_id"), F.col("head.doc_id").alias("head"), "m"), "likely-members")
+        runs = lambda c: own.select(F.col("doc_id").alias(c), F.col("runs").alias("runs_" + c))
+        both = F.size(F.array_intersect("runs_doc_id", "runs_head"))
+        alike = ids.join(runs("doc_id"), "doc_id").join(runs("head"), "head").withColumn("similarity", both / (F.size("runs_doc_id") + F.size("runs_head") - both))
+        found = saved(alike.where(F.col("similarity") >= least).select("m", "head", "similarity"), "members")
+        stars = found if stars is None else stars.unionByName(found)
+        open_ = saved(open_.join(heads, "m", "left_anti").join(found.select("m"), "m", "left_anti"), "undecided")
+    alone = own.select("doc_id", F.col("doc_id").alias("family_id"), F.lit(1.0).alias("similarity"))
+    if stars is None:
+        return alone
+    best = stars.groupBy(F.col("m.doc_id").alias("doc_id")).agg(F.max(F.struct("similarity", (-F.col("head")).alias("n"))).alias("s"))
+    members = best.select("doc_id", (-F.col("s.n")).alias("family_id"), "s.similarity")
+    return alone.join(members, "doc_id", "left_anti").unionByName(members)
+
+
 def paired_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """pair_id, side (0 original, 1 revised), i (place among compared words), pos, key, word, starts (whether a line starts there)."""
     numbered = pairs.select(F.struct("a", "b").alias("pair_id"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("doc_id")))).alias("s"))
@@ -133,14 +172,8 @@ def longest_rising(j: list[int]) -> list[int]:
 
 def chain(found: DataFrame) -> DataFrame:
     """C4: the anchors of a longest rising chain of each pair."""
-
-    def rising(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["i", "j"])
-        return rows.iloc[longest_rising(rows["j"].tolist())]
-
-    flat = found.select("pair_id.a", "pair_id.b", "i", "j")
-    kept = flat.groupBy("a", "b").applyInPandas(rising, flat.schema)
-    return kept.select(F.struct("a", "b").alias("pair_id"), "i", "j")
+    kept = chains.chain(found.select("pair_id.a", "pair_id.b", "i", "j"))
+    return kept.select(F.struct("a", "b").alias("pair_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
 
 
 def aligned(a: list[str], b: list[str], most_edits: int = MOST_EDITS) -> list[tuple[int, int]]:

@@ -185,3 +185,16 @@ def c13_pair_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c13_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document with a run: those with equal runs."""
     return C.run_sets(keyed(spark, sf_dir)).select("doc_id", "class_id")
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL},
+    ordered AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM classed WHERE doc_id = class_id),
+    alike AS MATERIALIZED (SELECT a AS doc_id, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs),
+    around AS MATERIALIZED (SELECT k, o.doc_id, coalesce(list(other) FILTER (other IS NOT NULL), []) AS others FROM ordered o LEFT JOIN alike x ON x.doc_id = o.doc_id GROUP BY ALL),
+    step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS heads
+             UNION ALL SELECT n.k, CASE WHEN list_has_any(heads, others) THEN heads ELSE list_append(heads, n.doc_id) END FROM step s JOIN around n ON n.k = s.k + 1),
+    head AS (SELECT unnest(heads) AS doc_id FROM (SELECT heads FROM step ORDER BY k DESC LIMIT 1)),
+    joined AS (SELECT x.doc_id, x.other AS family_id, similarity, row_number() OVER (PARTITION BY x.doc_id ORDER BY similarity DESC, x.other) AS place FROM alike x JOIN head h ON h.doc_id = x.other WHERE x.doc_id NOT IN (SELECT doc_id FROM head))
+    SELECT doc_id, doc_id AS family_id, 1.0::DOUBLE AS similarity FROM head UNION ALL SELECT doc_id, family_id, round(similarity, 6) FROM joined WHERE place = 1""")
+def c13_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.families(C.run_sets(keyed(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))

@@ -1,5 +1,6 @@
 """Golden cases on tiny tables, and SQL twins on the smallest data."""
 
+import hashlib
 import math
 import os
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, smart_pattern
-from quire.operators import compare, layout, outline, page_sets, passage_index, references, retrieval, review, search, sensitive, takeoff
+from quire.operators import chains, compare, layout, outline, page_sets, passage_index, references, retrieval, review, search, sensitive, takeoff
 from quire.streaming import state
 
 SMALL = "/root/testdata/sf0.001"
@@ -234,6 +235,42 @@ def test_revisions(spark):
     assert [(r["kind"], r["added"]) for r in compare.change_report(compare.changes(paired, more), paired).collect()] == [("added", "much was put in")]
 
 
+def test_chains_in_blocks_are_the_whole_chains(spark):
+    rng = random.Random(7)
+    orders = [list(range(60)), list(range(40, 60)) + list(range(40)), rng.sample(range(90), 90), [k for two in zip(range(30), range(30, 60), strict=True) for k in two], [0], list(range(20))[::-1]]
+    orders.append([x for base in (0, 30, 60) for x in rng.sample(range(base, base + 30), 30)])  # segments
+    rows = [(n, n + 1, 2 * i, 3 * j) for n, order in enumerate(orders) for i, j in enumerate(order)]
+    anchors = spark.createDataFrame(rows, "a long, b long, i long, j long")
+    right = sorted((n, n + 1, 2 * k, 3 * order[k]) for n, order in enumerate(orders) for k in compare.longest_rising(order))
+    for block, most in ((65_536, 1_000_000), (16, 40)):
+        assert sorted(tuple(r) for r in chains.chain(anchors, block, most).collect()) == right, (block, most)
+    assert chains.chain(anchors.where("a < 0")).count() == 0
+
+
+def test_families_are_stars(spark):
+    rng = random.Random(3)
+    base = [[rng.randrange(10**6) for _ in range(30)] for _ in range(4)]
+    texts = {}
+    for d in range(80):  # families, some words of which change, and strangers that share a few runs
+        own = list(base[d % 4])
+        for _ in range(rng.choice([0, 1, 3, 9])):
+            own[rng.randrange(30)] = rng.randrange(10**6)
+        texts[d] = own
+    texts.update({200: [1, 2], 201: [], 202: texts[3]})
+    words = spark.createDataFrame([(d, k, f"w{w}") for d, t in texts.items() for k, w in enumerate(t)], "doc_id long, pos int, key string")
+    sets = compare.run_sets(words)
+    pairs = {frozenset((r["a"], r["b"])): r["similarity"] for r in compare.revision_pairs(sets).collect()}
+    order = sorted((r["doc_id"] for r in sets.where("doc_id = class_id").collect()), key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d))
+    leaders = []
+    for d in order:
+        if not any(frozenset((d, e)) in pairs for e in leaders):
+            leaders.append(d)
+    right = {d: (d, 1.0) if d in leaders else min(((e, pairs[frozenset((d, e))]) for e in leaders if frozenset((d, e)) in pairs), key=lambda x: (-x[1], x[0])) for d in order}
+    got = {r["doc_id"]: (r["family_id"], r["similarity"]) for r in compare.families(sets).collect()}
+    assert got == right and len(got) < len(leaders) * 12 and 200 not in got
+    assert compare.families(sets.where("doc_id < 0")).count() == 0
+
+
 def test_alignment_is_longest():
     assert compare.aligned(list("abcde"), list("xbxdx")) == [(1, 1), (3, 3)]
     assert compare.aligned(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
@@ -625,7 +662,7 @@ def test_index_refresh_as_a_stream(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk", "v2_lexical_topk", "v3_vector_topk"])
+@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "c13_families", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk", "v2_lexical_topk", "v3_vector_topk"])
 def test_sql_twins(spark, name):
     import duckdb
 
