@@ -48,22 +48,40 @@ def holders(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def lexical_score(text: Column, words: Column, subject: Column) -> Column:
-    """V2's score of a single-spaced lower-case text; see ``retrieval.scores``."""
-    hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
-    share = F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
-    phrase = (subject != "") & F.contains(text, subject)
+def lexical_score(share: Column, subject: Column, text: Column) -> Column:
+    """V2's score by the share of words found and the single-spaced lower-case text (null: without the phrase); see ``retrieval.scores``."""
+    phrase = F.coalesce((subject != "") & F.contains(text, subject), F.lit(False))
     behind = F.ltrim(F.substring(text, F.instr(text, subject) + F.char_length(subject), F.char_length(text)))
     defined = phrase & F.exists(F.array(*map(F.lit, R.CONNECTORS)), lambda c: F.startswith(behind, c))
     parts = 0.25 * share + F.when(phrase, 0.35).otherwise(0.0) + F.when(defined, 0.4).otherwise(0.0)
-    return F.coalesce(F.round(F.when(subject == "", share).otherwise(parts), 9), F.lit(0.0))
+    return F.round(F.when(subject == "", share).otherwise(parts), 9)
 
 
-def scored_pairs(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """q_id, passage_id, lexical of ``pairs``; questions are as ``asked`` makes them."""
+def word_hits(held: DataFrame, index: DataFrame) -> DataFrame:
+    """passage_id, hits: the looked-for words (see ``holders``) that each passage contains, as sorted hashes."""
+    terms = held.groupBy("term").agg(F.collect_set(F.xxhash64("word")).alias("w"))
+    few = terms.count() <= BROADCAST_ROWS
+    each = index.join(F.broadcast(terms) if few else terms, "term")
+    return saved(each.groupBy("passage_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("w")))).alias("hits")), "word-hits")
+
+
+def scored_pairs(pairs: DataFrame, questions: DataFrame, passages: DataFrame, hits: DataFrame) -> DataFrame:
+    """q_id, passage_id, lexical of ``pairs``; questions are as ``asked`` makes them, ``hits`` as ``word_hits``.
+
+    Texts are read only where all runs of a question's subject are in the passage.
+    """
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    runs = F.array_distinct(F.regexp_extract_all("subject", F.lit(RUN), F.lit(0)))
+    own = questions.select("q_id", "subject", hashes(F.col("words")).alias("words"), hashes(runs).alias("runs"))
+    both = pairs.join(own, "q_id").join(hits, "passage_id", "left")
+    size = F.size("words")
+    share = F.coalesce(F.when(size > 0, F.size(F.array_intersect("words", "hits")) / size), F.lit(0.0))
+    whole = F.coalesce((F.col("subject") != "") & (F.size(F.array_except("runs", "hits")) == 0), F.lit(False)) | ((F.col("subject") != "") & (F.size("runs") == 0))
+    judged = saved(both.select("q_id", "passage_id", "subject", share.alias("share"), whole.alias("whole")), "shares")
     texts = passages.select("passage_id", R.single_spaced(F.lower("text")).alias("text"))
-    both = pairs.join(questions.select("q_id", "words", "subject"), "q_id").join(texts, "passage_id")
-    return both.select("q_id", "passage_id", lexical_score(F.col("text"), F.col("words"), F.col("subject")).alias("lexical"))
+    plain = judged.where("NOT whole").withColumn("text", F.lit(None).cast("string"))
+    scored = plain.unionByName(judged.where("whole").join(texts, "passage_id"))
+    return scored.select("q_id", "passage_id", lexical_score(F.col("share"), F.col("subject"), F.col("text")).alias("lexical"))
 
 
 def asked(questions: DataFrame) -> DataFrame:
@@ -96,7 +114,8 @@ def lexical_topk(questions: DataFrame, passages: DataFrame, k: int, index: DataF
     # the phrase is in a passage only with all its runs, the rarest among them
     phrase = ranked(runs).where("r = 1 AND n > 0").select("q_id", "word")
     start = phrase.unionByName(order.join(first, ["q_id", "r"]).select("q_id", "word"))
-    seen = saved(scored_pairs(candidates(start, held, index), own, passages), "scored")
+    hits = word_hits(held, index)
+    seen = saved(scored_pairs(candidates(start, held, index), own, passages, hits), "scored")
     # a subject of marks alone has no run to look for: all passages are candidates
     bare = own.where((F.col("subject") != "") & ~F.col("subject").rlike(RUN)).select("q_id")
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("lexical"), "passage_id"))
@@ -107,7 +126,7 @@ def lexical_topk(questions: DataFrame, passages: DataFrame, k: int, index: DataF
     reach = own.where(size > 0).join(best, "q_id", "left").select("q_id", F.coalesce(F.try_element_at(enough, F.lit(1)), size).alias("reach"))
     more = order.join(reach, "q_id").where("n > 0 AND r <= reach").join(first.withColumnRenamed("r", "had"), "q_id").where("r > had").select("q_id", "word")
     fresh = candidates(more, held, index).join(seen.select("q_id", "passage_id"), ["q_id", "passage_id"], "left_anti").join(bare, "q_id", "left_anti")
-    found = seen.join(bare, "q_id", "left_anti").unionByName(scored_pairs(fresh, own, passages))
+    found = seen.join(bare, "q_id", "left_anti").unionByName(scored_pairs(fresh, own, passages, hits))
     if bare.limit(1).count():
         whole = R.lexical_scores(questions.join(bare, "q_id", "left_semi"), passages)
         found = found.unionByName(whole)
@@ -143,11 +162,14 @@ def vector_topk(questions: DataFrame, passages: DataFrame, k: int) -> DataFrame:
 
 def hybrid(questions: DataFrame, passages: DataFrame, vector_pool: int = R.VECTOR_POOL, lexical_pool: int = R.LEXICAL_POOL) -> DataFrame:
     """V4 for many questions: what ``retrieval.hybrid`` gives, with the word pool from the index instead of all pairs."""
+    index, own = postings(passages), saved(asked(questions), "asked")
     near = vector_topk(questions, passages, vector_pool).select("q_id", "passage_id")
-    worded = lexical_topk(questions, passages, lexical_pool).select("q_id", "passage_id")
+    worded = lexical_topk(questions, passages, lexical_pool, index).select("q_id", "passage_id")
     pairs = saved(near.unionAll(worded).distinct(), "pool")
     vectors = pairs.join(questions.select("q_id", F.col("vec").alias("_asked")), "q_id").join(passages.select("passage_id", F.col("vec").alias("_own")), "passage_id")
     similar = vectors.select("q_id", "passage_id", cosine(F.col("_asked"), F.col("_own")).alias("similarity"))
-    both = similar.join(scored_pairs(pairs, asked(questions), passages), ["q_id", "passage_id"])
+    looked = own.select(F.explode("words").alias("word")).unionAll(own.select(F.explode(F.regexp_extract_all("subject", F.lit(RUN), F.lit(0))).alias("word")))
+    held = saved(holders(looked, index.groupBy("term").agg(F.count("*").alias("n"))), "holders")
+    both = similar.join(scored_pairs(pairs, own, passages, word_hits(held, index)), ["q_id", "passage_id"])
     scored = both.withColumn("score", F.round(R.VECTOR_WEIGHT * F.col("similarity") + (1 - R.VECTOR_WEIGHT) * F.col("lexical"), 4))
     return scored.select("q_id", "passage_id", "score", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "passage_id")).alias("rank"))
