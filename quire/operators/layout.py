@@ -117,31 +117,36 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     A paragraph ends where the pitch leaves 0.7 to 1.45 times the page's usual one, the size
     changes, a list marker starts, or a sentence ends on a short line before a capital.
     """
-    page = Window.partitionBy(*PAGE)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("y0", "line_no", F.btrim("text", F.lit(" \t")).alias("t")))), lambda x: x["t"])
+    kind = F.when(F.max_by("marker", F.struct(-F.col("y0"), -F.col("line_no"))), "list").otherwise("paragraph")
+    return numbered_paragraphs(lines, PAGE).groupBy(*PAGE, "par_no").agg(kind.alias("kind"), texts.alias("t"), F.min("line_no").alias("first_line"), F.count("*").alias("lines")).select(*PAGE, "par_no", "kind", join_lines(F.col("t")).alias("text"), "first_line", "lines")
+
+
+def numbered_paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """L4: the lines that aren't blank with size, marker (starts a list item) and par_no, counted in each of ``keys``."""
+    page = Window.partitionBy(*keys)
     order = page.orderBy("y0", "line_no")
     size = F.col("size") if "size" in lines.columns else F.lit(10.0)
     stepped = lines.where(F.btrim("text", F.lit(" \t")) != "").withColumn("size", size)
     stepped = stepped.withColumns({"pitch": F.col("y0") - F.lag("y0").over(order), "before": F.lag("text").over(order), "size_before": F.lag("size").over(order), "right_before": F.lag("x1").over(order)})
     halves = F.round(F.col("pitch") * 2) / 2
-    usual = stepped.where("pitch BETWEEN 6 AND 35").groupBy(*PAGE).agg(F.mode(halves, True).alias("usual"))
+    usual = stepped.where("pitch BETWEEN 6 AND 35").groupBy(*keys).agg(F.mode(halves, True).alias("usual"))
     wide = F.max(F.col("x1")).over(page)
-    joined = stepped.withColumn("page_right", wide).join(usual, PAGE, "left")
+    joined = stepped.withColumn("page_right", wide).join(usual, keys, "left")
     marker = F.col("text").rlike(r"^\s*(?:[-•*]|\(?[0-9a-z]{1,3}[.)])\s+\S")
     short_end = F.col("before").rlike(r"[.!?:]\s*$") & (F.col("right_before") <= F.col("page_right") * 0.85) & F.col("text").rlike(r"^\s*\p{Lu}")
     fresh = F.col("pitch").isNull() | (F.col("pitch") < 0.7 * F.col("usual")) | (F.col("pitch") > 1.45 * F.col("usual")) | (F.abs(F.col("size") - F.col("size_before")) > 1) | marker | short_end
-    numbered = joined.withColumns({"marker": marker, "fresh": F.coalesce(fresh, F.lit(False)).cast("int")}).withColumn("par_no", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("y0", "line_no", F.btrim("text", F.lit(" \t")).alias("t")))), lambda x: x["t"])
-    kind = F.when(F.max_by("marker", F.struct(-F.col("y0"), -F.col("line_no"))), "list").otherwise("paragraph")
-    return numbered.groupBy(*PAGE, "par_no").agg(kind.alias("kind"), texts.alias("t"), F.min("line_no").alias("first_line"), F.count("*").alias("lines")).select(*PAGE, "par_no", "kind", join_lines(F.col("t")).alias("text"), "first_line", "lines")
+    return joined.withColumns({"marker": marker, "fresh": F.coalesce(fresh, F.lit(False)).cast("int")}).withColumn("par_no", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def borderless_tables(pieces: DataFrame) -> DataFrame:
+def borderless_tables(pieces: DataFrame, gutter: DataFrame | None = None) -> DataFrame:
     """Cells of tables without rules: doc_id, page_index, table_no, row_no, col_no, text.
 
     ``pieces`` (doc_id, page_index, row, col, x0, x1, y0, y1, text) are the parts of each row
     between wide gaps.  At least three rows next to each other with the same number (two or
     more) of short cells, close together and with every column aligned left, right or in the
-    middle, are a table.
+    middle, are a table.  With the page's ``gutter`` (see ``gutters``), long cells whose columns all
+    part at a gutter are columns of text, no table.
     """
     rows = pieces.groupBy(*PAGE, "row").agg(F.count("*").alias("cols"), F.avg(F.char_length("text")).alias("chars"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     order = Window.partitionBy(*PAGE).orderBy("y0", "row")
@@ -154,10 +159,41 @@ def borderless_tables(pieces: DataFrame) -> DataFrame:
     spread = lambda c: F.max(c) - F.min(c)
     aligned = cells.groupBy(*PAGE, "run", "col").agg(F.least(spread("x0"), spread("x1"), spread((F.col("x0") + F.col("x1")) / 2)).alias("off"))
     tables = aligned.groupBy(*PAGE, "run").agg(F.max("off").alias("off")).where("off <= 10").select(*PAGE, "run")
+    if gutter is not None:
+        tables = tables.join(_text_columns(cells, gutter), [*PAGE, "run"], "left_anti")
     kept = cells.join(tables, [*PAGE, "run"], "left_semi")
     return kept.select(*PAGE, F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("run")).alias("table_no"), F.dense_rank().over(Window.partitionBy(*PAGE, "run").orderBy("y0", "row")).alias("row_no"), F.col("col").alias("col_no"), "text")
 
 
+def _text_columns(cells: DataFrame, gutter: DataFrame) -> DataFrame:
+    """Pages and runs of rows with cells of 15 characters or more on average and a gutter in every break between columns."""
+    sides = cells.groupBy(*PAGE, "run", "col").agg(F.max("x1").alias("right"), F.min("x0").alias("left"), F.sum(F.char_length("text")).alias("chars"), F.count("*").alias("n"))
+    breaks = sides.withColumn("next_left", F.lead("left").over(Window.partitionBy(*PAGE, "run").orderBy("col")))
+    found = gutter.groupBy(*PAGE).agg(F.collect_set("gutter").alias("gutters"))
+    parted = F.col("next_left").isNull() | F.exists("gutters", lambda g: g.between(F.col("right"), F.col("next_left")))
+    return breaks.join(found, PAGE).groupBy(*PAGE, "run").agg(F.every(parted).alias("parted"), (F.sum("chars") / F.sum("n")).alias("mean")).where("parted AND mean >= 15").select(*PAGE, "run")
+
+
+def row_pieces(chars: DataFrame) -> DataFrame:
+    """Pieces of rows for ``borderless_tables`` from characters (doc_id, page_index, line_no, char_no, ch, x0, x1, y0, y1, size).
+
+    A line is cut at gaps of 18 points and of twice the size; blanks only part words.  Pieces less
+    than 3 points below the one before are in its row.
+    """
+    order = Window.partitionBy(*PAGE, "line_no").orderBy("char_no")
+    shown = chars.where(F.btrim("ch", F.lit(" \t")) != "")
+    gap = F.col("x0") - F.lag("x1").over(order)
+    parted = shown.withColumns({"gap": gap, "blank": (gap > 0.22 * F.col("size")) | (F.col("char_no") - F.lag("char_no").over(order) > 1)})
+    fresh = F.coalesce(F.col("gap") >= F.greatest(F.lit(18.0), 2 * F.col("size")), F.lit(True))
+    lettered = parted.withColumns({"fresh": fresh.cast("int"), "piece": F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "ch": F.when(~fresh & F.coalesce("blank", F.lit(False)), F.concat(F.lit(" "), "ch")).otherwise(F.col("ch"))})
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("char_no", "ch"))), lambda x: x["ch"]), "")
+    pieces = lettered.groupBy(*PAGE, "line_no", "piece").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    down = Window.partitionBy(*PAGE).orderBy("y0", "line_no", "piece")
+    lower = F.coalesce((F.col("y0") - F.lag("y0").over(down) >= 3).cast("int"), F.lit(0))
+    rows = pieces.withColumn("lower", lower).withColumn("row", F.sum("lower").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(*PAGE, "row", (F.row_number().over(Window.partitionBy(*PAGE, "row").orderBy("x0", "line_no")) - 1).alias("col"), "x0", "x1", "y0", "y1", "text")
+
+
 def stitched_tables(tables: DataFrame) -> DataFrame:
     """Tables with the chain they belong to; one that goes on from the page before is in its chain.
 

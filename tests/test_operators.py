@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.matches import matches, smart_pattern
-from quire.operators import chains, compare, layout, outline, page_sets, passage_index, references, retrieval, review, search, sensitive, takeoff
+from quire.operators import chains, compare, elements, layout, outline, page_sets, passage_index, references, retrieval, review, search, sensitive, takeoff
 from quire.streaming import state
 
 SMALL = "/root/testdata/sf0.001"
@@ -140,6 +140,43 @@ def test_sections(spark):
     assert {r["place_no"]: r["section"] for r in outline.sections_of(places, nodes).collect()} == {0: None, 1: 0, 2: 1, 3: 2, 4: None}
 
 
+def test_tables_of_characters(spark):
+    def chars(doc, line, x, y, text):
+        return [(doc, 0, line, k, c, x + 5.0 * k, x + 5.0 * k + 5, float(y), y + 10.0, 10.0) for k, c in enumerate(text)]
+
+    rows = []
+    for n in range(12):  # two columns of text, whose lines are cut by the gutter
+        rows += chars(1, n, 72, 100 + 14 * n, "a line of text on the left") + [(1, 0, n, 50 + k, c, 320 + 5.0 * k, 325 + 5.0 * k, 100.0 + 14 * n, 110.0 + 14 * n, 10.0) for k, c in enumerate("and one more on the right")]
+    for n, (a, b, c) in enumerate([("Item", "Pieces", "Price"), ("Bolt", "12", "0.50"), ("Long nut", "7", "1.25")]):
+        rows += [x for at, t in ((72, a), (200, b), (300, c)) for x in chars(2, n, at, 100 + 14 * n, t)]
+    rows = [(d, p, line, k, *rest) for k, (d, p, line, _, *rest) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, char_no int, ch string, x0 double, x1 double, y0 double, y1 double, size double")
+    pieces = layout.row_pieces(table)
+    gutter = layout.gutters(pieces.withColumn("line_no", F.col("row")), 612)
+    assert {r["doc_id"] for r in layout.borderless_tables(pieces).collect()} == {1, 2}
+    cells = {(r["doc_id"], r["row_no"], r["col_no"]): r["text"] for r in layout.borderless_tables(pieces, gutter).collect()}
+    assert len(cells) == 9 and cells[2, 3, 0] == "Long nut" and cells[2, 1, 2] == "Price" and cells[2, 2, 1] == "12"
+
+
+def test_elements_and_their_export(spark):
+    def line(page, n, text, x0, y0, x1, size=10.0, bold=False):
+        return (1, page, n, text, float(x0), float(y0), float(x1), y0 + size, size, bold)
+
+    rows = [line(0, 0, "A Title", 72, 100, 200, 16.0), line(0, 1, "Words of a para-", 72, 140, 300), line(0, 2, "graph that goes", 72, 154, 200), line(0, 3, "on.", 205, 155, 230)]
+    rows += [line(0, 4, "Bold Head", 72, 190, 140, 10.0, True), line(0, 5, "Text below.", 72, 220, 180), line(0, 6, "x 1", 80, 255, 120), line(0, 7, "Behind the table.", 72, 320, 200)]
+    rows += [line(1, n, f"left {n}", 72, 100 + 14 * n, 250) for n in range(6)] + [line(1, 6 + n, f"right {n}", 330, 100 + 14 * n, 500) for n in range(6)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean")
+    cells = spark.createDataFrame([(1, 0, 0, r, c, t, 72.0 + 100 * c, 250.0 + 20 * r, 172.0 + 100 * c, 270.0 + 20 * r) for r, c, t in [(0, 0, "x"), (0, 1, "1"), (1, 0, ""), (1, 1, "2")]], "doc_id long, page_index int, table_no int, row int, col int, text string, x0 double, y0 double, x1 double, y1 double")
+    gutter = layout.gutters(lines, 612)
+    got = [(r["page_index"], r["kind"], r["level"], r["text"]) for r in elements.elements(lines, gutter, cells).orderBy("page_index", "seq").collect()]
+    left, right = (" ".join(f"{side} {n}" for n in range(6)) for side in ("left", "right"))
+    first = [("heading", 1, "A Title"), ("paragraph", None, "Words of a paragraph that goes on."), ("heading", 2, "Bold Head"), ("paragraph", None, "Text below."), ("table", None, "x\t1\n2"), ("paragraph", None, "Behind the table.")]
+    assert got == [(0, *e) for e in first] + [(1, "paragraph", None, left), (1, "paragraph", None, right)]
+    text = elements.layout_export(elements.elements(lines, gutter, cells)).first()["text"]
+    assert text == "--- Page 1 ---\n\n" + "\n\n".join(e[2] for e in first) + f"\n\n--- Page 2 ---\n\n{left}\n\n{right}"
+    assert elements.layout_export(elements.elements(lines.where("doc_id < 0"), gutter, cells.where("doc_id < 0"))).count() == 0
+
+
 def test_running_lines_and_joins(spark):
     rows = [(1, p, k, t, y, y + 11) for p in range(6) for k, (t, y) in enumerate([("Head", 20.0), (f"body {p} {'abcdef'[p]}", 300.0), (f"{p + 1}", 770.0)])]
     lines = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string, y0 double, y1 double")
