@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import elements as E
 from quire.operators import layout as L
 from quire.plans.base import query
 from quire.sources.corpus import LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, positioned_lines, table
+from quire.sources.shared import saved
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +89,16 @@ def l4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.paragraphs(positioned_lines(table(spark, sf_dir, "documents")))
 
 
-@query("""
+BORDERLESS_SQL = """
     WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS row, unnest([0, 1, 2]) AS col, [CAST(l_quantity AS VARCHAR), l_returnflag, CAST(l_suppkey AS VARCHAR)] AS t FROM lineitem),
     once AS (SELECT doc_id, row, min(t) AS t FROM p GROUP BY ALL),
     runs AS (SELECT doc_id, row, t, row - row_number() OVER (PARTITION BY doc_id ORDER BY row) AS run FROM once),
     long AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS h FROM runs)
     SELECT doc_id, 0 AS page_index, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY run) AS INT) AS table_no, CAST(dense_rank() OVER (PARTITION BY doc_id, run ORDER BY row) AS INT) AS row_no, CAST(col AS INT) AS col_no, t[col + 1] AS text
-    FROM (SELECT *, unnest([0, 1, 2]) AS col FROM long WHERE h >= 3)""")
+    FROM (SELECT *, unnest([0, 1, 2]) AS col FROM long WHERE h >= 3)"""
+
+
+@query(BORDERLESS_SQL)
 def l6_borderless_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as table rows 16 points apart; a missing line number is a gap."""
     l = table(spark, sf_dir, "lineitem")
@@ -104,6 +109,37 @@ def l6_borderless_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.borderless_tables(pieces.select("doc_id", "page_index", "row", "col", x0.alias("x0"), (x0 + 20 + F.char_length("text")).alias("x1"), y0.alias("y0"), (y0 + 11).alias("y1"), "text"))
 
 
+@query(BORDERLESS_SQL)
+def l6_character_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by their characters, five points each, one line of text a row."""
+    l = table(spark, sf_dir, "lineitem")
+    cells = F.array(F.col("l_quantity").cast("string"), "l_returnflag", F.col("l_suppkey").cast("string"))
+    rows = l.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no")).agg(F.min(cells).alias("t"))
+    each = rows.select("doc_id", "line_no", F.posexplode("t").alias("col", "text")).select("doc_id", "line_no", "col", F.posexplode(F.split("text", "")).alias("k", "ch")).where("ch != ''")
+    x0, y0 = (60 + F.col("col") * 120 + F.col("k") * 5).cast("double"), (F.col("line_no") * 26).cast("double")
+    chars = each.select("doc_id", F.lit(0).alias("page_index"), "line_no", (F.col("col") * 100 + F.col("k")).alias("char_no"), "ch", x0.alias("x0"), (x0 + 5).alias("x1"), y0.alias("y0"), (y0 + 11).alias("y1"), F.lit(10.0).alias("size"))
+    pieces = saved(L.row_pieces(chars), "row-pieces")
+    return L.borderless_tables(pieces, L.gutters(pieces.withColumn("line_no", F.col("row")), PAGE_WIDTH)).select("doc_id", "page_index", "table_no", "row_no", "col_no", "text")
+
+
+@query("""
+    WITH pages AS (SELECT doc_id, p AS page_index, array_to_string(list_transform([1, 2, 3], lambda k: 'body ' || (doc_id * 31 + p * 7 + k) || sha256(doc_id || ',' || p)[1:6]), ' ') AS body FROM documents, (SELECT unnest(range(0, 5)) AS p)),
+    tables AS (SELECT l_orderkey AS doc_id, 0 AS page_index, string_agg(l_linenumber || chr(9) || flag, chr(10) ORDER BY l_linenumber) AS t FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL) GROUP BY 1),
+    joined AS (SELECT doc_id, page_index, concat_ws(chr(10) || chr(10), body, t) AS body FROM pages FULL JOIN tables USING (doc_id, page_index)),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM joined)
+    SELECT doc_id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || (page_index + 1) || ' ---' || chr(10) || chr(10) ELSE '' END || body, chr(10) || chr(10) ORDER BY page_index) AS text FROM counted GROUP BY doc_id""")
+def s4_layout_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The framed pages without their running lines; an order's lines are a table at the foot of the first page of its document."""
+    framed = L.running_lines(framed_lines(spark, sf_dir), PAGE_HEIGHT).where("NOT is_running")
+    lines = saved(framed.select("doc_id", "page_index", "line_no", "text", "x0", "y0", "x1", "y1", F.lit(11.0).alias("size"), F.lit(False).alias("bold")), "lines")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row")).agg(F.min("l_returnflag").alias("flag"))
+    y0 = (680 + F.col("row") * 10).cast("double")
+    cell = lambda k, text, x0: F.struct(F.lit(k).alias("col"), text.alias("text"), F.lit(x0).alias("x0"), F.lit(x0 + 100).alias("x1"))
+    cells = rows.select("doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("table_no"), "row", F.explode(F.array(cell(0, F.col("row").cast("string"), 72.0), cell(1, F.col("flag"), 172.0))).alias("c"), y0.alias("y0"), (y0 + 10).alias("y1"))
+    cells = cells.select("doc_id", "page_index", "table_no", "row", "c.*", "y0", "y1")
+    return E.layout_export(E.elements(lines, L.gutters(lines, PAGE_WIDTH), cells))
+
+
 @query("""
     WITH t AS (SELECT l_orderkey % 300 AS doc_id, CAST(l_orderkey // 300 AS INT) AS page_index, min(l_suppkey % 2) + 2 AS cols, CAST(min(l_partkey % 20) AS DOUBLE) AS width, min(l_returnflag) AS header, CASE WHEN min(l_partkey) % 3 = 0 THEN 'Table (continued)' WHEN min(l_partkey) % 3 = 1 THEN 'Discontinued' END AS heading FROM lineitem GROUP BY ALL),
     l AS (SELECT *, lag(cols) OVER w AS pc, lag(width) OVER w AS pw, lag(header) OVER w AS ph, lag(page_index) OVER w AS pp FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_index)),

@@ -699,7 +699,7 @@ def test_index_refresh_as_a_stream(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "c13_families", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk", "v2_lexical_topk", "v3_vector_topk"])
+@pytest.mark.parametrize("name", ["s1_page_text", "q1_smart_search", "r1_preset_scan", "c13_pair_discovery", "c13_families", "m4_totals", "d2_mark_tokens", "d3_custom_splits", "d4_page_labels", "l2_reading_order", "l5_ruled_tables", "l6_character_tables", "s4_layout_export", "r4_title_propagation", "t4_change_debouncing", "t5_monitor_counts", "v4_hybrid_topk", "v2_lexical_topk", "v3_vector_topk"])
 def test_sql_twins(spark, name):
     import duckdb
 
