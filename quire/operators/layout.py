@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,14 +217,43 @@ LINE = [*PAGE, "line_no"]
 
 
 def style_runs(chars: DataFrame) -> DataFrame:
-    """Maximal runs of one style on a line, with spaces where the gap is wide: run_no, text, size, bold by line."""
-    order = Window.partitionBy(*LINE).orderBy("char_no")
-    gap = F.col("x0") - F.lag("x1").over(order)
-    shown = F.concat(F.when(gap > 0.22 * F.col("size"), " ").otherwise(""), "ch")
-    fresh = F.coalesce((F.abs(F.col("size") - F.lag("size").over(order)) > 0.2) | (F.col("bold") != F.lag("bold").over(order)), F.lit(True)).cast("int")
-    runs = chars.withColumns({"shown": shown, "fresh": fresh}).withColumn("run_no", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("char_no", "shown"))), lambda x: x["shown"]), "")
-    return runs.groupBy(*LINE, "run_no").agg(text.alias("text"), F.min("size").alias("size"), F.min("bold").alias("bold"))
+    """``line_style_runs`` of characters that come a row each (doc_id, page_index, line_no, char_no, ch, x0, x1, size, bold)."""
+    each = F.sort_array(F.collect_list(F.struct("char_no", "ch", "x0", "x1", "size", "bold")))
+    return line_style_runs(chars.groupBy(*LINE).agg(each.alias("chars")))
+
+
+def line_style_runs(lines: DataFrame) -> DataFrame:
+    """Maximal runs of one style on a line, with spaces where the gap is wide: run_no, text, size, bold by line.
+
+    ``lines`` has doc_id, page_index, line_no and chars, an array of the line's characters (ch, x0,
+    x1, size, bold) in order, so nothing is shuffled or sorted.
+    """
+
+    def runs(batches):
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch["chars"]), 0).to_numpy(zero_copy_only=False)
+            chars = batch["chars"].flatten()
+            if not len(chars):
+                continue
+            line = np.repeat(np.arange(len(n)), n)
+            x0, x1, size = (chars.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "size"))
+            bold = chars.field("bold").cast("uint8").to_numpy(zero_copy_only=False).astype(float)  # null: nan
+            goes_on = np.zeros(len(line), bool)
+            goes_on[1:] = (line[1:] == line[:-1]) & (np.abs(size[1:] - size[:-1]) <= 0.2) & (bold[1:] == bold[:-1])
+            wide = np.zeros(len(line), bool)
+            wide[1:] = (line[1:] == line[:-1]) & (x0[1:] - x1[:-1] > 0.22 * size[1:])
+            ch = pc.fill_null(chars.field("ch"), "")
+            shown = pc.if_else(pa.array(wide), pc.binary_join_element_wise(" ", ch, ""), ch)
+            first = np.flatnonzero(~goes_on)
+            text = pc.binary_join(pa.LargeListArray.from_arrays(np.append(first, len(line)), shown), "")
+            number = np.arange(len(first)) - np.searchsorted(line[first], line[first]) + 1
+            weight = np.fmin.reduceat(bold, first)
+            keys = [batch[c].take(pa.array(line[first])) for c in LINE]
+            columns = [*keys, pa.array(number), text, pa.array(np.fmin.reduceat(size, first), from_pandas=True), pa.array(weight > 0, mask=np.isnan(weight))]
+            yield pa.RecordBatch.from_arrays(columns, [*LINE, "run_no", "text", "size", "bold"])
+
+    kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in LINE)
+    return lines.select(*LINE, "chars").mapInArrow(runs, f"{kinds}, run_no long, text string, size double, bold boolean")
 
 
 def stroked_chars(chars: DataFrame, strokes: DataFrame, bucket: float = 16.0) -> DataFrame:

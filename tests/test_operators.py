@@ -713,3 +713,16 @@ def test_sql_twins(spark, name):
     columns = [c[0] for c in theirs.description]
     plain = lambda rows: sorted(tuple(repr(round(v, 3)) if isinstance(v, float) else repr(v) for v in r) for r in rows)
     assert plain(tuple(r) for r in ours.select(*columns).collect()) == plain(theirs.fetchall())
+
+
+def test_style_runs_of_lines_take_no_shuffle(spark):
+    chars = [("a", 0.0, 5.0, 10.0, False), ("b", 5.0, 10.0, 10.0, False), (None, 10.0, 15.0, 10.0, False), ("c", 20.0, 25.0, 10.0, False), ("d", 25.0, 30.0, 12.0, False), ("é", 30.0, 35.0, 12.0, True), ("f", 35.0, 40.0, 12.0, None), ("g", 40.0, 45.0, None, None)]
+    schema = "doc_id long, page_index int, line_no int, chars array<struct<ch: string, x0: double, x1: double, size: double, bold: boolean>>"
+    lines = spark.createDataFrame([(1, 0, 0, chars), (1, 0, 1, chars[3:5]), (2, 0, 0, []), (2, 0, 1, None)], schema)
+    by_line = layout.line_style_runs(lines)
+    assert "Exchange" not in by_line._jdf.queryExecution().executedPlan().toString()
+    expected = [(1, 0, 1, "ab c", 10.0, False), (1, 0, 2, "d", 12.0, False), (1, 0, 3, "é", 12.0, True), (1, 0, 4, "f", 12.0, None), (1, 0, 5, "g", None, None), (1, 1, 1, "c", 10.0, False), (1, 1, 2, "d", 12.0, False)]
+    named = ["doc_id", "line_no", "run_no", "text", "size", "bold"]
+    assert sorted(map(tuple, by_line.select(named).collect())) == expected
+    each = lines.select("doc_id", "page_index", "line_no", F.posexplode("chars").alias("char_no", "c")).select("doc_id", "page_index", "line_no", "char_no", "c.*")
+    assert sorted(map(tuple, layout.style_runs(each).select(named).collect())) == expected
