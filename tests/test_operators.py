@@ -726,3 +726,14 @@ def test_style_runs_of_lines_take_no_shuffle(spark):
     assert sorted(map(tuple, by_line.select(named).collect())) == expected
     each = lines.select("doc_id", "page_index", "line_no", F.posexplode("chars").alias("char_no", "c")).select("doc_id", "page_index", "line_no", "char_no", "c.*")
     assert sorted(map(tuple, layout.style_runs(each).select(named).collect())) == expected
+
+
+def test_references_and_headings_are_read_once(spark):
+    pages = spark.createDataFrame([(1, 0, "see Section 4.2(b) and Section 9, or “Payment Terms”")], "doc_id long, page_index int, text string")
+    heads = [(2, 0, "4.2(b) Delivery"), (2, 1, "Section 4.2 Terms"), (2, 2, "Payment Terms and more"), (3, 0, "4.25 Other"), (9, 0, "Section 9 Elsewhere")]
+    outline = spark.createDataFrame([(d, k, 0, 80.0 * k, t) for d, k, t in heads], "doc_id long, node_no long, page_index int, y double, title string")
+    names = spark.createDataFrame([(1, "a", 7), (2, "b", 7), (3, "c", 7), (9, "d", 8)], "doc_id long, name string, group_id long")
+    found = references.candidates(references.extract(pages), outline, names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert references.NUMBERING_FORM not in plan and references.QUOTED_FORM not in plan
+    assert sorted(map(tuple, found.select("identifier", "target_doc", "node_no", "score").collect())) == [("", 2, 2, 60), ("4.2(b)", 2, 0, 85), ("4.2(b)", 2, 1, 70)]
