@@ -737,3 +737,21 @@ def test_references_and_headings_are_read_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert references.NUMBERING_FORM not in plan and references.QUOTED_FORM not in plan
     assert sorted(map(tuple, found.select("identifier", "target_doc", "node_no", "score").collect())) == [("", 2, 2, 60), ("4.2(b)", 2, 0, 85), ("4.2(b)", 2, 1, 70)]
+
+
+def test_hopeless_gaps_are_left_at_once(monkeypatch):
+    rows = []
+    packed = compare.np.packbits
+    monkeypatch.setattr(compare.np, "packbits", lambda *a, **k: rows.append(1) or packed(*a, **k))
+    a, b = [f"a{k}" for k in range(700)], [f"b{k}" for k in range(700)]
+    assert compare.aligned(["x", *a, "s", *a], ["x", *b, "s", *b]) == [(0, 0)] and not rows
+    # 302 edits: neither 64 nor 256 can do, so one pass decides
+    assert compare.aligned([*a[:150], "s", "t"], [*b[:150], "s", "u"]) == [(150, 150)] and len(rows) == 152
+
+
+def test_gaps_are_spread_over_tasks(spark):
+    rows = [(k, d, 0, i, w) for k in range(4) for d, text in ((0, "a b c x d"), (1, "a b c y z d")) for i, w in enumerate(text.split())]
+    paired = spark.createDataFrame([((k, k + 10), side, i, i, w, w, False) for k, side, _, i, w in rows], "pair_id struct<a: long, b: long>, side int, i int, pos int, key string, word string, starts boolean")
+    got = compare.matches(paired, compare.chain(compare.anchors(paired)))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pair_id"]["a"], r["i"], r["j"]) for r in got.collect()) == sorted((k, i, j) for k in range(4) for i, j in ((0, 0), (1, 1), (2, 2), (4, 5)))
