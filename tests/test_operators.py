@@ -755,3 +755,14 @@ def test_gaps_are_spread_over_tasks(spark):
     got = compare.matches(paired, compare.chain(compare.anchors(paired)))
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["pair_id"]["a"], r["i"], r["j"]) for r in got.collect()) == sorted((k, i, j) for k in range(4) for i, j in ((0, 0), (1, 1), (2, 2), (4, 5)))
+
+
+def test_gaps_are_aligned_in_batches(spark):
+    # two equal gaps, one on a single side only, and the same words as an anchor before a gap
+    a, b = "q a b c x k d e f x k g h i", "a b c k y d e f k y g h i new"
+    rows = [((p, p + 10), side, i, i, w, w, False) for p in range(3) for side, text in ((0, a), (1, b)) for i, w in enumerate(text.split())]
+    paired = spark.createDataFrame(rows, "pair_id struct<a: long, b: long>, side int, i int, pos int, key string, word string, starts boolean")
+    got = compare.matches(paired, compare.chain(compare.anchors(paired)))
+    assert "MapInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
+    right = [(1, 0), (2, 1), (3, 2), (5, 3), (6, 5), (7, 6), (8, 7), (10, 8), (11, 10), (12, 11), (13, 12)]
+    assert sorted((r["pair_id"]["a"], r["i"], r["j"]) for r in got.collect()) == [(p, i, j) for p in range(3) for i, j in right]
