@@ -256,22 +256,31 @@ def line_style_runs(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE, "chars").mapInArrow(runs, f"{kinds}, run_no long, text string, size double, bold boolean")
 
 
-def stroked_chars(chars: DataFrame, strokes: DataFrame, bucket: float = 16.0) -> DataFrame:
-    """Characters with underline and strike flags from thin strokes near their baseline or middle.
-
-    Strokes first meet the baselines of lines, then the characters of these lines.
-    """
+def line_strokes(lines: DataFrame, strokes: DataFrame, bucket: float = 16.0) -> DataFrame:
+    """Lines (``LINE``, baseline, tallest character, any more columns) with the strokes near their baseline or middle, an array."""
     thin = strokes.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("sy") - 16) / bucket), F.floor((F.col("sy") + 16) / bucket))))
-    lines = chars.groupBy(*LINE, "baseline").agg(F.max("size").alias("tallest"))
-    near = lines.withColumn("bucket", F.floor(F.col("baseline") / bucket)).join(thin.select(*PAGE, "bucket", "sx0", "sx1", "sy", "thickness"), [*PAGE, "bucket"])
+    near = lines.select(*LINE, "baseline", "tallest", F.floor(F.col("baseline") / bucket).alias("bucket")).join(thin.select(*PAGE, "bucket", "sx0", "sx1", "sy", "thickness"), [*PAGE, "bucket"])
     near = near.where(F.abs(F.col("sy") - F.col("baseline")) <= F.greatest(F.lit(1.0), 0.45 * F.col("tallest"))).select(*LINE, "baseline", "sx0", "sx1", "sy", "thickness")
     per_line = near.groupBy(*LINE, "baseline").agg(F.collect_set(F.struct("sx0", "sx1", "sy", "thickness")).alias("strokes"))
-    out = chars.join(per_line, [*LINE, "baseline"], "left")
+    return lines.join(per_line, [*LINE, "baseline"], "left")
+
+
+def stroke_flags(chars: DataFrame) -> DataFrame:
+    """Characters of ``line_strokes`` with underline and strike instead of the strokes."""
     size, base = F.col("size"), F.col("baseline")
     meets = lambda s: (s["thickness"] <= F.greatest(F.lit(2.5), 0.15 * size)) & (F.col("x0") >= s["sx0"] - 1) & (F.col("x1") <= s["sx1"] + 1)
     under = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 1, base + 0.3 * size))
     through = F.exists("strokes", lambda s: meets(s) & s["sy"].between(base - 0.45 * size, base - 0.15 * size))
-    return out.withColumns({"underline": F.coalesce(under, F.lit(False)), "strike": F.coalesce(through, F.lit(False))}).drop("strokes")
+    return chars.withColumns({"underline": F.coalesce(under, F.lit(False)), "strike": F.coalesce(through, F.lit(False))}).drop("strokes")
+
+
+def stroked_chars(chars: DataFrame, strokes: DataFrame, bucket: float = 16.0) -> DataFrame:
+    """Characters with underline and strike flags from thin strokes near their baseline or middle.
+
+    Strokes first meet the baselines of lines, then the characters of these lines.
+    """
+    lines = chars.groupBy(*LINE, "baseline").agg(F.max("size").alias("tallest"))
+    return stroke_flags(chars.join(line_strokes(lines, strokes, bucket).drop("tallest"), [*LINE, "baseline"], "left"))
 
 
 #: Ruled tables: strokes are this thin and long, touch within TOUCH, edges closer than EDGE are one; drawings have more columns or cells.
@@ -348,24 +357,37 @@ def upright_lines(lines: DataFrame, page_width: float, page_height: float) -> Da
     return turned.select(*PAGE, "line_no", "text", F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"), "angle")
 
 
+def block_numbers(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> list[int]:
+    """Blocks of a page's lines, which come from the top down."""
+    last: list[tuple[float, float, float]] = []  # x0, x1, y1 of the last line of each block
+    number = []
+    for left, top, right, low in zip(x0.tolist(), y0.tolist(), x1.tolist(), y1.tolist(), strict=True):
+        for k in range(len(last) - 1, -1, -1):
+            a, b, bottom = last[k]
+            narrow, wide = sorted((right - left, b - a))
+            if abs(top - bottom) <= low - top and min(right, b) - max(left, a) >= 0.5 * narrow and narrow >= 0.6 * wide:
+                last[k] = (left, right, low)
+                break
+        else:
+            k = len(last)
+            last.append((left, right, low))
+        number.append(k)
+    return number
+
+
 def line_blocks(lines: DataFrame) -> DataFrame:
-    """Upright lines with block_no: a line goes on a block whose last line is close, half under it and about as wide."""
-
-    def grouped(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "line_no"], kind="stable")
-        last: list[tuple[float, float, float]] = []  # x0, x1, y1 of the last line of each block
-        number = []
-        for x0, y0, x1, y1 in zip(page["x0"], page["y0"], page["x1"], page["y1"], strict=True):
-            for k in range(len(last) - 1, -1, -1):
-                a, b, bottom = last[k]
-                narrow, wide = sorted((x1 - x0, b - a))
-                if abs(y0 - bottom) <= y1 - y0 and min(x1, b) - max(x0, a) >= 0.5 * narrow and narrow >= 0.6 * wide:
-                    last[k] = (x0, x1, y1)
-                    break
-            else:
-                k = len(last)
-                last.append((x0, x1, y1))
-            number.append(k)
-        return page.assign(block_no=number)
-
-    return lines.groupBy(*PAGE).applyInPandas(grouped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", block_no long")
+    """Upright lines with block_no: a line goes on a block whose last line is close, half under it and about as wide.
+
+    A page is one row, and only its boxes go to Python, many pages in a batch.
+    """
+
+    @F.pandas_udf("array<long>")
+    def numbered(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([block_numbers(*page) for page in zip(x0, y0, x1, y1, strict=True)], dtype=object)
+
+    order = ["y0", "x0", "line_no"]
+    rest = [c for c in lines.columns if c not in PAGE + order]
+    pages = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("page"))
+    boxes = numbered(*(F.col(f"page.{c}").cast("array<double>") for c in ("x0", "y0", "x1", "y1")))
+    each = pages.withColumn("number", boxes).select(*PAGE, F.explode(F.arrays_zip("page", "number")).alias("l"))
+    return each.select(*(F.col(c if c in PAGE else f"l.page.{c}") for c in lines.columns), F.col("l.number").alias("block_no"))

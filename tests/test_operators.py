@@ -766,3 +766,39 @@ def test_gaps_are_aligned_in_batches(spark):
     assert "MapInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
     right = [(1, 0), (2, 1), (3, 2), (5, 3), (6, 5), (7, 6), (8, 7), (10, 8), (11, 10), (12, 11), (13, 12)]
     assert sorted((r["pair_id"]["a"], r["i"], r["j"]) for r in got.collect()) == [(p, i, j) for p in range(3) for i, j in right]
+
+
+def test_pages_go_to_blocks_in_batches(spark):
+    rows = [(1, 0, 2, "below", 10.0, 24.0, 90.0, 34.0, 0.5), (1, 0, 1, "above", 10.0, 10.0, 95.0, 20.0, 0.5), (1, 0, 3, None, 200.0, 24.0, 290.0, 34.0, 0.5), (1, 1, 0, "alone", 10.0, 10.0, 20.0, 20.0, 0.0)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, angle double")
+    blocks = layout.line_blocks(lines)
+    assert "FlatMapGroups" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert blocks.columns == [*lines.columns, "block_no"]
+    assert sorted(map(tuple, blocks.select("page_index", "line_no", "text", "angle", "block_no").fillna("").collect())) == [(0, 1, "above", 0.5, 0), (0, 2, "below", 0.5, 0), (0, 3, "", 0.5, 1), (1, 0, "alone", 0.0, 0)]
+
+
+def test_strokes_meet_lines_before_their_characters(spark):
+    from quire.plans.layout_queries import l10_underline_strike
+
+    if os.path.isdir(SMALL):
+        plan = l10_underline_strike(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("inline") < plan.index("Join")  # the plan is read from its end: characters are made behind all joins
+        assert plan.count("inline") == 1
+    lines = spark.createDataFrame([(1, 0, 0, 100.0, 12.0, "ab"), (1, 0, 1, 200.0, None, "c")], "doc_id long, page_index int, line_no int, baseline double, tallest double, text string")
+    strokes = spark.createDataFrame([(1, 0, 0.0, 50.0, 101.5, 1.0), (1, 0, 0.0, 50.0, 97.0, 9.0)], "doc_id long, page_index int, sx0 double, sx1 double, sy double, thickness double")
+    met = layout.line_strokes(lines, strokes)
+    assert {r["line_no"]: r["strokes"] and len(r["strokes"]) for r in met.collect()} == {0: 2, 1: None}
+    chars = met.select("*", F.lit(5.0).alias("x0"), F.lit(9.0).alias("x1"), F.lit(10.0).alias("size"))
+    assert sorted(map(tuple, layout.stroke_flags(chars).select("line_no", "underline", "strike").collect())) == [(0, True, False), (1, False, False)]
+
+
+def test_words_are_made_without_a_window(spark):
+    rows = [(1, 0, 1, "-ated and well-"), (1, 0, 0, "  one\tinterpo-"), (1, 0, 2, "  late Well-"), (1, 1, 0, ""), (1, 1, 1, None), (1, 1, 2, "Known semi-"), (1, 1, 3, "\fcolon"), (2, 0, 0, "a-"), (2, 0, 1, "b-"), (2, 0, 2, "c 9-"), (2, 0, 3, "d"), (3, 0, 0, None)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string")
+    got = compare.words(lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert [tuple(r) for r in got.orderBy("doc_id", "pos").select("doc_id", "pos", "word", "line_no").collect()] == [
+        (1, 0, "one", 0), (1, 1, "interpo-", 0), (1, 2, "-ated", 1), (1, 3, "and", 1), (1, 4, "welllate", 1), (1, 5, "Well-", 2), (1, 6, "Known", 2), (1, 7, "semi-", 2), (1, 8, "colon", 3),
+        (2, 0, "ab-", 0), (2, 1, "9-", 2), (2, 2, "d", 3),
+    ]
