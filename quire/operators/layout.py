@@ -9,9 +9,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.groups import linked_groups
-from quire.sources.shared import saved
-
 EDGE_BAND, CLUSTER_GAP, LEAST_PAGES, LEAST_SHARE = 0.15, 1.8, 3, 0.4
 PAGE = ["doc_id", "page_index"]
 
@@ -304,21 +301,59 @@ def strokes_of(shapes: DataFrame) -> DataFrame:
     return each.select(*PAGE, F.xxhash64(*PAGE, "shape_no", "k").alias("stroke"), "s.*")
 
 
+def stroke_groups(stroke: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> list[int | None]:
+    """For every stroke of a page the smallest number of those it is linked with; none if it touches no other."""
+    squares: dict[tuple[int, int], list[int]] = {}
+    low, high = (np.floor(np.stack(c) / SQUARE).astype(np.int64).T.tolist() for c in ((x0, y0), (x1, y1)))
+    for k, ((left, top), (right, bottom)) in enumerate(zip(low, high, strict=True)):
+        for bx in range(left, right + 1):
+            for by in range(top, bottom + 1):
+                squares.setdefault((bx, by), []).append(k)
+    up, met = list(range(len(stroke))), [False] * len(stroke)
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    low, high = (np.floor(np.stack(c) / SQUARE).astype(np.int64).T.tolist() for c in ((x0 - TOUCH, y0 - TOUCH), (x1 + TOUCH, y1 + TOUCH)))
+    x0, y0, x1, y1 = (c.tolist() for c in (x0, y0, x1, y1))
+    for k, ((left, top), (right, bottom)) in enumerate(zip(low, high, strict=True)):
+        for bx in range(left, right + 1):
+            for by in range(top, bottom + 1):
+                for m in squares.get((bx, by), ()):
+                    if m != k and x0[k] - TOUCH <= x1[m] and x1[k] + TOUCH >= x0[m] and y0[k] - TOUCH <= y1[m] and y1[k] + TOUCH >= y0[m]:
+                        met[k] = met[m] = True
+                        up[root(k)] = root(m)
+    least: dict[int, int] = {}
+    for k, number in enumerate(stroke.tolist()):
+        least[root(k)] = min(number, least.get(root(k), number))
+    return [least[root(k)] if met[k] else None for k in range(len(stroke))]
+
+
+def touching(strokes: DataFrame) -> DataFrame:
+    """Strokes that touch others, with grid, the smallest number of those they are linked with on their page.
+
+    A page is one row, and only numbers and boxes go to Python, many pages in a batch.
+    """
+
+    @F.pandas_udf("array<long>")
+    def grids(stroke: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([stroke_groups(*page) for page in zip(stroke, x0, y0, x1, y1, strict=True)], dtype=object)
+
+    pages = strokes.groupBy(*PAGE).agg(F.collect_list(F.struct("stroke", "level", "x0", "y0", "x1", "y1")).alias("page"))
+    each = pages.withColumn("grid", grids(*(F.col(f"page.{c}") for c in ("stroke", "x0", "y0", "x1", "y1")))).select(*PAGE, F.explode(F.arrays_zip("page", "grid")).alias("s"))
+    return each.select(*PAGE, "s.page.*", "s.grid").where("grid IS NOT NULL")
+
+
 def ruled_tables(shapes: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, page_index, table_no, row, col, text of tables drawn with lines.
 
-    Strokes that touch meet in squares of the page; groups of them with two levels and two
+    Strokes that touch meet in squares of their page (``touching``); groups of them with two levels and two
     uprights at least make a grid.  Lines of text lie in the cell of their centre; a grid needs
     two of them, and rows without text are left out.
     """
-    strokes = saved(strokes_of(shapes), "strokes")
-    spread = lambda lo, hi, by: F.explode(F.sequence(F.floor((F.col(lo) - by) / SQUARE), F.floor((F.col(hi) + by) / SQUARE)))
-    wide = strokes.withColumn("bx", spread("x0", "x1", TOUCH)).withColumn("by", spread("y0", "y1", TOUCH))
-    exact = strokes.withColumn("bx", spread("x0", "x1", 0.0)).withColumn("by", spread("y0", "y1", 0.0))
-    a, b = wide.select(*PAGE, "bx", "by", F.col("stroke").alias("a"), F.struct("x0", "y0", "x1", "y1").alias("p")), exact.select(*PAGE, "bx", "by", F.col("stroke").alias("b"), F.struct("x0", "y0", "x1", "y1").alias("q"))
-    touch = (F.col("p.x0") - TOUCH <= F.col("q.x1")) & (F.col("p.x1") + TOUCH >= F.col("q.x0")) & (F.col("p.y0") - TOUCH <= F.col("q.y1")) & (F.col("p.y1") + TOUCH >= F.col("q.y0"))
-    pairs = a.join(b, [*PAGE, "bx", "by"]).where((F.col("a") != F.col("b")) & touch).select("a", "b").distinct()
-    grouped = strokes.join(linked_groups(pairs).withColumnsRenamed({"node": "stroke", "group": "grid"}), "stroke")
+    grouped = touching(strokes_of(shapes))
 
     grid = [*PAGE, "grid"]
     at = F.when(F.col("level"), F.col("y0")).otherwise(F.col("x0"))

@@ -802,3 +802,24 @@ def test_words_are_made_without_a_window(spark):
         (1, 0, "one", 0), (1, 1, "interpo-", 0), (1, 2, "-ated", 1), (1, 3, "and", 1), (1, 4, "welllate", 1), (1, 5, "Well-", 2), (1, 6, "Known", 2), (1, 7, "semi-", 2), (1, 8, "colon", 3),
         (2, 0, "ab-", 0), (2, 1, "9-", 2), (2, 2, "d", 3),
     ]
+
+
+def test_strokes_are_linked_on_their_page(spark):
+    rng, rows = random.Random(5), []
+    for page in range(4):
+        for k in range(40):
+            x, y, long = rng.uniform(-40, 400), rng.uniform(-40, 400), rng.uniform(12, 90)
+            rows.append((7, page, 100 * page + k, k % 2 == 0, x, y, x + long * (k % 2 == 0), y + long * (k % 2)))
+    strokes = spark.createDataFrame(rows, "doc_id long, page_index int, stroke long, level boolean, x0 double, y0 double, x1 double, y1 double")
+    found = layout.touching(strokes)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    t = layout.TOUCH
+    meet = lambda p, q: p[1] == q[1] and p[2] != q[2] and p[4] - t <= q[6] and p[6] + t >= q[4] and p[5] - t <= q[7] and p[7] + t >= q[5]
+    group = {r[2]: r[2] for r in rows if any(meet(r, q) for q in rows)}
+    while True:
+        new = {r[2]: min([group[r[2]], *(group[q[2]] for q in rows if meet(r, q))]) for r in rows if r[2] in group}
+        if new == group:
+            break
+        group = new
+    assert 0 < len(set(group.values())) < len(group) < len(rows)
+    assert {r["stroke"]: r["grid"] for r in found.collect()} == group
