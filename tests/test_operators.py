@@ -823,3 +823,58 @@ def test_strokes_are_linked_on_their_page(spark):
         group = new
     assert 0 < len(set(group.values())) < len(group) < len(rows)
     assert {r["stroke"]: r["grid"] for r in found.collect()} == group
+
+
+def test_pairs_as_rows_are_compared_like_words_as_rows(spark):
+    from quire.operators import revisions
+
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for p in range(8):
+        lines = [[f"w{rng.randrange(40 if p % 2 else 900)}" for _ in range(rng.randrange(3, 14))] for _ in range(30)]
+        other = [list(x) for x in lines]
+        block = other[4:7]
+        del other[4:7]
+        other[15:15] = block
+        for _ in range(p):
+            k = rng.randrange(len(other))
+            other[k][rng.randrange(len(other[k]))] = f"n{rng.randrange(9)}"
+            other.insert(rng.randrange(len(other)), list(other[rng.randrange(len(other))]))
+            del other[rng.randrange(len(other))]
+        other[20:20] = [lines[20][:2] + ["--"] + lines[20][2:]]
+        pairs.append((2 * p, 2 * p + 1))
+        for d, text in ((2 * p, lines), (2 * p + 1, other if p else [["--"]])):
+            rows += [(d, k, w, w.strip("-"), 0, n) for k, (n, w) in enumerate((n, w) for n, line in enumerate(text) for w in line)]
+    words = spark.createDataFrame(rows, "doc_id long, pos int, word string, key string, page_index int, line_no int").repartition(2).cache()
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    paired = compare.paired_words(frame, words).cache()
+    same = compare.matches(paired, compare.chain(compare.anchors(paired))).cache()
+    lists = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "key", F.struct("page_index", "line_no").alias("place")))).alias("x")).select("doc_id", *(F.col(f"x.{c}").alias(f"{c}s") for c in ("word", "key", "place")))
+    docs = revisions.compared(lists).cache()
+    found = revisions.matches(revisions.pair_rows(frame, docs, "text", "starts")).cache()
+
+    def alike(old, new, *columns):
+        old, new = (sorted(map(tuple, x.select(*columns).collect())) for x in (old.select("pair_id.*", "*"), new))
+        assert old == new
+        return len(old)
+
+    assert alike(same, revisions.matched_words(found), "a", "b", "i", "j") > 500
+    assert alike(compare.similarity(paired, same), revisions.similarity(found), "a", "b", "matched", "similarity") == 8
+    ranges = ["a", "b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi"]
+    changed, new = compare.changes(paired, same).cache(), revisions.changes(found).cache()
+    assert alike(changed, new, *ranges) > 20
+    assert alike(compare.change_report(changed, paired), revisions.change_report(new, docs), "a", "b", "change_no", "kind", "removed", "added") > 20
+    assert alike(compare.slid_to_lines(changed, paired), revisions.slid_changes(new, docs), *ranges, "shift") > 20
+    slid, runs = compare.slid_matches(paired, same).cache(), revisions.slid_matches(found)
+    assert alike(slid, revisions.matched_words(runs), "a", "b", "i", "j") > 500
+    moved, moves = compare.moves(paired, slid).cache(), revisions.with_moves(runs).cache()
+    assert alike(compare.move_ranges(moved), revisions.move_ranges(moves), "a", "b", "move_no", "o_lo", "o_hi", "r_lo", "r_hi") > 5
+    assert alike(compare.changes_but_moves(paired, slid, moved), revisions.changes_but_moves(moves), *ranges) > 20
+
+
+def test_keys_of_lists_are_those_of_words(spark):
+    lines = spark.createDataFrame([(1, 0, 0, "ΟΔΟΣ ﬁne “Ab” éa Σ‘x inter-"), (1, 0, 1, "nal -- ½ x y"), (2, 0, 0, ""), (3, 0, 0, "-- one")], "doc_id long, page_index int, line_no int, text string")
+    for flags in ({}, {"ignore_case": True}, {"ignore_case": True, "ignore_punctuation": True}):
+        rows = compare.word_keys(compare.words(lines), **flags).select("doc_id", "pos", "key").collect()
+        listed = compare.listed_words(compare.key_lists(compare.word_lists(compare.line_lists(lines)), **flags), "keys").select("doc_id", "pos", "key").collect()
+        assert sorted(rows) == sorted(listed) and len(rows) == 11
