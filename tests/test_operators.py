@@ -878,3 +878,33 @@ def test_keys_of_lists_are_those_of_words(spark):
         rows = compare.word_keys(compare.words(lines), **flags).select("doc_id", "pos", "key").collect()
         listed = compare.listed_words(compare.key_lists(compare.word_lists(compare.line_lists(lines)), **flags), "keys").select("doc_id", "pos", "key").collect()
         assert sorted(rows) == sorted(listed) and len(rows) == 11
+
+
+def test_anchors_of_pairs_as_rows(spark):
+    from quire.operators import revisions
+
+    rng = random.Random(5)
+    texts = {}
+    for p in range(6):
+        blocks = [[f"b{p}x{k}y{n}" for n in range(rng.randrange(1, 7))] for k in range(40)] + [["same", "old", "words"]] * p
+        texts[2 * p] = [w for x in blocks for w in x]
+        texts[2 * p + 1] = [w for x in rng.sample(blocks, len(blocks)) for w in x][: 1 if p == 5 else None]
+    words = spark.createDataFrame([(d, k, w, w, 0, k // 9) for d, text in texts.items() for k, w in enumerate(text)], "doc_id long, pos int, word string, key string, page_index int, line_no int")
+    frame = spark.createDataFrame([(2 * p, 2 * p + 1) for p in range(6)], "a long, b long")
+    old = compare.anchors(compare.paired_words(frame, words)).cache()
+    rows = revisions.pair_rows(frame, spark.createDataFrame([(d, "\n".join(text)) for d, text in texts.items()], "doc_id long, text string"), "text")
+    listed = lambda found: sorted(map(tuple, found.select("a", "b", "i", "j").collect()))
+    new, chained = listed(revisions.anchors(rows)), listed(revisions.anchors(rows, chained=True))
+    assert new == listed(old.select("pair_id.*", "i", "j")) and len(new) > 300
+    assert chained == listed(compare.chain(old).select("pair_id.*", "i", "j")) and 30 < len(chained) < len(new) / 2
+
+
+def test_pairs_are_no_broadcast(spark, capsys):
+    from quire.operators import revisions
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    docs = spark.createDataFrame([(k, f"w{k}") for k in (1, 2, 3)], "doc_id long, text string")
+    rows = revisions.pair_rows(pairs, docs, "text")
+    rows.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert sorted(map(tuple, rows.select("a", "b", "text_a", "text_b").collect())) == [(1, 2, "w1", "w2"), (1, 3, "w1", "w3")]
