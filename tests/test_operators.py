@@ -908,3 +908,13 @@ def test_pairs_are_no_broadcast(spark, capsys):
     rows.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert sorted(map(tuple, rows.select("a", "b", "text_a", "text_b").collect())) == [(1, 2, "w1", "w2"), (1, 3, "w1", "w3")]
+
+
+def test_references_of_a_page_take_no_shuffle(spark, capsys):
+    text = "Section 1.2.3, 4.5.6 (Notes to “Section 7”), “Clause 8.1” and 192.168.1.2, SECTIONS a, sectionS 3, §§ 4, 5.06.1, 0.1.2 “Terms of Use”, Sch. IV"
+    found = references.extract(page(spark, text))
+    found.explain()
+    out = capsys.readouterr().out
+    assert not any(x in out for x in ("Exchange", "Window", "Sort"))
+    got = [(r["kind"], r["label"], r["identifier"], r["title"]) for r in sorted(found.collect(), key=lambda r: r["start"])]
+    assert got == [("section", "Section", "1.2.3", None), ("section", "Section", "7", None), ("clause", "Clause", "8.1", None), ("section", "sectionS", "3", None), ("section", "§§", "4", None), ("section", None, "0.1.2", None), ("quoted title", None, "", "Terms of Use"), ("schedule", "Sch.", "IV", None)]
