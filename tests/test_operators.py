@@ -918,3 +918,123 @@ def test_references_of_a_page_take_no_shuffle(spark, capsys):
     assert not any(x in out for x in ("Exchange", "Window", "Sort"))
     got = [(r["kind"], r["label"], r["identifier"], r["title"]) for r in sorted(found.collect(), key=lambda r: r["start"])]
     assert got == [("section", "Section", "1.2.3", None), ("section", "Section", "7", None), ("clause", "Clause", "8.1", None), ("section", "sectionS", "3", None), ("section", "§§", "4", None), ("section", None, "0.1.2", None), ("quoted title", None, "", "Terms of Use"), ("schedule", "Sch.", "IV", None)]
+
+
+def test_families_move_their_documents_once_a_block(spark):
+    from quire.operators import pair_blocks
+
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)] + [(100, 101)], "a long, b long")
+    docs = spark.createDataFrame([(d, f"w{d}") for d in [*range(40), 100, 101, 200]], "doc_id long, text string")
+    rows = pair_blocks.blocks(pairs, docs, chunk=64).cache()
+    assert rows.where("b IS NULL").count() == 42 and rows.where("b IS NOT NULL").count() == 781  # not two texts for each pair
+    assert rows.groupBy("block").agg(F.count_if(F.col("b").isNull()).alias("n")).count() == 2
+    parted = pair_blocks.blocks(pairs, docs, chunk=8).cache()
+    assert parted.where("b IS NOT NULL").select("a", "b").distinct().count() == 781
+    assert parted.groupBy("block").agg(F.count_if(F.col("b").isNull()).alias("n")).agg(F.max("n")).first()[0] < 40
+    alone = parted.where("b IS NOT NULL").join(parted.where("b IS NULL").select("block", F.col("a").alias("d")), "block").where("d = a OR d = b").groupBy("a", "b").count()
+    assert alone.where("count != 2").count() == 0 and alone.count() == 781
+
+
+def test_runs_of_one_document_are_not_listed(spark):
+    texts = {1: "a b c d e f", 2: "a b c d x y", 3: "p q r s t u", 4: "p q r s t u", 5: "k l", 6: "a b c d e f"}
+    words = spark.createDataFrame([(d, k, w) for d, t in texts.items() for k, w in enumerate(t.split())], "doc_id long, pos int, key string")
+    got = {r["doc_id"]: r for r in compare.run_sets(words).collect()}
+    assert {d: (r["class_id"], r["size"], len(r["runs"])) for d, r in got.items()} == {1: (1, 4, 4), 2: (2, 4, 2), 3: (3, 4, 4), 4: (3, 4, 4), 6: (1, 4, 4)}
+    assert set(got[2]["runs"]) < set(got[1]["runs"]) and got[1]["runs"][-2:] == got[2]["runs"]  # the rarest come first
+    pairs = compare.revision_pairs(compare.run_sets(words), least=0.3).collect()
+    assert [(r["a"], r["b"], r["shared"], round(r["similarity"], 3)) for r in pairs] == [(1, 2, 2, 0.333)]
+
+
+def test_blocks_compare_like_words_as_rows(spark):
+    from pyspark.sql import Window
+
+    from quire.operators import block_compare
+    from quire.plans.compare_queries import word_boxes
+
+    rng = random.Random(23)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 12))] for _ in range(45)]
+    texts = {}
+    for d in range(7):  # one family: lines that move, are added twice, lose words, and words without a key
+        lines = [list(x) for x in base]
+        for _ in range(d):
+            k = rng.randrange(len(lines) - 6)
+            block = lines[k : k + 4]
+            del lines[k : k + 4]
+            at = rng.randrange(len(lines))
+            lines[at:at] = block
+            lines[rng.randrange(len(lines))][0] = f"n{rng.randrange(5)}"
+            lines.insert(rng.randrange(len(lines)), list(lines[rng.randrange(len(lines))]))
+        lines[5].insert(1, "--")
+        texts[d] = lines
+    texts[7] = [["--"]]
+    rows = [(d, k, w, w.strip("-"), n // 40, n % 40) for d, lines in texts.items() for k, (n, w) in enumerate((n, w) for n, line in enumerate(lines) for w in line)]
+    words = spark.createDataFrame(rows, "doc_id long, pos int, word string, key string, page_index int, line_no int").repartition(2).cache()
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)], "a long, b long")
+    lists = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "word", (F.col("page_index") * 40 + F.col("line_no")).alias("line")))).alias("x"))
+    docs = lists.select("doc_id", F.array_join("x.key", "\n").alias("text"), F.col("x.line").alias("lines"), F.array_join("x.word", "\n").alias("said")).cache()
+    paired = compare.paired_words(pairs, words).cache()
+    same = compare.matches(paired, compare.chain(compare.anchors(paired))).cache()
+
+    def alike(old, new, *columns):
+        old, new = (sorted(map(tuple, x.select(*columns).collect())) for x in (old.select("pair_id.*", "*"), new))
+        assert old == new
+        return len(old)
+
+    key, ranges = ["a", "b", "change_no"], ["o_lo", "o_hi", "r_lo", "r_hi"]
+    assert alike(compare.anchors(paired), block_compare.anchors(pairs, docs), "a", "b", "i", "j") > 500
+    assert alike(compare.chain(compare.anchors(paired)), block_compare.anchors(pairs, docs, chained=True), "a", "b", "i", "j") > 300
+    assert alike(same, block_compare.matched_words(pairs, docs), "a", "b", "i", "j") > 1000
+    assert alike(compare.similarity(paired, same), block_compare.similarity(pairs, docs), "a", "b", "matched", "similarity") == 28
+    changed = compare.changes(paired, same).cache()
+    assert alike(changed, block_compare.changes(pairs, docs), *key, *ranges) > 50
+    assert alike(compare.slid_to_lines(changed, paired), block_compare.slid_changes(pairs, docs), *key, *ranges, "shift") > 50
+    assert alike(compare.change_report(changed, paired), block_compare.change_report(pairs, docs), *key, "kind", "removed", "added") > 50
+    slid = compare.slid_matches(paired, same).cache()
+    moved = compare.moves(paired, slid).cache()
+    assert alike(compare.move_ranges(moved), block_compare.move_ranges(pairs, docs), "a", "b", "move_no", *ranges) > 20
+    assert alike(compare.changes_but_moves(paired, slid, moved), block_compare.changes_but_moves(pairs, docs), *key, *ranges) > 50
+
+    by_line = Window.partitionBy("doc_id", "page_index", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x1, y0 = 72 + 6.0 * (F.sum(F.length("word") + 1).over(by_line) - 1), 100 + 14.0 * F.col("line_no")
+    boxes = words.withColumn("x1", x1).select("doc_id", "pos", "page_index", "line_no", (F.col("x1") - 6 * F.length("word")).alias("x0"), y0.alias("y0"), "x1", (y0 + 11).alias("y1"))
+    box = [*key, "side", "page_index", "line_no", "kind", "x0", "y0", "x1", "y1"]
+    assert alike(compare.change_boxes(changed, paired, boxes), block_compare.change_boxes(pairs, docs, word_boxes), *box) > 100
+
+    line = F.col("page_index") * 40 + F.col("line_no")
+    placed = words.select("doc_id", "pos", line.alias("line"))
+    at = lambda side, doc, name, i: paired.where(f"side = {side}").select("pair_id", F.col("i").alias(i), "pos", F.col(f"pair_id.{doc}").alias("doc_id")).join(placed, ["doc_id", "pos"]).select("pair_id", i, F.col("line").alias(name))
+    lined = same.join(at(0, "a", "o_line", "i"), ["pair_id", "i"]).join(at(1, "b", "r_line", "j"), ["pair_id", "j"]).selectExpr("pair_id", "o_line", "r_line", "o_line * 14.0D AS o_y", "r_line * 14.0D AS r_y")
+    places = pairs.select(F.struct("a", "b").alias("pair_id"), F.col("a").alias("doc_id")).join(placed.select("doc_id", "line").distinct(), "doc_id").selectExpr("pair_id", "line * 14.0D AS y")
+    rounded = lambda x: x.withColumn("mapped", F.coalesce(F.round("mapped", 6), F.lit(-1.0)))
+    assert alike(rounded(compare.mapped_places(places, compare.line_anchors(lined))), rounded(block_compare.position_map(pairs, docs, 14.0)), "a", "b", "y", "mapped") > 500
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_in_blocks_are_those_of_words_as_rows(spark, seed):
+    from quire.operators import block_compare
+
+    rng = random.Random(seed)
+    texts, links = {}, {}
+    base = [[f"w{rng.randrange(50)}" for _ in range(rng.randrange(4, 9))] for _ in range(30)]
+    for d in range(5):
+        lines = [list(x) for x in base]
+        for _ in range(2 * d):
+            lines.insert(rng.randrange(len(lines)), [f"w{rng.randrange(50)}" for _ in range(5)])
+        for n, words in enumerate(lines):
+            words.insert(0, str(n))  # numbers that move on
+        texts[d] = lines
+        first = [sum(map(len, lines[:n])) for n in range(len(lines))]
+        links[d] = [(n, first[n], first[n] + rng.choice([2, 3]), rng.choice([first[min(n + 2, len(lines) - 1)], first[(3 * n) % len(lines)], None]), rng.choice([None, f"s{n}", f"t{n // 4}"])) for n in range(1, len(lines), 2)]
+    words = spark.createDataFrame([(d, k, w, w, 0, n) for d, lines in texts.items() for k, (n, w) in enumerate((n, w) for n, x in enumerate(lines) for w in x)], "doc_id long, pos int, word string, key string, page_index int, line_no int").cache()
+    docs = spark.createDataFrame([(d, "\n".join(w for x in lines for w in x), [n for n, x in enumerate(lines) for _ in x]) for d, lines in texts.items()], "doc_id long, text string, lines array<int>")
+    two = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    pairs = spark.createDataFrame(two, "a long, b long")
+    by_size = {sum(map(len, lines)): links[d] for d, lines in texts.items()}
+    assert len(by_size) == 5
+    paired = compare.paired_words(pairs, words).cache()
+    plain = compare.matches(paired, compare.chain(compare.anchors(paired))).cache()
+    frame = spark.createDataFrame([(a, b, side, *x) for a, b in two for side, d in ((0, a), (1, b)) for x in links[d]], "a long, b long, side int, link_no int, lo int, hi int, target int, name string").withColumn("pair_id", F.struct("a", "b"))
+    own = compare.renumbered(paired, plain, frame.drop("a", "b")).cache()
+    old = compare.changes(own, compare.matches(own, compare.chain(compare.anchors(own)))).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi")
+    new = block_compare.renumbered_changes(pairs, docs, lambda starts: by_size[len(starts)])
+    assert rows_of(old) == rows_of(new) and own.where("key LIKE '\x01%'").count() > 20 and old.count() > 30
