@@ -1038,3 +1038,21 @@ def test_links_in_blocks_are_those_of_words_as_rows(spark, seed):
     old = compare.changes(own, compare.matches(own, compare.chain(compare.anchors(own)))).select("pair_id.a", "pair_id.b", "change_no", "o_lo", "o_hi", "r_lo", "r_hi")
     new = block_compare.renumbered_changes(pairs, docs, lambda starts: by_size[len(starts)])
     assert rows_of(old) == rows_of(new) and own.where("key LIKE '\x01%'").count() > 20 and old.count() > 30
+
+
+def test_families_are_decided_in_few_jobs(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = {}
+    for d in range(120):  # neighbours share half their words: long chains of classes that wait for each other
+        texts[d] = [f"w{k}" for k in range(8 * d, 8 * d + 16)]
+        if d % 3 == 0:
+            texts[500 + d] = [*texts[d][:14], f"x{rng.randrange(10**6)}"]
+    words = spark.createDataFrame([(d, k, w) for d, t in texts.items() for k, w in enumerate(t)], "doc_id long, pos int, key string")
+    sets = compare.run_sets(words).cache()
+    written = []
+    monkeypatch.setattr(compare, "saved", lambda df, label, own=compare.saved: written.append(label) or own(df, label))
+    one = sorted(map(tuple, compare.families(sets, 0.25).collect()))
+    assert written.count("heads") <= 2
+    monkeypatch.setattr(compare, "LAST_RUNS", 0)
+    rounds = sorted(map(tuple, compare.families(sets, 0.25).collect()))
+    assert one == rounds and len({r[1] for r in one}) < len(one) == 160
