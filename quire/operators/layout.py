@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -331,6 +333,25 @@ def stroke_groups(stroke: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.nda
     return [least[root(k)] if met[k] else None for k in range(len(stroke))]
 
 
+def page_groups(pages: Iterable[tuple[np.ndarray, ...]]) -> list[list[int | None]]:
+    """``stroke_groups`` of many pages; those with equal strokes are grouped once."""
+    known: dict[tuple[bytes, ...], list[int | None]] = {}
+    out = []
+    for stroke, *corners in pages:
+        order = np.lexsort(corners)
+        key = tuple(c[order].tobytes() for c in corners)
+        if key not in known:
+            known[key] = stroke_groups(np.arange(len(stroke)), *(c[order] for c in corners))
+        numbers, least = stroke[order].tolist(), {}
+        for group, number in zip(known[key], numbers, strict=True):
+            least[group] = min(number, least.get(group, number))
+        own: list[int | None] = [None] * len(numbers)
+        for k, group in zip(order.tolist(), known[key], strict=True):
+            own[k] = None if group is None else least[group]
+        out.append(own)
+    return out
+
+
 def touching(strokes: DataFrame) -> DataFrame:
     """Strokes that touch others, with grid, the smallest number of those they are linked with on their page.
 
@@ -339,7 +360,7 @@ def touching(strokes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def grids(stroke: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([stroke_groups(*page) for page in zip(stroke, x0, y0, x1, y1, strict=True)], dtype=object)
+        return pd.Series(page_groups(zip(stroke, x0, y0, x1, y1, strict=True)), dtype=object)
 
     pages = strokes.groupBy(*PAGE).agg(F.collect_list(F.struct("stroke", "level", "x0", "y0", "x1", "y1")).alias("page"))
     each = pages.withColumn("grid", grids(*(F.col(f"page.{c}") for c in ("stroke", "x0", "y0", "x1", "y1")))).select(*PAGE, F.explode(F.arrays_zip("page", "grid")).alias("s"))

@@ -1089,3 +1089,19 @@ def test_pages_as_rows_have_the_tables_of_characters(spark, capsys):
     if os.path.isdir(SMALL):
         plan = l6_character_tables(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_equal_pages_are_grouped_once(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(8)
+    forms = [np.array([(x, y, x + rng.choice([0, 80]), y + rng.choice([0, 60])) for x, y in ((rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(40))]) for _ in range(3)]
+    pages = []
+    for n in range(30):
+        order = rng.sample(range(40), 40)
+        pages.append((np.array([rng.randrange(-(2**62), 2**62) for _ in order]), *forms[n % 3][order].T))
+    right = [layout.stroke_groups(*page) for page in pages]
+    calls = []
+    monkeypatch.setattr(layout, "stroke_groups", lambda *page, own=layout.stroke_groups: calls.append(1) or own(*page))
+    assert layout.page_groups(pages) == right and len(calls) == 3
+    assert any(g is None for g in right[0]) and len({g for g in right[0] if g is not None}) > 1
